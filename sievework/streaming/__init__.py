@@ -1,0 +1 @@
+"""sievework.streaming"""
