@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.llm import quality_rules, warc
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,17 +19,56 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.quality_rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.mil import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.media import store, with_features, with_metadata
+
+    stored = with_features(with_metadata(store(table(spark, sf_dir, "documents"))))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.pitman_yor import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.secrets import labelled_findings, scan, train
+
+    found = scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)), path_col="source")
+    return found.select("doc_id", "n_candidates", "n_secrets", "findings")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_texts=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_packing, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_quality_classifier, op4_media, op5_lm_scoring, op6_packing, op8_secrets, op9_warc, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op9_warc": warc.oracle()}

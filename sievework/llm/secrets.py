@@ -1,0 +1,122 @@
+"""Secret scan with a random forest (operator 8), in DataFrame expressions only.
+
+Candidates are found in the row, their features are SQL expressions, and the forest, fitted by MLlib on labelled
+findings, is applied as a SQL expression too. A text never leaves its row, so nothing is shuffled.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# What a candidate looks like, and words that speak for or against a secret.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
+DICTIONARY = ["about", "chapter", "class", "config", "content", "data", "default", "docs", "document", "example", "file", "function", "image", "index", "introduction", "java", "main", "message", "model", "module", "number", "page", "path", "python", "release", "resource", "sample", "section", "source", "static", "test", "version"]
+FOR_WORDS = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private)[\"']?\s*(?:is)?\s*[:=]?\s*[\"']?$"
+AGAINST_WORDS = r"(?i)(?:commit|sha-?(?:1|256)?|md5|checksum|digest|hash|uuid|guid|etag|revision|build|version|isbn|order|invoice|phone|card|serial|id)[\"']?\s*[:=]?\s*[\"']?$"
+PATHS = r"(?i)(?:test|example|sample|fixture|docs?|mock)"
+#: Characters before a candidate that count as its neighbouring words.
+NEIGHBOURS = 48
+
+#: Feature name and SQL over v (the candidate), before (the text in front of it) and path.
+FEATURES = {
+    "length": "cast(length(v) as double)",
+    "digit_share": "cast(length(regexp_replace(v, '[^0-9]', '')) as double) / length(v)",
+    "upper_share": "cast(length(regexp_replace(v, '[^A-Z]', '')) as double) / length(v)",
+    "lower_share": "cast(length(regexp_replace(v, '[^a-z]', '')) as double) / length(v)",
+    "transitions": "cast(length(regexp_replace(regexp_replace(regexp_replace(v, '[0-9]+', '0'), '[A-Z]+', 'A'), '[a-z]+', 'a')) as double) / length(v)",
+    "distinct_share": "cast(size(array_distinct(split(v, ''))) as double) / length(v)",
+    "hexadecimal": "case when regexp_like(v, '^[0-9a-f]+$') then 1D else 0D end",
+    "separators": "cast(length(regexp_replace(v, '[^/_+-]', '')) as double) / length(v)",
+    "dictionary": "cast(length(v) - length(regexp_replace(v, '(?i)(?:" + "|".join(DICTIONARY) + ")', '')) as double) / length(v)",
+    "path": f"case when regexp_like(path, r'{PATHS}') then 1D else 0D end",
+    "said_secret": "case when regexp_like(before, r\"" + FOR_WORDS.replace('"', r"\x22") + "\") then 1D else 0D end",
+    "said_other": "case when regexp_like(before, r\"" + AGAINST_WORDS.replace('"', r"\x22") + "\") then 1D else 0D end",
+    "access_key": "case when regexp_like(v, '^(?:AKIA|ASIA)[0-9A-Z]{16}$') or regexp_like(v, '^(?:gh[pousr]_|sk_live_|xox[abp]-)') then 1D else 0D end",
+}
+
+
+def features(v: str, before: str, path: str) -> str:
+    """One array of all features, as SQL over the three given expressions, each evaluated once."""
+    inner = ", ".join(FEATURES.values())
+    return f"transform(array(named_struct('v', {v}, 'before', {before}, 'path', {path})), q -> transform(array(q.v), v -> transform(array(q.before), before -> transform(array(q.path), path -> array({inner}))[0])[0])[0])[0]"
+
+
+def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
+    """A labelled set of findings (value, before, path, label), made by rule from a row number: keys, passwords and tokens
+    against commit ids, checksums, uuids, numbers, file names and placeholders. Any table of these columns can be used instead."""
+    hexa = "sha2(cast(id as string), 256)"
+    mixed = "translate(base64(unhex(sha2(cast(id + 7 as string), 256))), '+/=', 'xYz')"
+    word = "element_at(array('" + "', '".join(DICTIONARY) + f"'), cast(1 + (id div 16) % {len(DICTIONARY)} as int))"
+    cases = [
+        (1, f"concat('AKIA', upper(substring({mixed}, 1, 16)))", "'the key is '"),
+        (1, f"concat('AKIA', upper(substring({mixed}, 5, 16)))", "concat('nothing to see ', substring(sha2(cast(id as string), 256), 1, 4), ' ')"),
+        (1, f"substring({hexa}, 1, 18)", "'password='"),
+        (1, f"substring({hexa}, 1, 40)", "'token = \"'"),
+        (1, f"substring({mixed}, 1, 32)", "'api_key: '"),
+        (1, f"concat('ghp_', substring({mixed}, 1, 36))", "'use '"),
+        (1, f"substring({hexa}, 1, 32)", "'secret: \"'"),
+        (1, f"substring({mixed}, 1, 24)", "'passwd = '"),
+        (0, f"substring({hexa}, 1, 40)", "'commit '"),
+        (0, f"{hexa}", "'sha256: '"),
+        (0, f"concat_ws('-', substring({hexa}, 1, 8), substring({hexa}, 9, 4), substring({hexa}, 13, 4), substring({hexa}, 17, 4), substring({hexa}, 21, 12))", "'see '"),
+        (0, f"substring(translate({hexa}, 'abcdef', '123456'), 1, 16 + cast(id div 16 % 8 as int))", "'number '"),
+        (0, f"concat('src/', {word}, '/', {word}, cast(id % 97 as string), '/index')", "'in '"),
+        (0, f"concat({word}, '_', {word}, '_', {word}, cast(id % 10 as string))", "'call '"),
+        (0, f"concat(repeat('x', 12 + cast(id % 9 as int)), cast(1000 + id % 1000 as string))", "'password='"),
+        (0, f"substring({hexa}, 1, 32)", "'md5 '"),
+    ]
+    pick = lambda k: "case id % 16 " + " ".join(f"when {i} then {c[k]}" for i, c in enumerate(cases)) + " end"
+    return spark.range(n).selectExpr(f"{pick(1)} as value", f"{pick(2)} as before", "case id div 16 % 5 when 0 then 'tests/fixtures' else 'web' end as path", f"cast({pick(0)} as int) as label")
+
+
+def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
+    """A random forest on labelled findings (value, before, path, label; rows with a null value or label are left out)."""
+    x = findings.where("value is not null and label is not null").selectExpr("cast(label as double) as label", f"{features('value', "coalesce(before, '')", "coalesce(path, '')")} as f")
+    x = x.select("label", *(F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)))
+    x = VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(x).select("label", "features")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(x)
+
+
+def forest_sql(model: RandomForestClassificationModel, f: str = "f") -> str:
+    """The forest as SQL over the array ``f``: the mean of its trees' shares of secrets among the findings in a leaf."""
+
+    def node(n) -> str:
+        if n.getClass().getSimpleName() == "LeafNode":
+            stats = list(n.impurityStats().stats())
+            return f"{stats[1] / max(sum(stats), 1e-9):.6f}D"
+        split = n.split()
+        return f"case when {f}[{split.featureIndex()}] <= {split.threshold()!r}D then {node(n.leftChild())} else {node(n.rightChild())} end"
+
+    trees = [node(t._call_java("rootNode")) for t in model.trees]
+    return "(" + " + ".join(trees) + f") / {len(trees)}"
+
+
+def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """Adds to every row: n_candidates, n_secrets, findings and redacted_text.
+
+    A candidate is a distinct value in a text, judged at its first place. ``findings`` lists the secrets: start (0-based,
+    in characters), length, value_sha256, score. ``redacted_text`` has every occurrence of a secret replaced by
+    ``<SECRET>``; a null text stays null and has no findings. Columns of these names that ``docs`` has already are
+    replaced. Whole texts of any length are read; repeated rows are scanned each.
+    """
+    text = f"`{text_col}`"
+    path = f"coalesce(cast(`{path_col}` as string), '')" if path_col else "''"
+    at = "instr(_t, c)"
+    before = f"substring(_t, greatest(1, {at} - {NEIGHBOURS}), {at} - greatest(1, {at} - {NEIGHBOURS}))"
+    keep = [c for c in docs.columns if c not in ("n_candidates", "n_secrets", "findings", "redacted_text")]
+    t = docs.select(*keep, F.expr(f"coalesce(cast({text} as string), '')").alias("_t"), F.expr(path).alias("_path"))
+    t = t.withColumn("_c", F.expr(f"array_distinct(regexp_extract_all(_t, r'{CANDIDATE}', 0))"))
+    t = t.withColumn("_f", F.expr(f"transform(_c, c -> named_struct('value', c, 'start', cast({at} - 1 as bigint), 'f', {features('c', before, '_path')}))"))
+    t = t.withColumn("_s", F.expr(f"transform(_f, x -> named_struct('value', x.value, 'start', x.start, 'score', transform(array(x.f), f -> {forest_sql(model)})[0]))"))
+    t = t.withColumn("_s", F.expr(f"filter(_s, x -> x.score >= {threshold}D)"))
+    return t.select(
+        *keep,
+        F.size("_c").cast("bigint").alias("n_candidates"),
+        F.size("_s").cast("bigint").alias("n_secrets"),
+        F.expr("transform(_s, x -> named_struct('start', x.start, 'length', cast(length(x.value) as bigint), 'value_sha256', sha2(x.value, 256), 'score', round(x.score, 6)))").alias("findings"),
+        # longer values first, so that a value inside another is not cut out of it
+        F.expr(f"case when {text} is null then null when size(_s) = 0 then _t else aggregate(array_sort(transform(_s, x -> x.value), (a, b) -> length(b) - length(a)), _t, (acc, v) -> replace(acc, v, '<SECRET>')) end").alias("redacted_text"),
+    )
