@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import quality_rules, warc
+from sievework.llm import partenum, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.partenum import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.mil import classify, train
 
@@ -52,7 +58,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sievework.llm.secrets import labelled_findings, scan, train
+    from sievework.llm.secret_scan import labelled_findings, scan, train
 
     found = scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)), path_col="source")
     return found.select("doc_id", "n_candidates", "n_secrets", "findings")
@@ -70,5 +76,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_texts=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_quality_classifier, op4_media, op5_lm_scoring, op6_packing, op8_secrets, op9_warc, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op9_warc": warc.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_quality_classifier, op4_media, op5_lm_scoring, op6_packing, op8_secrets, op9_warc, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op2_ngram_join": partenum.oracle(), "op9_warc": warc.oracle()}
