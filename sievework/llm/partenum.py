@@ -45,7 +45,7 @@ def signatures(items: np.ndarray, in_band: int, largest_partner: int) -> np.ndar
     """The signatures of one set (its sorted element hashes) in a band, for partners up to a size."""
     size = len(items)
     k = (size + largest_partner) // 9
-    seed = np.uint64(in_band + 1) * np.uint64(0xD1342543DE82EF95)
+    seed = np.uint64((in_band + 1) * 0xD1342543DE82EF95 % 2**64)
     x = arrays.mix(items + seed)
     if in_band == 0:
         return np.sort(x)[: k + 1]
@@ -75,7 +75,8 @@ def all_signatures(items: np.ndarray) -> np.ndarray:
 
 def set_hash(items: np.ndarray) -> np.ndarray:
     """A number for a set that is not empty; two sets share one with a probability of about 2**-63."""
-    return (arrays.mix(np.array([items.sum(dtype=np.uint64) ^ arrays.mix(items).sum(dtype=np.uint64) * np.uint64(3) + np.uint64(len(items))])) >> np.uint64(1)).astype(np.int64)[0]
+    whole = int(items.sum(dtype=np.uint64)) ^ (int(arrays.mix(items).sum(dtype=np.uint64)) * 3 + len(items)) % 2**64
+    return (arrays.mix(np.array([whole], np.uint64)) >> np.uint64(1)).astype(np.int64)[0]
 
 
 def shingle_sets(block: arrays.Block, n: int) -> list[np.ndarray]:

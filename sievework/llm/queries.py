@@ -57,6 +57,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.line_dedup import summarize
+
+    return summarize(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.secret_scan import labelled_findings, scan, train
 
@@ -76,5 +82,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_texts=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_quality_classifier, op4_media, op5_lm_scoring, op6_packing, op8_secrets, op9_warc, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_quality_classifier, op4_media, op5_lm_scoring, op6_packing, op7_line_dedup, op8_secrets, op9_warc, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op2_ngram_join": partenum.oracle(), "op9_warc": warc.oracle()}
