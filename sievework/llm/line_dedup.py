@@ -26,6 +26,8 @@ from sievework.llm.similar import popcount, verified
 CELLS = 1 << 18
 #: Candidates of a line and token that are looked at before the second pass.
 FEW = 3
+#: Ids up to which the documents of candidate pairs are picked by a broadcast, not by a shuffle of all texts.
+SENT = 1_000_000
 #: Fields of an entry: first text's id, line number, set, sketch, size, place of the token; the token is apart.
 FIELDS = 6
 
@@ -220,7 +222,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                     items = pa.ListArray.from_arrays(pa.array(np.append(x.start, len(x.token)).astype(np.int32)), pa.array(x.token.astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[x.doc]), pa.array(x.number), pa.array(x.set), items], names=["id", "line", "set", "items"])
 
-    rows = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id bigint, line bigint, set bigint, items array<bigint>")
+    ids = wanted.select("id").distinct()
+    rows = texts.join(F.broadcast(ids) if wanted.count() <= SENT else ids, "id", "left_semi").mapInArrow(run, "id bigint, line bigint, set bigint, items array<bigint>")
     return written(rows.join(wanted, ["id", "line", "set"], "left_semi").select("set", "items").dropDuplicates(["set"]), "line-sets")
 
 
@@ -243,7 +246,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def check(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("x").alias("set")).union(pairs.select(F.col("y").alias("set"))).distinct()
-        wanted = first.join(ids, "set", "left_semi")
+        wanted = written(first.join(ids, "set", "left_semi"), "wanted")
         return verified(pairs, _sets(texts, wanted, min_words)).select(F.col("x").alias("set")).distinct()
 
     found = written(entries.groupBy("bucket").applyInArrow(lambda t: _compare(t, FEW, None), "x bigint, y bigint").distinct(), "line-pairs")
