@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.plans import model_plans, text_plans
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return text_plans.dataset_statistics(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return text_plans.QUERIES | model_plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_plans.SQL | model_plans.SQL
