@@ -19,7 +19,11 @@ FREQUENT = {
 def detect(text: Column) -> Column:
     """The language with most frequent words, the first by name on ties; ``unknown`` without any."""
     words = word_list(text)
-    hits = [F.size(F.filter(words, lambda w, k=k: w.isin(*FREQUENT[k]))) for k in sorted(FREQUENT)]
+
+    def among(known: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*known)))
+
+    hits = [among(FREQUENT[k]) for k in sorted(FREQUENT)]
     best = F.greatest(*hits)
     out = F.when(best == 0, "unknown")
     for k, h in zip(sorted(FREQUENT), hits, strict=True):

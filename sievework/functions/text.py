@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x), na_action="ignore")
 
@@ -49,9 +50,13 @@ def word_count(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 5) -> Column:
     """n-word shingles in order; 1 to n-1 words give the whole text as one, none give none."""
-    w = word_list(text)
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(windows)
+
+    def cut(w: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(windows)
+
+    # the words are bound once; inside the lambda they would be made again for every window
+    return F.transform(F.array(word_list(text)), cut)[0]
 
 
 def tokens(text: Column) -> Column:
@@ -68,7 +73,7 @@ def keyword_pattern(keywords: list[str]) -> str:
     """Whole words, any case; the first keyword of the list that fits at a place wins there."""
     import re
 
-    return r"(?i)\b(" + "|".join(re.escape(k) for k in keywords) + r")\b"
+    return r"(?iU)\b(" + "|".join(re.escape(k) for k in keywords) + r")\b"
 
 
 def confidence(text: Column, keywords: list[str]) -> Column:

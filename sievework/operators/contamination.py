@@ -37,8 +37,9 @@ def nearest(train: DataFrame, test: DataFrame, vector: str = "embedding") -> Dat
 
     Test vectors, if at most SENT, go to every executor as one matrix; each task multiplies its blocks of train vectors
     with it and keeps one best for each test vector, and a last minimum joins the tasks. Beyond that, parts of the test
-    table are taken one after the other. Vectors of no length match nothing.
+    table are taken one after the other. Vectors of no length, and nulls, match nothing.
     """
+    test = test.where(F.col(vector).isNotNull())
     n = test.count()
     if not n:
         return test.sparkSession.createDataFrame([], "test_id bigint, train_id bigint, similarity double")

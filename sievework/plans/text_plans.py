@@ -13,7 +13,8 @@ QUERIES, SQL = {}, {}
 #: Keywords and patterns that occur in the bundled texts.
 WORDS = ["license", "the", "und", "le"]
 CATEGORIES = {"cat_a": [r"\bund\b", r"\bder\b"], "cat_b": [r"License"], "cat_none": [], "cat_c": [r"\bthe\b"]}
-KEYED = r"\b(license|the|und|le)\b"
+#: How often a keyword stands as a word of its own, letters beyond ASCII included: gaps are doubled so that two keywords can share one.
+KEYED = r"""len(regexp_extract_all('  ' || regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_]+', '  ', 'g') || '  ', ' (license|the|und|le) '))"""
 
 
 def query(sql: str | None = None):
@@ -183,7 +184,7 @@ def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
     return quality.integrity(u.union(odd).union(none))
 
 
-CONF = rf"case when trim(text) = '' then 0 else least(1.0, len(regexp_extract_all(lower(text), '{KEYED}')) / (1 + log10(length(text)))) end"
+CONF = f"case when trim(text) = '' then 0 else least(1.0, {KEYED} / (1 + log10(length(text)))) end"
 
 
 @query(f"with {U} select sample_id, round({CONF}, 6)::double as confidence_score from u")
@@ -338,7 +339,7 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return eda.content_hash(documents(spark, sf)).select("n", F.col("hash_sum").cast("string").alias("hash_sum"))
 
 
-@query(r"select doc_id as sample_id, replace(replace(replace(replace(replace(case when length(text) > 100 then substr(t, 1, 100) || '...' else t end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '""', '&quot;'), '''', '&#x27;') as shown from (select doc_id, text, regexp_replace(text, '[\n\t\r]', ' ', 'g') as t from documents)".replace('""', '"'))
+@query(r"""select doc_id as sample_id, replace(replace(replace(replace(replace(case when length(text) > 100 then substr(t, 1, 100) || '...' else t end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as shown from (select doc_id, text, regexp_replace(text, '[\n\t\r]', ' ', 'g') as t from documents)""")
 def sanitize_text(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("sample_id", T.display(F.col("text")).alias("shown"))
 
