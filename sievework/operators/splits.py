@@ -109,7 +109,7 @@ def test_union(split: DataFrame) -> DataFrame:
 def all_splits(df: DataFrame, min_samples: int = 150) -> DataFrame:
     """All four experiments in one table; those a table cannot support are left out, except the folds."""
     out = fold_roles(stratified_kfold(df), 5).select(F.lit("standard_cv").alias("experiment"), "fold", F.lit(None).cast("string").alias("held_out"), "sample_id", "role")
-    for name, make in (("loato", lambda: leave_one_out(df, min_samples)), ("direct_indirect", lambda: direct_indirect(df)), ("crosslingual", lambda: crosslingual(df))):
+    for name, make in (("leave_out", lambda: leave_one_out(df, min_samples)), ("direct_indirect", lambda: direct_indirect(df)), ("crosslingual", lambda: crosslingual(df))):
         try:
             part = make()
         except ValueError:

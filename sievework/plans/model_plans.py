@@ -34,19 +34,19 @@ def stratified_kfold(spark: SparkSession, sf: str) -> DataFrame:
     return splits.stratified_kfold(labelled(spark, sf))
 
 
-LOATO = """big as (select attack_category as c from {v} where label = 1 and attack_category is not null group by 1 having count(*) >= {n}),
+LEAVE_OUT = """big as (select attack_category as c from {v} where label = 1 and attack_category is not null group by 1 having count(*) >= {n}),
   folds as (select (row_number() over (order by c) - 1)::int as fold, c as held_out from big),
   lo as (select fold, held_out, sample_id, case when attack_category is not distinct from held_out then 'test' else 'train' end as role from {v}, folds where label = 1
     union all select fold, held_out, sample_id, case when row_number() over (partition by fold order by sha256('42:' || fold || ':' || sample_id), sample_id) <= greatest(1, floor((select count(*) from {v} where label = 0) * 0.2)) then 'test' else 'train' end from {v}, folds where label = 0)"""
-LOATO_U, LOATO_V = LOATO.format(v="u", n=18), LOATO.format(v="v", n=47)
+LEAVE_OUT_U, LEAVE_OUT_V = LEAVE_OUT.format(v="u", n=18), LEAVE_OUT.format(v="v", n=47)
 
 
-@query(f"with {U}, {LOATO_U} select fold, held_out, sample_id, role from lo")
+@query(f"with {U}, {LEAVE_OUT_U} select fold, held_out, sample_id, role from lo")
 def leave_one_category_out(spark: SparkSession, sf: str) -> DataFrame:
     return splits.leave_one_out(labelled(spark, sf), 18)
 
 
-@query(f"with {V}, {LOATO_V} select fold, held_out, sample_id, role from lo")
+@query(f"with {V}, {LEAVE_OUT_V} select fold, held_out, sample_id, role from lo")
 def leave_one_category_out_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return splits.leave_one_out(vectors(spark, sf), 47)
 
@@ -64,7 +64,7 @@ def crosslingual_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.crosslingual(labelled(spark, sf))
 
 
-@query(f"with {U}, {LOATO_U} select fold, count(*) filter (role = 'train') as n_train, count(*) filter (role = 'test') as n_test, 0::bigint as in_both from lo group by 1")
+@query(f"with {U}, {LEAVE_OUT_U} select fold, count(*) filter (role = 'train') as n_train, count(*) filter (role = 'test') as n_test, 0::bigint as in_both from lo group by 1")
 def split_disjointness(spark: SparkSession, sf: str) -> DataFrame:
     return splits.overlap(splits.leave_one_out(labelled(spark, sf), 18))
 
@@ -74,7 +74,7 @@ def cv_test_union(spark: SparkSession, sf: str) -> DataFrame:
     return splits.test_union(splits.fold_roles(splits.stratified_kfold(labelled(spark, sf)), 5))
 
 
-@query(f"with {U}, {KFOLD}, {LOATO_U} select 'standard_cv' as experiment, fold, 'test' as role, count(*) as n from kf group by 2 union all select 'standard_cv', fold, 'train', (select count(*) from kf) - count(*) from kf group by 2 union all select 'loato', fold, role, count(*) from lo group by 2, 3"
+@query(f"with {U}, {KFOLD}, {LEAVE_OUT_U} select 'standard_cv' as experiment, fold, 'test' as role, count(*) as n from kf group by 2 union all select 'standard_cv', fold, 'train', (select count(*) from kf) - count(*) from kf group by 2 union all select 'leave_out', fold, role, count(*) from lo group by 2, 3"
        f" union all select 'direct_indirect', 0, role, count(*) from (select case when coalesce(is_indirect, false) then 'test' else 'train' end as role from u where label = 1 union all select role from ({BENIGN})) group by 3"
        f" union all select 'crosslingual', 0, role, count(*) from (select 'test' as role from u where language is distinct from 'en' union all select 'train' from u where language = 'en' and label = 1 union all select role from ({BENIGN} and language = 'en')) group by 3")
 def all_splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,18 +194,18 @@ select round(p.accuracy, 6) as accuracy, round(p.f1, 6) as f1, round(quantile_co
 # ---- results ----
 
 MASTER = """ms as (select experiment, embedding, classifier, avg(f1) as f, stddev_pop(f1) as sd from r group by 1, 2, 3),
-  mt as (select embedding, classifier, c.f as cv_f1, c.sd as cv_std, l.f as loato_f1, l.sd as loato_std, c.f - l.f as delta_f1 from (select * from ms where experiment = 'standard_cv') c full join (select * from ms where experiment = 'loato') l using (embedding, classifier))"""
+  mt as (select embedding, classifier, c.f as cv_f1, c.sd as cv_std, l.f as leave_out_f1, l.sd as leave_out_std, c.f - l.f as delta_f1 from (select * from ms where experiment = 'standard_cv') c full join (select * from ms where experiment = 'leave_out') l using (embedding, classifier))"""
 
 
-@query(f"with {R}, {MASTER} select embedding, classifier, round(cv_f1, 6) as cv_f1, round(cv_std, 6) as cv_std, round(loato_f1, 6) as loato_f1, round(loato_std, 6) as loato_std, round(delta_f1, 6) as delta_f1 from mt")
+@query(f"with {R}, {MASTER} select embedding, classifier, round(cv_f1, 6) as cv_f1, round(cv_std, 6) as cv_std, round(leave_out_f1, 6) as leave_out_f1, round(leave_out_std, 6) as leave_out_std, round(delta_f1, 6) as delta_f1 from mt")
 def master_table(spark: SparkSession, sf: str) -> DataFrame:
-    return results.enumerated(results.master_table(result_rows(spark))).select("embedding", "classifier", *six("cv_f1", "cv_std", "loato_f1", "loato_std", "delta_f1"))
+    return results.enumerated(results.master_table(result_rows(spark))).select("embedding", "classifier", *six("cv_f1", "cv_std", "leave_out_f1", "leave_out_std", "delta_f1"))
 
 
 CATS = [f"cat_{i}" for i in range(6)]
 
 
-@query(f"with {R} select embedding, classifier, {', '.join(f'round(max(f1) filter (held_out = {c!r}), 6) as {c}' for c in CATS)}, round(avg(f1), 6) as mean from r where experiment = 'loato' group by 1, 2")
+@query(f"with {R} select embedding, classifier, {', '.join(f'round(max(f1) filter (held_out = {c!r}), 6) as {c}' for c in CATS)}, round(avg(f1), 6) as mean from r where experiment = 'leave_out' group by 1, 2")
 def per_fold_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return results.per_fold(result_rows(spark), CATS).select("embedding", "classifier", *six(*CATS, "mean"))
 
@@ -215,12 +215,12 @@ def delta_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return results.heatmap(result_rows(spark), results.CLASSIFIERS).select("embedding", *six(*results.CLASSIFIERS))
 
 
-@query(f"with {R}, {MASTER} select embedding, classifier, 'cv_f1' as experiment, round(cv_f1, 6) as f1 from mt union all select embedding, classifier, 'loato_f1', round(loato_f1, 6) from mt")
+@query(f"with {R}, {MASTER} select embedding, classifier, 'cv_f1' as experiment, round(cv_f1, 6) as f1 from mt union all select embedding, classifier, 'leave_out_f1', round(leave_out_f1, 6) from mt")
 def melted_results(spark: SparkSession, sf: str) -> DataFrame:
     return results.melted(result_rows(spark)).select("embedding", "classifier", "experiment", *six("f1"))
 
 
-DELTA = "dl as (select held_out, avg(cv.f - r.f1) as delta_f1, avg(r.f1) as mean_f1, count(*) as n from r join ms cv on cv.experiment = 'standard_cv' and cv.embedding = r.embedding and cv.classifier = r.classifier where r.experiment = 'loato' group by 1)"
+DELTA = "dl as (select held_out, avg(cv.f - r.f1) as delta_f1, avg(r.f1) as mean_f1, count(*) as n from r join ms cv on cv.experiment = 'standard_cv' and cv.embedding = r.embedding and cv.classifier = r.classifier where r.experiment = 'leave_out' group by 1)"
 
 
 @query(f"with {R}, {MASTER}, {DELTA} select held_out, round(delta_f1, 6) as delta_f1, round(mean_f1, 6) as mean_f1, n from dl")
@@ -228,14 +228,14 @@ def delta_f1(spark: SparkSession, sf: str) -> DataFrame:
     return results.delta_by_category(result_rows(spark)).select("held_out", *six("delta_f1", "mean_f1"), "n")
 
 
-@query(f"""with {R}, {MASTER}, {DELTA} select (select round(avg(cv_f1), 6) from mt) as mean_cv, (select round(avg(loato_f1), 6) from mt) as mean_loato, (select round(avg(delta_f1), 6) from mt) as mean_delta,
-  (select embedding || '/' || classifier from mt order by round(loato_f1, 9) desc, 1 desc limit 1) as best, (select embedding || '/' || classifier from mt order by round(loato_f1, 9), 1 limit 1) as worst,
+@query(f"""with {R}, {MASTER}, {DELTA} select (select round(avg(cv_f1), 6) from mt) as mean_cv, (select round(avg(leave_out_f1), 6) from mt) as mean_leave_out, (select round(avg(delta_f1), 6) from mt) as mean_delta,
+  (select embedding || '/' || classifier from mt order by round(leave_out_f1, 9) desc, 1 desc limit 1) as best, (select embedding || '/' || classifier from mt order by round(leave_out_f1, 9), 1 limit 1) as worst,
   (select held_out from dl order by round(mean_f1, 9), 1 limit 1) as hardest, (select held_out from dl order by round(mean_f1, 9) desc, 1 desc limit 1) as easiest""")
 def hardest_category(spark: SparkSession, sf: str) -> DataFrame:
-    return results.extremes(result_rows(spark)).select(*six("mean_cv", "mean_loato", "mean_delta"), "best", "worst", "hardest", "easiest")
+    return results.extremes(result_rows(spark)).select(*six("mean_cv", "mean_leave_out", "mean_delta"), "best", "worst", "hardest", "easiest")
 
 
-@query(f"""with {R}, p as (select embedding, classifier, a.f1 - b.f1 as d from (select * from r where experiment = 'standard_cv') a join (select * from r where experiment = 'loato') b using (embedding, classifier, fold))
+@query(f"""with {R}, p as (select embedding, classifier, a.f1 - b.f1 as d from (select * from r where experiment = 'standard_cv') a join (select * from r where experiment = 'leave_out') b using (embedding, classifier, fold))
 select embedding, classifier, count(*) as n, round(avg(d), 6) as mean_difference, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) as t from p group by 1, 2""")
 def paired_t(spark: SparkSession, sf: str) -> DataFrame:
     return results.paired(result_rows(spark)).select("embedding", "classifier", "n", *six("mean_difference", "t"))
@@ -294,9 +294,9 @@ def usage_cost(spark: SparkSession, sf: str) -> DataFrame:
     return results.usage_cost(calls, 2.5, 10.0).select("n_calls", "input_tokens", "output_tokens", F.round("cost", 9).alias("cost"))
 
 
-@query(f"with {R} select embedding, classifier, fold, round(f1 + case when fold = 2 then 0.002 else 0.0001 end::double, 6) as now, round(f1, 6) as was, fold = 2 as differs from r where experiment = 'loato'")
+@query(f"with {R} select embedding, classifier, fold, round(f1 + case when fold = 2 then 0.002 else 0.0001 end::double, 6) as now, round(f1, 6) as was, fold = 2 as differs from r where experiment = 'leave_out'")
 def replay_check(spark: SparkSession, sf: str) -> DataFrame:
-    r = result_rows(spark).where("experiment = 'loato'")
+    r = result_rows(spark).where("experiment = 'leave_out'")
     again = r.withColumn("f1", F.col("f1") + F.when(F.col("fold") == 2, 0.002).otherwise(0.0001))
     return results.replay_check(again, r).select("embedding", "classifier", "fold", *six("now", "was"), "differs")
 

@@ -80,12 +80,12 @@ def results(spark: SparkSession) -> DataFrame:
     e = "element_at(array('minilm', 'bge_large', 'instructor', 'openai_small', 'e5_mistral'), cast(id div 44 + 1 as int))"
     c = "element_at(array('logreg', 'svm', 'xgboost', 'mlp'), cast(id div 11 % 4 + 1 as int))"
     return spark.range(220).selectExpr(
-        "case when id % 11 < 5 then 'standard_cv' else 'loato' end as experiment", f"{e} as embedding", f"{c} as classifier", "cast(case when id % 11 < 5 then id % 11 else id % 11 - 5 end as int) as fold",
+        "case when id % 11 < 5 then 'standard_cv' else 'leave_out' end as experiment", f"{e} as embedding", f"{c} as classifier", "cast(case when id % 11 < 5 then id % 11 else id % 11 - 5 end as int) as fold",
         "case when id % 11 >= 5 then concat('cat_', id % 11 - 5) end as held_out", "case when id % 11 < 5 then 0.90D + (id * 7 % 23) / 400.0D else 0.75D + (id * 13 % 37) / 200.0D end as f1",
     )
 
 
-R = """r as (select case when id % 11 < 5 then 'standard_cv' else 'loato' end as experiment, ['minilm', 'bge_large', 'instructor', 'openai_small', 'e5_mistral'][id // 44 + 1] as embedding,
+R = """r as (select case when id % 11 < 5 then 'standard_cv' else 'leave_out' end as experiment, ['minilm', 'bge_large', 'instructor', 'openai_small', 'e5_mistral'][id // 44 + 1] as embedding,
   ['logreg', 'svm', 'xgboost', 'mlp'][(id // 11) % 4 + 1] as classifier, (case when id % 11 < 5 then id % 11 else id % 11 - 5 end)::int as fold, case when id % 11 >= 5 then 'cat_' || (id % 11 - 5) end as held_out,
   case when id % 11 < 5 then 0.90::double + (id * 7 % 23) / 400.0::double else 0.75::double + (id * 13 % 37) / 200.0::double end as f1 from range(220) t(id))"""
 
