@@ -7,9 +7,10 @@ signatures of a set in a fixed order (those of more elements first) are needed:
 before the first common one, each has a difference. Below 64 elements every element is a partition of its own. A set
 near the lower end of its band also signs in the band below.
 
-Equal sets are one. Sets that share a signature are first compared with one of them; components of the links found so
-far then leave only pairs between components open, and all of those that can still be similar are compared. A parity
-sketch of 128 bits discards pairs: each differing element flips one bit, so more differing bits than k are too many.
+Equal sets are one. Of the sets that share a signature, each is first compared with the one that looks nearest, twice;
+components of the links found so far leave only pairs between components open, and all of those that can still be
+similar are compared then. Parity
+sketches discard pairs: each differing element flips one bit, so more differing bits than k are too many.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import arrays
-from sievework.llm.shared import partitions, written
+from sievework.llm.shared import Scratch, partitions, written
 from sievework.llm.similar import components, popcount, verified
 
 SINGLES = 64
@@ -91,184 +92,201 @@ def shingle_sets(block: arrays.Block, n: int) -> list[np.ndarray]:
     return out
 
 
-def _base(docs: DataFrame, id_col: str, text_col: str, n: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: (id, n_shingles, set) for each document, and (bucket, packed signatures) for some MB of text."""
+#: Words of the parity sketch that goes with a set when pairs are looked for; a longer one is in the table of sets.
+SHORT = 8
+#: Ids up to which the documents of candidate pairs are picked by a broadcast, not by a shuffle of all texts.
+SENT = 1_000_000
+
+
+def sketch(items: np.ndarray, n_words: int) -> np.ndarray:
+    """The parity of the elements that fall on each of 64 * n_words bits; n_words is a power of two."""
+    bits = arrays.mix(items) & np.uint64(64 * n_words - 1)
+    count = np.bincount(bits.astype(np.int64), minlength=64 * n_words) & 1
+    return np.packbits(count.astype(np.uint8)).view(np.uint64)
+
+
+def long_words(size: int) -> int:
+    """Words of a set's long sketch: about a bit for each element."""
+    return 1 << max(0, (size // 64).bit_length())
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(id, n_shingles, set, long, short) of each document; the last three are null without words."""
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs: list[np.ndarray] = []
-        seen: dict[int, int] = {}
-        facts: list[tuple[int, int, int, int]] = []
-        held = 0
-        names = ["id", "n_shingles", "set", "bucket", "signatures", "owners", "sets"]
-
-        def send(kind: pa.DataType) -> pa.RecordBatch:
-            sig = np.concatenate(sigs)
-            owner = np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(s) for s in sigs])
-            bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            fact = np.array(facts, np.uint64)
-            rows = []
-            for b in range(buckets):
-                if edge[b] < edge[b + 1]:
-                    mine = order[edge[b] : edge[b + 1]]
-                    used, local = np.unique(owner[mine], return_inverse=True)
-                    rows.append((b, sig[mine].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), fact[used].tobytes()))
-            empty = lambda t: pa.nulls(len(rows), t)
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([empty(kind), empty(pa.int64()), empty(pa.int64()), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
-
-        kind = None
         for batch in batches:
-            kind = batch.schema.field(0).type
             for block in arrays.blocks(batch.column(1)):
-                sizes, ids = [], []
+                sets = shingle_sets(block, n)
+                some = lambda f: [f(x) if len(x) else None for x in sets]  # noqa: E731, B023
+                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(some(lambda x: int(set_hash(x))), pa.int64())]
+                columns += [pa.array(some(lambda x, k=k: sketch(x, k or long_words(len(x))).astype(np.int64)), pa.list_(pa.int64())) for k in (0, SHORT)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), *columns], names=["id", "n_shingles", "set", "long", "short"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {key}, n_shingles bigint, set bigint, `long` array<bigint>, `short` array<bigint>")
+
+
+def _signed(docs: DataFrame, text_col: str, n: int, buckets: int) -> DataFrame:
+    """(bucket, signatures, owners, sets): packed signatures of some MB of text, by the part that compares them."""
+    names = ["bucket", "signatures", "owners", "sets"]
+
+    def send(sigs: list[np.ndarray], sets: list[int]) -> pa.RecordBatch:
+        sig, ids = np.concatenate(sigs), np.array(sets, np.int64)
+        owner = np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(s) for s in sigs])
+        bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for b in range(buckets):
+            if edge[b] < edge[b + 1]:
+                mine = order[edge[b] : edge[b + 1]]
+                used, local = np.unique(owner[mine], return_inverse=True)
+                rows.append((b, sig[mine].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), ids[used].tobytes()))
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            for block in arrays.blocks(batch.column(0)):
                 for items in shingle_sets(block, n):
-                    sizes.append(len(items))
-                    if not len(items):
-                        ids.append(None)
-                        continue
-                    s = int(set_hash(items))
-                    ids.append(s)
-                    if s not in seen:
-                        seen[s] = 1
-                        bits = arrays.mix(items)
-                        flip = np.left_shift(np.uint64(1), bits & np.uint64(63))
-                        high = (bits >> np.uint64(6)) & np.uint64(1) == 1
-                        zero = np.uint64(0)
-                        facts.append((s, len(items), int(np.bitwise_xor.reduce(np.where(high, flip, zero))), int(np.bitwise_xor.reduce(np.where(high, zero, flip)))))
-                        sigs.append(all_signatures(items))
+                    if len(items) and (key := int(set_hash(items))) not in sigs:
+                        sigs[key] = all_signatures(items)
                 held += len(block.data)
-                none = lambda t, m=len(block): pa.nulls(m, t)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.binary())], names=names)
                 if held >= 16 << 20 and sigs:
-                    yield send(kind)
-                    sigs.clear(), facts.clear(), seen.clear()
-                    held = 0
+                    yield send([*sigs.values()], [*sigs])
+                    sigs, held = {}, 0
         if sigs:
-            yield send(kind)
+            yield send([*sigs.values()], [*sigs])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, signatures binary, owners binary, sets binary")
+
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {key}, n_shingles bigint, set bigint, bucket int, signatures binary, owners binary, sets binary")
+def _again(key: np.ndarray) -> np.ndarray:
+    """Which entries of a sorted array have an equal neighbour."""
+    same = key[1:] == key[:-1]
+    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
 
 
 def _collisions(packed: DataFrame) -> DataFrame:
-    """For each bucket the signatures that more than one set has, with those sets."""
+    """For each bucket the signatures that more than one set has, with those sets (ascending)."""
 
     def meet(table: pa.Table) -> pa.Table:
-        sig, owner, facts, base = [], [], [], 0
+        sig, sets = [], []
         for s, o, f in zip(table["signatures"], table["owners"], table["sets"], strict=True):
             sig.append(np.frombuffer(s.as_py(), np.uint64))
-            fact = np.frombuffer(f.as_py(), np.uint64).reshape(-1, 4)
             raw = o.as_py()
-            owner.append(np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(sig[-1]) else np.uint32).astype(np.int64) + base)
-            facts.append(fact)
-            base += len(fact)
-        sig, owner, facts = np.concatenate(sig), np.concatenate(owner), np.concatenate(facts)
-        # signatures met once only are dropped before the sort by set
+            sets.append(np.frombuffer(f.as_py(), np.int64)[np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(sig[-1]) else np.uint32)])
+        sig, sets = np.concatenate(sig), np.concatenate(sets)
         order = np.argsort(sig, kind="stable")
-        sig, owner = sig[order], owner[order]
-        same = sig[1:] == sig[:-1]
-        some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        sig, owner = sig[some], owner[some]
-        sets = facts[owner, 0]
+        sig, sets = sig[order], sets[order]
+        some = _again(sig)
+        sig, sets = sig[some], sets[some]
         order = np.lexsort((sets, sig))
-        sig, owner, sets = sig[order], owner[order], sets[order]
+        sig, sets = sig[order], sets[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])
-        sig, owner = sig[new], owner[new]
-        same = sig[1:] == sig[:-1]
-        some = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(sig) else np.zeros(0, bool)
-        sig, owner = sig[some], owner[some]
-        used, local = np.unique(owner, return_inverse=True)
-        # equal sets of different rows are one
-        distinct, first, again = np.unique(facts[used, 0], return_index=True, return_inverse=True)
-        return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([sig.tobytes()]), pa.array([again[local].astype(np.uint32).tobytes()]), pa.array([facts[used][first].tobytes()])], names=["bucket", "signatures", "owners", "sets"])
+        sig, sets = sig[new], sets[new]
+        some = _again(sig)
+        sig, sets = sig[some], sets[some]
+        used, local = np.unique(sets, return_inverse=True)
+        return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([sig.tobytes()]), pa.array([local.astype(np.uint32).tobytes()]), pa.array([used.tobytes()])], names=["bucket", "signatures", "owners", "sets"])
 
     return packed.groupBy("bucket").applyInArrow(meet, "bucket int, signatures binary, owners binary, sets binary")
 
 
-def _similar(facts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets i and j can be similar, by size and sketch."""
-    a, b = facts[i, 1].astype(np.int64), facts[j, 1].astype(np.int64)
-    differ = popcount(facts[i, 2] ^ facts[j, 2]) + popcount(facts[i, 3] ^ facts[j, 3])
-    return (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (differ * 9 <= a + b)
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, owners, sets, and where each signature begins."""
+    sig, owner, sets = np.frombuffer(row["signatures"], np.uint64), np.frombuffer(row["owners"], np.uint32).astype(np.int64), np.frombuffer(row["sets"], np.int64)
+    return sig, owner, sets, np.flatnonzero(np.diff(sig, prepend=sig[0] ^ np.uint64(1)) != 0) if len(sig) else np.zeros(0, np.int64)
 
 
-def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["signatures"], np.uint64), np.frombuffer(row["owners"], np.uint32).astype(np.int64), np.frombuffer(row["sets"], np.uint64).reshape(-1, 4)
+#: Members of a signature among which the nearest is looked for, before the pass over all.
+NEAR = 4096
 
 
-def _pairs(facts: np.ndarray, i: list[np.ndarray], j: list[np.ndarray]) -> pa.RecordBatch:
-    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (i, j))
-    both = np.unique(np.minimum(i, j) * (len(facts) + 1) + np.maximum(i, j))
-    i, j = both // (len(facts) + 1), both % (len(facts) + 1)
-    ids = facts[:, 0].astype(np.int64) if len(facts) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["x", "y"])
+def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of sets that share a signature, can be similar by size and short sketch, and are not in one component.
 
-
-def _stars(met: DataFrame) -> DataFrame:
-    """Each set of a signature with the set of the smallest number there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                sig, owner, facts = _read(row)
-                if not len(sig):
-                    continue
-                head = np.flatnonzero(np.diff(sig, prepend=sig[0] ^ np.uint64(1)) != 0)
-                centre = np.repeat(owner[head], np.diff(np.append(head, len(sig))))
-                use = centre != owner
-                i, j = centre[use], owner[use]
-                able = _similar(facts, i, j)
-                yield _pairs(facts, [i[able]], [j[able]])
-
-    return met.select("signatures", "owners", "sets").mapInArrow(run, "x bigint, y bigint").distinct()
-
-
-def _open_pairs(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets that share a signature, can be similar, and are not in one component."""
+    All of them, or with ``nearest`` for each set of a signature the one whose sketch differs least.
+    """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, np.uint64).reshape(-1, 4)[:, 0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b, np.int32)), pa.array(ids)], names=["bucket", "vertex"])
+                ids = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b, np.int32)), pa.array(ids)], names=["bucket", "set"])
 
-    known = met.select("bucket", "sets").mapInArrow(sets_of, "bucket int, vertex bigint").join(labels, "vertex")
+    about = facts.select("set", "n", "short")
+    about = about.join(labels.select(F.col("vertex").alias("set"), "label"), "set", "left") if labels is not None else about.withColumn("label", F.lit(None).cast("bigint"))
+    known = met.select("bucket", "sets").mapInArrow(sets_of, "bucket int, set bigint").join(about, "set")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_i, out_j, facts = [], [], np.zeros((0, 4), np.uint64)
+        out_i, out_j, sets = [], [], np.zeros(0, np.int64)
         for row in left.to_pylist():
-            sig, owner, facts = _read(row)
+            sig, owner, sets, head = _read(row)
             if not len(sig):
                 continue
-            label = facts[:, 0].astype(np.int64)
-            at = np.searchsorted(label, right["vertex"].to_numpy())
-            label = label.copy()
-            label[at] = right["label"].to_numpy()
-            head = np.flatnonzero(np.diff(sig, prepend=sig[0] ^ np.uint64(1)) != 0)
+            at = np.searchsorted(sets, right["set"].to_numpy())
+            label, size, bits = sets.copy(), np.zeros(len(sets), np.int64), np.zeros((len(sets), SHORT), np.uint64)
+            given = right["label"].to_pandas()
+            own = given.notna().to_numpy()
+            label[at[own]] = given[own].astype("int64").to_numpy()
+            size[at] = right["n"].to_numpy()
+            bits[at] = right["short"].combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(-1, SHORT)
+
+            def differ(i: np.ndarray, j: np.ndarray, label=label, size=size, bits=bits) -> np.ndarray:
+                """Differing bits, or -1 if the two need no comparison."""
+                a, b = size[i], size[j]
+                d = popcount(bits[i] ^ bits[j]).sum(-1)
+                return np.where((label[i] != label[j]) & (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (d * 9 <= a + b), d, -1)
+
             edge = np.append(head, len(sig))
+            two = head[np.diff(edge) == 2]
+            i, j = owner[two], owner[two + 1]
+            use = differ(i, j) >= 0
+            out_i.append(i[use])
+            out_j.append(j[use])
             low, high = np.minimum.reduceat(label[owner], head), np.maximum.reduceat(label[owner], head)
-            for k in np.flatnonzero(low != high).tolist():
+            for k in np.flatnonzero((low != high) & (np.diff(edge) > 2)).tolist():
                 members = owner[edge[k] : edge[k + 1]]
-                ls = label[members]
-                values, counts = np.unique(ls, return_counts=True)
-                common = values[counts.argmax()]
-                few, rest = members[ls != common], members[ls == common]
-                for part in (few[p : p + 256] for p in range(0, len(few), 256)):
-                    other = np.concatenate([rest, few])
-                    i, j = np.repeat(part, len(other)), np.tile(other, len(part))
-                    use = label[i] != label[j]
-                    i, j = i[use], j[use]
-                    able = _similar(facts, i, j)
-                    out_i.append(i[able])
-                    out_j.append(j[able])
-        return pa.Table.from_batches([_pairs(facts, out_i, out_j)])
+                if nearest:
+                    few, other = members, members[:: -(-len(members) // NEAR)]
+                else:
+                    ls = label[members]
+                    values, counts = np.unique(ls, return_counts=True)
+                    common = ls == values[counts.argmax()]
+                    few = members[~common]
+                    other = np.concatenate([members[common], few])
+                for part in (few[p : p + 64] for p in range(0, len(few), 64)):
+                    d = differ(part[:, None], other[None])
+                    if nearest:
+                        best = np.where(d < 0, 1 << 40, d).argmin(1)
+                        some = d[np.arange(len(part)), best] >= 0
+                        out_i.append(part[some])
+                        out_j.append(other[best[some]])
+                    else:
+                        i, j = np.nonzero(d >= 0)
+                        out_i.append(part[i])
+                        out_j.append(other[j])
+        i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_i, out_j))
+        both = np.unique(np.minimum(i, j) * (len(sets) + 1) + np.maximum(i, j))
+        i, j = both // (len(sets) + 1), both % (len(sets) + 1)
+        return pa.table([pa.array(sets[i]), pa.array(sets[j])], names=["x", "y"])
 
     return met.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "x bigint, y bigint").distinct()
 
 
+def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs whose sizes and long sketches allow the similarity. The longer of two sketches folds to the shorter."""
+    x, y = (facts.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("long").alias(f"{c}_bits")) for c in "xy")
+    both = pairs.join(y, "y").join(x, "x").where("least(x_n, y_n) * 5 >= greatest(x_n, y_n) * 4")
+    fold = "case when size({a}) > size({b}) then zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (p, q) -> p ^ q) else {a} end"
+    differ = f"aggregate(zip_with({fold.format(a='x_bits', b='y_bits')}, {fold.format(a='y_bits', b='x_bits')}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    return both.where(f"{differ} * 9 <= x_n + y_n").select("x", "y")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """The shingle sets (set, items) of the documents named in ``wanted`` (id, set), taken again from their texts."""
 
@@ -278,7 +296,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
                 sets = [x for x in shingle_sets(block, n) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(set_hash(x)) for x in sets], pa.int64()), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))], names=["set", "items"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
+    wanted = written(wanted, "wanted")
+    ids = wanted.select("id").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids) if wanted.count() <= SENT else ids, "id", "left_semi")
     return written(rows.select("text").mapInArrow(run, "set bigint, items array<bigint>").join(wanted.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]), "sets")
 
 
@@ -290,27 +310,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sequence is its one shingle. A null id takes part but names no component unless all ids of it are null. Repeated
     rows are documents with equal sets. An empty table gives no rows. Shingles and sets are compared by 64-bit hashes.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(_near_duplicates(docs, id_col, text_col, n), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     spark = docs.sparkSession
-    base = written(_base(docs, id_col, text_col, n, partitions(spark)), "shingles")
-    rows = base.where("bucket is null").select("id", "n_shingles", "set")
-    met = written(_collisions(base.where("bucket is not null").select("bucket", "signatures", "owners", "sets")), "collisions")
-    reps = written(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id")), "sets-first")
+    rows = written(_documents(docs, id_col, text_col, n), "shingles")
+    met = written(_collisions(_signed(docs, text_col, n, partitions(spark))), "collisions")
+    reps = written(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("long").alias("long"), F.first("short").alias("short")), "sets-first")
 
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
+        pairs = written(_possible(pairs, reps), "pairs")
         ids = pairs.select(F.col("x").alias("set")).union(pairs.select(F.col("y").alias("set"))).distinct()
-        return written(verified(pairs, _sets(docs, reps.join(ids, "set", "left_semi"), id_col, text_col, n)), "links")
+        return written(verified(pairs, _sets(docs, reps.join(ids, "set", "left_semi").select("id", "set"), id_col, text_col, n)), "links")
 
-    links = check(_stars(met))
-    more = written(_open_pairs(met, components(links)), "open")
-    if not more.isEmpty():
-        links = links.union(check(more))
+    links = check(_pairs(met, None, reps, True))
+    for nearest in (True, False):
+        more = written(_pairs(met, components(links), reps, nearest), "open")
+        if not more.isEmpty():
+            links = written(links.union(check(more)), "links")
     labels = components(links)
     owner = reps.join(labels.withColumnRenamed("vertex", "set"), "set", "left").select("set", "id", F.coalesce("label", "set").alias("label"))
     named = owner.groupBy("label").agg(F.min("id").alias("component_id"))
     by_set = owner.where("label <> set or id is null").select("set", "label").union(labels.where("vertex = label").select(F.col("vertex").alias("set"), "label")).distinct().join(named, "label").select("set", "component_id")
     by_set = reps.join(by_set, "set", "left").select("set", F.coalesce("component_id", "id").alias("component_id"))
-    return rows.join(by_set, "set", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return rows.select("id", "n_shingles", "set").join(by_set, "set", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def oracle() -> str:

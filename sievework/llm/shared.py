@@ -20,14 +20,41 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes the table to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A context whose ``written`` tables are deleted at its end, but for that of ``keep``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        _scratch.append([])
+        return self
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        out = written(df, what)
+        _scratch[-1].pop()
+        return out
+
+    def __exit__(self, *_) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in _scratch.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, for executors; a path without scheme is a mounted folder."""
     from pyarrow import fs
