@@ -5,12 +5,13 @@ s - ceil(0.8 s) + 1 of each. Lines that share such a token are compared by lengt
 (what can still overlap behind it), and by a 64-bit parity sketch (each differing token flips one bit), before their
 Jaccard similarity is verified on the tokens themselves. A line goes if an earlier one is similar.
 
-Whether any earlier similar line exists is all that is asked, so a line needs only a few candidates. A line with more
-candidates than that, none of which is confirmed, is compared with all of them in a second pass.
+Whether any earlier similar line exists is all that is asked, so for each of its tokens a line is compared with the
+candidate that looks nearest. A line with candidates of which none is confirmed is compared with all in a second pass.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import arrays
-from sievework.llm.shared import partitions, written
+from sievework.llm.shared import Scratch, partitions, written
 from sievework.llm.similar import popcount, verified
 
 #: Cells of the table of token frequencies that orders tokens; its size does not depend on the corpus.
 CELLS = 1 << 18
-#: Candidates of a line and token that are looked at before the second pass.
-FEW = 3
+WIDTH = 4096
 #: Ids up to which the documents of candidate pairs are picked by a broadcast, not by a shuffle of all texts.
 SENT = 1_000_000
 #: Fields of an entry: first text's id, line number, set, sketch, size, place of the token; the token is apart.
@@ -73,114 +73,145 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
 
 
-def frequencies(texts: DataFrame, min_words: int) -> np.ndarray:
-    """In how many lines the tokens of each cell occur, over all texts; CELLS numbers."""
-    width = 4096
+def _lines(texts: DataFrame, min_words: int) -> DataFrame:
+    """Rows of two kinds from one pass: (id, line, set) of each line, and (part, counts), in how many lines of a task the tokens of each cell occur."""
+    names = ["id", "line", "set", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for block in arrays.blocks(batch.column(0)):
-                total += np.bincount(_cell(Lines(block, min_words).token), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS // width, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(-1, width)])], names=["part", "counts"])
+            for block in arrays.blocks(batch.column(1)):
+                x = Lines(block, min_words)
+                total += np.bincount(_cell(x.token), minlength=CELLS)
+                ids = batch.column(0).slice(block.first, len(block)).to_numpy()
+                n = len(x.size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x.doc]), pa.array(x.number), pa.array(x.set), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        parts = CELLS // WIDTH
+        none = pa.nulls(parts, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(parts, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(parts, WIDTH)])], names=names)
+
+    return texts.mapInArrow(run, "id bigint, line bigint, set bigint, part int, counts binary")
+
+
+def frequencies(counted: DataFrame) -> np.ndarray:
+    """The sums of (part, counts) over all tasks; CELLS numbers."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]], axis=0)
         return pa.table([table["part"].slice(0, 1), pa.array([total.tobytes()])], names=["part", "counts"])
 
-    rows = texts.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").toArrow().to_pylist()
     out = np.zeros(CELLS, np.int64)
-    for r in rows:
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
+    for r in counted.groupBy("part").applyInArrow(add, "part int, counts binary").toArrow().to_pylist():
+        out[r["part"] * WIDTH : (r["part"] + 1) * WIDTH] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def _base(texts: DataFrame, rarity: np.ndarray, min_words: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: (id, line, set) of each line, and (bucket, packed prefix entries) for some MB of text."""
+def _entries(texts: DataFrame, rarity: np.ndarray, min_words: int, buckets: int) -> DataFrame:
+    """(bucket, tokens, entries): the prefix entries of some MB of text, packed, by the part that compares them."""
     common = texts.sparkSession.sparkContext.broadcast(rarity)
-    names = ["id", "line", "set", "bucket", "tokens", "entries"]
+    names = ["bucket", "tokens", "entries"]
+
+    def send(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        token, entry = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+        bucket = (arrays.mix(token) >> np.uint64(33)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some = [b for b in range(buckets) if edge[b] < edge[b + 1]]
+        mine = [order[edge[b] : edge[b + 1]] for b in some]
+        # half of a token's hash is enough within a bucket: unequal tokens only make more candidates
+        tokens = [token[m].astype(np.uint32).tobytes() for m in mine]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(tokens, pa.binary()), pa.array([_pack(entry[m]) for m in mine], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
-
-        def send() -> pa.RecordBatch:
-            token, entry = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
-            bucket = (arrays.mix(token) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [b for b in range(buckets) if edge[b] < edge[b + 1]]
-            none = lambda t: pa.nulls(len(some), t)
-            # columns apart, as numbers of one kind compress better
-            packed = [b"".join(np.ascontiguousarray(entry[order[edge[b] : edge[b + 1]], f]).astype(kind).tobytes() for f, kind in enumerate(KINDS)) for b in some]
-            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array(some, pa.int32()), pa.array([token[order[edge[b] : edge[b + 1]]].tobytes() for b in some], pa.binary()), pa.array(packed, pa.binary())], names=names)
-
         for batch in batches:
             for block in arrays.blocks(batch.column(1)):
                 x = Lines(block, min_words)
                 ids = batch.column(0).slice(block.first, len(block)).to_numpy()
-                n = len(x.size)
-                none = lambda t, m=n: pa.nulls(m, t)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x.doc]), pa.array(x.number), pa.array(x.set), none(pa.int32()), none(pa.binary()), none(pa.binary())], names=names)
                 order = np.lexsort((x.token, common.value[_cell(x.token)], x.line))
                 token, line = x.token[order], x.line[order]
                 place = np.arange(len(line)) - x.start[line]
                 prefix = place < (x.size - (4 * x.size + 4) // 5 + 1)[line]
-                if n and prefix.any():
+                if prefix.any():
                     token, line, place = token[prefix], line[prefix], place[prefix]
-                    entry = np.stack([ids[x.doc][line], x.number[line], x.set[line], x.sketch.astype(np.int64)[line], x.size[line], place], 1)
-                    kept.append((token, entry))
+                    kept.append((token, np.stack([ids[x.doc][line], x.number[line], x.set[line], x.sketch.astype(np.int64)[line], x.size[line], place], 1)))
                 held += len(block.data)
                 if held > 16 << 20 and kept:
-                    yield send()
-                    kept.clear()
-                    held = 0
+                    yield send(kept)
+                    kept, held = [], 0
         if kept:
-            yield send()
+            yield send(kept)
 
-    return texts.mapInArrow(run, "id bigint, line bigint, set bigint, bucket int, tokens binary, entries binary")
+    return texts.mapInArrow(run, "bucket int, tokens binary, entries binary")
 
 
-#: Stored kinds of the fields.
-KINDS = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
+def _pack(entry: np.ndarray) -> bytes:
+    """The fields one after the other, compressed (but for the hashes, which would not shrink), each after its length."""
+    out = []
+    for f in range(FIELDS):
+        raw = np.ascontiguousarray(entry[:, f]).tobytes()
+        if f not in (2, 3):
+            raw = zlib.compress(raw, 1)
+        out.append(len(raw).to_bytes(8, "little") + raw)
+    return b"".join(out)
 
 
 def _unpack(raw: bytes, n: int) -> np.ndarray:
     out, at = np.empty((n, FIELDS), np.int64), 0
-    for f, kind in enumerate(KINDS):
-        size = n * np.dtype(kind).itemsize
-        out[:, f] = np.frombuffer(raw, kind, n, at)
-        at += size
+    for f in range(FIELDS):
+        size = int.from_bytes(raw[at : at + 8], "little")
+        field = raw[at + 8 : at + 8 + size]
+        out[:, f] = np.frombuffer(field if f in (2, 3) else zlib.decompress(field), np.int64)
+        at += 8 + size
     return out
 
 
-def _compare(table: pa.Table, few: int | None, only: np.ndarray | None) -> pa.Table:
-    """Pairs (x, y) of sets, y the earlier; a line with more than ``few`` candidates at a token has one more row without y."""
-    tokens = [np.frombuffer(t.as_py(), np.uint64) for t in table["tokens"]]
+def _meet(table: pa.Table) -> pa.Table:
+    """The entries of a bucket whose token more than one set has, each set once at its first place, in order of token and place."""
+    tokens = [np.frombuffer(t.as_py(), np.uint32) for t in table["tokens"]]
     entry = np.concatenate([_unpack(e.as_py(), len(t)) for e, t in zip(table["entries"], tokens, strict=True)])
     token = np.concatenate(tokens)
     order = np.argsort(token, kind="stable")
     token, entry = token[order], entry[order]
-    same = token[1:] == token[:-1]
-    some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    some = _again(token)
     token, entry = token[some], entry[some]
-    # equal sets are one, at their first place
     order = np.lexsort((entry[:, 1], entry[:, 0], entry[:, 2], token))
     token, entry = token[order], entry[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (entry[1:, 2] != entry[:-1, 2])
     token, entry = token[new], entry[new]
+    some = _again(token)
+    token, entry = token[some], entry[some]
     order = np.lexsort((entry[:, 1], entry[:, 0], token))
     token, entry = token[order], entry[order]
+    return pa.table([table["bucket"].slice(0, 1), pa.array([token.tobytes()], pa.binary()), pa.array([_pack(entry)], pa.binary())], names=["bucket", "tokens", "entries"])
+
+
+def _again(key: np.ndarray) -> np.ndarray:
+    """Which entries of a sorted array have an equal neighbour."""
+    same = key[1:] == key[:-1]
+    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
+
+
+def _compare(raw_tokens: bytes, raw_entries: bytes, only: np.ndarray | None) -> pa.RecordBatch:
+    """Pairs of sets that can be similar, y the earlier, with how many bits differ and whether x may have other candidates.
+
+    For each line and token the candidate that differs least; with ``only``, all candidates of those sets.
+    """
+    every = only is not None
+    token = np.frombuffer(raw_tokens, np.uint32)
+    entry = _unpack(raw_entries, len(token))
     doc, line, sets, sketch, size, place = (np.ascontiguousarray(entry[:, f]) for f in range(FIELDS))
     sketch = sketch.astype(np.uint64)
-    head = np.flatnonzero(np.diff(token, prepend=token[0] ^ np.uint64(1)) != 0) if len(token) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.diff(token, prepend=token[0] ^ np.uint32(1)) != 0) if len(token) else np.zeros(0, np.int64)
     first = np.repeat(head, np.diff(np.append(head, len(token))))
     active = np.arange(len(token))
     if only is not None:
         active = active[np.isin(sets, only)]
-    found = np.zeros(len(token), np.int64)
-    xs, ys, over, lag = [], [], [], 1
+    found = np.zeros(len(token), np.int64)  # candidates so far
+    best, nearest, stopped = np.full(len(token), -1), np.full(len(token), 1 << 40), np.zeros(len(token), bool)
+    xs, ys, lag = [], [], 1
     while len(active):
         active = active[active - lag >= first[active]]
         if not len(active):
@@ -189,25 +220,45 @@ def _compare(table: pa.Table, few: int | None, only: np.ndarray | None) -> pa.Ta
         a, b = size[i], size[j]
         least = -((a + b) * -4 // 9)  # of the overlap
         left = np.minimum(a - place[i], b - place[j])  # of either line from the shared token on
-        able = (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (left >= least) & (popcount(sketch[i] ^ sketch[j]) * 9 <= a + b)
+        differ = popcount(sketch[i] ^ sketch[j])
+        able = (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (left >= least) & (differ * 9 <= a + b)
         able &= (doc[i] != doc[j]) | (line[i] != line[j])
-        i, j = i[able], j[able]
-        if len(i):
+        i, j, differ = i[able], j[able], differ[able]
+        if every:
+            xs.append(sets[i])
+            ys.append(sets[j])
+        elif len(i):
             found[i] += 1
-            use = found[i] <= few if few else np.ones(len(i), bool)
-            xs.append(sets[i[use]])
-            ys.append(sets[j[use]])
-            if few and not use.all():
-                over.append(sets[i[~use]])
-                active = active[found[active] <= few]
+            near = differ < nearest[i]
+            best[i[near]], nearest[i[near]] = j[near], differ[near]
+            # one that differs by half of what it may is looked at first, and the search goes on only if it fails
+            near = (nearest[active] * 18 <= 2 * size[active]) & (found[active] > 0)
+            stopped[active[near]] = True
+            active = active[~near]
         lag += 1
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-    if len(x):
-        pair = np.unique(np.stack([x, y], 1), axis=0)
-        x, y = pair[:, 0], pair[:, 1]
-    more = np.unique(np.concatenate(over)) if over else np.zeros(0, np.int64)
-    y = pa.concat_arrays([pa.array(y, pa.int64()), pa.nulls(len(more), pa.int64())])
-    return pa.table([pa.array(np.concatenate([x, more])), y], names=["x", "y"])
+    if every:
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+        if len(x):
+            x, y = np.unique(np.stack([x, y], 1), axis=0).T
+        bits, more = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    else:
+        some = np.flatnonzero(best >= 0)
+        x, y, bits, more = sets[some], sets[best[some]], nearest[some], (found[some] > 1) | stopped[some]
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(bits), pa.array(more)], names=["x", "y", "bits", "more"])
+
+
+PAIRS = "x bigint, y bigint, bits bigint, more boolean"
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t, e in zip(batch.column(0), batch.column(1), strict=True):
+            yield _compare(t.as_py(), e.as_py(), None)
+
+
+def _second_pass(met: pa.Table, asked: pa.Table) -> pa.Table:
+    some = [_compare(t.as_py(), e.as_py(), asked["set"].to_numpy()) for t, e in zip(met["tokens"], met["entries"], strict=True)]
+    return pa.Table.from_batches(some) if some else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], names=["x", "y", "bits", "more"])
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -237,11 +288,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other. Documents with a null id are left out and lose nothing; null texts have no lines. Nothing is capped: see the
     second pass above. Words and sets are compared by 64-bit hashes.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(_repeated_lines(docs, id_col, text_col, min_words), "repeated-lines")
+
+
+def _repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    base = written(_base(texts, frequencies(texts, min_words), min_words, partitions(spark)), "lines")
-    lines = base.where("bucket is null").select("id", "line", "set")
-    entries = base.where("bucket is not null").select("bucket", "tokens", "entries")
+    base = written(_lines(texts, min_words), "lines")
+    lines = base.where("part is null").select("id", "line", "set")
+    entries = _entries(texts, frequencies(base.where("part is not null").select("part", "counts")), min_words, partitions(spark))
     first = written(lines.groupBy("set").agg(F.min(F.struct("id", "line")).alias("first")).select("set", "first.*"), "first-lines")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -249,13 +305,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = written(first.join(ids, "set", "left_semi"), "wanted")
         return verified(pairs, _sets(texts, wanted, min_words)).select(F.col("x").alias("set")).distinct()
 
-    found = written(entries.groupBy("bucket").applyInArrow(lambda t: _compare(t, FEW, None), "x bigint, y bigint").distinct(), "line-pairs")
-    similar = written(check(found.where("y is not null")), "similar-lines")
-    rest = written(found.where("y is null").select(F.col("x").alias("set")).distinct().join(similar, "set", "left_anti"), "open-lines")
+    met = written(entries.groupBy("bucket").applyInArrow(_meet, "bucket int, tokens binary, entries binary"), "met-lines")
+    found = met.select("tokens", "entries").mapInArrow(_first_pass, PAIRS)
+    nearest = F.min_by("y", F.struct("bits", "y")).alias("y")
+    found = written(found.groupBy("x").agg(nearest, (F.bool_or("more") | (F.min("y") != F.max("y"))).alias("more")), "line-pairs")
+    similar = written(check(found), "similar-lines")
+    rest = written(found.where("more").select(F.col("x").alias("set")).join(similar, "set", "left_anti"), "open-lines")
     if not rest.isEmpty():
         # a set has its entries in a few buckets, which only its text would tell; the question goes to all
         asked = rest.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(partitions(spark) - 1))))
-        more = entries.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda a, b: _compare(a, None, b["set"].to_numpy()) if a.num_rows and b.num_rows else pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())}), "x bigint, y bigint").distinct()
+        more = met.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_second_pass, PAIRS).select("x", "y").distinct()
         similar = written(similar.union(check(written(more, "more-pairs"))).distinct(), "similar-lines")
     goes = lines.join(first.select("set", F.col("id").alias("first_id"), F.col("line").alias("first_line")), "set").join(similar.withColumn("similar", F.lit(True)), "set", "left")
     goes = goes.where("similar or id > first_id or (id = first_id and line > first_line)")
