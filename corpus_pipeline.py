@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; a document that loses more than 80 % of its word characters goes too. n_chars is counted anew."""
-    cleaned = line_dedup.clean(docs)
+    cleaned = line_dedup.clean(docs, min_words=1)
     was, left = _word_chars("text"), _word_chars("cleaned_text")
     return cleaned.where((left == was) | (left * 100 >= was * MIN_LEFT_PCT)).select("doc_id", F.col("cleaned_text").alias("text"), "lang", "source", F.length("cleaned_text").cast("bigint").alias("n_chars"))
 

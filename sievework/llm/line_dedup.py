@@ -132,7 +132,8 @@ def _entries(texts: DataFrame, rarity: np.ndarray, min_words: int, buckets: int)
                 order = np.lexsort((x.token, common.value[_cell(x.token)], x.line))
                 token, line = x.token[order], x.line[order]
                 place = np.arange(len(line)) - x.start[line]
-                prefix = place < (x.size - (4 * x.size + 4) // 5 + 1)[line]
+                # sets of up to three tokens are similar to equal sets only, which are found by their hash
+                prefix = (place < (x.size - (4 * x.size + 4) // 5 + 1)[line]) & (x.size > 3)[line]
                 if prefix.any():
                     token, line, place = token[prefix], line[prefix], place[prefix]
                     kept.append((token, np.stack([ids[x.doc][line], x.number[line], x.set[line], x.sketch.astype(np.int64)[line], x.size[line], place], 1)))

@@ -60,7 +60,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.line_dedup import summarize
 
-    return summarize(table(spark, sf_dir, "documents"))
+    return summarize(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,6 +333,23 @@ def test_line_dedup_second_pass(spark, monkeypatch):
     assert {r.doc_id: list(r.removed) for r in line_dedup.summarize(d).collect() if r.n_removed} == want
 
 
+def test_line_dedup_takes_short_lines(spark, tmp_path):
+    """The query, on lines of one to six words, against brute force."""
+    from sievework.llm.queries import op7_line_dedup
+
+    r = random.Random(12)
+    data = [(i, "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 6))) for _ in range(r.randint(1, 4)))) for i in range(120)]
+    lines, want = [], {}
+    for i, t in data:
+        for k, x in enumerate(t.split("\n")):
+            if s := frozenset(x.split()):
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in lines):
+                    want.setdefault(i, []).append(k)
+                lines.append(s)
+    spark.createDataFrame(data, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: list(x.removed) for x in op7_line_dedup(spark, str(tmp_path)).collect() if x.n_removed} == want
+
+
 # 8
 
 
