@@ -12,9 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What a candidate looks like, and words that speak for or against a secret.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
+_QUOTE, _TOKEN = r"[\x22\x27]", r"[A-Za-z0-9+/_\-]"
+SECRET_WORDS = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
+#: A value in quotes; one behind a secret word; a run of 16 characters or more, in which dots join parts.
+CANDIDATE = (
+    r"(?<=\x22)[^\s\x22]{8,}(?=\x22)|(?<=\x27)[^\s\x27]{8,}(?=\x27)"
+    rf"|(?<=[:=\s\x22\x27])(?<=(?i:{SECRET_WORDS}){_QUOTE}?\s{{0,3}}(?:is)?\s{{0,3}}[:=]{{0,2}}>?\s{{0,3}}{_QUOTE}?)[^\s\x22\x27<>:=][^\s\x22\x27<>]{{6,}}[^\s\x22\x27<>.,;:)\]}}]"
+    rf"|(?<!{_TOKEN})(?=[A-Za-z0-9+/_.\-]{{16}}){_TOKEN}++(?:\.{_TOKEN}++)*+={{0,2}}"
+)
 DICTIONARY = ["about", "chapter", "class", "config", "content", "data", "default", "docs", "document", "example", "file", "function", "image", "index", "introduction", "java", "main", "message", "model", "module", "number", "page", "path", "python", "release", "resource", "sample", "section", "source", "static", "test", "version"]
-FOR_WORDS = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private)[\"']?\s*(?:is)?\s*[:=]?\s*[\"']?$"
+FOR_WORDS = rf"(?i){SECRET_WORDS}[\"']?\s*(?:is)?\s*[:=]?\s*[\"']?$"
 AGAINST_WORDS = r"(?i)(?:commit|sha-?(?:1|256)?|md5|checksum|digest|hash|uuid|guid|etag|revision|build|version|isbn|order|invoice|phone|card|serial|id)[\"']?\s*[:=]?\s*[\"']?$"
 PATHS = r"(?i)(?:test|example|sample|fixture|docs?|mock)"
 #: Characters before a candidate that count as its neighbouring words.
@@ -34,7 +41,8 @@ FEATURES = {
     "path": f"case when regexp_like(path, r'{PATHS}') then 1D else 0D end",
     "said_secret": "case when regexp_like(before, r\"" + FOR_WORDS.replace('"', r"\x22") + "\") then 1D else 0D end",
     "said_other": "case when regexp_like(before, r\"" + AGAINST_WORDS.replace('"', r"\x22") + "\") then 1D else 0D end",
-    "access_key": "case when regexp_like(v, '^(?:AKIA|ASIA)[0-9A-Z]{16}$') or regexp_like(v, '^(?:gh[pousr]_|sk_live_|xox[abp]-)') then 1D else 0D end",
+    "assigned": "case when regexp_like(before, r'[:=]\\s*[\\x22\\x27]?$') then 1D else 0D end",
+    "access_key": "case when regexp_like(v, r'(?:^|[^A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])') or regexp_like(v, r'(?:^|[^A-Za-z0-9])(?:gh[pousr]_|sk_live_|xox[abp]-)') or regexp_like(v, r'(?:^|[^A-Za-z0-9])(?:SG\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+|eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.|hooks\\.slack\\.com/services/)') then 1D else 0D end",
 }
 
 
@@ -49,7 +57,9 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     against commit ids, checksums, uuids, numbers, file names and placeholders. Any table of these columns can be used instead."""
     hexa = "sha2(cast(id as string), 256)"
     mixed = "translate(base64(unhex(sha2(cast(id + 7 as string), 256))), '+/=', 'xYz')"
-    word = "element_at(array('" + "', '".join(DICTIONARY) + f"'), cast(1 + (id div 16) % {len(DICTIONARY)} as int))"
+    word = "element_at(array('" + "', '".join(DICTIONARY) + f"'), cast(1 + (id div 32) % {len(DICTIONARY)} as int))"
+    letters = f"translate({hexa}, '0123456789', 'ghijklmnop')"
+    other = "translate(base64(unhex(sha2(cast(id + 8 as string), 256))), '+/=', 'xYz')"
     cases = [
         (1, f"concat('AKIA', upper(substring({mixed}, 1, 16)))", "'the key is '"),
         (1, f"concat('AKIA', upper(substring({mixed}, 5, 16)))", "concat('nothing to see ', substring(sha2(cast(id as string), 256), 1, 4), ' ')"),
@@ -62,14 +72,30 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (0, f"substring({hexa}, 1, 40)", "'commit '"),
         (0, f"{hexa}", "'sha256: '"),
         (0, f"concat_ws('-', substring({hexa}, 1, 8), substring({hexa}, 9, 4), substring({hexa}, 13, 4), substring({hexa}, 17, 4), substring({hexa}, 21, 12))", "'see '"),
-        (0, f"substring(translate({hexa}, 'abcdef', '123456'), 1, 16 + cast(id div 16 % 8 as int))", "'number '"),
+        (0, f"substring(translate({hexa}, 'abcdef', '123456'), 1, 16 + cast(id div 32 % 8 as int))", "'number '"),
         (0, f"concat('src/', {word}, '/', {word}, cast(id % 97 as string), '/index')", "'in '"),
         (0, f"concat({word}, '_', {word}, '_', {word}, cast(id % 10 as string))", "'call '"),
         (0, f"concat(repeat('x', 12 + cast(id % 9 as int)), cast(1000 + id % 1000 as string))", "'password='"),
         (0, f"substring({hexa}, 1, 32)", "'md5 '"),
+        (1, f"concat(substring({letters}, 1, 6), cast(id % 10 as string), substring({mixed}, 1, 2), cast(id % 7 as string))", "'password = \"'"),
+        (1, f"concat(substring({mixed}, 1, 6), '&', substring({mixed}, 7, 3), '-', substring({mixed}, 10, 2), '!', substring({mixed}, 13, 6))", "'secret=\"'"),
+        (1, f"concat(substring({mixed}, 1, 5), '$', substring({mixed}, 7, 5))", "'pwd: '"),
+        (1, f"substring({letters}, 1, 20 + cast(id div 32 % 20 as int))", "'api_key = '"),
+        (1, f"concat('SG.', substring({mixed}, 1, 22), '.', substring({other}, 1, 43))", "'use '"),
+        (1, f"concat('eyJ', substring({mixed}, 1, 20), '.eyJ', substring({other}, 1, 40), '.', {mixed})", "'got '"),
+        (1, f"concat('//hooks.slack.com/services/T', upper(substring({mixed}, 1, 8)), '/B', upper(substring({other}, 1, 8)), '/', substring({mixed}, 9, 24))", "'post to https:'"),
+        (1, f"substring({letters}, 1, 10 + cast(id div 32 % 8 as int))", "'password=\"'"),
+        (0, f"substring({letters}, 1, 16 + cast(id div 32 % 12 as int))", "'of the '"),
+        (0, f"concat('org.', {word}, '.', substring({letters}, 1, 7), '.', {word})", "'import '"),
+        (0, f"concat('//www.', substring({letters}, 1, 8), '.com/', {word}, '/', substring({letters}, 9, 6), '.html')", "'see https:'"),
+        (0, f"substring({letters}, 1, 8 + cast(id div 32 % 6 as int))", "'the secret '"),
+        (0, f"concat({word}, substring('.,-/', 1 + cast(id % 4 as int), 1), {word})", "'password: '"),
+        (0, f"substring({letters}, 1, 8 + cast(id div 32 % 8 as int))", "'he said \"'"),
+        (0, f"concat({word}, '/', substring({letters}, 1, 6), '.', substring({letters}, 7, 2))", "'open \"'"),
+        (0, f"concat(substring({letters}, 1, 9), '/', substring({letters}, 10, 9), '-', {word})", "'an '"),
     ]
-    pick = lambda k: "case id % 16 " + " ".join(f"when {i} then {c[k]}" for i, c in enumerate(cases)) + " end"
-    return spark.range(n).selectExpr(f"{pick(1)} as value", f"{pick(2)} as before", "case id div 16 % 5 when 0 then 'tests/fixtures' else 'web' end as path", f"cast({pick(0)} as int) as label")
+    pick = lambda k: "case id % 32 " + " ".join(f"when {i} then {c[k]}" for i, c in enumerate(cases)) + " end"
+    return spark.range(n).selectExpr(f"{pick(1)} as value", f"{pick(2)} as before", "case id div 32 % 5 when 0 then 'tests/fixtures' else 'web' end as path", f"cast({pick(0)} as int) as label")
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
@@ -97,24 +123,29 @@ def forest_sql(model: RandomForestClassificationModel, f: str = "f") -> str:
 def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
     """Adds to every row: n_candidates, n_secrets, findings and redacted_text.
 
-    A candidate is a distinct value in a text, judged at its first place. ``findings`` lists the secrets: start (0-based,
-    in characters), length, value_sha256, score. ``redacted_text`` has every occurrence of a secret replaced by
+    Candidates are distinct values in a text: values of 8 characters or more in quotes or behind a secret word, and runs
+    of 16 or more of which dots join the parts. Each occurrence is judged with its own neighbouring words; a value is a
+    secret if any is. ``findings`` lists the secrets: start (0-based,
+    in characters, of the first occurrence judged so), length, value_sha256, score (the highest). ``redacted_text`` has every occurrence of a secret replaced by
     ``<SECRET>``; a null text stays null and has no findings. Columns of these names that ``docs`` has already are
     replaced. Whole texts of any length are read; repeated rows are scanned each.
     """
     text = f"`{text_col}`"
     path = f"coalesce(cast(`{path_col}` as string), '')" if path_col else "''"
-    at = "instr(_t, c)"
-    before = f"substring(_t, greatest(1, {at} - {NEIGHBOURS}), {at} - greatest(1, {at} - {NEIGHBOURS}))"
+    before = f"substring(_t, greatest(1, o.start + 1 - {NEIGHBOURS}), least(o.start, {NEIGHBOURS}))"
     keep = [c for c in docs.columns if c not in ("n_candidates", "n_secrets", "findings", "redacted_text")]
     t = docs.select(*keep, F.expr(f"coalesce(cast({text} as string), '')").alias("_t"), F.expr(path).alias("_path"))
-    t = t.withColumn("_c", F.expr(f"array_distinct(regexp_extract_all(_t, r'{CANDIDATE}', 0))"))
-    t = t.withColumn("_f", F.expr(f"transform(_c, c -> named_struct('value', c, 'start', cast({at} - 1 as bigint), 'f', {features('c', before, '_path')}))"))
+    t = t.withColumn("_v", F.expr(f"regexp_extract_all(_t, r'{CANDIDATE}', 0)"))
+    # what stands between the values gives their places
+    t = t.withColumn("_p", F.expr(f"if(size(_v) = 0, cast(array() as array<string>), split(_t, r'{CANDIDATE}', -1))"))
+    t = t.withColumn("_o", F.expr("aggregate(zip_with(_v, slice(_p, 1, size(_v)), (v, p) -> named_struct('v', v, 'n', length(p))), named_struct('at', 0L, 'o', cast(array() as array<struct<value: string, start: bigint>>)), (acc, x) -> named_struct('at', acc.at + x.n + length(x.v), 'o', concat(acc.o, array(named_struct('value', x.v, 'start', acc.at + x.n)))), acc -> acc.o)"))
+    t = t.withColumn("_f", F.expr(f"transform(_o, o -> named_struct('value', o.value, 'start', o.start, 'f', {features('o.value', before, '_path')}))"))
     t = t.withColumn("_s", F.expr(f"transform(_f, x -> named_struct('value', x.value, 'start', x.start, 'score', transform(array(x.f), f -> {forest_sql(model)})[0]))"))
     t = t.withColumn("_s", F.expr(f"filter(_s, x -> x.score >= {threshold}D)"))
+    t = t.withColumn("_s", F.expr("transform(array_distinct(transform(_s, x -> x.value)), v -> transform(array(filter(_s, x -> x.value = v)), a -> named_struct('value', v, 'start', a[0].start, 'score', array_max(transform(a, x -> x.score))))[0])"))
     return t.select(
         *keep,
-        F.size("_c").cast("bigint").alias("n_candidates"),
+        F.size(F.array_distinct("_v")).cast("bigint").alias("n_candidates"),
         F.size("_s").cast("bigint").alias("n_secrets"),
         F.expr("transform(_s, x -> named_struct('start', x.start, 'length', cast(length(x.value) as bigint), 'value_sha256', sha2(x.value, 256), 'score', round(x.score, 6)))").alias("findings"),
         # longer values first, so that a value inside another is not cut out of it

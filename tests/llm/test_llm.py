@@ -367,6 +367,24 @@ def test_secrets(spark):
     assert scan(d.limit(0), model).count() == 0
 
 
+def test_secrets_of_other_shapes(spark):
+    """Short, dotted and all-letter values, odd characters, and a value whose second place only tells it; then text that has none."""
+    from sievework.llm.secret_scan import labelled_findings, scan, train
+
+    a, b = "Qk3vZ8mWx1LpT5yRb7Nc2D", "hJ4sXw9GfK2qVt6ZnB8mLc3RyP5dAe7UoT1iWxHkFgS"
+    secrets = ["hunter2Xy9", "Tr0ub4dor&3-xK!p9_zz", "qzjwvkxgfhtrbpmndlcysqzjwvkxgfht", f"SG.{a}.{b}", f"eyJhbGciOiJIUzI1NiJ9.eyJ{b}.{a}{b}", f"//hooks.slack.com/services/T0A1B2C3D/B4E5F6G7H/{a}x9"]
+    said = ['password = "{}"', 'secret="{}"', "api_key = {}", "use {} now", "got {} back", "post to https:{} then"]
+    data = [(i, p.format(v)) for i, (p, v) in enumerate(zip(said, secrets, strict=True))]
+    hexa = "8d5e425dbdaa383537b4fea24b37ed72645ac62d"
+    data.append((6, f"é🙂 commit {hexa} but token = \"{hexa}\""))
+    data.append((7, 'He said "wonderful" of the incomprehensibilities in https://www.garden.com/about/flowers.html and the secret ingredient.'))
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(data, "doc_id bigint, text string"), train(labelled_findings(spark))).collect()}
+    for i, v in enumerate(secrets):
+        assert v not in got[i].redacted_text and got[i].n_secrets == 1 and data[i][1][got[i].findings[0].start :].startswith(v), data[i]
+    assert got[6].n_secrets == 1 and hexa not in got[6].redacted_text and got[6].findings[0].start == data[6][1].rindex(hexa)
+    assert got[7].n_secrets == 0 and got[7].n_candidates >= 3 and got[7].redacted_text == data[7][1]
+
+
 # 9
 
 
