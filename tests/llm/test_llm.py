@@ -230,6 +230,18 @@ def test_language_model_hears_word_order(spark):
         assert rows[i - 1000].perplexity < 4
 
 
+def test_long_unseen_words_have_no_floor(spark):
+    """Each further byte of an unseen word costs."""
+    from sievework.llm.pitman_yor import score
+
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    long_ = dict(zip(held, (500, 5000, 50_000), strict=True))
+    data = [(i, "zq" * (long_[i] // 2) if i in long_ else "some words of a text") for i in range(100)]
+    rows = {x.doc_id: x.score for x in score(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    a, b, c = (rows[i] for i in held)
+    assert a < -500 and 9 < b / a < 11 and 9 < c / b < 11
+
+
 def test_spelling_is_a_distribution():
     from sievework.llm.pitman_yor import Restaurants, Settings, SYMBOLS, trigrams
 
