@@ -7,45 +7,52 @@ so no Python string is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-#: White space between words: U+0020 and U+0009 to U+000D.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POW = np.ones(1, np.uint64)
+#: Keeps the first k of eight bytes.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+#: Longer spans are hashed in pieces of so many bytes.
+_PIECE = 64
 
 #: Bytes of text that are worked on at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (each input bit reaches each output bit)."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    spare = x >> np.uint64(30)
+    x ^= spare
     x *= _MIX1
-    x ^= x >> np.uint64(27)
+    np.right_shift(x, np.uint64(27), out=spare)
+    x ^= spare
     x *= _MIX2
-    x ^= x >> np.uint64(31)
+    np.right_shift(x, np.uint64(31), out=spare)
+    x ^= spare
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the odd multiplier, modulo 2**64."""
-    global _POW
-    if len(_POW) < n:
-        _POW = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 2 * len(_POW)), _ODD, np.uint64))])
-    return _POW[:n]
+def by_group(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
+    """The order by group (ascending already) and value; values that share their upper 44 bits may stand in any order where groups are few enough to sort by one number."""
+    if groups >= 1 << 20:
+        return np.lexsort((value, group))
+    return np.argsort((group.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
+
+
+def trim() -> None:
+    """Gives free memory back to the system, so that idle Python workers hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 @dataclass
@@ -62,7 +69,8 @@ class Block:
 
     def lowered(self) -> Block:
         """A-Z lower-cased; other characters stay."""
-        return Block(self.first, _LOWER[self.data], self.offsets, self.null)
+        upper = (self.data - np.uint8(ord("A"))) < 26
+        return Block(self.first, self.data + (upper.view(np.uint8) << np.uint8(5)), self.offsets, self.null)
 
 
 @dataclass
@@ -77,13 +85,15 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cuts a string column into blocks of about ``limit`` bytes; one long text is a block of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
     n = len(column)
     if not n:
         return
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_binary())
     null = np.asarray(column.is_null())
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64, n + 1 + column.offset)[column.offset :]
+    kind = np.int32 if pa.types.is_string(column.type) else np.int64
+    offsets = np.frombuffer(offsets, kind, n + 1 + column.offset)[column.offset :].astype(np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
@@ -98,7 +108,7 @@ def words(block: Block) -> Words:
     if not len(block.data):
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(len(block) + 1, np.int64))
-    inside = ~_SPACE[block.data]
+    inside = (block.data != 0x20) & ((block.data - np.uint8(9)) > 4)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -113,14 +123,28 @@ def words(block: Block) -> Words:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span; equal spans have equal hashes, whatever block they are in."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
     size = end - start
-    to = np.cumsum(size)
-    within = np.arange(to[-1]) - np.repeat(to - size, size)
-    spots = within + np.repeat(start, size)
-    value = _BYTE[data[spots]] * powers(int(size.max()))[within]
-    return mix(np.add.reduceat(value, to - size) + size.astype(np.uint64) * _MIX2)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))  # eight bytes from every place on
+    out = mix(size.astype(np.uint64) * _ODD + (eight[start] & _KEEP[np.minimum(size, 8)]))
+    short = size <= _PIECE
+    more = np.flatnonzero(short & (size > 8))
+    done = 8
+    while len(more):
+        out[more] = mix(out[more] * _ODD + (eight[start[more] + done] & _KEEP[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    long = np.flatnonzero(~short)
+    if len(long):
+        pieces = -(-size[long] // _PIECE)
+        to = np.cumsum(pieces)
+        number = np.arange(to[-1]) - np.repeat(to - pieces, pieces)
+        begin = np.repeat(start[long], pieces) + number * _PIECE
+        h = span_hashes(data, begin, np.minimum(begin + _PIECE, np.repeat(end[long], pieces)))
+        out[long] = mix(np.add.reduceat(mix(h + (number.astype(np.uint64) + np.uint64(1)) * _MIX1), to - pieces) + size[long].astype(np.uint64) * _MIX2)
+    return out
 
 
 def runs(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,10 +3,15 @@
 The tokens of a line are put in order of rarity; two lines of at least 80 % similarity share a token among the first
 s - ceil(0.8 s) + 1 of each. Lines that share such a token are compared by length, by the places of the token in both
 (what can still overlap behind it), and by a 64-bit parity sketch (each differing token flips one bit), before their
-Jaccard similarity is verified on the tokens themselves. A line goes if an earlier one is similar.
+Jaccard similarity is verified on the tokens themselves. A line goes if an earlier one is similar. Lines of up to
+three tokens are similar to equal sets only, which are found by their hash.
 
-Whether any earlier similar line exists is all that is asked, so for each of its tokens a line is compared with the
-candidate that looks nearest. A line with candidates of which none is confirmed is compared with all in a second pass.
+Whether any earlier similar line exists is all that is asked, so a line is first verified against the candidate that
+looks nearest. A line with other candidates of which the nearest is not confirmed is compared with all in a second pass.
+
+Entries (token, line) are dealt by token into buckets whose number follows from the counted tokens, so that a task holds
+a bucket of bounded size. A token of more than ``HOT`` occurrences is dealt by pairs of blocks of its lines. Among many
+lines of a token, each is compared with the earliest ones first and leaves the comparison if one of them is near.
 """
 
 from __future__ import annotations
@@ -16,327 +21,435 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.llm import arrays
 from sievework.llm.shared import Scratch, partitions, written
-from sievework.llm.similar import popcount, verified
 
 #: Cells of the table of token frequencies that orders tokens; its size does not depend on the corpus.
 CELLS = 1 << 18
 WIDTH = 4096
+_CELL_SHIFT, _WITHIN = np.uint64(46), np.uint64((1 << 46) - 1)
 #: Ids up to which the documents of candidate pairs are picked by a broadcast, not by a shuffle of all texts.
 SENT = 1_000_000
-#: Fields of an entry: first text's id, line number, set, sketch, size, place of the token; the token is apart.
-FIELDS = 6
-
-
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(46)).astype(np.int64)
+#: Occurrences of a token up to which its lines are in one bucket.
+HOT = 20_000
+#: Entries of a bucket, about.
+BUCKET = 400_000
+#: Bytes of text whose entries are sent together.
+CHUNK_BYTES = 16 << 20
+#: Lines of one token from which on the earliest ``LEADERS`` are compared with all others first.
+MANY, LEADERS = 1024, 64
+#: Pairs that are compared at once.
+PAIRS_AT_ONCE = 1 << 20
+
+_LINE = "id bigint, line bigint, mark bigint"
+_FOUND = "x_id bigint, x_line bigint, x_mark bigint, y_id bigint, y_line bigint, y_mark bigint, bits bigint, more boolean, bucket int"
+X, Y = ["x_id", "x_line", "x_mark"], ["y_id", "y_line", "y_mark"]
 
 
 class Lines:
-    """The lines of a block with at least ``min_words`` words, as sets of distinct tokens."""
+    """The lines of a block that have words, in order, as sets of distinct tokens: by rarity if ``rank`` orders the cells, else by hash."""
 
-    def __init__(self, block: arrays.Block, min_words: int):
+    def __init__(self, block: arrays.Block, rank: np.ndarray | None = None):
         low = block.lowered()
         w = arrays.words(low)
-        ends = np.flatnonzero(low.data == 10)
-        number = np.searchsorted(ends, w.start) - np.searchsorted(ends, low.offsets[:-1])[w.doc]
-        new = np.ones(len(w.start), bool)
-        new[1:] = (w.doc[1:] != w.doc[:-1]) | (number[1:] != number[:-1])
-        head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(new)))
-        keep = count >= min_words
-        line_of = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), count)
-        head = head[keep]
-        self.doc, self.number = w.doc[head], number[head]
-        use = line_of >= 0
-        h, line = arrays.span_hashes(low.data, w.start[use], w.end[use]), line_of[use]
-        order = np.lexsort((h, line))
+        feeds = np.flatnonzero(low.data == 10)
+        head = np.unique(np.concatenate([np.searchsorted(w.start, feeds), w.bounds[:-1]]))
+        head = head[head < len(w.start)]
+        self.doc = np.searchsorted(w.bounds, head, "right") - 1
+        self.number = np.searchsorted(feeds, w.start[head]) - np.searchsorted(feeds, low.offsets[:-1])[self.doc]
+        h = arrays.span_hashes(low.data, w.start, w.end)
+        line = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(w.start))))
+        by = h if rank is None else (rank[(h >> _CELL_SHIFT).astype(np.int64)] << _CELL_SHIFT) | (h & _WITHIN)
+        order = arrays.by_group(line, by, len(head))
         h, line = h[order], line[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.token, self.line = h[first], line[first]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.token, self.line = h[new], line[new]
         self.start = np.flatnonzero(np.diff(self.line, prepend=-1))
         self.size = np.diff(np.append(self.start, len(self.line)))
+        self.set = self.sketch = np.zeros(0, np.uint64)
         if len(self.start):
-            total = np.add.reduceat(self.token, self.start) ^ (np.add.reduceat(arrays.mix(self.token), self.start) * np.uint64(3) + self.size.astype(np.uint64))
-            self.sketch = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), arrays.mix(self.token) & np.uint64(63)), self.start)
-        else:
-            total = self.sketch = np.zeros(0, np.uint64)
-        self.set = (arrays.mix(total) >> np.uint64(1)).astype(np.int64)
+            mixed = arrays.mix(self.token)
+            self.set = arrays.mix(np.add.reduceat(mixed, self.start) + self.size.astype(np.uint64))
+            self.sketch = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), mixed & np.uint64(63)), self.start)
+        self.mark = (self.set & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) with a bigint id in the order of the ids; for ids that are no integers their ranks, also as (given, id)."""
+    given, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return docs.select(given.cast("bigint").alias("id"), text).where("id is not null"), None
+    ranks = docs.select(given.alias("given")).where("given is not null").distinct().orderBy("given")
+    ranks = written(ranks.select("given", F.monotonically_increasing_id().alias("id")), "line-ids")
+    return docs.select(given.alias("given"), text).join(ranks, "given").select("id", "text"), ranks
 
 
-def _lines(texts: DataFrame, min_words: int) -> DataFrame:
-    """Rows of two kinds from one pass: (id, line, set) of each line, and (part, counts), in how many lines of a task the tokens of each cell occur."""
-    names = ["id", "line", "set", "part", "counts"]
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How often the tokens of each cell occur in all texts; tasks add up, then each part of the cells over all tasks, in a stream."""
+    names = ["part", "counts"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for block in arrays.blocks(batch.column(1)):
-                x = Lines(block, min_words)
-                total += np.bincount(_cell(x.token), minlength=CELLS)
-                ids = batch.column(0).slice(block.first, len(block)).to_numpy()
-                n = len(x.size)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x.doc]), pa.array(x.number), pa.array(x.set), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            for block in arrays.blocks(batch.column(0)):
+                low = block.lowered()
+                w = arrays.words(low)
+                total += np.bincount((arrays.span_hashes(low.data, w.start, w.end) >> _CELL_SHIFT).astype(np.int64), minlength=CELLS)
+            arrays.trim()
         parts = CELLS // WIDTH
-        none = pa.nulls(parts, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(parts, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(parts, WIDTH)])], names=names)
-
-    return texts.mapInArrow(run, "id bigint, line bigint, set bigint, part int, counts binary")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(parts, WIDTH)], pa.binary())], names=names)
 
-
-def frequencies(counted: DataFrame) -> np.ndarray:
-    """The sums of (part, counts) over all tasks; CELLS numbers."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]], axis=0)
-        return pa.table([table["part"].slice(0, 1), pa.array([total.tobytes()])], names=["part", "counts"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(counts.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=names)
 
     out = np.zeros(CELLS, np.int64)
-    for r in counted.groupBy("part").applyInArrow(add, "part int, counts binary").toArrow().to_pylist():
-        out[r["part"] * WIDTH : (r["part"] + 1) * WIDTH] = np.frombuffer(r["counts"], np.int64)
+    counted = texts.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
+    for r in counted.toArrow().to_pylist():
+        out[r["part"] * WIDTH : (r["part"] + 1) * WIDTH] += np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def _entries(texts: DataFrame, rarity: np.ndarray, min_words: int, buckets: int) -> DataFrame:
-    """(bucket, tokens, entries): the prefix entries of some MB of text, packed, by the part that compares them."""
-    common = texts.sparkSession.sparkContext.broadcast(rarity)
-    names = ["bucket", "tokens", "entries"]
-
-    def send(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        token, entry = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
-        bucket = (arrays.mix(token) >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
+def _pack(f: dict[str, np.ndarray]) -> bytes:
+    """Entries as bytes: what is random as it is, what is small or grows slowly compressed."""
+    n = len(f["token"])
+    plain = b"".join(f[c].tobytes() for c in ("token", "mark", "sketch"))
+    small = b"".join(f[c].astype(np.uint32).tobytes() for c in ("size", "place", "line")) + np.diff(f["id"], prepend=0).tobytes()
+    return n.to_bytes(8, "little") + plain + zlib.compress(small, 1)
+
+
+def _unpack(raw: bytes) -> dict[str, np.ndarray]:
+    n = int.from_bytes(raw[:8], "little")
+    small = zlib.decompress(raw[8 + 16 * n :])
+    get = lambda kind, at, data=raw: np.frombuffer(data, kind, n, at)
+    out = {"token": get(np.uint32, 8), "mark": get(np.uint32, 8 + 4 * n), "sketch": get(np.uint64, 8 + 8 * n)}
+    out |= {c: get(np.uint32, 4 * n * k, small) for k, c in enumerate(("size", "place", "line"))}
+    return out | {"id": np.cumsum(get(np.int64, 12 * n, small))}
+
+
+def _spread(token: np.ndarray, mark: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries go on, and their tokens: for a token of g > 1 blocks, g copies, one for each other block that its own meets."""
+    copies = blocks
+    at = np.repeat(np.arange(len(token)), copies)
+    out = token[at]
+    some = np.flatnonzero(copies[at] > 1)
+    if len(some):
+        g = copies[at][some].astype(np.uint64)
+        other = (np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies))[some].astype(np.uint64)
+        own = arrays.mix(mark[at][some].astype(np.uint64)) % g
+        pair = np.minimum(own, other) * g + np.maximum(own, other)
+        out[some] = arrays.mix(out[some] + (pair + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return at, out
+
+
+def _entries(texts: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
+    """Rows of two kinds from one pass: (id, line, set) of each line, and (bucket, entries), the prefix entries of some MB of text that belong to a bucket."""
+    rank = np.empty(CELLS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast((rank, np.maximum(1, -(-counts // HOT))))
+    names = ["id", "line", "set", "bucket", "entries"]
+
+    def send(kept: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        f = {c: np.concatenate([k[c] for k in kept]) for c in kept[0]}
+        # a set is sent for its first line in the chunk only
+        first = np.zeros(len(f["set"]), bool)
+        first[np.unique(f["set"], return_index=True)[1]] = True
+        line = f.pop("of") + np.repeat(np.cumsum([0] + [len(k["set"]) for k in kept[:-1]]), [len(k["of"]) for k in kept])
+        use = first[line]
+        line, token, place = line[use], f["token"][use], f["place"][use]
+        at, token = _spread(token, f["mark"][line], shared.value[1][(token >> _CELL_SHIFT).astype(np.int64)])
+        line, place = line[at], place[at]
+        bucket = ((token >> np.uint64(13)) % np.uint64(buckets)).astype(np.uint32)
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = [b for b in range(buckets) if edge[b] < edge[b + 1]]
-        mine = [order[edge[b] : edge[b + 1]] for b in some]
-        # half of a token's hash is enough within a bucket: unequal tokens only make more candidates
-        tokens = [token[m].astype(np.uint32).tobytes() for m in mine]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(tokens, pa.binary()), pa.array([_pack(entry[m]) for m in mine], pa.binary())], names=names)
+        some = np.flatnonzero(np.diff(edge))
+        rows = []
+        for b in some.tolist():
+            k = order[edge[b] : edge[b + 1]]
+            m = line[k]
+            rows.append(_pack({"token": token[k].astype(np.uint32), "mark": f["mark"][m].astype(np.uint32), "sketch": f["sketch"][m], "size": f["size"][m], "place": place[k], "line": f["line"][m], "id": f["id"][m]}))
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array(rows, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[dict[str, np.ndarray]] = []
         held = 0
         for batch in batches:
             for block in arrays.blocks(batch.column(1)):
-                x = Lines(block, min_words)
-                ids = batch.column(0).slice(block.first, len(block)).to_numpy()
-                order = np.lexsort((x.token, common.value[_cell(x.token)], x.line))
-                token, line = x.token[order], x.line[order]
-                place = np.arange(len(line)) - x.start[line]
-                # sets of up to three tokens are similar to equal sets only, which are found by their hash
-                prefix = (place < (x.size - (4 * x.size + 4) // 5 + 1)[line]) & (x.size > 3)[line]
-                if prefix.any():
-                    token, line, place = token[prefix], line[prefix], place[prefix]
-                    kept.append((token, np.stack([ids[x.doc][line], x.number[line], x.set[line], x.sketch.astype(np.int64)[line], x.size[line], place], 1)))
+                x = Lines(block, shared.value[0])
+                ids = batch.column(0).slice(block.first, len(block)).to_numpy()[x.doc]
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.number), pa.array(x.set.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                place = np.arange(len(x.line)) - x.start[x.line]
+                use = (place < (x.size - (4 * x.size + 4) // 5 + 1)[x.line]) & (x.size > 3)[x.line]
+                kept.append({"of": x.line[use], "token": x.token[use], "place": place[use], "set": x.set, "mark": x.mark, "sketch": x.sketch, "size": x.size, "line": x.number, "id": ids})
                 held += len(block.data)
-                if held > 16 << 20 and kept:
+                if held > CHUNK_BYTES:
                     yield send(kept)
                     kept, held = [], 0
+                    arrays.trim()
         if kept:
             yield send(kept)
 
-    return texts.mapInArrow(run, "bucket int, tokens binary, entries binary")
-
+    return texts.mapInArrow(run, "id bigint, line bigint, set bigint, bucket int, entries binary")
+
+
+class Bucket:
+    """Entries of a bucket, each set once for a token, at its first place; in order of token and size."""
+
+    def __init__(self, rows: list[bytes]):
+        parts = [_unpack(r) for r in rows]
+        f = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        key = (f["token"].astype(np.uint64) << np.uint64(32)) | f["mark"]
+        order = np.argsort(key)
+        key = key[order]
+        again = np.flatnonzero(key[1:] == key[:-1])
+        if len(again):  # the lines of a repeated set in order
+            at = np.unique(np.concatenate([again, again + 1]))
+            k = order[at]
+            order[at] = k[np.lexsort((f["line"][k], f["id"][k], f["sketch"][k], key[at]))]
+        sketch = f["sketch"][order]
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (sketch[1:] != sketch[:-1])
+        order = order[keep]
+        self.size = f["size"][order].astype(np.int64)
+        key = (f["token"][order].astype(np.uint64) << np.uint64(32)) | self.size.astype(np.uint64)
+        again = np.argsort(key, kind="stable")
+        order, self.key, self.size = order[again], key[again], self.size[again]
+        self.left = self.size - f["place"][order]  # from the shared token on
+        self.id, self.line, self.mark, self.sketch = (f[c][order] for c in ("id", "line", "mark", "sketch"))
+        token = self.key >> np.uint64(32)
+        self.head = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
+        first = token << np.uint64(32)
+        self.low = np.searchsorted(self.key, first | ((4 * self.size + 4) // 5).astype(np.uint64))
+        self.high = np.searchsorted(self.key, first | (self.size * 5 // 4).astype(np.uint64), "right")
+
+    def able(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs, those that can be similar: the later entry, the earlier one, and how many bits of their sketches differ."""
+        total = self.size[i] + self.size[j]
+        use = np.minimum(self.left[i], self.left[j]) * 9 >= total * 4
+        i, j, total = i[use], j[use], total[use]
+        bits = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).astype(np.int64)
+        use = (bits * 9 <= total) & ((self.id[i] != self.id[j]) | (self.line[i] != self.line[j]))
+        i, j, bits = i[use], j[use], bits[use]
+        later = (self.id[i] > self.id[j]) | ((self.id[i] == self.id[j]) & (self.line[i] > self.line[j]))
+        return np.where(later, i, j), np.where(later, j, i), bits
+
+    def ranges(self, i: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of each i with low .. high - 1, some at a time."""
+        to = np.cumsum(high - low)
+        done = at = 0
+        while at < len(i):
+            end = max(at + 1, int(np.searchsorted(to, done + PAIRS_AT_ONCE, "right")))
+            if end == at + 1 and to[at] - done > PAIRS_AT_ONCE:  # one with many
+                for k in range(int(low[at]), int(high[at]), PAIRS_AT_ONCE):
+                    j = np.arange(k, min(k + PAIRS_AT_ONCE, int(high[at])))
+                    yield np.full(len(j), i[at]), j
+            else:
+                n = (high - low)[at:end]
+                yield np.repeat(i[at:end], n), np.arange(int(n.sum())) + np.repeat(low[at:end] - (np.cumsum(n) - n), n)
+            done, at = int(to[end - 1]), end
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lines of a token of many that look near one of the earliest lines: those, the nearest, and how many bits differ."""
+        out = []
+        edge = np.append(self.head, len(self.key))
+        for k in np.flatnonzero(np.diff(edge) > MANY).tolist():
+            member = np.arange(edge[k], edge[k + 1])
+            lead = member[np.lexsort((self.line[member], self.id[member]))[:LEADERS]]
+            for part in range(0, len(member), PAIRS_AT_ONCE // LEADERS):
+                m = member[part : part + PAIRS_AT_ONCE // LEADERS]
+                x, y, bits = self.able(np.repeat(m, len(lead)), np.tile(lead, len(m)))
+                near = bits * 18 <= self.size[x] + self.size[y]
+                out.append(_least(x[near], y[near], bits[near])[:3])
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        return _least(*(np.concatenate(c) for c in zip(*out, strict=True)))[:3]
+
+
+def _least(x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each x the y of the fewest bits, and how many it has."""
+    order = np.lexsort((y, bits, x))
+    x, y, bits = x[order], y[order], bits[order]
+    head = np.flatnonzero(np.diff(x, prepend=-1))
+    return x[head], y[head], bits[head], np.diff(np.append(head, len(x)))
+
+
+def _candidates(rows: list[bytes], number: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """For each line of a bucket the candidate that differs least and whether it may have others; with ``only`` (id, line, mark), all candidates of those lines."""
+    b = Bucket(rows)
+
+    def batch(x: np.ndarray, y: np.ndarray, bits: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        of = lambda k: [pa.array(v[k].astype(np.int64)) for v in (b.id, b.line, b.mark)]
+        return pa.RecordBatch.from_arrays([*of(x), *of(y), pa.array(bits), pa.array(more), pa.array(np.full(len(x), number, np.int32))], names=[c.split()[0] for c in _FOUND.split(", ")])
 
-def _pack(entry: np.ndarray) -> bytes:
-    """The fields one after the other, compressed (but for the hashes, which would not shrink), each after its length."""
-    out = []
-    for f in range(FIELDS):
-        raw = np.ascontiguousarray(entry[:, f]).tobytes()
-        if f not in (2, 3):
-            raw = zlib.compress(raw, 1)
-        out.append(len(raw).to_bytes(8, "little") + raw)
-    return b"".join(out)
-
-
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    out, at = np.empty((n, FIELDS), np.int64), 0
-    for f in range(FIELDS):
-        size = int.from_bytes(raw[at : at + 8], "little")
-        field = raw[at + 8 : at + 8 + size]
-        out[:, f] = np.frombuffer(field if f in (2, 3) else zlib.decompress(field), np.int64)
-        at += 8 + size
-    return out
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """The entries of a bucket whose token more than one set has, each set once at its first place, in order of token and place."""
-    tokens = [np.frombuffer(t.as_py(), np.uint32) for t in table["tokens"]]
-    entry = np.concatenate([_unpack(e.as_py(), len(t)) for e, t in zip(table["entries"], tokens, strict=True)])
-    token = np.concatenate(tokens)
-    order = np.argsort(token, kind="stable")
-    token, entry = token[order], entry[order]
-    some = _again(token)
-    token, entry = token[some], entry[some]
-    order = np.lexsort((entry[:, 1], entry[:, 0], entry[:, 2], token))
-    token, entry = token[order], entry[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (entry[1:, 2] != entry[:-1, 2])
-    token, entry = token[new], entry[new]
-    some = _again(token)
-    token, entry = token[some], entry[some]
-    order = np.lexsort((entry[:, 1], entry[:, 0], token))
-    token, entry = token[order], entry[order]
-    return pa.table([table["bucket"].slice(0, 1), pa.array([token.tobytes()], pa.binary()), pa.array([_pack(entry)], pa.binary())], names=["bucket", "tokens", "entries"])
-
-
-def _again(key: np.ndarray) -> np.ndarray:
-    """Which entries of a sorted array have an equal neighbour."""
-    same = key[1:] == key[:-1]
-    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
-
-
-def _compare(raw_tokens: bytes, raw_entries: bytes, only: np.ndarray | None) -> pa.RecordBatch:
-    """Pairs of sets that can be similar, y the earlier, with how many bits differ and whether x may have other candidates.
-
-    For each line and token the candidate that differs least; with ``only``, all candidates of those sets.
-    """
-    every = only is not None
-    token = np.frombuffer(raw_tokens, np.uint32)
-    entry = _unpack(raw_entries, len(token))
-    doc, line, sets, sketch, size, place = (np.ascontiguousarray(entry[:, f]) for f in range(FIELDS))
-    sketch = sketch.astype(np.uint64)
-    head = np.flatnonzero(np.diff(token, prepend=token[0] ^ np.uint32(1)) != 0) if len(token) else np.zeros(0, np.int64)
-    first = np.repeat(head, np.diff(np.append(head, len(token))))
-    active = np.arange(len(token))
     if only is not None:
-        active = active[np.isin(sets, only)]
-    found = np.zeros(len(token), np.int64)  # candidates so far
-    best, nearest, stopped = np.full(len(token), -1), np.full(len(token), 1 << 40), np.zeros(len(token), bool)
-    xs, ys, lag = [], [], 1
-    while len(active):
-        active = active[active - lag >= first[active]]
-        if not len(active):
-            break
-        i, j = active, active - lag
-        a, b = size[i], size[j]
-        least = -((a + b) * -4 // 9)  # of the overlap
-        left = np.minimum(a - place[i], b - place[j])  # of either line from the shared token on
-        differ = popcount(sketch[i] ^ sketch[j])
-        able = (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (left >= least) & (differ * 9 <= a + b)
-        able &= (doc[i] != doc[j]) | (line[i] != line[j])
-        i, j, differ = i[able], j[able], differ[able]
-        if every:
-            xs.append(sets[i])
-            ys.append(sets[j])
-        elif len(i):
-            found[i] += 1
-            near = differ < nearest[i]
-            best[i[near]], nearest[i[near]] = j[near], differ[near]
-            # one that differs by half of what it may is looked at first, and the search goes on only if it fails
-            near = (nearest[active] * 18 <= 2 * size[active]) & (found[active] > 0)
-            stopped[active[near]] = True
-            active = active[~near]
-        lag += 1
-    if every:
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        if len(x):
-            x, y = np.unique(np.stack([x, y], 1), axis=0).T
-        bits, more = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    else:
-        some = np.flatnonzero(best >= 0)
-        x, y, bits, more = sets[some], sets[best[some]], nearest[some], (found[some] > 1) | stopped[some]
-    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(bits), pa.array(more)], names=["x", "y", "bits", "more"])
-
-
-PAIRS = "x bigint, y bigint, bits bigint, more boolean"
-
-
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for t, e in zip(batch.column(0), batch.column(1), strict=True):
-            yield _compare(t.as_py(), e.as_py(), None)
-
-
-def _second_pass(met: pa.Table, asked: pa.Table) -> pa.Table:
-    some = [_compare(t.as_py(), e.as_py(), asked["set"].to_numpy()) for t, e in zip(met["tokens"], met["entries"], strict=True)]
-    return pa.Table.from_batches(some) if some else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], names=["x", "y", "bits", "more"])
-
-
-def _sets(texts: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """Token sets (set, items) of the wanted lines (id, line, set), taken again from their texts."""
+        wanted = np.unique(only.astype([("id", np.int64), ("line", np.int64), ("mark", np.int64)]))
+        mine = np.rec.fromarrays([b.id, b.line.astype(np.int64), b.mark.astype(np.int64)], dtype=wanted.dtype)
+        asked = np.isin(mine, wanted)
+        i = np.flatnonzero(asked)
+        for p in b.ranges(i, b.low[i], b.high[i]):
+            x, y, bits = b.able(*p)
+            use = asked[x]
+            yield batch(x[use], y[use], bits[use], np.zeros(int(use.sum()), bool))
+        return
+    settled = b.settle()
+    done = np.zeros(len(b.key), bool)
+    done[settled[0]] = True
+    size = np.diff(np.append(b.head, len(b.key)))
+    many = np.repeat(size > MANY, size)
+    best, nearest, found = np.full(len(b.key), -1), np.full(len(b.key), 1 << 40), np.zeros(len(b.key), np.int64)
+    one, rest = np.flatnonzero(~many), np.flatnonzero(many & ~done)
+    # of two lines the one behind in the bucket looks for the other; where many are settled, those that are not look both ways
+    for i, low, high in ((one, b.low[one], one), (rest, b.low[rest], b.high[rest])):
+        for p in b.ranges(i, low, high):
+            x, y, bits = b.able(*p)
+            if high is not one:
+                use = ~done[x]
+                x, y, bits = x[use], y[use], bits[use]
+            x, y, bits, n = _least(x, y, bits)
+            found[x] += n
+            use = bits < nearest[x]
+            best[x[use]], nearest[x[use]] = y[use], bits[use]
+    x = np.flatnonzero(best >= 0)
+    yield batch(np.concatenate([x, settled[0]]), np.concatenate([best[x], settled[1]]), np.concatenate([nearest[x], settled[2]]), np.concatenate([found[x] > 1, np.ones(len(settled[0]), bool)]))
+
+
+def _compared(entries: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The candidates of every bucket, or all candidates of the lines asked for (bucket, x)."""
+
+    some = asked is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, only, number = [], [], 0
+        for b in batches:
+            number = b.column("bucket")[0].as_py()
+            rows += [r for r in b.column("entries").to_pylist() if r is not None]
+            given = b.filter(pa.compute.is_valid(b.column("x_id")))
+            only.append(np.rec.fromarrays([given.column(c).to_numpy() for c in X], names=["id", "line", "mark"]))
+        if rows:
+            yield from _candidates(rows, number, np.concatenate(only) if some else None)
+        arrays.trim()
+
+    none = [F.lit(None).cast("bigint").alias(c) for c in X]
+    rows = entries.select("bucket", "entries", *none)
+    if some:
+        rows = rows.join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi").union(asked.select("bucket", F.lit(None).cast("binary"), *X))
+    return rows.groupBy("bucket").applyInArrow(run, _FOUND)
+
+
+def _token_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Token sets (id, line, mark, items) of the wanted lines, taken again from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            asked = batch.column(2)
             for block in arrays.blocks(batch.column(1)):
-                x = Lines(block, min_words)
-                if len(x.size):
-                    ids = batch.column(0).slice(block.first, len(block)).to_numpy()
-                    items = pa.ListArray.from_arrays(pa.array(np.append(x.start, len(x.token)).astype(np.int32)), pa.array(x.token.astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x.doc]), pa.array(x.number), pa.array(x.set), items], names=["id", "line", "set", "items"])
-
-    ids = wanted.select("id").distinct()
-    rows = texts.join(F.broadcast(ids) if wanted.count() <= SENT else ids, "id", "left_semi").mapInArrow(run, "id bigint, line bigint, set bigint, items array<bigint>")
-    return written(rows.join(wanted, ["id", "line", "set"], "left_semi").select("set", "items").dropDuplicates(["set"]), "line-sets")
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """The lines that go, as (id, line numbers from 0 in ascending order), for the documents that lose any.
-
-    A line is a part between line feeds with at least ``min_words`` words; shorter ones are left alone. Words are runs
-    of characters other than white space, A-Z lower-cased; a line is the set of its distinct words. Lines are in order
-    of document id, then line number; a line goes if any earlier line (whether or not that goes too) has
-    100 * intersection >= 80 * union. Lines at the same place of rows that repeat an id are not earlier than each
-    other. Documents with a null id are left out and lose nothing; null texts have no lines. Nothing is capped: see the
-    second pass above. Words and sets are compared by 64-bit hashes.
+                x = Lines(block)
+                mine = asked.slice(block.first, len(block))
+                doc = np.repeat(np.arange(len(block)), mine.value_lengths().to_numpy())
+                line, mark = (mine.flatten().field(k).to_numpy() for k in (0, 1))
+                have, want = x.doc << 40 | x.number, doc << 40 | line
+                at = np.searchsorted(have, want)
+                use = at < len(have)
+                use[use] = (have[at[use]] == want[use]) & (x.mark[at[use]] == mark[use])
+                at = at[use]
+                size = x.size[at]
+                to = np.cumsum(size)
+                items = x.token[np.arange(int(size.sum())) + np.repeat(x.start[at] - (to - size), size)]
+                ids = batch.column(0).slice(block.first, len(block)).to_numpy()
+                items = pa.ListArray.from_arrays(pa.array(np.append(0, to).astype(np.int32)), pa.array(items.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[use]]), pa.array(line[use]), pa.array(mark[use]), items], names=["id", "line", "mark", "items"])
+            arrays.trim()
+
+    lines = written(wanted.groupBy("id").agg(F.collect_set(F.struct("line", "mark")).alias("lines")), "wanted-lines")
+    rows = texts.join(F.broadcast(lines) if lines.count() <= SENT else lines, "id")
+    return written(rows.select("id", "text", "lines").mapInArrow(run, f"{_LINE}, items array<bigint>").dropDuplicates(["id", "line", "mark"]), "line-sets")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The x of the pairs with 100 * intersection >= 80 * union."""
+    ends = [pairs.select(*(F.col(c).alias(c[2:]) for c in side)) for side in (X, Y)]
+    sets = _token_sets(texts, ends[0].union(ends[1]).distinct())
+    side = lambda s: sets.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "line", "mark", "items")))
+    both = pairs.select(*X, *Y).join(side("y"), Y).join(side("x"), X)
+    n = F.size(F.array_intersect("x_items", "y_items"))
+    return both.where(n * 100 >= (F.size("x_items") + F.size("y_items") - n) * 80).select(*X).distinct()
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The lines that go, as (id, removed: line numbers from 0 in ascending order), for the documents that lose any.
+
+    A line is a part between line feeds that has words. Words are runs of characters other than white space, A-Z
+    lower-cased; a line is the set of its distinct words. Lines are in order of document id, then line number; a line
+    goes if any earlier line (whether or not that goes too) has 100 * intersection >= 80 * union. Ids may be of any
+    type that can be ordered. Lines at the same place of rows that repeat an id are not earlier than each other, and
+    what goes from one of these rows goes from all. Documents with a null id are left out and lose nothing; null and
+    empty texts have no lines; an empty table gives no rows. Texts and lines of any length are read whole, other
+    columns of ``docs`` are not read, and nothing is capped: see the second pass above. Words are compared by 64-bit
+    hashes, sets by hashes of 96 bits and their place.
     """
     with Scratch(docs.sparkSession) as scratch:
-        return scratch.keep(_repeated_lines(docs, id_col, text_col, min_words), "repeated-lines")
-
-
-def _repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    base = written(_lines(texts, min_words), "lines")
-    lines = base.where("part is null").select("id", "line", "set")
-    entries = _entries(texts, frequencies(base.where("part is not null").select("part", "counts")), min_words, partitions(spark))
-    first = written(lines.groupBy("set").agg(F.min(F.struct("id", "line")).alias("first")).select("set", "first.*"), "first-lines")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("x").alias("set")).union(pairs.select(F.col("y").alias("set"))).distinct()
-        wanted = written(first.join(ids, "set", "left_semi"), "wanted")
-        return verified(pairs, _sets(texts, wanted, min_words)).select(F.col("x").alias("set")).distinct()
-
-    met = written(entries.groupBy("bucket").applyInArrow(_meet, "bucket int, tokens binary, entries binary"), "met-lines")
-    found = met.select("tokens", "entries").mapInArrow(_first_pass, PAIRS)
-    nearest = F.min_by("y", F.struct("bits", "y")).alias("y")
-    found = written(found.groupBy("x").agg(nearest, (F.bool_or("more") | (F.min("y") != F.max("y"))).alias("more")), "line-pairs")
-    similar = written(check(found), "similar-lines")
-    rest = written(found.where("more").select(F.col("x").alias("set")).join(similar, "set", "left_anti"), "open-lines")
-    if not rest.isEmpty():
-        # a set has its entries in a few buckets, which only its text would tell; the question goes to all
-        asked = rest.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(partitions(spark) - 1))))
-        more = met.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_second_pass, PAIRS).select("x", "y").distinct()
-        similar = written(similar.union(check(written(more, "more-pairs"))).distinct(), "similar-lines")
-    goes = lines.join(first.select("set", F.col("id").alias("first_id"), F.col("line").alias("first_line")), "set").join(similar.withColumn("similar", F.lit(True)), "set", "left")
-    goes = goes.where("similar or id > first_id or (id = first_id and line > first_line)")
-    return goes.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+        return scratch.keep(_repeated_lines(docs, id_col, text_col), "repeated-lines")
+
 
+def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    texts, ranks = _texts(docs, id_col, text_col)
+    counts = _frequencies(texts)
+    buckets = max(partitions(docs.sparkSession), -(-int(counts.sum()) // (5 * BUCKET)))
+    base = written(_entries(texts, counts, buckets), "lines")
+    entries = base.where("bucket is not null").select("bucket", "entries")
+    found = written(_compared(entries), "line-pairs")
 
-def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+    near = found.groupBy(*X).agg(F.min_by(F.struct(*Y), F.struct("bits", *Y)).alias("y"), (F.bool_or("more") | (F.min(F.struct(*Y)) != F.max(F.struct(*Y)))).alias("more"))
+    near = written(near.select(*X, "y.*", "more"), "nearest-lines")
+    similar = written(_verified(texts, near), "similar-lines")
+    rest = written(near.where("more").select(*X).join(similar, X, "left_anti"), "open-lines")
+    if not rest.isEmpty():
+        left = written(found.join(rest, X, "left_semi"), "open-pairs")
+        more = _compared(entries, left.where("more").select("bucket", *X).distinct())
+        more = left.select(*X, *Y).union(more.select(*X, *Y)).distinct().join(near.select(*X, *Y), [*X, *Y], "left_anti")
+        similar = similar.union(_verified(texts, written(more, "more-pairs")))
+
+    lines = base.where("bucket is null").select("id", "line", "set")
+    place = F.struct("id", "line")
+    repeated = lines.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("set", "first")
+    goes = lines.join(repeated, "set").where(place > F.col("first")).select("id", "line").union(similar.select("x_id", "x_line"))
+    goes = goes.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return goes if ranks is None else goes.join(ranks, "id").select(F.col("given").alias("id"), "removed")
+
+
+def _with_removed(docs: DataFrame, id_col: str, text_col: str, columns: list[F.Column]) -> tuple[DataFrame, str]:
+    """The given columns of all rows of ``docs`` and, under a name that is not taken, the line numbers that go (null: none)."""
+    name = "_removed"
+    while name in docs.columns:
+        name += "_"
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(f"{name}id"), F.col("removed").alias(name))
+    rows = docs.select(*columns, F.col(f"`{id_col}`").alias(f"{name}key"))
+    return rows.join(gone, F.col(f"{name}key") == F.col(f"{name}id"), "left").drop(f"{name}id", f"{name}key"), name
+
+
+def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of ``docs``: the id column, n_lines (parts between line feeds; null or empty text: 0), n_removed, removed (line numbers)."""
-    gone = repeated_lines(docs, id_col, text_col, min_words)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("bigint").alias("n_lines"))
-    out = rows.join(gone, rows[id_col].cast("bigint") == gone["id"], "left")
-    removed = F.coalesce("removed", F.array().cast("array<bigint>"))
-    return out.select(rows[id_col], "n_lines", F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"))
-
-
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """Adds cleaned_text, the text without the lines that go, to every row of ``docs`` (a column of that name is replaced)."""
-    gone = repeated_lines(docs, id_col, text_col, min_words)
-    keep = [c for c in docs.columns if c != "cleaned_text"]
-    d = docs.select(*keep, F.col(id_col).cast("bigint").alias("_key"))
-    out = d.join(gone.withColumnRenamed("id", "_key").withColumnRenamed("removed", "_removed"), "_key", "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col("_removed"), i.cast("bigint"))), "\n")
-    return out.select(*keep, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left).alias("cleaned_text"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    rows, removed = _with_removed(docs, id_col, text_col, [F.col(f"`{id_col}`"), n.cast("bigint").alias("n_lines")])
+    gone = F.coalesce(removed, F.array().cast("array<bigint>"))
+    return rows.select(f"`{id_col}`", "n_lines", F.size(gone).cast("bigint").alias("n_removed"), gone.alias("removed"))
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds cleaned_text, the text without the lines that go, to every row of ``docs`` (a column of that name is replaced; a null text stays null)."""
+    keep = [f"`{c}`" for c in docs.columns if c != "cleaned_text"]
+    rows, removed = _with_removed(docs, id_col, text_col, [F.col(c) for c in keep])
+    left = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda _, i: ~F.array_contains(F.col(removed), i.cast("bigint"))), "\n")
+    return rows.select(*keep, F.when(F.col(removed).isNull(), F.col(f"`{text_col}`")).otherwise(left).alias("cleaned_text"))

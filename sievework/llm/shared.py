@@ -4,55 +4,76 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``. That setting is read from the session; only where it is unset, as in tests on one machine, a temporary folder is set."""
+    """A new folder name under ``spark.checkpoint.dir``, as the session or its context has it.
+
+    Where it is unset, a temporary folder is set if the master is local, as in tests; on a cluster that would be
+    another folder on each machine, so it is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_before.get() if set_before.isDefined() else "file://" + tempfile.mkdtemp(prefix="sievework-")
-        if not set_before.isDefined():
+        context = spark.sparkContext._jsc.sc()
+        if context.getCheckpointDir().isDefined():
+            base = context.getCheckpointDir().get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = "file://" + tempfile.mkdtemp(prefix="sievework-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-_scratch: list[list[str]] = []
+_scratch = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """The lists of tables of the scratch contexts that are open in this thread."""
+    if not hasattr(_scratch, "paths"):
+        _scratch.paths = []
+    return _scratch.paths
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes the table to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    if _scratch:
-        _scratch[-1].append(path)
+    if _open():
+        _open()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
-    """A context whose ``written`` tables are deleted at its end, but for that of ``keep``."""
+    """A context whose ``written`` tables are deleted at its end, but for those of ``keep``, which go to the context around it, if any."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self) -> Scratch:
-        _scratch.append([])
+        _open().append([])
         return self
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         out = written(df, what)
-        _scratch[-1].pop()
+        path = _open()[-1].pop()
+        if len(_open()) > 1:
+            _open()[-2].append(path)
         return out
 
     def __exit__(self, *_) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in _scratch.pop():
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        for path in _open().pop():
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def filesystem(uri: str):

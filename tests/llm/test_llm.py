@@ -311,7 +311,7 @@ def test_line_dedup(spark, docs, plain):
     for i, t in sorted(plain.items()):
         for k, x in enumerate((t or "").split("\n")):
             w = words(x, True)
-            if len(w) >= 5:
+            if w:
                 s = frozenset(w)
                 if any(100 * len(s & o) >= 80 * len(s | o) for o in lines):
                     want.setdefault(i, []).append(k)
@@ -324,10 +324,25 @@ def test_line_dedup(spark, docs, plain):
     assert summarize(docs.limit(0)).count() == 0
 
 
-def test_line_dedup_second_pass(spark, monkeypatch):
-    """Many candidates, none confirmed, then one that is."""
+def removed_lines(data):
+    """Brute force: line numbers that go, by id."""
+    lines, want = [], {}
+    for i, t in sorted(data):
+        for k, x in enumerate((t or "").split("\n")):
+            if s := frozenset(words(x, True)):
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in lines):
+                    want.setdefault(i, []).append(k)
+                lines.append(s)
+    return want
+
+
+@pytest.mark.parametrize("settings", [{}, {"HOT": 3}, {"MANY": 8, "LEADERS": 2, "PAIRS_AT_ONCE": 64}, {"SENT": 0, "BUCKET": 50, "CHUNK_BYTES": 100}])
+def test_line_dedup_second_pass(spark, monkeypatch, settings):
+    """Many candidates, none confirmed, then one that is; also with tokens dealt by blocks, few leaders and many small buckets."""
     from sievework.llm import line_dedup
 
+    for k, v in settings.items():
+        monkeypatch.setattr(line_dedup, k, v)
     r = random.Random(9)
     core = [f"w{i}" for i in range(14)]
     data = []
@@ -335,16 +350,28 @@ def test_line_dedup_second_pass(spark, monkeypatch):
         w = core + [f"x{i}_{k}" for k in range(r.randint(2, 4))]
         r.shuffle(w)
         data.append((i, " ".join(w)))
-    want, seen = {}, []
-    for i, t in data:
-        s = set(t.split())
-        if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
-            want[i] = [0]
-        seen.append(s)
-    d = spark.createDataFrame(data, "doc_id bigint, text string")
+    for i in range(80, 200):
+        w = core[:6] + [f"y{k}" for k in range(12)]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"z{i}"
+        data.append((i, " ".join(w) + "\n" + " ".join(r.choice(core) for _ in range(5))))
+    want = removed_lines(data)
+    d = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
     assert {r.doc_id: list(r.removed) for r in line_dedup.summarize(d).collect() if r.n_removed} == want
 
 
+def test_line_dedup_edges(spark):
+    """Ids that are text, null and repeated ids, columns of names that are used inside."""
+    from sievework.llm.line_dedup import clean, summarize
+
+    data = [("b", "one two three four\n\nfive six"), ("a", "one two three four"), (None, "one two three four"), ("c", None), ("d", ""), ("e", "x y z"), ("e", "x y z")]
+    d = spark.createDataFrame(data, "doc_id string, text string").selectExpr("*", "1 as _removed", "2 as _key", "'k' as id", "3 as line")
+    assert sorted((r.doc_id or "", r.n_lines, list(r.removed)) for r in summarize(d).collect()) == [("", 1, []), ("a", 1, []), ("b", 3, [0]), ("c", 0, []), ("d", 0, []), ("e", 1, []), ("e", 1, [])]
+    got = clean(d)
+    assert got.columns == [*d.columns, "cleaned_text"]
+    assert {(r.doc_id, r.cleaned_text) for r in got.collect()} == {("b", "\nfive six"), ("a", "one two three four"), (None, "one two three four"), ("c", None), ("d", ""), ("e", "x y z")}
+
+
 def test_line_dedup_takes_short_lines(spark, tmp_path):
     """The query, on lines of one to six words, against brute force."""
     from sievework.llm.queries import op7_line_dedup
