@@ -46,6 +46,13 @@ def by_group(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
     return np.argsort((group.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
 
 
+def among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+
+
 def trim() -> None:
     """Gives free memory back to the system, so that idle Python workers hold little."""
     pa.default_memory_pool().release_unused()

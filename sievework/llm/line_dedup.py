@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm import arrays
-from sievework.llm.shared import Scratch, partitions, written
+from sievework.llm.shared import Scratch, discard, partitions, written
 
 #: Cells of the table of token frequencies that orders tokens; its size does not depend on the corpus.
 CELLS = 1 << 18
@@ -206,9 +206,13 @@ def _entries(texts: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
 class Bucket:
     """Entries of a bucket, each set once for a token, at its first place; in order of token and size."""
 
-    def __init__(self, rows: list[bytes]):
+    def __init__(self, rows: list[bytes], only: np.ndarray | None):
         parts = [_unpack(r) for r in rows]
         f = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        if only is not None:  # tokens of the lines asked for
+            token = np.unique(f["token"][arrays.among(f["mark"], np.unique(only["mark"]).astype(np.uint32))])
+            use = arrays.among(f["token"], token)
+            f = {c: v[use] for c, v in f.items()}
         key = (f["token"].astype(np.uint64) << np.uint64(32)) | f["mark"]
         order = np.argsort(key)
         key = key[order]
@@ -285,8 +289,8 @@ def _least(x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray,
 
 
 def _candidates(rows: list[bytes], number: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """For each line of a bucket the candidate that differs least and whether it may have others; with ``only`` (id, line, mark), all candidates of those lines."""
-    b = Bucket(rows)
+    """For each line of a bucket with a near candidate the nearest and whether there may be others, for the rest all candidates; with ``only`` (id, line, mark), all candidates of those lines."""
+    b = Bucket(rows, only)
 
     def batch(x: np.ndarray, y: np.ndarray, bits: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
         of = lambda k: [pa.array(v[k].astype(np.int64)) for v in (b.id, b.line, b.mark)]
@@ -308,18 +312,34 @@ def _candidates(rows: list[bytes], number: int, only: np.ndarray | None) -> Iter
     size = np.diff(np.append(b.head, len(b.key)))
     many = np.repeat(size > MANY, size)
     best, nearest, found = np.full(len(b.key), -1), np.full(len(b.key), 1 << 40), np.zeros(len(b.key), np.int64)
+    far: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def others() -> pa.RecordBatch:
+        x, y, bits = (np.concatenate(c) for c in zip(*far, strict=True))
+        use = best[x] < 0
+        return batch(x[use], y[use], bits[use], np.zeros(int(use.sum()), bool))
+
     one, rest = np.flatnonzero(~many), np.flatnonzero(many & ~done)
     # of two lines the one behind in the bucket looks for the other; where many are settled, those that are not look both ways
-    for i, low, high in ((one, b.low[one], one), (rest, b.low[rest], b.high[rest])):
+    for i, low, high, both in ((one, b.low[one], one, False), (rest, b.low[rest], b.high[rest], True)):
         for p in b.ranges(i, low, high):
             x, y, bits = b.able(*p)
-            if high is not one:
+            if both:
                 use = ~done[x]
                 x, y, bits = x[use], y[use], bits[use]
-            x, y, bits, n = _least(x, y, bits)
-            found[x] += n
-            use = bits < nearest[x]
-            best[x[use]], nearest[x[use]] = y[use], bits[use]
+            np.add.at(found, x, 1)
+            near = bits * 18 <= b.size[x] + b.size[y]
+            k, other, least, _ = _least(x[near], y[near], bits[near])
+            use = least < nearest[k]
+            best[k[use]], nearest[k[use]] = other[use], least[use]
+            use = best[x] < 0
+            if use.any():
+                far.append((x[use], y[use], bits[use]))
+                if sum(len(f[0]) for f in far) > PAIRS_AT_ONCE:
+                    yield others()
+                    far.clear()
+    if far:
+        yield others()
     x = np.flatnonzero(best >= 0)
     yield batch(np.concatenate([x, settled[0]]), np.concatenate([best[x], settled[1]]), np.concatenate([nearest[x], settled[2]]), np.concatenate([found[x] > 1, np.ones(len(settled[0]), bool)]))
 
@@ -373,7 +393,7 @@ def _token_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     lines = written(wanted.groupBy("id").agg(F.collect_set(F.struct("line", "mark")).alias("lines")), "wanted-lines")
     rows = texts.join(F.broadcast(lines) if lines.count() <= SENT else lines, "id")
-    return written(rows.select("id", "text", "lines").mapInArrow(run, f"{_LINE}, items array<bigint>").dropDuplicates(["id", "line", "mark"]), "line-sets")
+    return rows.select("id", "text", "lines").mapInArrow(run, f"{_LINE}, items array<bigint>").dropDuplicates(["id", "line", "mark"])
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -410,6 +430,11 @@ def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     entries = base.where("bucket is not null").select("bucket", "entries")
     found = written(_compared(entries), "line-pairs")
 
+    lines = base.where("bucket is null").select("id", "line", "set")
+    place = F.struct("id", "line")
+    repeated = lines.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("set", "first")
+    repeated = written(lines.join(repeated, "set").where(place > F.col("first")).select("id", "line"), "equal-lines")
+
     near = found.groupBy(*X).agg(F.min_by(F.struct(*Y), F.struct("bits", *Y)).alias("y"), (F.bool_or("more") | (F.min(F.struct(*Y)) != F.max(F.struct(*Y)))).alias("more"))
     near = written(near.select(*X, "y.*", "more"), "nearest-lines")
     similar = written(_verified(texts, near), "similar-lines")
@@ -418,12 +443,11 @@ def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         left = written(found.join(rest, X, "left_semi"), "open-pairs")
         more = _compared(entries, left.where("more").select("bucket", *X).distinct())
         more = left.select(*X, *Y).union(more.select(*X, *Y)).distinct().join(near.select(*X, *Y), [*X, *Y], "left_anti")
-        similar = similar.union(_verified(texts, written(more, "more-pairs")))
-
-    lines = base.where("bucket is null").select("id", "line", "set")
-    place = F.struct("id", "line")
-    repeated = lines.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("set", "first")
-    goes = lines.join(repeated, "set").where(place > F.col("first")).select("id", "line").union(similar.select("x_id", "x_line"))
+        more = written(more, "more-pairs")
+        discard(base)
+        discard(found)
+        similar = similar.union(written(_verified(texts, more), "similar-lines"))
+    goes = repeated.union(similar.select("x_id", "x_line"))
     goes = goes.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     return goes if ranks is None else goes.join(ranks, "id").select(F.col("given").alias("id"), "removed")
 

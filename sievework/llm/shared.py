@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import threading
@@ -40,13 +41,31 @@ def _open() -> list[list[str]]:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes the table to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing."""
+    """Writes the table to the shared folder and reads it again: this cuts the lineage, and a lost executor loses nothing.
+
+    Within a ``Scratch`` the shuffle files of the jobs before are let go first: Spark deletes those of finished jobs when
+    the driver's heap is collected, which small drivers of large jobs seldom do by themselves.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
     if _open():
         _open()[-1].append(path)
+        release(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that is not needed any more."""
+    delete(df.sparkSession, df._written)
 
 
 class Scratch:
