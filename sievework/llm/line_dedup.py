@@ -7,7 +7,8 @@ Jaccard similarity is verified on the tokens themselves. A line goes if an earli
 three tokens are similar to equal sets only, which are found by their hash.
 
 Whether any earlier similar line exists is all that is asked, so a line is first verified against the candidate that
-looks nearest. A line with other candidates of which the nearest is not confirmed is compared with all in a second pass.
+looks nearest. A line with other candidates of which the nearest is not confirmed is open: a second join compares open
+lines with all lines that have any candidate, by sketches of 320 bits, and all that remain are verified.
 
 Entries (token, line) are dealt by token into buckets whose number follows from the counted tokens, so that a task holds
 a bucket of bounded size. A token of more than ``HOT`` occurrences is dealt by pairs of blocks of its lines. Among many
@@ -18,10 +19,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +44,13 @@ BUCKET = 400_000
 CHUNK_BYTES = 16 << 20
 #: Lines of one token from which on the earliest ``LEADERS`` are compared with all others first.
 MANY, LEADERS = 1024, 64
+#: Words of the sketch that open lines have besides that of 64 bits.
+WIDE = 4
 #: Pairs that are compared at once.
 PAIRS_AT_ONCE = 1 << 20
 
 _LINE = "id bigint, line bigint, mark bigint"
-_FOUND = "x_id bigint, x_line bigint, x_mark bigint, y_id bigint, y_line bigint, y_mark bigint, bits bigint, more boolean, bucket int"
+_FOUND = "x_id bigint, x_line bigint, x_mark bigint, y_id bigint, y_line bigint, y_mark bigint, bits bigint, more boolean"
 X, Y = ["x_id", "x_line", "x_mark"], ["y_id", "y_line", "y_mark"]
 
 
@@ -79,6 +82,22 @@ class Lines:
             self.sketch = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), mixed & np.uint64(63)), self.start)
         self.mark = (self.set & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
+    def wide(self) -> np.ndarray:
+        """A parity sketch of 256 more bits for each line."""
+        if not len(self.start):
+            return np.zeros((0, WIDE), np.uint64)
+        bit = arrays.mix(self.token) >> np.uint64(6)
+        flip, word = np.left_shift(np.uint64(1), bit & np.uint64(63)), (bit >> np.uint64(6)) % np.uint64(WIDE)
+        return np.stack([np.bitwise_xor.reduceat(np.where(word == w, flip, np.uint64(0)), self.start) for w in range(WIDE)], 1)
+
+    def find(self, doc: np.ndarray, line: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the lines asked for stand, and which of those asked for are there."""
+        have, want = self.doc << 40 | self.number, doc << 40 | line
+        at = np.searchsorted(have, want)
+        use = at < len(have)
+        use[use] = (have[at[use]] == want[use]) & (self.mark[at[use]] == mark[use])
+        return at[use], use
+
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """(id, text) with a bigint id in the order of the ids; for ids that are no integers their ranks, also as (given, id)."""
@@ -124,16 +143,21 @@ def _pack(f: dict[str, np.ndarray]) -> bytes:
     n = len(f["token"])
     plain = b"".join(f[c].tobytes() for c in ("token", "mark", "sketch"))
     small = b"".join(f[c].astype(np.uint32).tobytes() for c in ("size", "place", "line")) + np.diff(f["id"], prepend=0).tobytes()
+    if "wide" in f:
+        small += f["open"].tobytes() + f["wide"].tobytes()
     return n.to_bytes(8, "little") + plain + zlib.compress(small, 1)
 
 
 def _unpack(raw: bytes) -> dict[str, np.ndarray]:
     n = int.from_bytes(raw[:8], "little")
     small = zlib.decompress(raw[8 + 16 * n :])
-    get = lambda kind, at, data=raw: np.frombuffer(data, kind, n, at)
+    get = lambda kind, at, data=raw, count=n: np.frombuffer(data, kind, count, at)
     out = {"token": get(np.uint32, 8), "mark": get(np.uint32, 8 + 4 * n), "sketch": get(np.uint64, 8 + 8 * n)}
     out |= {c: get(np.uint32, 4 * n * k, small) for k, c in enumerate(("size", "place", "line"))}
-    return out | {"id": np.cumsum(get(np.int64, 12 * n, small))}
+    out["id"] = np.cumsum(get(np.int64, 12 * n, small))
+    if len(small) > 20 * n:
+        out |= {"open": get(bool, 20 * n, small), "wide": get(np.uint64, 21 * n, small, n * WIDE).reshape(n, WIDE)}
+    return out
 
 
 def _spread(token: np.ndarray, mark: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,14 +175,28 @@ def _spread(token: np.ndarray, mark: np.ndarray, blocks: np.ndarray) -> tuple[np
     return at, out
 
 
-def _entries(texts: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of two kinds from one pass: (id, line, set) of each line, and (bucket, entries), the prefix entries of some MB of text that belong to a bucket."""
-    rank = np.empty(CELLS, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
-    shared = texts.sparkSession.sparkContext.broadcast((rank, np.maximum(1, -(-counts // HOT))))
-    names = ["id", "line", "set", "bucket", "entries"]
-
-    def send(kept: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+@dataclass
+class Dealer:
+    """Gathers the prefix entries of lines and sends them to buckets."""
+
+    rank: np.ndarray
+    blocks: np.ndarray  # of lines, for the tokens of each cell
+    buckets: int
+
+    def entries(self, x: Lines, ids: np.ndarray, lines: np.ndarray | None = None, **more: np.ndarray) -> dict[str, np.ndarray]:
+        """Of all lines, or of those at the given places with further fields."""
+        wanted, of = np.ones(len(x.size), bool), np.arange(len(x.size))
+        if lines is not None:
+            wanted[:] = False
+            wanted[lines] = True
+            of[lines] = np.arange(len(lines))
+        place = np.arange(len(x.line)) - x.start[x.line]
+        use = (place < (x.size - (4 * x.size + 4) // 5 + 1)[x.line]) & (wanted & (x.size > 3))[x.line]
+        at = slice(None) if lines is None else lines
+        return {"of": of[x.line[use]], "token": x.token[use], "place": place[use], "set": x.set[at], "mark": x.mark[at], "sketch": x.sketch[at], "size": x.size[at], "line": x.number[at], "id": ids[at], **more}
+
+    def send(self, kept: list[dict[str, np.ndarray]]) -> tuple[pa.Array, pa.Array]:
+        """Buckets and their packed entries."""
         f = {c: np.concatenate([k[c] for k in kept]) for c in kept[0]}
         # a set is sent for its first line in the chunk only
         first = np.zeros(len(f["set"]), bool)
@@ -166,32 +204,48 @@ def _entries(texts: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
         line = f.pop("of") + np.repeat(np.cumsum([0] + [len(k["set"]) for k in kept[:-1]]), [len(k["of"]) for k in kept])
         use = first[line]
         line, token, place = line[use], f["token"][use], f["place"][use]
-        at, token = _spread(token, f["mark"][line], shared.value[1][(token >> _CELL_SHIFT).astype(np.int64)])
+        at, token = _spread(token, f["mark"][line], self.blocks[(token >> _CELL_SHIFT).astype(np.int64)])
         line, place = line[at], place[at]
-        bucket = ((token >> np.uint64(13)) % np.uint64(buckets)).astype(np.uint32)
-        order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        bucket = ((token >> np.uint64(13)) % np.uint64(self.buckets)).astype(np.uint32)
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         some = np.flatnonzero(np.diff(edge))
         rows = []
         for b in some.tolist():
             k = order[edge[b] : edge[b + 1]]
             m = line[k]
-            rows.append(_pack({"token": token[k].astype(np.uint32), "mark": f["mark"][m].astype(np.uint32), "sketch": f["sketch"][m], "size": f["size"][m], "place": place[k], "line": f["line"][m], "id": f["id"][m]}))
-        none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array(rows, pa.binary())], names=names)
+            rows.append(_pack({"token": token[k].astype(np.uint32), "place": place[k], **{c: f[c][m] for c in f if c not in ("token", "place", "mark", "set")}, "mark": f["mark"][m].astype(np.uint32)}))
+        return pa.array(some, pa.int32()), pa.array(rows, pa.binary())
+
+
+def _dealer(texts: DataFrame, counts: np.ndarray, entries: int):
+    """A broadcast dealer, of bounded size, for about so many entries."""
+    rank = np.empty(CELLS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    spark = texts.sparkSession
+    return spark.sparkContext.broadcast(Dealer(rank, np.maximum(1, -(-counts // HOT)), max(partitions(spark), -(-entries // BUCKET))))
+
+
+def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Rows of two kinds from one pass: (id, line, set) of each line, and (bucket, entries), the prefix entries of some MB of text that belong to a bucket."""
+    dealer = _dealer(texts, counts, int(counts.sum()) // 5)
+    names = ["id", "line", "set", "bucket", "entries"]
+
+    def send(kept: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        sent = dealer.value.send(kept)
+        none = pa.nulls(len(sent[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, *sent], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[dict[str, np.ndarray]] = []
         held = 0
         for batch in batches:
             for block in arrays.blocks(batch.column(1)):
-                x = Lines(block, shared.value[0])
+                x = Lines(block, dealer.value.rank)
                 ids = batch.column(0).slice(block.first, len(block)).to_numpy()[x.doc]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.number), pa.array(x.set.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-                place = np.arange(len(x.line)) - x.start[x.line]
-                use = (place < (x.size - (4 * x.size + 4) // 5 + 1)[x.line]) & (x.size > 3)[x.line]
-                kept.append({"of": x.line[use], "token": x.token[use], "place": place[use], "set": x.set, "mark": x.mark, "sketch": x.sketch, "size": x.size, "line": x.number, "id": ids})
+                kept.append(dealer.value.entries(x, ids))
                 held += len(block.data)
                 if held > CHUNK_BYTES:
                     yield send(kept)
@@ -203,16 +257,54 @@ def _entries(texts: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, line bigint, set bigint, bucket int, entries binary")
 
 
+def _wide_entries(texts: DataFrame, counts: np.ndarray, lines: DataFrame) -> DataFrame:
+    """(bucket, entries) of the given lines (id, line, mark, open), with long sketches and whether the line is open."""
+    picked, n = _picked(texts, lines)
+    dealer = _dealer(texts, counts, 16 * n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict[str, np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            for block, doc, line, mark, given in _asked(batch):
+                x = Lines(block, dealer.value.rank)
+                at, use = x.find(doc, line, mark)
+                ids = batch.column(0).slice(block.first, len(block)).to_numpy()[x.doc]
+                kept.append(dealer.value.entries(x, ids, at, open=given[use], wide=x.wide()[at]))
+                held += len(block.data)
+                if held > CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([*dealer.value.send(kept)], names=["bucket", "entries"])
+                    kept, held = [], 0
+                    arrays.trim()
+        if kept:
+            yield pa.RecordBatch.from_arrays([*dealer.value.send(kept)], names=["bucket", "entries"])
+
+    return picked.mapInArrow(run, "bucket int, entries binary")
+
+
+def _picked(texts: DataFrame, lines: DataFrame) -> tuple[DataFrame, int]:
+    """(id, text, lines) of the texts that have wanted lines (id, line, mark, open), with those; and how many lines."""
+    wanted = written(lines.groupBy("id").agg(F.collect_set(F.struct("line", "mark", "open")).alias("lines")), "wanted-lines")
+    docs, n = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    return texts.join(F.broadcast(wanted) if docs <= SENT else wanted, "id").select("id", "text", "lines"), n
+
+
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[arrays.Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of text with the lines asked for in them: text, line number, mark, and whether they are open; each line once, in order."""
+    for block in arrays.blocks(batch.column(1)):
+        mine = batch.column(2).slice(block.first, len(block))
+        doc = np.repeat(np.arange(len(block)), mine.value_lengths().to_numpy())
+        line, mark, given = (mine.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        order = np.lexsort((mark, line, doc))
+        yield block, doc[order], line[order], mark[order], given[order]
+
+
 class Bucket:
     """Entries of a bucket, each set once for a token, at its first place; in order of token and size."""
 
-    def __init__(self, rows: list[bytes], only: np.ndarray | None):
+    def __init__(self, rows: list[bytes]):
         parts = [_unpack(r) for r in rows]
         f = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-        if only is not None:  # tokens of the lines asked for
-            token = np.unique(f["token"][arrays.among(f["mark"], np.unique(only["mark"]).astype(np.uint32))])
-            use = arrays.among(f["token"], token)
-            f = {c: v[use] for c, v in f.items()}
         key = (f["token"].astype(np.uint64) << np.uint64(32)) | f["mark"]
         order = np.argsort(key)
         key = key[order]
@@ -231,6 +323,7 @@ class Bucket:
         order, self.key, self.size = order[again], key[again], self.size[again]
         self.left = self.size - f["place"][order]  # from the shared token on
         self.id, self.line, self.mark, self.sketch = (f[c][order] for c in ("id", "line", "mark", "sketch"))
+        self.open, self.wide = (f[c][order] if c in f else None for c in ("open", "wide"))
         token = self.key >> np.uint64(32)
         self.head = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
         first = token << np.uint64(32)
@@ -243,6 +336,8 @@ class Bucket:
         use = np.minimum(self.left[i], self.left[j]) * 9 >= total * 4
         i, j, total = i[use], j[use], total[use]
         bits = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).astype(np.int64)
+        if self.wide is not None:
+            bits = np.maximum(bits, np.bitwise_count(self.wide[i] ^ self.wide[j]).astype(np.int64).sum(1))
         use = (bits * 9 <= total) & ((self.id[i] != self.id[j]) | (self.line[i] != self.line[j]))
         i, j, bits = i[use], j[use], bits[use]
         later = (self.id[i] > self.id[j]) | ((self.id[i] == self.id[j]) & (self.line[i] > self.line[j]))
@@ -288,22 +383,19 @@ def _least(x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray,
     return x[head], y[head], bits[head], np.diff(np.append(head, len(x)))
 
 
-def _candidates(rows: list[bytes], number: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """For each line of a bucket with a near candidate the nearest and whether there may be others, for the rest all candidates; with ``only`` (id, line, mark), all candidates of those lines."""
-    b = Bucket(rows, only)
+def _candidates(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """For each line of a bucket with candidates that which differs least and whether there may be others, and the lines that are candidates (without x); of entries with long sketches all candidates of the open lines."""
+    b = Bucket(rows)
 
     def batch(x: np.ndarray, y: np.ndarray, bits: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-        of = lambda k: [pa.array(v[k].astype(np.int64)) for v in (b.id, b.line, b.mark)]
-        return pa.RecordBatch.from_arrays([*of(x), *of(y), pa.array(bits), pa.array(more), pa.array(np.full(len(x), number, np.int32))], names=[c.split()[0] for c in _FOUND.split(", ")])
-
-    if only is not None:
-        wanted = np.unique(only.astype([("id", np.int64), ("line", np.int64), ("mark", np.int64)]))
-        mine = np.rec.fromarrays([b.id, b.line.astype(np.int64), b.mark.astype(np.int64)], dtype=wanted.dtype)
-        asked = np.isin(mine, wanted)
-        i = np.flatnonzero(asked)
+        of = lambda k: [pa.array(v[k].astype(np.int64), mask=k < 0) for v in (b.id, b.line, b.mark)]
+        return pa.RecordBatch.from_arrays([*of(x), *of(y), pa.array(bits), pa.array(more)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+    if b.open is not None:
+        i = np.flatnonzero(b.open)
         for p in b.ranges(i, b.low[i], b.high[i]):
             x, y, bits = b.able(*p)
-            use = asked[x]
+            use = b.open[x]
             yield batch(x[use], y[use], bits[use], np.zeros(int(use.sum()), bool))
         return
     settled = b.settle()
@@ -312,13 +404,7 @@ def _candidates(rows: list[bytes], number: int, only: np.ndarray | None) -> Iter
     size = np.diff(np.append(b.head, len(b.key)))
     many = np.repeat(size > MANY, size)
     best, nearest, found = np.full(len(b.key), -1), np.full(len(b.key), 1 << 40), np.zeros(len(b.key), np.int64)
-    far: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def others() -> pa.RecordBatch:
-        x, y, bits = (np.concatenate(c) for c in zip(*far, strict=True))
-        use = best[x] < 0
-        return batch(x[use], y[use], bits[use], np.zeros(int(use.sum()), bool))
-
+    candidate = np.zeros(len(b.key), bool)
     one, rest = np.flatnonzero(~many), np.flatnonzero(many & ~done)
     # of two lines the one behind in the bucket looks for the other; where many are settled, those that are not look both ways
     for i, low, high, both in ((one, b.low[one], one, False), (rest, b.low[rest], b.high[rest], True)):
@@ -327,44 +413,30 @@ def _candidates(rows: list[bytes], number: int, only: np.ndarray | None) -> Iter
             if both:
                 use = ~done[x]
                 x, y, bits = x[use], y[use], bits[use]
-            np.add.at(found, x, 1)
-            near = bits * 18 <= b.size[x] + b.size[y]
-            k, other, least, _ = _least(x[near], y[near], bits[near])
-            use = least < nearest[k]
-            best[k[use]], nearest[k[use]] = other[use], least[use]
-            use = best[x] < 0
-            if use.any():
-                far.append((x[use], y[use], bits[use]))
-                if sum(len(f[0]) for f in far) > PAIRS_AT_ONCE:
-                    yield others()
-                    far.clear()
-    if far:
-        yield others()
-    x = np.flatnonzero(best >= 0)
-    yield batch(np.concatenate([x, settled[0]]), np.concatenate([best[x], settled[1]]), np.concatenate([nearest[x], settled[2]]), np.concatenate([found[x] > 1, np.ones(len(settled[0]), bool)]))
-
-
-def _compared(entries: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """The candidates of every bucket, or all candidates of the lines asked for (bucket, x)."""
-
-    some = asked is not None
+            candidate[y] = True
+            x, y, bits, n = _least(x, y, bits)
+            found[x] += n
+            use = bits < nearest[x]
+            best[x[use]], nearest[x[use]] = y[use], bits[use]
+    x, settled_x = np.flatnonzero(best >= 0), settled[0]
+    candidate[settled[1]] = True
+    candidate[x] = candidate[settled_x] = False
+    yield batch(np.concatenate([x, settled_x]), np.concatenate([best[x], settled[1]]), np.concatenate([nearest[x], settled[2]]), np.concatenate([found[x] > 1, np.ones(len(settled_x), bool)]))
+    y = np.flatnonzero(candidate)
+    yield batch(np.full(len(y), -1), y, np.zeros(len(y), np.int64), np.zeros(len(y), bool))
+
+
+def _compared(entries: DataFrame) -> DataFrame:
+    """The candidates of every bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, only, number = [], [], 0
+        rows: list[bytes] = []
         for b in batches:
-            number = b.column("bucket")[0].as_py()
-            rows += [r for r in b.column("entries").to_pylist() if r is not None]
-            given = b.filter(pa.compute.is_valid(b.column("x_id")))
-            only.append(np.rec.fromarrays([given.column(c).to_numpy() for c in X], names=["id", "line", "mark"]))
-        if rows:
-            yield from _candidates(rows, number, np.concatenate(only) if some else None)
+            rows += b.column("entries").to_pylist()
+        yield from _candidates(rows)
         arrays.trim()
 
-    none = [F.lit(None).cast("bigint").alias(c) for c in X]
-    rows = entries.select("bucket", "entries", *none)
-    if some:
-        rows = rows.join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi").union(asked.select("bucket", F.lit(None).cast("binary"), *X))
-    return rows.groupBy("bucket").applyInArrow(run, _FOUND)
+    return entries.groupBy("bucket").applyInArrow(run, _FOUND)
 
 
 def _token_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -372,17 +444,9 @@ def _token_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(2)
-            for block in arrays.blocks(batch.column(1)):
+            for block, doc, line, mark, _ in _asked(batch):
                 x = Lines(block)
-                mine = asked.slice(block.first, len(block))
-                doc = np.repeat(np.arange(len(block)), mine.value_lengths().to_numpy())
-                line, mark = (mine.flatten().field(k).to_numpy() for k in (0, 1))
-                have, want = x.doc << 40 | x.number, doc << 40 | line
-                at = np.searchsorted(have, want)
-                use = at < len(have)
-                use[use] = (have[at[use]] == want[use]) & (x.mark[at[use]] == mark[use])
-                at = at[use]
+                at, use = x.find(doc, line, mark)
                 size = x.size[at]
                 to = np.cumsum(size)
                 items = x.token[np.arange(int(size.sum())) + np.repeat(x.start[at] - (to - size), size)]
@@ -391,9 +455,8 @@ def _token_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc[use]]), pa.array(line[use]), pa.array(mark[use]), items], names=["id", "line", "mark", "items"])
             arrays.trim()
 
-    lines = written(wanted.groupBy("id").agg(F.collect_set(F.struct("line", "mark")).alias("lines")), "wanted-lines")
-    rows = texts.join(F.broadcast(lines) if lines.count() <= SENT else lines, "id")
-    return rows.select("id", "text", "lines").mapInArrow(run, f"{_LINE}, items array<bigint>").dropDuplicates(["id", "line", "mark"])
+    picked, _ = _picked(texts, wanted.withColumn("open", F.lit(False)))
+    return picked.mapInArrow(run, f"{_LINE}, items array<bigint>").dropDuplicates(["id", "line", "mark"])
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -425,28 +488,24 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts, ranks = _texts(docs, id_col, text_col)
     counts = _frequencies(texts)
-    buckets = max(partitions(docs.sparkSession), -(-int(counts.sum()) // (5 * BUCKET)))
-    base = written(_entries(texts, counts, buckets), "lines")
-    entries = base.where("bucket is not null").select("bucket", "entries")
-    found = written(_compared(entries), "line-pairs")
+    base = written(_entries(texts, counts), "lines")
+    found = written(_compared(base.where("bucket is not null").select("bucket", "entries")), "line-pairs")
 
     lines = base.where("bucket is null").select("id", "line", "set")
     place = F.struct("id", "line")
     repeated = lines.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("set", "first")
     repeated = written(lines.join(repeated, "set").where(place > F.col("first")).select("id", "line"), "equal-lines")
+    discard(base)
 
-    near = found.groupBy(*X).agg(F.min_by(F.struct(*Y), F.struct("bits", *Y)).alias("y"), (F.bool_or("more") | (F.min(F.struct(*Y)) != F.max(F.struct(*Y)))).alias("more"))
+    near = found.where("x_id is not null").groupBy(*X).agg(F.min_by(F.struct(*Y), F.struct("bits", *Y)).alias("y"), (F.bool_or("more") | (F.min(F.struct(*Y)) != F.max(F.struct(*Y)))).alias("more"))
     near = written(near.select(*X, "y.*", "more"), "nearest-lines")
     similar = written(_verified(texts, near), "similar-lines")
     rest = written(near.where("more").select(*X).join(similar, X, "left_anti"), "open-lines")
     if not rest.isEmpty():
-        left = written(found.join(rest, X, "left_semi"), "open-pairs")
-        more = _compared(entries, left.where("more").select("bucket", *X).distinct())
-        more = left.select(*X, *Y).union(more.select(*X, *Y)).distinct().join(near.select(*X, *Y), [*X, *Y], "left_anti")
-        more = written(more, "more-pairs")
-        discard(base)
-        discard(found)
-        similar = similar.union(written(_verified(texts, more), "similar-lines"))
+        line = lambda side: [F.col(c).alias(c[2:]) for c in side]
+        lines = near.select(*line(X)).union(found.select(*line(Y))).distinct().join(rest.select(*line(X), F.lit(True).alias("open")), ["id", "line", "mark"], "left").na.fill(False, ["open"])
+        more = _compared(_wide_entries(texts, counts, lines)).select(*X, *Y).distinct().join(near.select(*X, *Y), [*X, *Y], "left_anti")
+        similar = similar.union(written(_verified(texts, written(more, "more-pairs")), "similar-lines"))
     goes = repeated.union(similar.select("x_id", "x_line"))
     goes = goes.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     return goes if ranks is None else goes.join(ranks, "id").select(F.col("given").alias("id"), "removed")

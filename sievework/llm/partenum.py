@@ -1,16 +1,19 @@
 """N-gram Jaccard join by PartEnum signatures (operator 2).
 
 Sets of shingles of at least 80 % similarity differ in at most k elements, k = (a + b) / 9 for sizes a and b. Sizes are
-dealt into bands, the domain of shingles into partitions for each band: with more than k partitions, two such sets agree
-on a whole partition. A signature is a partition with the elements that a set has in it. Only the first k + 1
-signatures of a set in a fixed order (those of more elements first) are needed: among a set's signatures that come
-before the first common one, each has a difference. Below 64 elements every element is a partition of its own. A set
-near the lower end of its band also signs in the band below.
+dealt into bands, each a factor 1.4 wide; a pair meets in the band of its smaller set, so a set near the lower end of its
+band also signs in the band below. A band cuts the domain of shingles into n1 partitions of first level, each of them
+into n2 = 3 of second level. Of the first k // 2 + 1 partitions of first level, one has at most k2 = 1 difference, so two
+sets agree there on a subset of n2 - k2 = 2 partitions of second level: all three such subsets of each of these first
+partitions are enumerated, and a signature is a subset with the elements that a set has in it. n1 is k // 2 + 1 for the
+largest k of the band. A subset without elements is no signature, as all sets without elements there would share it: a set
+that has any of those signs its k + 1 smallest elements as well, and two similar sets share one of them.
 
 Equal sets are one. Of the sets that share a signature, each is first compared with the one that looks nearest, twice;
 components of the links found so far leave only pairs between components open, and all of those that can still be
-similar are compared then. Parity
-sketches discard pairs: each differing element flips one bit, so more differing bits than k are too many.
+similar are compared then. Parity sketches discard pairs: each differing element flips one bit, so more differing bits
+than k are too many. Signatures are dealt into buckets whose number follows from the counted shingles, so that a task
+holds a bucket of bounded size.
 """
 
 from __future__ import annotations
@@ -26,141 +29,187 @@ from sievework.llm import arrays
 from sievework.llm.shared import Scratch, partitions, written
 from sievework.llm.similar import components, popcount, verified
 
-SINGLES = 64
-#: Partitions of a band, as a share of its smallest size.
-SPREAD = 0.7
-#: Stands for all sets of a band with too few signatures to be sure of a common one.
-STARVED = np.uint64(0x5851F42D4C957F2D)
-
-
-def band(size: int) -> int:
-    """Band 0 has sizes below 64; band i > 0 has 64 * 2**(i-1) up to twice that."""
-    return 0 if size < SINGLES else (size // SINGLES).bit_length()
-
-
-def band_bounds(i: int) -> tuple[int, int]:
-    return (1, SINGLES - 1) if i == 0 else (SINGLES << (i - 1), (SINGLES << i) - 1)
-
-
-def signatures(items: np.ndarray, in_band: int, largest_partner: int) -> np.ndarray:
-    """The signatures of one set (its sorted element hashes) in a band, for partners up to a size."""
-    size = len(items)
-    k = (size + largest_partner) // 9
-    seed = np.uint64((in_band + 1) * 0xD1342543DE82EF95 % 2**64)
-    x = arrays.mix(items + seed)
-    if in_band == 0:
-        return np.sort(x)[: k + 1]
-    n = max(2, int(SPREAD * band_bounds(in_band)[0]))
-    part = x % np.uint64(n)
-    order = np.argsort(part, kind="stable")
-    part, x = part[order], x[order]
-    head = np.flatnonzero(np.diff(part, prepend=np.uint64(n)) != 0)
-    count = np.diff(np.append(head, size))
-    sums = arrays.mix(np.add.reduceat(arrays.mix(x), head) + part[head] * np.uint64(0x2545F4914F6CDD1D) + count.astype(np.uint64))
-    if len(sums) <= k:
-        return np.append(sums, arrays.mix(np.array([STARVED ^ seed]))).astype(np.uint64)
-    if len(sums) == k + 1:
-        return sums
-    return sums[np.lexsort((sums, -count))[: k + 1]]
-
-
-def all_signatures(items: np.ndarray) -> np.ndarray:
-    size = len(items)
-    i = band(size)
-    found = [signatures(items, i, size * 5 // 4)]
-    below = band_bounds(i - 1)[1] if i else 0
-    if i and below * 5 >= size * 4:
-        found.append(signatures(items, i - 1, below))
-    return np.concatenate(found) if len(found) > 1 else found[0]
-
-
-def set_hash(items: np.ndarray) -> np.ndarray:
-    """A number for a set that is not empty; two sets share one with a probability of about 2**-63."""
-    whole = int(items.sum(dtype=np.uint64)) ^ (int(arrays.mix(items).sum(dtype=np.uint64)) * 3 + len(items)) % 2**64
-    return (arrays.mix(np.array([whole], np.uint64)) >> np.uint64(1)).astype(np.int64)[0]
-
-
-def shingle_sets(block: arrays.Block, n: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a block."""
-    low = block.lowered()
-    w = arrays.words(low)
-    shingles, to = arrays.runs(arrays.span_hashes(low.data, w.start, w.end), w.bounds, n)
-    out = []
-    for i in range(len(block)):
-        x = np.sort(shingles[to[i] : to[i + 1]])
-        out.append(x[np.diff(x, prepend=x[0] ^ np.uint64(1)) != 0] if len(x) else x)
-    return out
-
-
+#: First sizes of the bands. A set of three elements or fewer is similar to equal sets only.
+EDGES = [4]
+while EDGES[-1] < 1 << 40:
+    EDGES.append(max(EDGES[-1] + 1, -(-EDGES[-1] * 7 // 5)))
+_EDGES = np.array(EDGES)
+_LAST = _EDGES[1:] - 1  # largest size of each band
+_N1 = (_LAST + _LAST * 5 // 4) // 9 // 2 + 1
+N2 = 3
+_SEED = arrays.mix(np.arange(1, len(EDGES), dtype=np.uint64))
+_TAG, _SMALL = np.uint64(0xD1342543DE82EF95), np.uint64(0x5851F42D4C957F2D)
+_PAIR = np.uint64(0x2545F4914F6CDD1D)
 #: Words of the parity sketch that goes with a set when pairs are looked for; a longer one is in the table of sets.
 SHORT = 8
 #: Ids up to which the documents of candidate pairs are picked by a broadcast, not by a shuffle of all texts.
 SENT = 1_000_000
+#: Signatures of a bucket, about; and signatures a shingle, about.
+BUCKET, SHARE = 1_000_000, 0.75
+#: Bytes of text whose signatures are sent together.
+CHUNK_BYTES = 16 << 20
+
+
+class Sets:
+    """The shingle sets of the texts of a block that have words: sorted distinct hashes, one set after the other."""
+
+    def __init__(self, items: np.ndarray, owner: np.ndarray, texts: np.ndarray):
+        self.items, self.owner, self.text = items, owner, texts
+        self.size = np.bincount(owner, minlength=len(texts))
+        self.start = np.cumsum(self.size) - self.size
+
+    @staticmethod
+    def of(block: arrays.Block, n: int) -> Sets:
+        low = block.lowered()
+        w = arrays.words(low)
+        shingles, to = arrays.runs(arrays.span_hashes(low.data, w.start, w.end), w.bounds, n)
+        text = np.repeat(np.arange(len(block)), np.diff(to))
+        # sorted by the whole hash: a set's smallest elements must be the same wherever it is
+        order = arrays.by_group(text, shingles, len(block))
+        shingles, text = shingles[order], text[order]
+        back = (text[1:] == text[:-1]) & (shingles[1:] < shingles[:-1])
+        if back.any():
+            order = np.lexsort((shingles, text))
+            shingles, text = shingles[order], text[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (shingles[1:] != shingles[:-1])
+        shingles, text = shingles[new], text[new]
+        have = np.flatnonzero(np.diff(to))
+        return Sets(shingles, np.searchsorted(have, text), have)
+
+    def hashes(self) -> np.ndarray:
+        """A number for each set; two sets share one with a probability of about 2**-63."""
+        if not len(self.size):
+            return np.zeros(0, np.int64)
+        return (arrays.mix(np.add.reduceat(arrays.mix(self.items), self.start) + self.size.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+    def sketches(self, words: np.ndarray) -> np.ndarray:
+        """The parity of the elements of each set that fall on each of its 64 * words bits (a power of two), as one array of words."""
+        bits = (arrays.mix(self.items) & (64 * words[self.owner] - 1).astype(np.uint64)).astype(np.int64)
+        base = 64 * (np.cumsum(words) - words)
+        count = np.bincount(bits + base[self.owner], minlength=int(64 * words.sum())) & 1
+        return np.packbits(count.astype(np.uint8)).view(np.int64)
+
+    def pick(self, some: np.ndarray) -> Sets:
+        """The sets at the given places, ascending."""
+        to = np.full(len(self.size), -1)
+        to[some] = np.arange(len(some))
+        use = to[self.owner] >= 0
+        return Sets(self.items[use], to[self.owner[use]], self.text[some])
+
+    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
+        """All signatures, and the set that each belongs to."""
+        band = np.searchsorted(_EDGES, self.size, "right") - 1
+        own = np.flatnonzero(band >= 0)
+        least = -(-self.size * 4 // 5)
+        below = np.flatnonzero((band > 0) & (least <= _LAST[np.maximum(band, 1) - 1]))
+        out = []
+        for some, at, largest in ((own, band[own], self.size[own] * 5 // 4), (below, band[below] - 1, _LAST[band[below] - 1])):
+            x = self.pick(some)
+            sig, of = x._signed(at, (x.size + largest) // 9)
+            out.append((sig, some[of]))
+        return np.concatenate([s for s, _ in out]), np.concatenate([o for _, o in out])
+
+    def _signed(self, band: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of every set in a band each, for up to k differences."""
+        first = k // 2 + 1
+        base = np.cumsum(first) - first
+        x = arrays.mix(self.items + _SEED[band][self.owner])
+        part = ((x >> np.uint64(32)) * _N1[band][self.owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        use = part < first[self.owner]
+        x, at = x[use], (base[self.owner[use]] + part[use]) * N2 + ((x[use] & np.uint64(0xFFFFFFFF)) % np.uint64(N2)).astype(np.int64)
+        total = int(first.sum())
+        sums, count = np.zeros(total * N2, np.uint64), np.bincount(at, minlength=total * N2)
+        np.add.at(sums, at, x)
+        sums, count = sums.reshape(-1, N2), count.reshape(-1, N2)
+        owner = np.repeat(np.arange(len(k)), first)
+        tag = arrays.mix(_SEED[band][owner] + (np.arange(total) - base[owner]).astype(np.uint64) * _TAG)
+        sig, of, empty = [], [], np.zeros(len(k), bool)
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            some = count[:, i] + count[:, j] > 0
+            sig.append(arrays.mix(arrays.mix(sums[some, i] + tag[some] + np.uint64(i)) * _PAIR + sums[some, j] + np.uint64(j)))
+            of.append(owner[some])
+            empty[owner[~some]] = True
+        number = np.arange(len(self.owner)) - self.start[self.owner]
+        use = empty[self.owner] & (number <= k[self.owner])
+        sig.append(arrays.mix(self.items[use] * _SMALL + _SEED[band][self.owner[use]]))
+        of.append(self.owner[use])
+        return np.concatenate(sig), np.concatenate(of)
 
 
-def sketch(items: np.ndarray, n_words: int) -> np.ndarray:
-    """The parity of the elements that fall on each of 64 * n_words bits; n_words is a power of two."""
-    bits = arrays.mix(items) & np.uint64(64 * n_words - 1)
-    count = np.bincount(bits.astype(np.int64), minlength=64 * n_words) & 1
-    return np.packbits(count.astype(np.uint8)).view(np.uint64)
+def all_signatures(items: np.ndarray) -> np.ndarray:
+    """The signatures of one set of sorted element hashes."""
+    return Sets(items, np.zeros(len(items), np.int64), np.zeros(1, np.int64)).signatures()[0]
 
 
-def long_words(size: int) -> int:
+def long_words(size: np.ndarray) -> np.ndarray:
     """Words of a set's long sketch: about a bit for each element."""
-    return 1 << max(0, (size // 64).bit_length())
+    return np.left_shift(1, np.maximum(0, np.frexp(size // 64)[1])).astype(np.int64)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(id, n_shingles, set, long, short) of each document; the last three are null without words."""
     key = docs.schema[id_col].dataType.simpleString()
 
+    def lists(words: np.ndarray, each: np.ndarray, text: np.ndarray, n_texts: int) -> pa.Array:
+        size = np.zeros(n_texts, np.int64)
+        size[text] = each
+        offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32), mask=np.append(size == 0, False))
+        return pa.ListArray.from_arrays(offsets, pa.array(words))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in arrays.blocks(batch.column(1)):
-                sets = shingle_sets(block, n)
-                some = lambda f: [f(x) if len(x) else None for x in sets]  # noqa: E731, B023
-                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(some(lambda x: int(set_hash(x))), pa.int64())]
-                columns += [pa.array(some(lambda x, k=k: sketch(x, k or long_words(len(x))).astype(np.int64)), pa.list_(pa.int64())) for k in (0, SHORT)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), *columns], names=["id", "n_shingles", "set", "long", "short"])
+                x, m = Sets.of(block, n), len(block)
+                size, key_of, none = np.zeros(m, np.int64), np.zeros(m, np.int64), np.ones(m, bool)
+                size[x.text], key_of[x.text], none[x.text] = x.size, x.hashes(), False
+                long, short = long_words(x.size), np.full(len(x.size), SHORT)
+                columns = [pa.array(size), pa.array(key_of, mask=none), lists(x.sketches(long), long, x.text, m), lists(x.sketches(short), short, x.text, m)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, m), *columns], names=["id", "n_shingles", "set", "long", "short"])
+            arrays.trim()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {key}, n_shingles bigint, set bigint, `long` array<bigint>, `short` array<bigint>")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"id {key}, n_shingles bigint, set bigint, `long` array<bigint>, `short` array<bigint>")
 
 
 def _signed(docs: DataFrame, text_col: str, n: int, buckets: int) -> DataFrame:
     """(bucket, signatures, owners, sets): packed signatures of some MB of text, by the part that compares them."""
     names = ["bucket", "signatures", "owners", "sets"]
 
-    def send(sigs: list[np.ndarray], sets: list[int]) -> pa.RecordBatch:
-        sig, ids = np.concatenate(sigs), np.array(sets, np.int64)
-        owner = np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(s) for s in sigs])
-        bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
+    def send(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sig, ids = np.concatenate([k[0] for k in kept]), np.concatenate([k[2] for k in kept])
+        owner = np.concatenate([k[1] + at for k, at in zip(kept, np.cumsum([0] + [len(k[2]) for k in kept[:-1]]), strict=True)])
+        first = np.zeros(len(ids), bool)  # a set signs once
+        first[np.unique(ids, return_index=True)[1]] = True
+        sig, owner = sig[first[owner]], owner[first[owner]]
+        bucket = ((sig >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint32)
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for b in range(buckets):
-            if edge[b] < edge[b + 1]:
-                mine = order[edge[b] : edge[b + 1]]
-                used, local = np.unique(owner[mine], return_inverse=True)
-                rows.append((b, sig[mine].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), ids[used].tobytes()))
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
+        some = np.flatnonzero(np.diff(edge))
+        cols: list[list[bytes]] = [[], [], []]
+        for b in some.tolist():
+            mine = order[edge[b] : edge[b + 1]]
+            used, local = np.unique(owner[mine], return_inverse=True)
+            # half of a hash is enough within a bucket: unequal signatures only make more candidates
+            for c, x in zip(cols, (sig[mine].astype(np.uint32), local.astype(np.uint16 if len(used) < 65536 else np.uint32), ids[used]), strict=True):
+                c.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs: dict[int, np.ndarray] = {}
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
         for batch in batches:
             for block in arrays.blocks(batch.column(0)):
-                for items in shingle_sets(block, n):
-                    if len(items) and (key := int(set_hash(items))) not in sigs:
-                        sigs[key] = all_signatures(items)
+                x = Sets.of(block, n)
+                kept.append((*x.signatures(), x.hashes()))
                 held += len(block.data)
-                if held >= 16 << 20 and sigs:
-                    yield send([*sigs.values()], [*sigs])
-                    sigs, held = {}, 0
-        if sigs:
-            yield send([*sigs.values()], [*sigs])
+                if held >= CHUNK_BYTES:
+                    yield send(kept)
+                    kept, held = [], 0
+                    arrays.trim()
+        if kept:
+            yield send(kept)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, signatures binary, owners binary, sets binary")
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "bucket int, signatures binary, owners binary, sets binary")
 
 
 def _again(key: np.ndarray) -> np.ndarray:
@@ -175,11 +224,11 @@ def _collisions(packed: DataFrame) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         sig, sets = [], []
         for s, o, f in zip(table["signatures"], table["owners"], table["sets"], strict=True):
-            sig.append(np.frombuffer(s.as_py(), np.uint64))
+            sig.append(np.frombuffer(s.as_py(), np.uint32))
             raw = o.as_py()
             sets.append(np.frombuffer(f.as_py(), np.int64)[np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(sig[-1]) else np.uint32)])
         sig, sets = np.concatenate(sig), np.concatenate(sets)
-        order = np.argsort(sig, kind="stable")
+        order = np.argsort(sig)
         sig, sets = sig[order], sets[order]
         some = _again(sig)
         sig, sets = sig[some], sets[some]
@@ -198,12 +247,14 @@ def _collisions(packed: DataFrame) -> DataFrame:
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Signatures, owners, sets, and where each signature begins."""
-    sig, owner, sets = np.frombuffer(row["signatures"], np.uint64), np.frombuffer(row["owners"], np.uint32).astype(np.int64), np.frombuffer(row["sets"], np.int64)
-    return sig, owner, sets, np.flatnonzero(np.diff(sig, prepend=sig[0] ^ np.uint64(1)) != 0) if len(sig) else np.zeros(0, np.int64)
+    sig, owner, sets = np.frombuffer(row["signatures"], np.uint32), np.frombuffer(row["owners"], np.uint32).astype(np.int64), np.frombuffer(row["sets"], np.int64)
+    return sig, owner, sets, np.flatnonzero(np.diff(sig, prepend=sig[0] ^ np.uint32(1)) != 0) if len(sig) else np.zeros(0, np.int64)
 
 
 #: Members of a signature among which the nearest is looked for, before the pass over all.
 NEAR = 4096
+#: Pairs of sketches that are compared at once.
+AT_ONCE = 1 << 16
 
 
 def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest: bool) -> DataFrame:
@@ -259,7 +310,8 @@ def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest:
                     common = ls == values[counts.argmax()]
                     few = members[~common]
                     other = np.concatenate([members[common], few])
-                for part in (few[p : p + 64] for p in range(0, len(few), 64)):
+                step = max(1, AT_ONCE // len(other))
+                for part in (few[p : p + step] for p in range(0, len(few), step)):
                     d = differ(part[:, None], other[None])
                     if nearest:
                         best = np.where(d < 0, 1 << 40, d).argmin(1)
@@ -293,8 +345,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in arrays.blocks(batch.column(0)):
-                sets = [x for x in shingle_sets(block, n) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(set_hash(x)) for x in sets], pa.int64()), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))], names=["set", "items"])
+                x = Sets.of(block, n)
+                items = pa.ListArray.from_arrays(pa.array(np.append(x.start, len(x.items)).astype(np.int32)), pa.array(x.items.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(x.hashes()), items], names=["set", "items"])
+            arrays.trim()
 
     wanted = written(wanted, "wanted")
     ids = wanted.select("id").distinct()
@@ -317,7 +371,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     spark = docs.sparkSession
     rows = written(_documents(docs, id_col, text_col, n), "shingles")
-    met = written(_collisions(_signed(docs, text_col, n, partitions(spark))), "collisions")
+    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(partitions(spark), -(-int(total * SHARE) // BUCKET))
+    met = written(_collisions(_signed(docs, text_col, n, buckets)), "collisions")
     reps = written(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("long").alias("long"), F.first("short").alias("short")), "sets-first")
 
     def check(pairs: DataFrame) -> DataFrame:
