@@ -6,9 +6,10 @@ s - ceil(0.8 s) + 1 of each. Lines that share such a token are compared by lengt
 Jaccard similarity is verified on the tokens themselves. A line goes if an earlier one is similar. Lines of up to
 three tokens are similar to equal sets only, which are found by their hash.
 
-Whether any earlier similar line exists is all that is asked, so a line is first verified against the candidate that
-looks nearest. A line with other candidates of which the nearest is not confirmed is open: a second join compares open
-lines with all lines that have any candidate, by sketches of 320 bits, and all that remain are verified.
+Whether any earlier similar line exists is all that is asked, so a line is first verified against its nearest candidate
+if that looks near. Where none looks so, or the nearest is not confirmed and there are others, the line is open: a second
+join compares open lines with all lines that have any candidate, by sketches of 320 bits. Again the nearest is verified
+where one looks near, and all candidates elsewhere; a third join of what is open still verifies all.
 
 Entries (token, line) are dealt by token into buckets whose number follows from the counted tokens, so that a task holds
 a bucket of bounded size. A token of more than ``HOT`` occurrences is dealt by pairs of blocks of its lines. Among many
@@ -50,7 +51,7 @@ WIDE = 4
 PAIRS_AT_ONCE = 1 << 20
 
 _LINE = "id bigint, line bigint, mark bigint"
-_FOUND = "x_id bigint, x_line bigint, x_mark bigint, y_id bigint, y_line bigint, y_mark bigint, bits bigint, more boolean"
+_FOUND = "x_id bigint, x_line bigint, x_mark bigint, y_id bigint, y_line bigint, y_mark bigint, bits bigint, near boolean, more boolean"
 X, Y = ["x_id", "x_line", "x_mark"], ["y_id", "y_line", "y_mark"]
 
 
@@ -219,11 +220,12 @@ class Dealer:
 
 
 def _dealer(texts: DataFrame, counts: np.ndarray, entries: int):
-    """A broadcast dealer, of bounded size, for about so many entries."""
+    """Makes, on an executor, a dealer for about so many entries; its tables are broadcast and of bounded size."""
     rank = np.empty(CELLS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
     spark = texts.sparkSession
-    return spark.sparkContext.broadcast(Dealer(rank, np.maximum(1, -(-counts // HOT)), max(partitions(spark), -(-entries // BUCKET))))
+    tables, buckets = spark.sparkContext.broadcast((rank, np.maximum(1, -(-counts // HOT)))), max(partitions(spark), -(-entries // BUCKET))
+    return lambda: Dealer(*tables.value, buckets)
 
 
 def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -231,28 +233,27 @@ def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     dealer = _dealer(texts, counts, int(counts.sum()) // 5)
     names = ["id", "line", "set", "bucket", "entries"]
 
-    def send(kept: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        sent = dealer.value.send(kept)
+    def send(to: Dealer, kept: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        sent = to.send(kept)
         none = pa.nulls(len(sent[0]), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, *sent], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict[str, np.ndarray]] = []
-        held = 0
+        to, kept, held = dealer(), [], 0
         for batch in batches:
             for block in arrays.blocks(batch.column(1)):
-                x = Lines(block, dealer.value.rank)
+                x = Lines(block, to.rank)
                 ids = batch.column(0).slice(block.first, len(block)).to_numpy()[x.doc]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.number), pa.array(x.set.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-                kept.append(dealer.value.entries(x, ids))
+                kept.append(to.entries(x, ids))
                 held += len(block.data)
                 if held > CHUNK_BYTES:
-                    yield send(kept)
+                    yield send(to, kept)
                     kept, held = [], 0
                     arrays.trim()
         if kept:
-            yield send(kept)
+            yield send(to, kept)
 
     return texts.mapInArrow(run, "id bigint, line bigint, set bigint, bucket int, entries binary")
 
@@ -263,21 +264,20 @@ def _wide_entries(texts: DataFrame, counts: np.ndarray, lines: DataFrame) -> Dat
     dealer = _dealer(texts, counts, 16 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict[str, np.ndarray]] = []
-        held = 0
+        to, kept, held = dealer(), [], 0
         for batch in batches:
             for block, doc, line, mark, given in _asked(batch):
-                x = Lines(block, dealer.value.rank)
+                x = Lines(block, to.rank)
                 at, use = x.find(doc, line, mark)
                 ids = batch.column(0).slice(block.first, len(block)).to_numpy()[x.doc]
-                kept.append(dealer.value.entries(x, ids, at, open=given[use], wide=x.wide()[at]))
+                kept.append(to.entries(x, ids, at, open=given[use], wide=x.wide()[at]))
                 held += len(block.data)
                 if held > CHUNK_BYTES:
-                    yield pa.RecordBatch.from_arrays([*dealer.value.send(kept)], names=["bucket", "entries"])
+                    yield pa.RecordBatch.from_arrays([*to.send(kept)], names=["bucket", "entries"])
                     kept, held = [], 0
                     arrays.trim()
         if kept:
-            yield pa.RecordBatch.from_arrays([*dealer.value.send(kept)], names=["bucket", "entries"])
+            yield pa.RecordBatch.from_arrays([*to.send(kept)], names=["bucket", "entries"])
 
     return picked.mapInArrow(run, "bucket int, entries binary")
 
@@ -383,20 +383,43 @@ def _least(x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray,
     return x[head], y[head], bits[head], np.diff(np.append(head, len(x)))
 
 
-def _candidates(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """For each line of a bucket with candidates that which differs least and whether there may be others, and the lines that are candidates (without x); of entries with long sketches all candidates of the open lines."""
+def _candidates(rows: list[bytes], every: bool) -> Iterator[pa.RecordBatch]:
+    """For each line of a bucket with candidates that which differs least, whether it looks near, and whether there may be others; and the lines that are candidates (without x).
+
+    Of entries with long sketches, for each open line the nearest candidate if that looks near, else, or with ``every``, all.
+    """
     b = Bucket(rows)
 
     def batch(x: np.ndarray, y: np.ndarray, bits: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
         of = lambda k: [pa.array(v[k].astype(np.int64), mask=k < 0) for v in (b.id, b.line, b.mark)]
-        return pa.RecordBatch.from_arrays([*of(x), *of(y), pa.array(bits), pa.array(more)], names=[c.split()[0] for c in _FOUND.split(", ")])
+        near = bits * 18 <= b.size[x] + b.size[y]
+        return pa.RecordBatch.from_arrays([*of(x), *of(y), pa.array(bits), pa.array(near), pa.array(more)], names=[c.split()[0] for c in _FOUND.split(", ")])
 
     if b.open is not None:
         i = np.flatnonzero(b.open)
+        best, nearest = np.full(len(b.key), -1), np.full(len(b.key), 1 << 40)
+        far: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def others() -> pa.RecordBatch:
+            x, y = (np.concatenate(c) for c in zip(*far, strict=True))
+            use = best[x] < 0
+            return batch(x[use], y[use], np.zeros(int(use.sum()), np.int64), np.zeros(int(use.sum()), bool))
+
         for p in b.ranges(i, b.low[i], b.high[i]):
             x, y, bits = b.able(*p)
-            use = b.open[x]
-            yield batch(x[use], y[use], bits[use], np.zeros(int(use.sum()), bool))
+            near = b.open[x] & (bits * 12 <= b.size[x] + b.size[y]) & (not every)
+            use = b.open[x] & ~near & (best[x] < 0)
+            far.append((x[use], y[use]))
+            k, other, least, _ = _least(x[near], y[near], bits[near])
+            use = least < nearest[k]
+            best[k[use]], nearest[k[use]] = other[use], least[use]
+            if sum(len(f[0]) for f in far) > PAIRS_AT_ONCE:
+                yield others()
+                far.clear()
+        if far:
+            yield others()
+        x = np.flatnonzero(best >= 0)
+        yield batch(x, best[x], nearest[x], np.ones(len(x), bool))
         return
     settled = b.settle()
     done = np.zeros(len(b.key), bool)
@@ -426,14 +449,14 @@ def _candidates(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
     yield batch(np.full(len(y), -1), y, np.zeros(len(y), np.int64), np.zeros(len(y), bool))
 
 
-def _compared(entries: DataFrame) -> DataFrame:
-    """The candidates of every bucket."""
+def _compared(entries: DataFrame, every: bool = False) -> DataFrame:
+    """The candidates in all buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[bytes] = []
         for b in batches:
             rows += b.column("entries").to_pylist()
-        yield from _candidates(rows)
+        yield from _candidates(rows, every)
         arrays.trim()
 
     return entries.groupBy("bucket").applyInArrow(run, _FOUND)
@@ -497,15 +520,22 @@ def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     repeated = written(lines.join(repeated, "set").where(place > F.col("first")).select("id", "line"), "equal-lines")
     discard(base)
 
-    near = found.where("x_id is not null").groupBy(*X).agg(F.min_by(F.struct(*Y), F.struct("bits", *Y)).alias("y"), (F.bool_or("more") | (F.min(F.struct(*Y)) != F.max(F.struct(*Y)))).alias("more"))
+    order = F.struct(~F.col("near"), "bits", *Y)
+    near = found.where("x_id is not null").groupBy(*X).agg(F.min_by(F.struct(*Y, "near"), order).alias("y"), (F.bool_or("more") | (F.min(F.struct(*Y)) != F.max(F.struct(*Y)))).alias("more"))
     near = written(near.select(*X, "y.*", "more"), "nearest-lines")
-    similar = written(_verified(texts, near), "similar-lines")
-    rest = written(near.where("more").select(*X).join(similar, X, "left_anti"), "open-lines")
-    if not rest.isEmpty():
-        line = lambda side: [F.col(c).alias(c[2:]) for c in side]
-        lines = near.select(*line(X)).union(found.select(*line(Y))).distinct().join(rest.select(*line(X), F.lit(True).alias("open")), ["id", "line", "mark"], "left").na.fill(False, ["open"])
-        more = _compared(_wide_entries(texts, counts, lines)).select(*X, *Y).distinct().join(near.select(*X, *Y), [*X, *Y], "left_anti")
-        similar = similar.union(written(_verified(texts, written(more, "more-pairs")), "similar-lines"))
+    done = near.where("near").select(*X, *Y)
+    similar = written(_verified(texts, done), "similar-lines")
+    rest = written(near.where("more or not near").select(*X).join(similar, X, "left_anti"), "open-lines")
+    line = lambda side: [F.col(c).alias(c[2:]) for c in side]
+    known = near.select(*line(X)).union(found.select(*line(Y))).distinct()
+    for every in (False, True):
+        if rest.isEmpty():
+            break
+        lines = known.join(rest.select(*line(X), F.lit(True).alias("open")), ["id", "line", "mark"], "left").na.fill(False, ["open"])
+        pairs = written(_compared(_wide_entries(texts, counts, lines), every).groupBy(*X, *Y).agg(F.bool_or("more").alias("more")), "more-pairs")
+        found_now = written(_verified(texts, pairs.select(*X, *Y).join(done, [*X, *Y], "left_anti")), "similar-lines")
+        similar = similar.union(found_now)
+        rest = written(pairs.where("more").select(*X).distinct().join(found_now, X, "left_anti"), "open-lines")
     goes = repeated.union(similar.select("x_id", "x_line"))
     goes = goes.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     return goes if ranks is None else goes.join(ranks, "id").select(F.col("given").alias("id"), "removed")
