@@ -24,9 +24,21 @@ def vectorized(df: DataFrame) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))).withColumn("label", F.col("label").cast("double"))
 
 
-def logistic(c: float = 1.0, iterations: int = 1000, seed: int = 42) -> Estimator:
-    """Standardized inputs and an L2 penalty of 1 / c on the sum of losses (a small part of it by row)."""
-    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", regParam=1e-3 / c, maxIter=iterations, standardization=False)])
+class _Logistic(Estimator):
+    """Logistic regression with an L2 penalty of 1 / c on the sum of losses: a part 1 / (c * n) of it by row, for n rows."""
+
+    def __init__(self, c: float, iterations: int):
+        super().__init__()
+        self.c, self.iterations = c, iterations
+
+    def _fit(self, dataset: DataFrame):
+        n = max(1, dataset.count())
+        return LogisticRegression(featuresCol="scaled", regParam=1 / (self.c * n), maxIter=self.iterations, standardization=False).fit(dataset)
+
+
+def logistic(c: float = 1.0, iterations: int = 1000) -> Estimator:
+    """Standardized inputs and an L2 penalty of 1 / c on the sum of losses."""
+    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), _Logistic(c, iterations)])
 
 
 def boosted(rounds: int = 300, depth: int = 6, rate: float = 0.05, seed: int = 42) -> Estimator:

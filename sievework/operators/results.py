@@ -33,41 +33,41 @@ def master_table(folds: DataFrame, left: str = "standard_cv", right: str = "leav
     return one(left, "cv").join(one(right, "leave_out"), KEY, "full_outer").withColumn("delta_f1", F.col("cv_f1") - F.col("leave_out_f1"))
 
 
-def per_fold(folds: DataFrame, categories: list[str]) -> DataFrame:
+def per_fold(folds: DataFrame, categories: list[str], experiment: str = "leave_out") -> DataFrame:
     """One column for each held-out category, and their mean."""
-    p = folds.where(F.col("experiment") == "leave_out").groupBy(*KEY).pivot("held_out", categories).agg(F.first("f1"))
-    m = folds.where(F.col("experiment") == "leave_out").groupBy(*KEY).agg(F.avg("f1").alias("mean"))
+    p = folds.where(F.col("experiment") == experiment).groupBy(*KEY).pivot("held_out", categories).agg(F.first("f1"))
+    m = folds.where(F.col("experiment") == experiment).groupBy(*KEY).agg(F.avg("f1").alias("mean"))
     return p.join(m, KEY)
 
 
-def heatmap(folds: DataFrame, classifiers: list[str]) -> DataFrame:
-    return master_table(folds).groupBy("embedding").pivot("classifier", classifiers).agg(F.first("delta_f1"))
+def heatmap(folds: DataFrame, classifiers: list[str], left: str = "standard_cv", right: str = "leave_out") -> DataFrame:
+    return master_table(folds, left, right).groupBy("embedding").pivot("classifier", classifiers).agg(F.first("delta_f1"))
 
 
-def melted(folds: DataFrame) -> DataFrame:
-    m = master_table(folds)
+def melted(folds: DataFrame, left: str = "standard_cv", right: str = "leave_out") -> DataFrame:
+    m = master_table(folds, left, right)
     return m.unpivot(KEY, ["cv_f1", "leave_out_f1"], "experiment", "f1")
 
 
-def delta_by_category(folds: DataFrame) -> DataFrame:
+def delta_by_category(folds: DataFrame, left: str = "standard_cv", right: str = "leave_out") -> DataFrame:
     """For each category held out: the mean over combinations of the CV mean less that fold's F1."""
-    cv = folds.where(F.col("experiment") == "standard_cv").groupBy(*KEY).agg(F.avg("f1").alias("cv"))
-    return folds.where(F.col("experiment") == "leave_out").join(cv, KEY).groupBy("held_out").agg(F.avg(F.col("cv") - F.col("f1")).alias("delta_f1"), F.avg("f1").alias("mean_f1"), F.count("*").alias("n"))
+    cv = folds.where(F.col("experiment") == left).groupBy(*KEY).agg(F.avg("f1").alias("cv"))
+    return folds.where(F.col("experiment") == right).join(cv, KEY).groupBy("held_out").agg(F.avg(F.col("cv") - F.col("f1")).alias("delta_f1"), F.avg("f1").alias("mean_f1"), F.count("*").alias("n"))
 
 
-def extremes(folds: DataFrame) -> DataFrame:
+def extremes(folds: DataFrame, left: str = "standard_cv", right: str = "leave_out") -> DataFrame:
     """Overall means; best and worst combination; hardest and easiest category (first by name on ties)."""
-    m, d = master_table(folds), delta_by_category(folds)
+    m, d = master_table(folds, left, right), delta_by_category(folds, left, right)
     name = F.concat_ws("/", *KEY)
     top = lambda d, what, by, up: (F.min_by if up else F.max_by)(what, F.struct(by, what) if up else F.struct(by, what))
     a = m.agg(F.avg("cv_f1").alias("mean_cv"), F.avg("leave_out_f1").alias("mean_leave_out"), F.avg("delta_f1").alias("mean_delta"), top(m, name, F.col("leave_out_f1"), False).alias("best"), top(m, name, F.col("leave_out_f1"), True).alias("worst"))
     return a.crossJoin(d.agg(top(d, F.col("held_out"), F.col("mean_f1"), True).alias("hardest"), top(d, F.col("held_out"), F.col("mean_f1"), False).alias("easiest")))
 
 
-def paired(folds: DataFrame) -> DataFrame:
+def paired(folds: DataFrame, left: str = "standard_cv", right: str = "leave_out") -> DataFrame:
     """CV and LEAVE_OUT folds of a combination paired by place, up to the shorter: n, mean difference, t statistic of the paired test (null below two pairs or without variance)."""
     arr = lambda e, n: folds.where(F.col("experiment") == e).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("fold", "f1"))).alias(n))
-    j = arr("standard_cv", "a").join(arr("leave_out", "b"), KEY)
+    j = arr(left, "a").join(arr(right, "b"), KEY)
     d = j.select(*KEY, F.posexplode(F.expr("transform(sequence(0, least(size(a), size(b)) - 1), i -> a[i].f1 - b[i].f1)")).alias("place", "d"))
     s = d.groupBy(*KEY).agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("sd"), F.array_sort(F.collect_list(F.struct("place", "d"))).alias("pairs"))
     return s.withColumn("t", F.when(F.col("n") >= 2, F.col("mean_difference") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0))))

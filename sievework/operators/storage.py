@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes the table under ``spark.checkpoint.dir`` (set to a temporary folder only where it is unset) and reads it: the lineage ends there."""
+    """Writes the table under ``spark.checkpoint.dir`` and reads it: the lineage ends there. Where that is unset, a temporary folder is set if the master is local; on a cluster it is an error."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -104,7 +104,7 @@ def first_turn(turns: DataFrame, role: str = "user") -> DataFrame:
 
 def by_role(turns: DataFrame, role: str) -> DataFrame:
     """Distinct texts that are not blank, each at its first place."""
-    t = turns.where(F.col("role") == role).select(F.struct("conv_id", "turn").alias("_at"), F.trim("text").alias("text")).where("text <> ''")
+    t = turns.where(F.col("role") == role).select(F.struct("conv_id", "turn").alias("_at"), _strip(F.col("text")).alias("text")).where("text <> ''")
     return t.groupBy("text").agg(F.min("_at").alias("_at")).select("_at.*", "text")
 
 
@@ -130,7 +130,7 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.option("header", True).csv(path)
     if missing := {"sample_hash", "correct_category"} - set(d.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    return d.where(F.coalesce(F.trim("correct_category") != "", F.lit(False))).withColumn("line_no", F.monotonically_increasing_id())
+    return d.where(F.coalesce(_strip(F.col("correct_category")) != "", F.lit(False))).withColumn("line_no", F.monotonically_increasing_id())
 
 
 RESULT = "experiment string, embedding string, classifier string, mean_f1 double, std_f1 double, folds array<struct<fold_id:int,held_out_category:string,train_size:bigint,test_size:bigint,metrics:map<string,struct<value:double,ci_lower:double,ci_upper:double>>>>"
