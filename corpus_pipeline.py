@@ -36,9 +36,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id."""
-    component = partenum.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(component, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates stays: that of the smallest doc_id, and one row where rows repeat it.
+
+    Documents with a null doc_id stay.
+    """
+    found = partenum.near_duplicates(docs).select("doc_id", "component_id")
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    left = docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    return left.join(repeated, "doc_id", "left_anti").union(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

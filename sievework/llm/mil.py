@@ -173,11 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def classify(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, held_out_mod: int = 4, held_out: int = 2, keep: list[str] | None = None) -> DataFrame:
     """Scores every whole text: the id column (or the columns in ``keep``), held_out, score (0 to 1) and predicted (1 if score >= threshold).
 
-    Only the text is used for the score. A null or empty text is one passage of zeros. Rows are independent; repeated
+    Columns named like those three in ``keep`` are replaced. Only the text is used for the score. A null or empty text is one passage of zeros. Rows are independent; repeated
     rows get the same score; an empty table gives no rows.
     """
-    keep = keep or [id_col]
-    schema = docs.select(*keep).schema
+    added = ("held_out", "score", "predicted")
+    keep = [c for c in keep or [id_col] if c not in added]
+    kept = [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*kept).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +187,8 @@ def classify(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col
             for block in arrays.blocks(batch.column(batch.num_columns - 1)):
                 score = model.score(*passages(block))
                 rest = [batch.column(i).slice(block.first, len(block)) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(score, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(score, pa.float64())], names=[*keep, "held_out", "score"])
 
-    out = docs.select(*keep, F.col(text_col).cast("string").alias("_scored_text")).mapInArrow(run, f"{fields}, score double")
-    mod = F.coalesce(F.crc32(F.col(id_col).cast("string")) % held_out_mod == held_out, F.lit(False))
-    return out.select(*keep, mod.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    mod = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % held_out_mod == held_out, F.lit(False))
+    out = docs.select(*kept, mod.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("_scored_text")).mapInArrow(run, f"{fields}{', ' if keep else ''}held_out boolean, score double")
+    return out.select(*kept, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

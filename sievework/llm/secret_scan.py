@@ -128,13 +128,15 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str
     secret if any is. ``findings`` lists the secrets: start (0-based,
     in characters, of the first occurrence judged so), length, value_sha256, score (the highest). ``redacted_text`` has every occurrence of a secret replaced by
     ``<SECRET>``; a null text stays null and has no findings. Columns of these names that ``docs`` has already are
-    replaced. Whole texts of any length are read; repeated rows are scanned each.
+    replaced; other columns stay, whatever their names. Whole texts of any length are read; repeated rows are scanned
+    each; an empty table gives no rows.
     """
     text = f"`{text_col}`"
     path = f"coalesce(cast(`{path_col}` as string), '')" if path_col else "''"
     before = f"substring(_t, greatest(1, o.start + 1 - {NEIGHBOURS}), least(o.start, {NEIGHBOURS}))"
     keep = [c for c in docs.columns if c not in ("n_candidates", "n_secrets", "findings", "redacted_text")]
-    t = docs.select(*keep, F.expr(f"coalesce(cast({text} as string), '')").alias("_t"), F.expr(path).alias("_path"))
+    # the columns of the row stand in one struct, so that none clashes with a name used here
+    t = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.expr(f"cast({text} as string)").isNull().alias("_null"), F.expr(f"coalesce(cast({text} as string), '')").alias("_t"), F.expr(path).alias("_path"))
     t = t.withColumn("_v", F.expr(f"regexp_extract_all(_t, r'{CANDIDATE}', 0)"))
     # what stands between the values gives their places
     t = t.withColumn("_p", F.expr(f"if(size(_v) = 0, cast(array() as array<string>), split(_t, r'{CANDIDATE}', -1))"))
@@ -144,10 +146,10 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str
     t = t.withColumn("_s", F.expr(f"filter(_s, x -> x.score >= {threshold}D)"))
     t = t.withColumn("_s", F.expr("transform(array_distinct(transform(_s, x -> x.value)), v -> transform(array(filter(_s, x -> x.value = v)), a -> named_struct('value', v, 'start', a[0].start, 'score', array_max(transform(a, x -> x.score))))[0])"))
     return t.select(
-        *keep,
+        *(F.col(f"_row.`{c}`") for c in keep),
         F.size(F.array_distinct("_v")).cast("bigint").alias("n_candidates"),
         F.size("_s").cast("bigint").alias("n_secrets"),
         F.expr("transform(_s, x -> named_struct('start', x.start, 'length', cast(length(x.value) as bigint), 'value_sha256', sha2(x.value, 256), 'score', round(x.score, 6)))").alias("findings"),
         # longer values first, so that a value inside another is not cut out of it
-        F.expr(f"case when {text} is null then null when size(_s) = 0 then _t else aggregate(array_sort(transform(_s, x -> x.value), (a, b) -> length(b) - length(a)), _t, (acc, v) -> replace(acc, v, '<SECRET>')) end").alias("redacted_text"),
+        F.expr("case when _null then null when size(_s) = 0 then _t else aggregate(array_sort(transform(_s, x -> x.value), (a, b) -> length(b) - length(a)), _t, (acc, v) -> replace(acc, v, '<SECRET>')) end").alias("redacted_text"),
     )

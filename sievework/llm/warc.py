@@ -309,11 +309,16 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
 
 
 def archive_and_read(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
-    """Writes the pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes the pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Ids come back in the type that the pages have, which may be any that a string can be cast to. Null and empty
+    payloads, ties and null ids: see ``write_pages``. Other columns of ``pages`` are not read; an empty table gives no rows.
+    """
     spark = pages.sparkSession
+    kind = pages.schema[columns.get("id_col", "page_id")].dataType.simpleString()
     path = path or shared_dir(spark, "warc")
     write_pages(pages, path, **columns)
-    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(.*)>$', 1), '') as bigint)")
+    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '(?s)^<urn:page:(.*)>$', 1), '') as {kind})")
     back = read_warc(spark, path)
     # a response's length is counted on the payload read; its digest is taken anew from it
     digest = F.regexp_replace("payload_digest", "^sha1:", "")

@@ -506,3 +506,25 @@ def test_pipeline_stages(spark, docs, plain, tmp_path):
     cleaned = {r.doc_id: r.text for r in P.lines(spark, docs, sf).collect()}
     assert set(cleaned) <= set(plain) and 0 in cleaned and cleaned[10] == plain[10]
     assert P.secrets(spark, docs, sf).count() == len(plain) and P.secrets(spark, docs, sf).columns == P.COLUMNS
+
+
+def test_names_that_clash(spark):
+    """Columns with the names that the classifier and the secret scan use inside or add."""
+    from sievework.llm.mil import classify, train
+    from sievework.llm.secret_scan import labelled_findings, scan, train as fit
+
+    d = spark.createDataFrame([(1, "token = 'a8f5f167f44f4964e6c998dee827110c'"), (2, None)], "doc_id bigint, text string").selectExpr("*", "'x' as _t", "7 as _v", "'s' as score", "1 as _row", "true as held_out")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    got = classify(d, train(d, labels), keep=["doc_id", "score", "_t"])
+    assert got.columns == ["doc_id", "_t", "held_out", "score", "predicted"] and all(isinstance(r.score, float) for r in got.collect())
+    found = scan(d, fit(labelled_findings(spark, 400)))
+    assert found.columns == [*d.columns, "n_candidates", "n_secrets", "findings", "redacted_text"]
+    assert [(r._t, r._v, r.redacted_text is None) for r in found.orderBy("doc_id").collect()] == [("x", 7, False), ("x", 7, True)]
+
+
+def test_warc_keeps_ids_that_are_text(spark, tmp_path):
+    from sievework.llm.warc import archive_and_read
+
+    d = spark.createDataFrame([("p-1", "u", "<a>"), ("p-2", "u", "<a>"), ("q", None, None)], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in archive_and_read(d, f"file://{tmp_path}/w").collect()}
+    assert got == {"p-1": ("revisit", "p-2"), "p-2": ("response", None), "q": ("response", None)}
