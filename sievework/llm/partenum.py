@@ -3,11 +3,13 @@
 Sets of shingles of at least 80 % similarity differ in at most k elements, k = (a + b) / 9 for sizes a and b. Sizes are
 dealt into bands, each a factor 1.4 wide; a pair meets in the band of its smaller set, so a set near the lower end of its
 band also signs in the band below. A band cuts the domain of shingles into n1 partitions of first level, each of them
-into n2 = 3 of second level. Of the first k // 2 + 1 partitions of first level, one has at most k2 = 1 difference, so two
-sets agree there on a subset of n2 - k2 = 2 partitions of second level: all three such subsets of each of these first
-partitions are enumerated, and a signature is a subset with the elements that a set has in it. n1 is k // 2 + 1 for the
-largest k of the band. A subset without elements is no signature, as all sets without elements there would share it: a set
-that has any of those signs its k + 1 smallest elements as well, and two similar sets share one of them.
+into n2 = 3 of second level. Of the first k // 2 + 1 + m partitions of first level, m + 1 have at most k2 = 1 difference each, so
+two sets agree there on a subset of n2 - k2 = 2 partitions of second level: all three such subsets of each of these first
+partitions are enumerated, and a signature is a subset with the elements that a set has in it. n1 is that number for the
+largest k of the band. A subset without elements is no signature, as all sets without elements there would share it. A
+set that has such subsets in at most m partitions has none in one of the m + 1 where it agrees, which is enough for the
+pair. The spare partitions, m = a quarter of k // 2 + 1 (none below 4), make this the rule; a set with more signs its
+k + 1 smallest elements as well, and of two similar sets that both do so some of these are shared.
 
 Equal sets are one. Of the sets that share a signature, each is first compared with the one that looks nearest, twice;
 components of the links found so far leave only pairs between components open, and all of those that can still be
@@ -35,7 +37,19 @@ while EDGES[-1] < 1 << 40:
     EDGES.append(max(EDGES[-1] + 1, -(-EDGES[-1] * 7 // 5)))
 _EDGES = np.array(EDGES)
 _LAST = _EDGES[1:] - 1  # largest size of each band
-_N1 = (_LAST + _LAST * 5 // 4) // 9 // 2 + 1
+
+
+def _firsts(k: np.ndarray) -> np.ndarray:
+    """Partitions of first level that sets sign for up to k differences: those that the differences need, and spare ones."""
+    return k // 2 + 1 + _spare(k)
+
+
+def _spare(k: np.ndarray) -> np.ndarray:
+    need = k // 2 + 1
+    return np.where(need >= 4, -(-need // 4), 0)
+
+
+_N1 = _firsts((_LAST + _LAST * 5 // 4) // 9)
 N2 = 3
 _SEED = arrays.mix(np.arange(1, len(EDGES), dtype=np.uint64))
 _TAG, _SMALL = np.uint64(0xD1342543DE82EF95), np.uint64(0x5851F42D4C957F2D)
@@ -112,7 +126,7 @@ class Sets:
 
     def _signed(self, band: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of every set in a band each, for up to k differences."""
-        first = k // 2 + 1
+        first = _firsts(k)
         base = np.cumsum(first) - first
         x = arrays.mix(self.items + _SEED[band][self.owner])
         part = ((x >> np.uint64(32)) * _N1[band][self.owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
@@ -124,12 +138,12 @@ class Sets:
         sums, count = sums.reshape(-1, N2), count.reshape(-1, N2)
         owner = np.repeat(np.arange(len(k)), first)
         tag = arrays.mix(_SEED[band][owner] + (np.arange(total) - base[owner]).astype(np.uint64) * _TAG)
-        sig, of, empty = [], [], np.zeros(len(k), bool)
+        sig, of = [], []
         for i, j in ((0, 1), (0, 2), (1, 2)):
             some = count[:, i] + count[:, j] > 0
             sig.append(arrays.mix(arrays.mix(sums[some, i] + tag[some] + np.uint64(i)) * _PAIR + sums[some, j] + np.uint64(j)))
             of.append(owner[some])
-            empty[owner[~some]] = True
+        empty = np.bincount(owner[(count > 0).sum(1) < N2 - 1], minlength=len(k)) > _spare(k)
         number = np.arange(len(self.owner)) - self.start[self.owner]
         use = empty[self.owner] & (number <= k[self.owner])
         sig.append(arrays.mix(self.items[use] * _SMALL + _SEED[band][self.owner[use]]))
