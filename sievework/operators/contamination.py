@@ -102,6 +102,23 @@ def report(train: DataFrame, test: DataFrame, jaccard: float = 0.8, cosine_at: f
     return out.select(F.lit(split_id).alias("split_id"), "*", (rate * 100).alias("flagged_rate_pct"), (rate <= 0.01).alias("passed"))
 
 
+def check_all(df: DataFrame, split: DataFrame, jaccard: float = 0.8, cosine_at: float = 0.95) -> DataFrame:
+    """The report of each experiment and fold of a split (experiment, fold, sample_id, role), one row each; ids as ``<experiment>_<fold>``.
+
+    Folds without train or test rows are left out. The rows have their vectors before, so no text is embedded twice.
+    """
+    sides = split.groupBy("experiment", "fold").agg(F.count_if(F.col("role") == "train").alias("a"), F.count_if(F.col("role") == "test").alias("b"))
+    out = None
+    for f in sides.where("a > 0 and b > 0").orderBy("experiment", "fold").collect():
+        one = split.where((F.col("experiment") == f.experiment) & (F.col("fold") == f.fold))
+        train, test = (df.join(one.where(F.col("role") == r).select("sample_id"), "sample_id", "left_semi") for r in ("train", "test"))
+        r = report(train, test, jaccard, cosine_at, f"{f.experiment}_{f.fold}")
+        out = r if out is None else out.unionByName(r)
+    if out is None:
+        raise ValueError("no fold has both train and test rows")
+    return out
+
+
 def flags(train: DataFrame, test: DataFrame, jaccard: float = 0.8, cosine_at: float = 0.95, split_id: str = "split") -> DataFrame:
     """One record for each flagged test row and check, with the 12-digit ids of both texts."""
     lex = best_match(lexical(train, test, jaccard), "jaccard").select("test_id", "train_id", F.lit("lexical").alias("check_type"), F.col("jaccard").alias("score"))

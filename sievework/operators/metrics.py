@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,12 +87,16 @@ def thresholds(spark, n: int = 200, low: float = 0.01, high: float = 0.99) -> Da
 
 def sweep(df: DataFrame, n: int = 200) -> DataFrame:
     """Metrics at each of n thresholds. Rows are reduced to counts by the number of thresholds they reach, so nothing is multiplied by n."""
-    low, high = 0.01, 0.99
-    reach = F.greatest(F.lit(0), F.least(F.lit(n), F.floor((F.col("prob") - low) / (high - low) * (n - 1) + 1 + 1e-9)))
+    low, step = 0.01, 0.98 / (n - 1)
+    at = lambda i: i * step + F.lit(low)
+    i = F.floor((F.col("prob").cast("double") - low) / step)
+    # rounding may put a score on the wrong side of a threshold: the neighbours are compared as they are
+    i = F.when(F.col("prob") >= at(i + 1), i + 1).when(F.col("prob") < at(i), i - 1).otherwise(i)
+    reach = F.greatest(F.lit(0), F.least(F.lit(n), i + 1))
     c = df.where("prob is not null").groupBy(reach.cast("int").alias("reach")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
     t = df.sparkSession.range(n).select(F.col("id").cast("int").alias("i"))
     j = t.crossJoin(F.broadcast(c)).groupBy("i").agg(*(F.sum(F.when((F.col("reach") > F.col("i")) == hit, F.col(k)).otherwise(0)).alias(a) for a, k, hit in (("tp", "p", True), ("fp", "n", True), ("fn", "p", False), ("tn", "n", False))))
-    return j.select((F.lit(low) + F.col("i") * (high - low) / (n - 1)).alias("threshold"), *_bundle(*(F.col(x) for x in ("tp", "fp", "fn", "tn"))))
+    return j.select(at(F.col("i")).alias("threshold"), *_bundle(*(F.col(x) for x in ("tp", "fp", "fn", "tn"))))
 
 
 def best_threshold(df: DataFrame, n: int = 200) -> DataFrame:
@@ -115,25 +122,56 @@ def score_shift(train: DataFrame, test: DataFrame) -> DataFrame:
     return m(train, "train_mean").crossJoin(m(test, "test_mean")).withColumn("shift", F.col("test_mean") - F.col("train_mean"))
 
 
+#: Distinct (label, prediction, score) up to which a bootstrap of the areas under curves is offered: 32 MB at most are broadcast.
+DISTINCT = 1_000_000
+SIX = ("accuracy", "precision", "recall", "f1", "auc_roc", "auc_pr")
+
+
+def _weighted(label: np.ndarray, pred: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """The six metrics (``SIX``) of weighted rows in ascending order of score; the areas are 0 with a single class."""
+    tp, fp, fn, tn = (float(weight[(label == a) & (pred == b)].sum()) for a, b in ((1, 1), (0, 1), (1, 0), (0, 0)))
+    over = lambda a, b: a / b if b else 0.0
+    precision, recall = over(tp, tp + fp), over(tp, tp + fn)
+    f1 = (over(2 * tp, 2 * tp + fp + fn) + over(2 * tn, 2 * tn + fn + fp)) / 2
+    head = np.flatnonzero(np.diff(prob, prepend=np.nan) != 0)
+    p, n = (np.add.reduceat(weight * (label == k), head).astype(float) for k in (1, 0))
+    if not p.sum() * n.sum():
+        return over(tp + tn, tp + fp + fn + tn), precision, recall, f1, 0.0, 0.0
+    roc = (p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum())
+    hits, all_ = np.cumsum(p[::-1]), np.cumsum((p + n)[::-1])
+    return over(tp + tn, tp + fp + fn + tn), precision, recall, f1, roc, (p[::-1] / p.sum() * hits / np.maximum(all_, 1)).sum()
+
+
 def bootstrap(df: DataFrame, replicates: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile intervals of macro F1 and accuracy by resampling rows.
+    """Percentile intervals of the six metrics by resampling rows: one row with each metric, its _lower and its _upper.
 
-    Both depend on the four cells only, so rows become numbered ranges of cells once, and a replicate draws places: draw
-    j of replicate r is the hash of seed, r and j, modulo the number of rows. Replicates are dealt over the executors.
+    Rows of the same label, prediction and score are alike, so a replicate draws how often each kind comes (multinomial),
+    not rows: the work follows the distinct scores, not the rows. Replicates are dealt over the executors, each with a
+    generator of its own from seed and number. Rows without a score are left out; without rows all metrics are null.
+    ValueError for more than ``DISTINCT`` kinds: scores are to be rounded then.
     """
     spark = df.sparkSession
-    c = cells(df).first()
-    edges = [0, c.tp, c.tp + c.fp, c.tp + c.fp + c.fn, c.tp + c.fp + c.fn + c.tn]
-    n = edges[-1]
-    draws = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("r"), F.expr(f"id % {n}").alias("j"))
-    place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "r", "j"), 256), 1, 12), 16, 10).cast("bigint") % n
-    d = draws.select("r", place.alias("k"))
-    inside = lambda i: F.count_if((F.col("k") >= edges[i]) & (F.col("k") < edges[i + 1]))
-    each = d.groupBy("r").agg(*(inside(i).alias(x) for i, x in enumerate(("tp", "fp", "fn", "tn")))).select(*_bundle(*(F.col(x) for x in ("tp", "fp", "fn", "tn"))))
-    lo, hi = (1 - level) / 2, (1 + level) / 2
-    point = spark.range(1).select(*_bundle(*(F.lit(x) for x in (c.tp, c.fp, c.fn, c.tn))))
-    bounds = each.agg(*(F.percentile(m, F.lit(q)).alias(f"{m}_{s}") for m in ("accuracy", "f1") for s, q in (("lower", lo), ("upper", hi))))
-    return point.select("accuracy", "f1").crossJoin(bounds)
+    kinds = df.where("prob is not null").groupBy(F.col("label").cast("int").alias("label"), F.col("pred").cast("int").alias("pred"), F.col("prob").cast("double").alias("prob")).agg(F.count("*").alias("n"))
+    few = kinds.limit(DISTINCT + 1).toPandas().sort_values(["prob", "label", "pred"])
+    if len(few) > DISTINCT:
+        raise ValueError(f"more than {DISTINCT} distinct scores")
+    names = [f"{m}{s}" for m in SIX for s in ("", "_lower", "_upper")]
+    schema = ", ".join(f"{m} double" for m in SIX)
+    if few.empty:
+        return spark.createDataFrame([(None,) * len(names)], ", ".join(f"{x} double" for x in names))
+    columns = [few[c].to_numpy() for c in ("label", "pred", "prob")]
+    count = few["n"].to_numpy()
+    sent = spark.sparkContext.broadcast((columns, count))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, count = sent.value
+        share = count / count.sum()
+        for batch in batches:
+            yield pd.DataFrame([_weighted(*columns, np.random.default_rng([seed, r]).multinomial(count.sum(), share)) for r in batch["id"].tolist()], columns=list(SIX))
+
+    each = spark.range(replicates).mapInPandas(draw, schema)
+    bounds = each.agg(*(F.percentile(m, F.lit(q)).alias(f"{m}{s}") for m in SIX for s, q in (("_lower", (1 - level) / 2), ("_upper", (1 + level) / 2))))
+    return bounds.select("*", *(F.lit(float(v)).alias(m) for m, v in zip(SIX, _weighted(*columns, count), strict=True))).select(*names)
 
 
 # ---- tests over small tables of results ----

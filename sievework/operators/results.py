@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators import metrics
 from sievework.operators.metrics import t_p_value, wilcoxon_p_value
 
 # The order of rows in result tables, and costs of a query.
@@ -149,3 +150,39 @@ def replay_check(recomputed: DataFrame, stored: DataFrame, limit: float = 1e-3)
     key = [*KEY, "fold"]
     j = recomputed.select(*key, F.col("f1").alias("now")).join(stored.select(*key, F.col("f1").alias("was")), key)
     return j.withColumn("differs", F.abs(F.col("now") - F.col("was")) > limit)
+
+
+# ---- thresholds and rendered comparisons ----
+
+
+def threshold_analysis(train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row for scored predictions on train and test: F1 as predicted, with the best and with the calibrated threshold, both areas, and the shift of scores."""
+    parts = (
+        metrics.evaluate(test).select(F.col("f1").alias("uncalibrated_f1"), "auc_roc", "auc_pr"),
+        metrics.best_threshold(test).select(F.col("f1").alias("oracle_f1"), F.col("threshold").alias("oracle_threshold")),
+        metrics.calibrated(test).select(F.col("f1").alias("calibrated_f1")),
+        metrics.score_shift(train, test).select(F.col("shift").alias("score_shift")),
+    )
+    out = parts[0]
+    for p in parts[1:]:  # a row each
+        out = out.crossJoin(F.broadcast(p))
+    return out
+
+
+def threshold_summary(analyses: DataFrame) -> DataFrame:
+    """Analyses of combinations (embedding, classifier) in the fixed order of both, with the columns of the report."""
+    return enumerated(analyses).select("embedding", "classifier", "uncalibrated_f1", "oracle_f1", "oracle_threshold", "calibrated_f1", "auc_roc", "auc_pr", "score_shift")
+
+
+def cost_text(cost: Column) -> Column:
+    """A cost in dollars with four places; below 0.0001 it is about nothing."""
+    return F.when(cost >= 0.0001, F.format_string("$%.4f", cost)).otherwise("~$0")
+
+
+def comparison_markdown(comparison: DataFrame) -> str:
+    """A small comparison table (test_pool, system, f1, precision, recall, cost_per_query, winner) as Markdown; the F1 of winners is bold."""
+    four = lambda c: F.format_string("%.4f", F.col(c))
+    f1 = F.when(F.col("winner") != "—", F.concat(F.lit("**"), four("f1"), F.lit("**"))).otherwise(four("f1"))
+    rows = comparison.select("test_pool", "system", f1, four("precision"), four("recall"), cost_text(F.col("cost_per_query"))).collect()
+    lines = [["Test pool", "System", "F1", "Precision", "Recall", "Cost a query"], ["-"] * 6, *map(list, rows)]
+    return "\n".join("| " + " | ".join(r) + " |" for r in lines)

@@ -17,8 +17,35 @@ def stratum(columns: list[str]) -> Column:
     return F.concat_ws("_", *(F.coalesce(F.col(c).cast("string"), F.lit("_unknown")) for c in columns))
 
 
-def _rank(partition: list, seed: int | str, *more) -> Column:
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(T.hash_rank_key(seed, *more, F.col("sample_id")), "sample_id"))
+#: Hexadecimal digits of the hash by which rows are counted before they are numbered: at most 16 ** DIGITS parts.
+DIGITS = 3
+
+
+def _numbered(df: DataFrame, partition: list[str], seed: int | str, *more: Column) -> DataFrame:
+    """Adds _r, the number of a row (from 1) within its partition by the seeded hash, then id.
+
+    A partition is cut into ranges of the hash, which are counted and numbered apart: a few large strata or folds are
+    sorted by many tasks. The offsets are 16 ** DIGITS rows for each partition.
+    """
+    key = T.hash_rank_key(seed, *more, F.col("sample_id"))
+    d = df.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, DIGITS))
+    n = d.groupBy(*partition, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = n.select(*partition, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*partition, "_part").orderBy("_key", "sample_id"))
+    return d.withColumn("_i", within).join(offset, [*partition, "_part"]).withColumn("_r", F.col("_before") + F.col("_i")).drop("_key", "_part", "_i", "_before")
+
+
+def _first(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """The ids of the first n rows by the seeded hash: all of the ranges of the hash before the one in which the n-th lies, and the first of that range."""
+    d = df.select("sample_id", T.hash_rank_key(seed, F.col("sample_id")).alias("_key")).withColumn("_part", F.substring("_key", 1, DIGITS))
+    below = 0
+    for part, size in sorted(tuple(r) for r in d.groupBy("_part").agg(F.count("*")).collect()):  # at most 16 ** DIGITS rows
+        if below + size >= n:
+            last = d.where(F.col("_part") == part).orderBy("_key", "sample_id").limit(n - below)
+            return d.where(F.col("_part") < part).select("sample_id").unionByName(last.select("sample_id"))
+        below += size
+    return d.select("sample_id")
 
 
 def without_categories(df: DataFrame, excluded: list[str] | None) -> DataFrame:
@@ -38,7 +65,7 @@ def stratified_kfold(df: DataFrame, n_folds: int = 5, stratify_by: list[str] | N
     if facts[1] < 2:
         raise ValueError("stratified folds need two classes")
     key = stratum(stratify_by or ["label", "attack_category"]).alias("stratum")
-    return d.select("sample_id", key).withColumn("fold", ((_rank(["stratum"], seed) - 1) % n_folds).cast("int")).select("sample_id", "fold")
+    return _numbered(d.select("sample_id", key), ["stratum"], seed).select("sample_id", ((F.col("_r") - 1) % n_folds).cast("int").alias("fold"))
 
 
 def leave_one_out(df: DataFrame, min_samples: int = 200, benign_share: float = 0.2, seed: int = 42, train_only: tuple[str, ...] = ()) -> DataFrame:
@@ -55,7 +82,7 @@ def leave_one_out(df: DataFrame, min_samples: int = 200, benign_share: float = 0
     n_benign = df.where("label = 0").count()
     n_test = max(1, int(n_benign * benign_share))
     d = df.select("sample_id", "label", "attack_category", folds.alias("f")).select("sample_id", "label", "attack_category", "f.*")
-    benign = d.where("label = 0").withColumn("_r", _rank(["fold"], seed, F.col("fold")))
+    benign = _numbered(d.where("label = 0"), ["fold"], seed, F.col("fold"))
     role = F.when(F.col("_r") <= n_test, "test").otherwise("train")
     inj = d.where("label = 1").select("fold", "held_out", "sample_id", F.when(F.col("attack_category").eqNullSafe(F.col("held_out")), "test").otherwise("train").alias("role"))
     return inj.unionByName(benign.select("fold", "held_out", "sample_id", role.alias("role")))
@@ -63,11 +90,11 @@ def leave_one_out(df: DataFrame, min_samples: int = 200, benign_share: float = 0
 
 
 def _benign(df: DataFrame, share: float, seed: int) -> DataFrame:
-    """Roles of benign rows: the first by hash test, by a sorted limit rather than a window over all rows."""
+    """Roles of benign rows: the first by hash test, found by counts of ranges of the hash."""
     n = df.count()
     if not n:
         return df.select("sample_id", F.lit("train").alias("role"))
-    test = df.select("sample_id").orderBy(T.hash_rank_key(seed, F.col("sample_id")), "sample_id").limit(max(1, int(n * share))).withColumn("_t", F.lit(True))
+    test = _first(df, max(1, int(n * share)), seed).withColumn("_t", F.lit(True))
     return df.select("sample_id").join(test, "sample_id", "left").select("sample_id", F.when(F.col("_t"), "test").otherwise("train").alias("role"))
 
 
@@ -89,6 +116,26 @@ def crosslingual(df: DataFrame, benign_share: float = 0.2, seed: int = 42, home:
     return out.unionByName(_benign(df.where(is_home & (F.col("label") == 0)), benign_share, seed))
 
 
+def categories_left(df: DataFrame, least: int = 200, excluded: tuple[str, ...] = ("other",)) -> DataFrame:
+    """Categories of the injections that are neither excluded nor large enough to be held out: they only train."""
+    n = df.where("label = 1 and attack_category is not null").groupBy("attack_category").agg(F.count("*").alias("n"))
+    return n.where((F.col("n") < least) & ~F.col("attack_category").isin(*excluded))
+
+
+def locked_splits(df: DataFrame, least: int = 200, excluded: tuple[str, ...] = ("other",)) -> DataFrame:
+    """All four experiments without the excluded categories, each row with a SHA-256 over the number and the hashes of its fold's and role's ids, which locks the split."""
+    s = all_splits(without_categories(df, list(excluded)), least)
+    keys = ["experiment", "fold", "role"]
+    one = F.conv(F.substring(F.sha2(F.col("sample_id").cast("string"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    lock = s.groupBy(*keys).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(one).cast("string")), 256).alias("lock"))
+    return s.join(lock, keys).select("experiment", "fold", "held_out", "sample_id", "role", "lock")
+
+
+def plot_sample(df: DataFrame, most: int = 8000, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows without replacement, by hash: enough points for a plot."""
+    return df.join(_first(df, most, seed), "sample_id", "left_semi")
+
+
 def fold_roles(test_folds: DataFrame, n_folds: int) -> DataFrame:
     """Long form (fold, sample_id, role) of k-fold test rows."""
     each = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
@@ -126,7 +173,7 @@ def stratified_sample(df: DataFrame, n: int, seed: int = 42, keys: list[str] | N
     sizes = d.groupBy("stratum").agg(F.count("*").alias("size"))
     pool = sizes.agg(F.sum("size").alias("pool"))
     quota = sizes.crossJoin(F.broadcast(pool)).select("stratum", F.least("size", F.greatest(F.lit(1).cast("bigint"), F.bround(F.col("size") * float(n) / F.col("pool")).cast("bigint"))).alias("quota"))
-    r = d.withColumn("_r", _rank(["stratum"], seed)).join(quota, "stratum")
+    r = _numbered(d, ["stratum"], seed).join(quota, "stratum")
     first = F.when(F.col("_r") <= F.col("quota"), 0).otherwise(1)
     return r.orderBy(first, T.hash_rank_key(seed, F.col("sample_id")), "sample_id").limit(n).select("sample_id", "stratum")
 
@@ -134,5 +181,5 @@ def stratified_sample(df: DataFrame, n: int, seed: int = 42, keys: list[str] | N
 def holdout(df: DataFrame, share: float = 0.1, least: int = 10, seed: int = 42) -> DataFrame:
     """The first max(share, least) rows of a seeded shuffle are for calibration."""
     n = max(int(df.count() * share), least)
-    cal = df.select("sample_id").orderBy(T.hash_rank_key(seed, F.col("sample_id")), "sample_id").limit(n).withColumn("_c", F.lit(True))
+    cal = _first(df, n, seed).withColumn("_c", F.lit(True))
     return df.join(cal, "sample_id", "left").withColumn("calibration", F.coalesce("_c", F.lit(False))).drop("_c")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.operators.storage import materialize
 
 # Categories with their patterns, in order of evaluation.
 PATTERNS = {
@@ -164,6 +166,60 @@ def ask(df: DataFrame, provider: Callable[[list[str]], list[str]], text_col: str
     return df.mapInPandas(run, f"{schema}, raw string")
 
 
+def model_tag(model: str) -> str:
+    """The label source that answers of a model get: its name with ``_`` for ``-`` and ``.``."""
+    return model.translate(str.maketrans("-.", "__"))
+
+
+def prompt(text: Column, slugs: list[str] | None = None) -> Column:
+    """A question to a language model: the categories, one on each line, then the text; asks for one slug."""
+    names = slugs or list(SLUG_OF.values())
+    return F.concat(F.lit("Choose the one category that fits the text best. Categories:\n" + "\n".join(f"- {n}" for n in names) + "\n\nText:\n"), text, F.lit("\n\nAnswer with the name of the category only."))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Known answers (sample_hash, category_slug); empty if the file is missing. Lines that are not JSON objects of this form are left out."""
+    schema = "sample_hash string, category_slug string"
+    try:
+        return spark.read.schema(schema).json(path).where("sample_hash is not null")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def write_cache(cache: DataFrame, path: str) -> None:
+    """Adds answers to a cache; of several answers to a hash ``tier3`` takes the smallest."""
+    cache.select("sample_hash", "category_slug").write.mode("append").json(path)
+
+
+def tier3(df: DataFrame, cache: DataFrame, provider: Callable[[list[str]], list[str]] | None = None, budget: int | None = None, slugs: list[str] | None = None, id_col: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """Asks a language model for injections without a category; returns the table and the new answers, for the cache.
+
+    Texts whose hash the cache has take its answer and cost no call. Of the other distinct texts, in order of their
+    smallest id, the first ``budget`` (None: all) are asked, once each. Answers that name no category leave a row as it
+    is and are not cached. Without a provider only the cache is used.
+    """
+    names = slugs or list(SLUG_OF.values())
+    d = df.withColumn("_due", F.col("attack_category").isNull() & F.coalesce(F.col("label") == 1, F.lit(False)) & F.col("text").isNotNull()).withColumn("_h", T.hash16(F.col("text")))
+    known = cache.groupBy(F.col("sample_hash").alias("_h")).agg(F.min("category_slug").alias("_slug"))
+    new = known.limit(0)
+    if provider is not None:
+        todo = d.where("_due").join(known, "_h", "left_anti").groupBy("_h").agg(F.min(id_col).alias("_id"), F.min("text").alias("text"))
+        if budget is not None:
+            todo = todo.orderBy("_id").limit(budget)
+        asked = ask(todo.select("_h", prompt(F.col("text"), names).alias("text")), provider)
+        new = materialize(asked.select("_h", parse_name(F.col("raw"), names).alias("_slug")).where("_slug is not null"), "answers")
+    out = d.join(known.unionByName(new), "_h", "left").withColumn("attack_category", F.when(F.col("_due"), F.col("_slug")).otherwise(F.col("attack_category")))
+    return out.select(*df.columns), new.select(F.col("_h").alias("sample_hash"), F.col("_slug").alias("category_slug"))
+
+
+def apply_tiers(df: DataFrame, mapping: DataFrame | None = None, patterns: dict[str, list[str]] | None = None, cache: DataFrame | None = None, provider: Callable[[list[str]], list[str]] | None = None, budget: int | None = None) -> DataFrame:
+    """The categories by source, then by pattern, then (with a cache) by a language model: each tier sees what the ones before left open."""
+    out = match_patterns(map_sources(df, mapping), patterns)
+    return out if cache is None else tier3(out, cache, provider, budget)[0]
+
+
 def batch_requests(df: DataFrame, log: DataFrame, model: str, id_col: str = "sample_id") -> DataFrame:
     """One JSON request (custom_id, model, text) for each pending text."""
     p = pending(df, log, id_col=id_col).select("sample_hash", "text").groupBy("sample_hash").agg(F.min("text").alias("text"))

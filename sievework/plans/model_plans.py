@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators import contamination, metrics, results, splits
+from sievework.operators import contamination, embeddings, metrics, results, splits
 from sievework.plans.text_plans import six
-from sievework.plans.views import HASH, R, S, U, V, labelled, scored, vectors
+from sievework.plans.views import HASH, R, S, U, V, labelled, scored, table, vectors
 from sievework.plans.views import results as result_rows
 
 QUERIES, SQL = {}, {}
@@ -156,8 +156,8 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _best(rows: str) -> str:
-    return f"""t as (select 0.01::double + i * 0.98::double / 199 as threshold from range(200) r(i)),
-  x as (select threshold, count(*) filter (label = 1 and prob::double >= threshold - 1e-9) as tp, count(*) filter (label = 0 and prob::double >= threshold - 1e-9) as fp, count(*) filter (label = 1 and prob::double < threshold - 1e-9) as fn, count(*) filter (label = 0 and prob::double < threshold - 1e-9) as tn from t, {rows} group by 1),
+    return f"""t as (select i * (0.98::double / 199) + 0.01::double as threshold from range(200) r(i)),
+  x as (select threshold, count(*) filter (label = 1 and prob::double >= threshold) as tp, count(*) filter (label = 0 and prob::double >= threshold) as fp, count(*) filter (label = 1 and prob::double < threshold) as fn, count(*) filter (label = 0 and prob::double < threshold) as tn from t, {rows} group by 1),
   best as (select threshold, {F1} as f1 from x order by f1 desc, threshold limit 1)"""
 
 
@@ -182,13 +182,36 @@ def score_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bootstrap(scored(spark, sf), 200).select(*six("accuracy", "f1", "accuracy_lower", "accuracy_upper", "f1_lower", "f1_upper"))
+    return metrics.bootstrap(scored(spark, sf)).select(*six(*(f"{m}{s}" for m in metrics.SIX for s in ("", "_lower", "_upper"))))
 
 
-SQL["bootstrap_ci"] = f"""with {S}, c as (select {CELLS}, count(*) as n from s), d as (select r, ('0x' || substr(sha256('42:' || r || ':' || j), 1, 12))::bigint % n as k, tp as a, tp + fp as b, tp + fp + fn as e from c, range(200) x(r), range((select count(*) from s)) y(j)),
-  g as (select r, count(*) filter (k < a) as tp, count(*) filter (k >= a and k < b) as fp, count(*) filter (k >= b and k < e) as fn, count(*) filter (k >= e) as tn from d group by r),
-  m as (select (tp + tn) / (tp + fp + fn + tn)::double as accuracy, {F1} as f1 from g), p as (select (tp + tn) / (tp + fp + fn + tn)::double as accuracy, {F1} as f1 from c)
-select round(p.accuracy, 6) as accuracy, round(p.f1, 6) as f1, round(quantile_cont(m.accuracy, 0.025), 6) as accuracy_lower, round(quantile_cont(m.accuracy, 0.975), 6) as accuracy_upper, round(quantile_cont(m.f1, 0.025), 6) as f1_lower, round(quantile_cont(m.f1, 0.975), 6) as f1_upper from m, p group by p.accuracy, p.f1"""
+@query(f"with {U}, n as (select attack_category, count(*) as n from u where label = 1 and attack_category is not null group by 1) select attack_category, n from n where n < 20 and attack_category <> 'cat_0'")
+def training_only_categories(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.categories_left(labelled(spark, sf), 20, ("cat_0",))
+
+
+@query(f"with {U}, p as (select sample_id, row_number() over (order by {HASH.format(seed=42, parts='')}, sample_id) as r from u) select sample_id, label, attack_category from u join p using (sample_id) where r <= 500")
+def plot_points(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.plot_sample(labelled(spark, sf), 500).select("sample_id", "label", "attack_category")
+
+
+@query(f"with {S}, {_best('s')}, e as (select sum((select count(*) from s n where n.label = 0 and n.prob < p.prob) + 0.5 * (select count(*) from s n where n.label = 0 and n.prob = p.prob)) / (count(*) * (select count(*) from s where label = 0)) as auc_roc from s p where label = 1) select 'minilm' as embedding, 'logreg' as classifier, round({F1}, 6) as uncalibrated_f1, (select round(f1, 6) from best) as oracle_f1, (select round(threshold, 6) from best) as oracle_threshold, (select round(auc_roc, 6) from e)::double as auc_roc from (select {CELLS} from s) c")
+def threshold_summary(spark: SparkSession, sf: str) -> DataFrame:
+    one = results.threshold_analysis(scored(spark, sf), scored(spark, sf)).select(F.lit("minilm").alias("embedding"), F.lit("logreg").alias("classifier"), "*")
+    return results.threshold_summary(one).select("embedding", "classifier", *six("uncalibrated_f1", "oracle_f1", "oracle_threshold", "auc_roc"))
+
+
+@query("with t as (select doc_id as sample_id, text from documents), k as (select text, min(sample_id) as of_id, count(*) as n from t group by 1) select sample_id, of_id, n from t join k using (text)")
+def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text")
+    k = t.groupBy("text").agg(F.min("sample_id").alias("of_id"), F.count("*").alias("n"))
+    return embeddings.by_text(t, lambda texts: texts.join(k, "text")).select("sample_id", "of_id", "n")
+
+
+@query("select doc_id, 'Represent this: ' || text as prefixed, 'Instruct: ' || text || ' End' as templated from documents where text is not null")
+def embedding_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", embeddings.prefixed(F.col("text"), "Represent this: ").alias("prefixed"), embeddings.templated(F.col("text"), "Instruct: {text} End").alias("templated"))
 
 
 # ---- results ----

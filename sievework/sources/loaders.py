@@ -153,3 +153,36 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     d = d.select("experiment", F.posexplode(F.coalesce("folds", flat)).alias("fold", "x"))
     one = lambda c, r: d.select("experiment", "fold", F.col("x.held_out_category").alias("held_out"), F.explode(f"x.{c}").alias("sample_id"), F.lit(r).alias("role"))
     return one("train_indices", "train").unionByName(one("test_indices", "test"))
+
+
+def result_grid(results: DataFrame, experiments: list[str], classifiers: list[str], embeddings: list[str]) -> DataFrame:
+    """The fold rows of the given experiments, classifiers and embeddings; combinations that are missing are simply not there."""
+    return results.where(F.col("experiment").isin(*experiments) & F.col("classifier").isin(*classifiers) & F.col("embedding").isin(*embeddings))
+
+
+LLM_RESULT = "test_pool string, model string, metrics map<string,struct<value:double>>, cost struct<total_cost_usd:double,total_queries:bigint>"
+
+
+def read_llm_results(spark: SparkSession, path: str) -> DataFrame:
+    """Result files of language models as flat rows: test_pool, model, the metrics, total cost and cost a query (null without queries)."""
+    d = spark.read.schema(LLM_RESULT).option("multiLine", True).json(path)
+    m = lambda n: F.col("metrics")[n]["value"].alias(n)
+    return d.select("test_pool", "model", *map(m, ("f1", "accuracy", "precision", "recall")), F.col("cost.total_cost_usd").alias("total_cost"), (F.col("cost.total_cost_usd") / F.nullif(F.col("cost.total_queries"), F.lit(0))).alias("cost_per_query"))
+
+
+def discover_split_pairs(spark: SparkSession, folder: str) -> list[str]:
+    """Folders below ``folder``, sorted, that have both a train and a test table (``train.parquet`` and ``test.parquet``)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [root]
+    while todo:
+        here = todo.pop()
+        names = {}
+        for status in fs.listStatus(here):
+            names[status.getPath().getName()] = status.getPath()
+            if status.isDirectory() and not status.getPath().getName().endswith(".parquet"):
+                todo.append(status.getPath())
+        if {"train.parquet", "test.parquet"} <= set(names):
+            found.append(here.toUri().getPath())
+    return sorted(found)

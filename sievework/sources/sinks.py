@@ -39,6 +39,16 @@ def processed_labels(df: DataFrame) -> DataFrame:
     return df.where(F.coalesce(F.col("label_source").isin("llm", "gpt_4_1_mini", "uncertain"), F.lit(False))).withColumn("applied", F.col("label_source") != "uncertain")
 
 
+def write_json(report: DataFrame, path: str) -> None:
+    """A small report as JSON lines with null fields, in one file."""
+    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_run(folds: DataFrame, folder: str) -> None:
+    """Fold rows of runs (experiment, embedding, classifier, …) in folders of these names; runs that are there already stay, those written again are replaced."""
+    folds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "embedding", "classifier").parquet(folder)
+
+
 def _cell(v, none: str) -> str:
     return none if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
 
