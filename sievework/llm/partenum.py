@@ -59,7 +59,7 @@ SHORT = 8
 #: Ids up to which the documents of candidate pairs are picked by a broadcast, not by a shuffle of all texts.
 SENT = 1_000_000
 #: Signatures of a bucket, about; and signatures a shingle, about.
-BUCKET, SHARE = 1_000_000, 0.75
+BUCKET, SHARE = 3_000_000, 0.75
 #: Bytes of text whose signatures are sent together.
 CHUNK_BYTES = 16 << 20
 
