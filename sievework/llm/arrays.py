@@ -110,12 +110,13 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
-def words(block: Block) -> Words:
-    """Maximal runs of bytes that are not white space, within each text."""
+def words(block: Block, inside: np.ndarray | None = None) -> Words:
+    """Maximal runs of bytes that are not white space, or of those for which ``inside`` holds, within each text."""
     if not len(block.data):
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(len(block) + 1, np.int64))
-    inside = (block.data != 0x20) & ((block.data - np.uint8(9)) > 4)
+    if inside is None:
+        inside = (block.data != 0x20) & ((block.data - np.uint8(9)) > 4)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()

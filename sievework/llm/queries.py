@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import partenum, quality_rules, warc
+from sievework.llm import importance, partenum, quality_rules, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,5 +82,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_texts=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_quality_classifier, op4_media, op5_lm_scoring, op6_packing, op7_line_dedup, op8_secrets, op9_warc, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op2_ngram_join": partenum.oracle(), "op9_warc": warc.oracle()}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+OPERATORS = (
+    op1_quality_rules, op2_ngram_join, op3_quality_classifier, op4_media, op5_lm_scoring, op6_packing, op7_line_dedup, op8_secrets, op9_warc, op10_bpe,
+    op11_prefix_trie, op12_importance_resampling,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.oracle(), "op2_ngram_join": partenum.oracle(), "op9_warc": warc.oracle(),
+    "op11_prefix_trie": trie.oracle(), "op12_importance_resampling": importance.oracle(),
+}

@@ -8,7 +8,8 @@ import tempfile
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -95,6 +96,56 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _places(stored: DataFrame, name: str) -> DataFrame:
+    """Replaces ``_at``, the monotonically increasing id of the rows of a written table, by their place from 1.
+
+    A row for each partition tells how many stand before it.
+    """
+    spark = stored.sparkSession
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = stored.groupBy(part).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offset = F.broadcast(spark.createDataFrame(offset.collect(), "_part bigint, _before bigint"))  # a row for each partition
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.withColumn("_part", part).join(offset, "_part").withColumn(name, F.col("_before") + within + 1).drop("_part", "_before", "_at")
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """Adds the place of each row, from 1, in the given order over the whole table (a table of ``written``: it is read twice).
+
+    Rows are dealt by ranges and sorted within them, so that no task gets more than its range, not even of rows that are
+    alike, which stand in the order in which they are stored.
+    """
+    stored = df.withColumn("_stored", F.monotonically_increasing_id())
+    by = [*order, F.col("_stored").asc()]
+    ranged = stored.repartitionByRange(*by).sortWithinPartitions(*by).drop("_stored")
+    return _places(written(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges"), name)
+
+
+def dense_names(keys: DataFrame, name: str = "name") -> DataFrame:
+    """The distinct rows, numbered from 1 without gaps in no particular order."""
+    return _places(written(keys.distinct().withColumn("_at", F.monotonically_increasing_id()), "names"), name)
+
+
+#: CRC-32 by halves of a byte: the polynomial's remainders.
+_NIBBLES = [0] * 16
+for _i in range(16):
+    _c = _i
+    for _ in range(4):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    _NIBBLES[_i] = _c
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes in DuckDB's SQL."""
+    step = f"xor(([{', '.join(map(str, _NIBBLES))}]::ubigint[])[((xor(c, {{n}}) & 15) + 1)::int], c >> 4)"
+    low, high = "(x & 15)", "(x >> 4)"
+    once = step.format(n=low)
+    twice = f"list_reduce([{once}, {high}], lambda c, x: {step.format(n='x')})"
+    each = f"list_transform(generate_series(1, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::ubigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {each}), lambda c, x: {twice}), 4294967295::ubigint)"
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, for executors; a path without scheme is a mounted folder."""
     from pyarrow import fs
