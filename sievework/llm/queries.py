@@ -94,9 +94,16 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.pii import find, train
+
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, train(docs))
+
+
 OPERATORS = (
     op1_quality_rules, op2_ngram_join, op3_quality_classifier, op4_media, op5_lm_scoring, op6_packing, op7_line_dedup, op8_secrets, op9_warc, op10_bpe,
-    op11_prefix_trie, op12_importance_resampling,
+    op11_prefix_trie, op12_importance_resampling, op13_pii,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {
