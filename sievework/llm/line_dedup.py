@@ -433,10 +433,10 @@ def _candidates(rows: list[bytes], every: bool) -> Iterator[pa.RecordBatch]:
     for i, low, high, both in ((one, b.low[one], one, False), (rest, b.low[rest], b.high[rest], True)):
         for p in b.ranges(i, low, high):
             x, y, bits = b.able(*p)
+            candidate[y] = True  # of a settled line too: the line near which it settled may turn out not to be similar
             if both:
                 use = ~done[x]
                 x, y, bits = x[use], y[use], bits[use]
-            candidate[y] = True
             x, y, bits, n = _least(x, y, bits)
             found[x] += n
             use = bits < nearest[x]
