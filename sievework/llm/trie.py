@@ -154,7 +154,8 @@ def trie(t: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def _nodes(t: DataFrame, lengths: DataFrame) -> DataFrame:
     p = prefixes(t, lengths)
-    nodes = p.groupBy("d", "name").agg(F.min("conv").alias("node"), F.max("length").alias("deepest"))
+    # written, so that both sides of the join are plain shuffles, of which Spark splits the part of a node of very many members
+    nodes = written(p.groupBy("d", "name").agg(F.min("conv").alias("node"), F.max("length").alias("deepest")), "nodes")
     p = written(p.join(nodes, ["d", "name"]).select("conv", "d", "node", "length", "total", "last", (F.col("deepest") == F.col("d")).alias("leaf")), "paths")
     own = F.col("conv") == F.col("node")
     facts = p.groupBy("conv").agg(

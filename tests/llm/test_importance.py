@@ -99,4 +99,4 @@ def test_crc32_in_sql():
     from sievework.llm.shared import crc32_sql
 
     for t in ("", "a", "héllo wörld", "日本 x"):
-        assert duckdb.sql(f"select {crc32_sql(repr(t))}").fetchone()[0] == zlib.crc32(t.encode())
+        assert duckdb.connect().execute(f"select {crc32_sql(repr(t))}").fetchall() == [(zlib.crc32(t.encode()),)]
