@@ -391,13 +391,16 @@ def examples(texts: list[str], seed: int = 5) -> tuple[list[Graph], list[list[in
 
 
 def train(docs: DataFrame, text_col: str = "text", max_docs: int = 1000, max_chars: int = 20_000, seed: int = 5) -> Field | None:
-    """The field, from at most ``max_docs`` texts of at most ``max_chars`` characters that have a digit or ``@``, first by hash.
+    """The field, from at most ``max_docs`` distinct texts of at most ``max_chars`` characters that have a digit or ``@``, first by hash.
 
     None where they have no finding: then nothing can be learned, and ``find`` returns what the patterns find.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    some = docs.select(text.alias("text")).where((F.length("text") <= max_chars) & F.col("text").rlike("[0-9@]"))
-    texts = [r[0] for r in some.orderBy(F.xxhash64("text"), "text").limit(max_docs).collect()]
+    some = docs.select(text.alias("text")).where((F.length("text") <= max_chars) & F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    n = some.agg(F.approx_count_distinct("h")).first()[0]
+    if 2 * max_docs < n:  # about twice as many texts as are taken leave the executors, whatever the size of the table
+        some = some.where(F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * 2 * max_docs / n))
+    texts = [r[0] for r in some.groupBy("h").agg(F.min("text").alias("text")).orderBy(F.pmod("h", F.lit(1 << 40)), "h").limit(max_docs).select("text").collect()]
     graphs, labels, known = examples(texts, seed)
     return fit(graphs, labels, known) if any(x for one in labels for x in one) else None
 
