@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions.vector import cosine
 from sievework.operators.dedup import similar_pairs
-
-#: Vectors of a block that is compared at once, and the most test vectors that are sent to every executor.
-BLOCK, SENT = 4096, 200_000
+from sievework.operators.neighbours import nearest
+from sievework.operators.storage import materialize
 
 
 def lexical(train: DataFrame, test: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -32,50 +27,6 @@ def best_match(pairs: DataFrame, score: str) -> DataFrame:
     return pairs.groupBy("test_id").agg(best).select("test_id", "b.train_id", f"b.{score}")
 
 
-def nearest(train: DataFrame, test: DataFrame, vector: str = "embedding") -> DataFrame:
-    """For each test vector the most similar train vector by cosine (test_id, train_id, similarity).
-
-    Test vectors, if at most SENT, go to every executor as one matrix; each task multiplies its blocks of train vectors
-    with it and keeps one best for each test vector, and a last minimum joins the tasks. Beyond that, parts of the test
-    table are taken one after the other. Vectors of no length, and nulls, match nothing.
-    """
-    test = test.where(F.col(vector).isNotNull())
-    n = test.count()
-    if not n:
-        return test.sparkSession.createDataFrame([], "test_id bigint, train_id bigint, similarity double")
-    parts = -(-n // SENT)
-    out = None
-    for part in range(parts):
-        rows = test.select(F.col("sample_id").cast("bigint"), vector) if parts == 1 else test.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == part).select(F.col("sample_id").cast("bigint"), vector)
-        some = rows.toPandas()
-        ids, m = some["sample_id"].to_numpy(), np.array(some[vector].tolist(), np.float64)
-        length = np.linalg.norm(m, axis=1)
-        ids, m = ids[length > 0], m[length > 0] / length[length > 0, None]
-        sent = test.sparkSession.sparkContext.broadcast((ids, m))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, m = sent.value
-            best, who = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
-            for batch in batches:
-                v = np.array(batch[vector].tolist(), np.float64)
-                if not len(v):
-                    continue
-                size = np.linalg.norm(v, axis=1)
-                own, v = batch["sample_id"].to_numpy()[size > 0], v[size > 0] / size[size > 0, None]
-                for i in range(0, len(v), BLOCK):
-                    s = np.round(m @ v[i : i + BLOCK].T, 12)
-                    top = s.max(1)
-                    first = np.where(s == top[:, None], own[i : i + BLOCK], np.iinfo(np.int64).max).min(1)
-                    better = (top > best) | ((top == best) & (first < who))
-                    best[better], who[better] = top[better], first[better]
-            some = np.isfinite(best)
-            yield pd.DataFrame({"test_id": ids[some], "train_id": who[some], "similarity": best[some]})
-
-        found = train.select(F.col("sample_id").cast("bigint"), vector).where(F.col(vector).isNotNull()).mapInPandas(run, "test_id bigint, train_id bigint, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("test_id").agg(F.min_by(F.struct("train_id", "similarity"), F.struct(-F.col("similarity"), F.col("train_id"))).alias("b")).select("test_id", "b.train_id", "b.similarity")
-
-
 def semantic(train: DataFrame, test: DataFrame, threshold: float = 0.95, vector: str = "embedding") -> DataFrame:
     return nearest(train, test, vector).where(F.col("similarity") >= threshold)
 
@@ -85,38 +36,69 @@ def homogeneity(train: DataFrame, test: DataFrame, vector: str = "embedding") ->
     return nearest(train, test, vector).agg(F.avg("similarity").alias("homogeneity"))
 
 
-def report(train: DataFrame, test: DataFrame, jaccard: float = 0.8, cosine_at: float = 0.95, split_id: str = "split") -> DataFrame:
-    """One row: sizes, rows flagged by either check, their rate in percent, whether at most 1 % are flagged, homogeneity, the three worst of each kind."""
-    from sievework.operators.storage import materialize
+def _lexical_best(rows: DataFrame, threshold: float) -> DataFrame:
+    """(split_id, test_id, train_id, jaccard): the best train row of each test row, within its split.
 
-    lex = materialize(best_match(lexical(train, test, jaccard), "jaccard"), "lexical")
-    near = materialize(nearest(train, test), "nearest")
+    Distinct token sets are joined once for all splits; a split then asks only which similar sets train in it, so neither
+    copies of a text nor splits are multiplied into pairs.
+    """
+    items = F.array_sort(F.array_distinct(T.tokens(F.col("text"))))
+    texts = materialize(rows.select("sample_id", "text").dropDuplicates(["sample_id", "text"]).select("sample_id", "text", items.alias("items")).where(F.size("items") > 0), "token-sets")
+    texts = texts.withColumn("key", F.sha2(F.array_join("items", " "), 256))
+    sets = materialize(texts.groupBy("key").agg(F.first("items").alias("items")), "distinct-sets")
+    pairs = materialize(similar_pairs(sets, F.col("items"), threshold, "key"), "similar-sets")
+    own = sets.select(F.col("key").alias("key"), F.col("key").alias("other"), F.lit(1.0).alias("jaccard"))
+    links = own.unionByName(pairs.select(F.col("a").alias("key"), F.col("b").alias("other"), "jaccard")).unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("other"), "jaccard"))
+    known = materialize(rows.join(texts.select("sample_id", "text", "key"), ["sample_id", "text"]).select("split_id", "role", "sample_id", "key"), "split-sets")
+    train = known.where("role = 'train'").groupBy("split_id", F.col("key").alias("other")).agg(F.min("sample_id").alias("train_id"))
+    test = known.where("role = 'test'").groupBy("split_id", "key").agg(F.count("*").alias("n"))
+    best = F.min_by(F.struct("train_id", "jaccard"), F.struct(-F.col("jaccard"), F.col("train_id"))).alias("b")
+    best = test.join(links, "key").join(train, ["split_id", "other"]).groupBy("split_id", "key").agg(best).select("split_id", "key", "b.*")
+    return known.where("role = 'test'").join(best, ["split_id", "key"]).select("split_id", F.col("sample_id").alias("test_id"), "train_id", "jaccard")
+
+
+def _reports(rows: DataFrame, jaccard: float, cosine_at: float) -> DataFrame:
+    """The report of each split of ``rows`` (split_id, role, sample_id, text, embedding), all in one plan."""
+    lex = materialize(_lexical_best(rows, jaccard), "lexical")
+    side = lambda r: rows.where(F.col("role") == r)
+    near = materialize(nearest(side("train"), side("test"), by="split_id"), "nearest")
     sem = near.where(F.col("similarity") >= cosine_at)
-    flagged = lex.select("test_id").union(sem.select("test_id")).distinct()
-    one = lambda d, *c: d.agg(*c)
-    worst = lambda d, s: d.orderBy(F.desc(s), "test_id").limit(3).agg(F.array_sort(F.collect_list(F.struct((-F.col(s)).alias("k"), "test_id", "train_id"))).alias("w")).select(F.transform("w", lambda x: F.struct(x["test_id"].alias("test_id"), x["train_id"].alias("train_id"), (-x["k"]).alias("score"))).alias(f"worst_{s}"))
-    out = one(test, F.count("*").alias("n_test"))
-    for d in (one(train, F.count("*").alias("n_train")), one(lex, F.count("*").alias("lexical_flagged")), one(sem, F.count("*").alias("semantic_flagged")), one(flagged, F.count("*").alias("total_flagged")), one(near, F.avg("similarity").alias("homogeneity")), worst(lex, "jaccard"), worst(sem, "similarity")):
-        out = out.crossJoin(F.broadcast(d))
+    flagged = lex.select("split_id", "test_id").union(sem.select("split_id", "test_id")).distinct()
+
+    def worst(d: DataFrame, score: str) -> DataFrame:
+        first = d.withColumn("_r", F.row_number().over(Window.partitionBy("split_id").orderBy(F.desc(score), "test_id"))).where("_r <= 3")
+        three = F.array_sort(F.collect_list(F.struct("_r", "test_id", "train_id", F.col(score).alias("score"))))
+        return first.groupBy("split_id").agg(F.transform(three, lambda x: x.dropFields("_r")).alias(f"worst_{score}"))
+
+    out = rows.groupBy("split_id").agg(F.count_if(F.col("role") == "test").alias("n_test"), F.count_if(F.col("role") == "train").alias("n_train"))
+    of = lambda d, *c: d.groupBy("split_id").agg(*c)
+    n = F.count("*")
+    parts = (of(lex, n.alias("lexical_flagged")), of(sem, n.alias("semantic_flagged")), of(flagged, n.alias("total_flagged")), of(near, F.avg("similarity").alias("homogeneity")), worst(lex, "jaccard"), worst(sem, "similarity"))
+    for part in parts:  # a row for each split
+        out = out.join(part, "split_id", "left")
+    out = out.na.fill(0, ["lexical_flagged", "semantic_flagged", "total_flagged"])
     rate = F.coalesce(F.col("total_flagged") / F.nullif("n_test", F.lit(0)), F.lit(0.0))
-    return out.select(F.lit(split_id).alias("split_id"), "*", (rate * 100).alias("flagged_rate_pct"), (rate <= 0.01).alias("passed"))
+    return out.select("*", (rate * 100).alias("flagged_rate_pct"), (rate <= 0.01).alias("passed"))
+
+
+def report(train: DataFrame, test: DataFrame, jaccard: float = 0.8, cosine_at: float = 0.95, split_id: str = "split") -> DataFrame:
+    """One row: sizes, rows flagged by either check, their rate in percent, whether at most 1 % are flagged, homogeneity, the three worst of each kind. No row without any rows."""
+    part = lambda d, role: d.select(F.lit(split_id).alias("split_id"), F.lit(role).alias("role"), "sample_id", "text", "embedding")
+    return _reports(materialize(part(train, "train").unionByName(part(test, "test")), "both-sides"), jaccard, cosine_at)
 
 
 def check_all(df: DataFrame, split: DataFrame, jaccard: float = 0.8, cosine_at: float = 0.95) -> DataFrame:
-    """The report of each experiment and fold of a split (experiment, fold, sample_id, role), one row each; ids as ``<experiment>_<fold>``.
+    """The report of each experiment and fold of a split (experiment, fold, sample_id, role), one row each, from one plan; ids as ``<experiment>_<fold>``.
 
-    Folds without train or test rows are left out. The rows have their vectors before, so no text is embedded twice.
+    Folds without train or test rows are left out; ValueError if none is left. The rows have their vectors before, so no
+    text is embedded twice.
     """
-    sides = split.groupBy("experiment", "fold").agg(F.count_if(F.col("role") == "train").alias("a"), F.count_if(F.col("role") == "test").alias("b"))
-    out = None
-    for f in sides.where("a > 0 and b > 0").orderBy("experiment", "fold").collect():
-        one = split.where((F.col("experiment") == f.experiment) & (F.col("fold") == f.fold))
-        train, test = (df.join(one.where(F.col("role") == r).select("sample_id"), "sample_id", "left_semi") for r in ("train", "test"))
-        r = report(train, test, jaccard, cosine_at, f"{f.experiment}_{f.fold}")
-        out = r if out is None else out.unionByName(r)
-    if out is None:
+    s = split.select(F.concat_ws("_", "experiment", F.col("fold").cast("string")).alias("split_id"), "role", "sample_id")
+    sides = s.groupBy("split_id").agg(F.count_if(F.col("role") == "train").alias("a"), F.count_if(F.col("role") == "test").alias("b")).where("a > 0 and b > 0")
+    rows = materialize(df.select("sample_id", "text", "embedding").join(s.join(sides.select("split_id"), "split_id", "left_semi"), "sample_id"), "split-rows")
+    if rows.isEmpty():
         raise ValueError("no fold has both train and test rows")
-    return out
+    return _reports(rows, jaccard, cosine_at)
 
 
 def flags(train: DataFrame, test: DataFrame, jaccard: float = 0.8, cosine_at: float = 0.95, split_id: str = "split") -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions import text as T
+from sievework.operators.storage import materialize
 
 
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -43,22 +43,65 @@ def _by_score(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by, "prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
 
 
+#: Ranges of scores within which prefix sums are made apart.
+RANGES = 256
+
+
+def score_ranges(df: DataFrame, ranges: int = RANGES) -> Column:
+    """The number of the range of ``prob`` in which a row lies, by about equally many rows: what was learned of the scores in one pass, as nested comparisons."""
+    if ranges < 2:
+        return F.lit(0)
+    at = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(df.agg(F.percentile_approx("prob", at, 10 * ranges)).first()[0] or []))
+
+    def choose(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("prob") <= float(bounds[mid]), choose(low, mid)).otherwise(choose(mid + 1, high))
+
+    return choose(0, len(bounds))
+
+
+def _running(s: DataFrame, keys: list[str], ranges: Column, down: bool) -> DataFrame:
+    """Adds p_to and n_to, the sums of p and n over all rows before in order of score, without the row's own.
+
+    In two levels: sums within a range of scores, and the totals of the ranges before (a row for each range), so no task
+    sorts all scores.
+    """
+    s = s.withColumn("_range", ranges)
+    order = F.desc if down else F.asc
+    within = Window.partitionBy(*keys, "_range").orderBy(order("prob")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = s.groupBy(*keys, "_range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    at = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("__range"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}0") for c in "pn"))
+    same = F.col("_range") == F.col("__range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inside = s.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_{c}") for c in "pn"))
+    return inside.join(F.broadcast(at), same).select(*keys, "prob", "p", "n", *((F.col(f"_{c}") + F.col(f"_{c}0")).alias(f"{c}_to") for c in "pn"))
+
+
 def curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """At each distinct score from the highest: true and false positives so far, their rates, precision and recall."""
     keys = by or []
-    down = Window.partitionBy(*keys).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    s = _by_score(df, keys)
-    tp, fp, all_p, all_n = F.sum("p").over(down), F.sum("n").over(down), F.sum("p").over(whole), F.sum("n").over(whole)
-    return s.select(*keys, "prob", tp.alias("tp"), fp.alias("fp"), (tp / F.nullif(all_p, F.lit(0))).alias("recall"), (fp / F.nullif(all_n, F.lit(0))).alias("fpr"), (tp / (tp + fp)).alias("precision"), (F.col("p") / F.nullif(all_p, F.lit(0))).alias("gain"))
+    s = _running(_by_score(df, keys), keys, score_ranges(df), True)
+    tp, fp = F.col("p_to") + F.col("p"), F.col("n_to") + F.col("n")
+    whole = s.groupBy(*keys).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_p", "_n")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    s = s.join(F.broadcast(whole), same)
+    all_p, all_n = F.nullif("_p", F.lit(0)), F.nullif("_n", F.lit(0))
+    return s.select(*keys, "prob", tp.alias("tp"), fp.alias("fp"), (tp / all_p).alias("recall"), (fp / all_n).alias("fpr"), (tp / (tp + fp)).alias("precision"), (F.col("p") / all_p).alias("gain"))
 
 
 def auc_roc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The share of (positive, negative) pairs in order, ties half; 0 with a single class or without scores."""
     keys = by or []
-    up = Window.partitionBy(*keys).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    s = _by_score(df.where("prob is not null"), keys).withColumn("below", F.coalesce(F.sum("n").over(up), F.lit(0)))
-    good = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0))
+    df = df.where("prob is not null")
+    s = _running(_by_score(df, keys), keys, score_ranges(df), False)
+    good = F.sum(F.col("p") * (F.col("n_to") + F.col("n") / 2.0))
     auc = F.coalesce(good / F.nullif(F.sum("p").cast("double") * F.sum("n"), F.lit(0.0)), F.lit(0.0)).alias("auc_roc")
     return s.groupBy(*keys).agg(auc) if keys else s.agg(auc)
 
@@ -122,56 +165,77 @@ def score_shift(train: DataFrame, test: DataFrame) -> DataFrame:
     return m(train, "train_mean").crossJoin(m(test, "test_mean")).withColumn("shift", F.col("test_mean") - F.col("train_mean"))
 
 
-#: Distinct (label, prediction, score) up to which a bootstrap of the areas under curves is offered: 32 MB at most are broadcast.
-DISTINCT = 1_000_000
 SIX = ("accuracy", "precision", "recall", "f1", "auc_roc", "auc_pr")
+#: Distinct (label, prediction, score) of a range of scores, about, and replicates that one task draws for it.
+KINDS, DRAWS = 50_000, 500
 
 
-def _weighted(label: np.ndarray, pred: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
-    """The six metrics (``SIX``) of weighted rows in ascending order of score; the areas are 0 with a single class."""
-    tp, fp, fn, tn = (float(weight[(label == a) & (pred == b)].sum()) for a, b in ((1, 1), (0, 1), (1, 0), (0, 0)))
-    over = lambda a, b: a / b if b else 0.0
-    precision, recall = over(tp, tp + fp), over(tp, tp + fn)
-    f1 = (over(2 * tp, 2 * tp + fp + fn) + over(2 * tn, 2 * tn + fn + fp)) / 2
-    head = np.flatnonzero(np.diff(prob, prepend=np.nan) != 0)
-    p, n = (np.add.reduceat(weight * (label == k), head).astype(float) for k in (1, 0))
-    if not p.sum() * n.sum():
-        return over(tp + tn, tp + fp + fn + tn), precision, recall, f1, 0.0, 0.0
-    roc = (p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum())
-    hits, all_ = np.cumsum(p[::-1]), np.cumsum((p + n)[::-1])
-    return over(tp + tn, tp + fp + fn + tn), precision, recall, f1, roc, (p[::-1] / p.sum() * hits / np.maximum(all_, 1)).sum()
+def _draws(seed: int, cell: int, first: int, count: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """How often each kind comes in each replicate of a block: Poisson numbers of a generator of seed, replicate and range. Replicate -1 is the rows as they are."""
+    if first < 0:
+        yield -1, count.astype(float)
+        return
+    for r in range(first, first + DRAWS):
+        yield r, np.random.default_rng([seed, r, cell]).poisson(count).astype(float)
 
 
 def bootstrap(df: DataFrame, replicates: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile intervals of the six metrics by resampling rows: one row with each metric, its _lower and its _upper.
 
-    Rows of the same label, prediction and score are alike, so a replicate draws how often each kind comes (multinomial),
-    not rows: the work follows the distinct scores, not the rows. Replicates are dealt over the executors, each with a
-    generator of its own from seed and number. Rows without a score are left out; without rows all metrics are null.
-    ValueError for more than ``DISTINCT`` kinds: scores are to be rounded then.
+    Each row comes a Poisson(1) number of times in a replicate, so rows of the same label, prediction and score together
+    come a Poisson number of times with their count as mean: the work follows the distinct scores, not the rows. Scores
+    are cut into ranges; a task draws a block of replicates for a range, in two passes with the same draws: the first
+    gives the totals of each range, the second the areas under the curves given what lies in the ranges above. Nothing
+    is gathered, and there is no bound on scores. Rows without a score are left out; without rows all metrics are null.
     """
     spark = df.sparkSession
-    kinds = df.where("prob is not null").groupBy(F.col("label").cast("int").alias("label"), F.col("pred").cast("int").alias("pred"), F.col("prob").cast("double").alias("prob")).agg(F.count("*").alias("n"))
-    few = kinds.limit(DISTINCT + 1).toPandas().sort_values(["prob", "label", "pred"])
-    if len(few) > DISTINCT:
-        raise ValueError(f"more than {DISTINCT} distinct scores")
     names = [f"{m}{s}" for m in SIX for s in ("", "_lower", "_upper")]
-    schema = ", ".join(f"{m} double" for m in SIX)
-    if few.empty:
+    kinds = df.where("prob is not null").groupBy(F.col("label").cast("int").alias("label"), F.col("pred").cast("int").alias("pred"), F.col("prob").cast("double").alias("prob")).agg(F.count("*").alias("n"))
+    kinds = materialize(kinds, "kinds")
+    many = kinds.count()
+    if not many:
         return spark.createDataFrame([(None,) * len(names)], ", ".join(f"{x} double" for x in names))
-    columns = [few[c].to_numpy() for c in ("label", "pred", "prob")]
-    count = few["n"].to_numpy()
-    sent = spark.sparkContext.broadcast((columns, count))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, count = sent.value
-        share = count / count.sum()
-        for batch in batches:
-            yield pd.DataFrame([_weighted(*columns, np.random.default_rng([seed, r]).multinomial(count.sum(), share)) for r in batch["id"].tolist()], columns=list(SIX))
-
-    each = spark.range(replicates).mapInPandas(draw, schema)
-    bounds = each.agg(*(F.percentile(m, F.lit(q)).alias(f"{m}{s}") for m in SIX for s, q in (("_lower", (1 - level) / 2), ("_upper", (1 + level) / 2))))
-    return bounds.select("*", *(F.lit(float(v)).alias(m) for m, v in zip(SIX, _weighted(*columns, count), strict=True))).select(*names)
+    cell = score_ranges(kinds, max(1, min(RANGES, -(-many // KINDS))))
+    blocks = [-1, *range(0, replicates, DRAWS)]
+    dealt = kinds.select(cell.cast("int").alias("cell"), "label", "pred", "prob", "n", F.explode(F.array(*map(F.lit, blocks))).alias("block"))
+    sums = ["tp", "fp", "fn", "tn"]
+    schema = "cell int, replicate int, " + ", ".join(f"{c} double" for c in sums)
+
+    def totals(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["prob", "label", "pred"])
+        which = [((t["label"] == a) & (t["pred"] == b)).to_numpy(float) for a, b in ((1, 1), (0, 1), (1, 0), (0, 0))]
+        return pd.DataFrame([(key[0], r, *(float(w @ x) for x in which)) for r, w in _draws(seed, key[0], key[1], t["n"].to_numpy())], columns=["cell", "replicate", *sums])
+
+    first = materialize(dealt.groupBy("cell", "block").applyInPandas(totals, schema).where(F.col("replicate") < replicates), "replicate-sums")
+    above = Window.partitionBy("replicate").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    p, n = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
+    block = F.when(F.col("replicate") < 0, -1).otherwise(F.floor(F.col("replicate") / DRAWS) * DRAWS).cast("int")
+    offsets = first.select("cell", "replicate", block.alias("block"), F.coalesce(F.sum(p).over(above), F.lit(0.0)).alias("p0"), F.coalesce(F.sum(n).over(above), F.lit(0.0)).alias("n0"))
+
+    def areas(key: tuple, t: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["prob", "label", "pred"])
+        prob, label = t["prob"].to_numpy()[::-1], t["label"].to_numpy()[::-1]
+        head = np.flatnonzero(np.diff(prob, prepend=np.nan) != 0)
+        at = before.set_index("replicate")
+        out = []
+        for r, w in _draws(seed, key[0], key[1], t["n"].to_numpy()):
+            if r not in at.index:
+                continue
+            w = w[::-1]
+            p, n = (np.add.reduceat(w * (label == k), head) for k in (1, 0))
+            hits, false = at.at[r, "p0"] + np.cumsum(p), at.at[r, "n0"] + np.cumsum(n)
+            out.append((r, float((n * (hits - p / 2)).sum()), float((p * hits / np.maximum(hits + false, 1)).sum())))
+        return pd.DataFrame(out, columns=["replicate", "roc", "pr"]).astype({"replicate": int, "roc": float, "pr": float})
+
+    second = dealt.groupBy("cell", "block").cogroup(offsets.groupBy("cell", "block")).applyInPandas(areas, "replicate int, roc double, pr double")
+    a = second.groupBy("replicate").agg(F.sum("roc").alias("roc"), F.sum("pr").alias("pr"))
+    s = first.groupBy("replicate").agg(*(F.sum(c).alias(c) for c in sums)).join(a, "replicate")
+    one = F.nullif((F.col("tp") + F.col("fn")) * (F.col("fp") + F.col("tn")), F.lit(0.0))
+    roc = F.coalesce(F.col("roc") / one, F.lit(0.0)).alias("auc_roc")
+    pr = F.coalesce(F.when(one.isNotNull(), F.col("pr") / (F.col("tp") + F.col("fn"))), F.lit(0.0)).alias("auc_pr")
+    each = materialize(s.select("replicate", *_bundle(*(F.col(c) for c in sums)), roc, pr), "replicates")
+    bounds = each.where("replicate >= 0").agg(*(F.percentile(m, F.lit(q)).alias(f"{m}{s}") for m in SIX for s, q in (("_lower", (1 - level) / 2), ("_upper", (1 + level) / 2))))
+    return each.where("replicate < 0").select(*SIX).crossJoin(F.broadcast(bounds)).select(*names)
 
 
 # ---- tests over small tables of results ----

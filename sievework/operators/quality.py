@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
@@ -37,7 +37,19 @@ def bands(df: DataFrame, source: str, keywords: list[str] | None = None) -> Data
     s = with_confidence(df.where(from_source(source)), keywords)
     c = F.col("confidence_score")
     out = s.agg(F.count("*").alias("total"), F.count_if(c < 0.3).alias("low"), F.count_if((c >= 0.3) & (c < 0.7)).alias("medium"), F.count_if(c >= 0.7).alias("high"), F.avg(c).alias("mean_score"), F.median(c).alias("median_score"))
-    return out.withColumn("low_share", F.col("low") / F.nullif("total", F.lit(0)))
+    out = out.withColumn("low_share", F.col("low") / F.nullif("total", F.lit(0)))
+    return out.withColumn("issues", issues(F.col("total"), F.col("low_share"), F.col("mean_score")))
+
+
+def issues(total: Column, low_share: Column, mean_score: Column, many: int = 10_000) -> Column:
+    """What the rules say of a source: most rows of low confidence, a low mean, too many rows; or that nothing is wrong, or that it has no rows."""
+    rules = [
+        F.when(low_share > 0.5, F.concat(F.format_string("%.1f", low_share * 100), F.lit("% of the rows have a confidence below 0.3: they may have no injection in them"))),
+        F.when(mean_score < 0.4, F.concat(F.lit("the mean confidence is only "), F.format_string("%.2f", mean_score), F.lit(": filter or review the source"))),
+        F.when(total > many, F.concat(total.cast("string"), F.lit(" rows: cap the source to keep the corpus balanced"))),
+    ]
+    said = F.filter(F.array(*rules), lambda x: x.isNotNull())
+    return F.when(total == 0, F.array(F.lit("no rows of this source"))).when(F.size(said) == 0, F.array(F.lit("nothing critical"))).otherwise(said)
 
 
 def recommend_filter(df: DataFrame, source: str, threshold: float = 0.4, max_samples: int = 5000, keywords: list[str] | None = None) -> DataFrame:

@@ -74,10 +74,10 @@ def paired(folds: DataFrame, left: str = "standard_cv", right: str = "leave_out"
     return s.withColumn("t", F.when(F.col("n") >= 2, F.col("mean_difference") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0))))
 
 
-def significance(folds: DataFrame, level: float = 0.05) -> DataFrame:
+def significance(folds: DataFrame, level: float = 0.05, left: str = "standard_cv", right: str = "leave_out") -> DataFrame:
     """p values over the (few) combinations: signed ranks from six pairs on, else the paired t test; fewer than two pairs are left out."""
     rows = []
-    for r in paired(folds).where("n >= 2").collect():
+    for r in paired(folds, left, right).where("n >= 2").collect():
         if r.n >= 6:
             stat, p, test = *wilcoxon_p_value([x.d for x in r.pairs]), "wilcoxon"
         elif r.t is None:
@@ -121,10 +121,11 @@ def regimes(classifiers: DataFrame, llm: DataFrame, calibrated: DataFrame | None
     return out
 
 
-def defense_curve(spark, classifier_f1: float, llm_f1: float, points: int = 50) -> DataFrame:
-    """Cost and F1 when a share of inputs goes on to the language model."""
+def defense_curve(levels: DataFrame, points: int = 50) -> DataFrame:
+    """Cost and F1 when a share of inputs goes on to the language model, from one row (classifier_f1, llm_f1)."""
     e = F.col("id") / float(points - 1)
-    return spark.range(points).select(e.alias("rate"), (F.lit(CLASSIFIER_COST) + e * LLM_COST).alias("cost"), ((1 - e) * classifier_f1 + e * llm_f1).alias("f1"))
+    f1 = (1 - e) * F.col("classifier_f1") + e * F.col("llm_f1")
+    return levels.sparkSession.range(points).crossJoin(F.broadcast(levels.select("classifier_f1", "llm_f1").limit(1))).select(e.alias("rate"), (F.lit(CLASSIFIER_COST) + e * LLM_COST).alias("cost"), f1.alias("f1"))
 
 
 def escalation_points(curve: DataFrame, rates: tuple[float, ...] = (0.1, 0.25, 0.5, 1.0), within: float = 0.02) -> DataFrame:

@@ -122,9 +122,16 @@ def categories_left(df: DataFrame, least: int = 200, excluded: tuple[str, ...] =
     return n.where((F.col("n") < least) & ~F.col("attack_category").isin(*excluded))
 
 
-def locked_splits(df: DataFrame, least: int = 200, excluded: tuple[str, ...] = ("other",)) -> DataFrame:
-    """All four experiments without the excluded categories, each row with a SHA-256 over the number and the hashes of its fold's and role's ids, which locks the split."""
-    s = all_splits(without_categories(df, list(excluded)), least)
+def locked_splits(df: DataFrame, least: int = 200, excluded: tuple[str, ...] = ("other",), train_only: tuple[str, ...] = ()) -> DataFrame:
+    """All four experiments without the excluded categories, each row with a SHA-256 over the number and the hashes of its fold's and role's ids, which locks the split.
+
+    The folds of the cross-validation are stratified by label alone; categories of ``train_only`` are never held out.
+    ValueError if a row both trains and tests in a fold.
+    """
+    s = all_splits(without_categories(df, list(excluded)), least, ["label"], train_only)
+    both = overlap(s.withColumn("fold", F.concat_ws("_", "experiment", "fold"))).where("in_both > 0")
+    if not both.isEmpty():
+        raise ValueError("train and test are not disjoint")
     keys = ["experiment", "fold", "role"]
     one = F.conv(F.substring(F.sha2(F.col("sample_id").cast("string"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
     lock = s.groupBy(*keys).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(one).cast("string")), 256).alias("lock"))
@@ -153,10 +160,15 @@ def test_union(split: DataFrame) -> DataFrame:
     return split.where("role = 'test'").select("sample_id").distinct()
 
 
-def all_splits(df: DataFrame, min_samples: int = 150) -> DataFrame:
+def split_counts(split: DataFrame, df: DataFrame) -> DataFrame:
+    """For each experiment, fold and role: rows, and how many are injections."""
+    return split.join(df.select("sample_id", "label"), "sample_id").groupBy("experiment", "fold", "role").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n_injections"))
+
+
+def all_splits(df: DataFrame, min_samples: int = 150, stratify_by: list[str] | None = None, train_only: tuple[str, ...] = ()) -> DataFrame:
     """All four experiments in one table; those a table cannot support are left out, except the folds."""
-    out = fold_roles(stratified_kfold(df), 5).select(F.lit("standard_cv").alias("experiment"), "fold", F.lit(None).cast("string").alias("held_out"), "sample_id", "role")
-    for name, make in (("leave_out", lambda: leave_one_out(df, min_samples)), ("direct_indirect", lambda: direct_indirect(df)), ("crosslingual", lambda: crosslingual(df))):
+    out = fold_roles(stratified_kfold(df, stratify_by=stratify_by), 5).select(F.lit("standard_cv").alias("experiment"), "fold", F.lit(None).cast("string").alias("held_out"), "sample_id", "role")
+    for name, make in (("leave_out", lambda: leave_one_out(df, min_samples, train_only=train_only)), ("direct_indirect", lambda: direct_indirect(df)), ("crosslingual", lambda: crosslingual(df))):
         try:
             part = make()
         except ValueError:

@@ -120,6 +120,13 @@ def parse_label(raw: Column) -> Column:
     return F.struct(F.when(known, label).alias("label"), F.when(known, F.coalesce(a["confidence"].try_cast("double"), F.lit(0.5))).alias("confidence"))
 
 
+def zero_shot(raw: Column) -> Column:
+    """struct(pred, prob) of a model's answer: the confidence is the probability of an injection, or one less of it for a benign text; an answer that cannot be parsed is benign with 0.5."""
+    a = parse_label(raw)
+    yes = a["label"] == "injection"
+    return F.struct(F.coalesce(yes, F.lit(False)).cast("int").alias("pred"), F.coalesce(F.when(yes, a["confidence"]).otherwise(1 - a["confidence"]), F.lit(0.5)).alias("prob"))
+
+
 def parse_name(raw: Column, names: list[str]) -> Column:
     """The answer, trimmed and in lower case, if it is one of the names."""
     cleaned = F.lower(T.squeeze(raw))
@@ -179,17 +186,19 @@ def prompt(text: Column, slugs: list[str] | None = None) -> Column:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Known answers (sample_hash, category_slug); empty if the file is missing. Lines that are not JSON objects of this form are left out."""
+    from sievework.sources.lines import read_json_lines
+
     schema = "sample_hash string, category_slug string"
     try:
-        return spark.read.schema(schema).json(path).where("sample_hash is not null")
+        return read_json_lines(spark, path, schema).where("sample_hash is not null")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, line_no bigint")
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
-    """Adds answers to a cache; of several answers to a hash ``tier3`` takes the smallest."""
+    """Adds answers to a cache; of several answers to a hash ``tier3`` takes that of the last line."""
     cache.select("sample_hash", "category_slug").write.mode("append").json(path)
 
 
@@ -202,7 +211,8 @@ def tier3(df: DataFrame, cache: DataFrame, provider: Callable[[list[str]], list[
     """
     names = slugs or list(SLUG_OF.values())
     d = df.withColumn("_due", F.col("attack_category").isNull() & F.coalesce(F.col("label") == 1, F.lit(False)) & F.col("text").isNotNull()).withColumn("_h", T.hash16(F.col("text")))
-    known = cache.groupBy(F.col("sample_hash").alias("_h")).agg(F.min("category_slug").alias("_slug"))
+    last = F.max_by("category_slug", "line_no") if "line_no" in cache.columns else F.last("category_slug")
+    known = cache.groupBy(F.col("sample_hash").alias("_h")).agg(last.alias("_slug"))
     new = known.limit(0)
     if provider is not None:
         todo = d.where("_due").join(known, "_h", "left_anti").groupBy("_h").agg(F.min(id_col).alias("_id"), F.min("text").alias("text"))

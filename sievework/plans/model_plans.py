@@ -99,11 +99,14 @@ def knn_semantic_flags(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.semantic(v.where("sample_id % 5 <> 0"), v.where("sample_id % 5 = 0"), 0.4).select("test_id", "train_id", *six("similarity"))
 
 
-@query(f"with {V}, s as (select a.attack_category as held_out, a.sample_id, max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) as m from v a join v b on a.attack_category = 'cat_2' and b.attack_category is distinct from 'cat_2' group by 1, 2) select round(avg(m), 6) as homogeneity from s")
+@query(f"with {V}, s as (select a.attack_category as held_out, a.sample_id, max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) as m from v a join v b on a.attack_category is not null and b.attack_category is distinct from a.attack_category group by 1, 2) select held_out, round(avg(m), 6) as homogeneity from s group by 1")
 def template_homogeneity(spark: SparkSession, sf: str) -> DataFrame:
+    """Each category against all other rows, in one job."""
     v = vectors(spark, sf)
-    own = F.col("attack_category").eqNullSafe(F.lit("cat_2"))
-    return contamination.homogeneity(v.where(~own), v.where(own)).select(*six("homogeneity"))
+    held = v.where("attack_category is not null").select(F.col("attack_category").alias("held_out"))
+    test = v.where("attack_category is not null").withColumn("held_out", F.col("attack_category"))
+    train = v.join(F.broadcast(held.distinct()), ~F.col("attack_category").eqNullSafe(F.col("held_out")))
+    return contamination.nearest(train, test, by="held_out").groupBy("held_out").agg(F.avg("similarity").alias("homogeneity")).select("held_out", *six("homogeneity"))
 
 
 CENTRE = "p as (select attack_category, unnest(generate_series(1, 64)) as k, unnest(embedding)::double as x from v where label = 1), m as (select attack_category, k, avg(x) as x from p group by 1, 2), c as (select attack_category, list(x order by k) as x from m group by 1)"
@@ -185,9 +188,9 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.bootstrap(scored(spark, sf)).select(*six(*(f"{m}{s}" for m in metrics.SIX for s in ("", "_lower", "_upper"))))
 
 
-@query(f"with {U}, n as (select attack_category, count(*) as n from u where label = 1 and attack_category is not null group by 1) select attack_category, n from n where n < 20 and attack_category <> 'cat_0'")
+@query(f"with {U}, n as (select attack_category, count(*) as n from u where label = 1 and attack_category is not null group by 1) select attack_category, n from n where n < 1000 and attack_category <> 'cat_0'")
 def training_only_categories(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.categories_left(labelled(spark, sf), 20, ("cat_0",))
+    return splits.categories_left(labelled(spark, sf), 1000, ("cat_0",))
 
 
 @query(f"with {U}, p as (select sample_id, row_number() over (order by {HASH.format(seed=42, parts='')}, sample_id) as r from u) select sample_id, label, attack_category from u join p using (sample_id) where r <= 500")
@@ -195,10 +198,19 @@ def plot_points(spark: SparkSession, sf: str) -> DataFrame:
     return splits.plot_sample(labelled(spark, sf), 500).select("sample_id", "label", "attack_category")
 
 
-@query(f"with {S}, {_best('s')}, e as (select sum((select count(*) from s n where n.label = 0 and n.prob < p.prob) + 0.5 * (select count(*) from s n where n.label = 0 and n.prob = p.prob)) / (count(*) * (select count(*) from s where label = 0)) as auc_roc from s p where label = 1) select 'minilm' as embedding, 'logreg' as classifier, round({F1}, 6) as uncalibrated_f1, (select round(f1, 6) from best) as oracle_f1, (select round(threshold, 6) from best) as oracle_threshold, (select round(auc_roc, 6) from e)::double as auc_roc from (select {CELLS} from s) c")
+TEST = "st as (select * from s where sample_id % 5 = 0)"
+TEST_CAL = CAL.replace("from s)", "from st)")
+
+
+@query(f"""with {S}, {TEST}, {TEST_CAL}, {_best('st')}, {_best('(select * from h where calibration)').replace('t as (', 't2 as (').replace('x as (', 'x2 as (').replace('best as (', 'best2 as (').replace('from t,', 'from t2,').replace('from x ', 'from x2 ')},
+  c as (select count(*) filter (label = 1 and y) as tp, count(*) filter (label = 0 and y) as fp, count(*) filter (label = 1 and not y) as fn, count(*) filter (label = 0 and not y) as tn from (select label, prob::double >= (select threshold from best2) as y from h where not calibration)),
+  u as (select {CELLS} from st), {PR.replace('from s group', 'from st group')}
+select 'minilm' as embedding, 'logreg' as classifier, (select round({F1}, 6) from u) as uncalibrated_f1, (select round(f1, 6) from best) as oracle_f1, (select round(threshold, 6) from best) as oracle_threshold, (select round({F1}, 6) from c) as calibrated_f1,
+  {AUC.replace('from s a, s b', 'from st a, st b')} as auc_roc, {AP} as auc_pr, (select round(avg(prob) filter (sample_id % 5 = 0) - avg(prob) filter (sample_id % 5 <> 0), 6)::double from s where label = 1) as score_shift""")
 def threshold_summary(spark: SparkSession, sf: str) -> DataFrame:
-    one = results.threshold_analysis(scored(spark, sf), scored(spark, sf)).select(F.lit("minilm").alias("embedding"), F.lit("logreg").alias("classifier"), "*")
-    return results.threshold_summary(one).select("embedding", "classifier", *six("uncalibrated_f1", "oracle_f1", "oracle_threshold", "auc_roc"))
+    s = scored(spark, sf)
+    one = results.threshold_analysis(s.where("sample_id % 5 <> 0"), s.where("sample_id % 5 = 0")).select(F.lit("minilm").alias("embedding"), F.lit("logreg").alias("classifier"), "*")
+    return results.threshold_summary(one).select("embedding", "classifier", *six("uncalibrated_f1", "oracle_f1", "oracle_threshold", "calibrated_f1", "auc_roc", "auc_pr", "score_shift"))
 
 
 @query("with t as (select doc_id as sample_id, text from documents), k as (select text, min(sample_id) as of_id, count(*) as n from t group by 1) select sample_id, of_id, n from t join k using (text)")
@@ -222,25 +234,25 @@ MASTER = """ms as (select experiment, embedding, classifier, avg(f1) as f, stdde
 
 @query(f"with {R}, {MASTER} select embedding, classifier, round(cv_f1, 6) as cv_f1, round(cv_std, 6) as cv_std, round(leave_out_f1, 6) as leave_out_f1, round(leave_out_std, 6) as leave_out_std, round(delta_f1, 6) as delta_f1 from mt")
 def master_table(spark: SparkSession, sf: str) -> DataFrame:
-    return results.enumerated(results.master_table(result_rows(spark))).select("embedding", "classifier", *six("cv_f1", "cv_std", "leave_out_f1", "leave_out_std", "delta_f1"))
+    return results.enumerated(results.master_table(result_rows(spark, sf))).select("embedding", "classifier", *six("cv_f1", "cv_std", "leave_out_f1", "leave_out_std", "delta_f1"))
 
 
-CATS = [f"cat_{i}" for i in range(6)]
+CATS = [f"cat_{i}" for i in range(5)]
 
 
 @query(f"with {R} select embedding, classifier, {', '.join(f'round(max(f1) filter (held_out = {c!r}), 6) as {c}' for c in CATS)}, round(avg(f1), 6) as mean from r where experiment = 'leave_out' group by 1, 2")
 def per_fold_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return results.per_fold(result_rows(spark), CATS).select("embedding", "classifier", *six(*CATS, "mean"))
+    return results.per_fold(result_rows(spark, sf), CATS).select("embedding", "classifier", *six(*CATS, "mean"))
 
 
 @query(f"with {R}, {MASTER} select embedding, {', '.join(f'round(max(delta_f1) filter (classifier = {c!r}), 6) as {c}' for c in results.CLASSIFIERS)} from mt group by 1")
 def delta_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    return results.heatmap(result_rows(spark), results.CLASSIFIERS).select("embedding", *six(*results.CLASSIFIERS))
+    return results.heatmap(result_rows(spark, sf), results.CLASSIFIERS).select("embedding", *six(*results.CLASSIFIERS))
 
 
 @query(f"with {R}, {MASTER} select embedding, classifier, 'cv_f1' as experiment, round(cv_f1, 6) as f1 from mt union all select embedding, classifier, 'leave_out_f1', round(leave_out_f1, 6) from mt")
 def melted_results(spark: SparkSession, sf: str) -> DataFrame:
-    return results.melted(result_rows(spark)).select("embedding", "classifier", "experiment", *six("f1"))
+    return results.melted(result_rows(spark, sf)).select("embedding", "classifier", "experiment", *six("f1"))
 
 
 DELTA = "dl as (select held_out, avg(cv.f - r.f1) as delta_f1, avg(r.f1) as mean_f1, count(*) as n from r join ms cv on cv.experiment = 'standard_cv' and cv.embedding = r.embedding and cv.classifier = r.classifier where r.experiment = 'leave_out' group by 1)"
@@ -248,62 +260,80 @@ DELTA = "dl as (select held_out, avg(cv.f - r.f1) as delta_f1, avg(r.f1) as mean
 
 @query(f"with {R}, {MASTER}, {DELTA} select held_out, round(delta_f1, 6) as delta_f1, round(mean_f1, 6) as mean_f1, n from dl")
 def delta_f1(spark: SparkSession, sf: str) -> DataFrame:
-    return results.delta_by_category(result_rows(spark)).select("held_out", *six("delta_f1", "mean_f1"), "n")
+    return results.delta_by_category(result_rows(spark, sf)).select("held_out", *six("delta_f1", "mean_f1"), "n")
 
 
 @query(f"""with {R}, {MASTER}, {DELTA} select (select round(avg(cv_f1), 6) from mt) as mean_cv, (select round(avg(leave_out_f1), 6) from mt) as mean_leave_out, (select round(avg(delta_f1), 6) from mt) as mean_delta,
   (select embedding || '/' || classifier from mt order by round(leave_out_f1, 9) desc, 1 desc limit 1) as best, (select embedding || '/' || classifier from mt order by round(leave_out_f1, 9), 1 limit 1) as worst,
   (select held_out from dl order by round(mean_f1, 9), 1 limit 1) as hardest, (select held_out from dl order by round(mean_f1, 9) desc, 1 desc limit 1) as easiest""")
 def hardest_category(spark: SparkSession, sf: str) -> DataFrame:
-    return results.extremes(result_rows(spark)).select(*six("mean_cv", "mean_leave_out", "mean_delta"), "best", "worst", "hardest", "easiest")
+    return results.extremes(result_rows(spark, sf)).select(*six("mean_cv", "mean_leave_out", "mean_delta"), "best", "worst", "hardest", "easiest")
 
 
 @query(f"""with {R}, p as (select embedding, classifier, a.f1 - b.f1 as d from (select * from r where experiment = 'standard_cv') a join (select * from r where experiment = 'leave_out') b using (embedding, classifier, fold))
 select embedding, classifier, count(*) as n, round(avg(d), 6) as mean_difference, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) as t from p group by 1, 2""")
 def paired_t(spark: SparkSession, sf: str) -> DataFrame:
-    return results.paired(result_rows(spark)).select("embedding", "classifier", "n", *six("mean_difference", "t"))
+    return results.paired(result_rows(spark, sf)).select("embedding", "classifier", "n", *six("mean_difference", "t"))
+
+
+@query(f"""with {R}, p as (select embedding, classifier, a.f1 - b.f1 as d from (select * from r where experiment = 'standard_cv') a join (select * from r where experiment = 'leave_out') b using (embedding, classifier, fold)),
+  t as (select embedding, classifier, count(*) as n, avg(d) / (stddev_samp(d) / sqrt(count(*))) as t from p group by 1, 2),
+  w as (select *, abs(t) / sqrt(4 + t * t) as w from t)
+select embedding, classifier, n, round(t, 6) as statistic, round(1 - 1.5::double * w + 0.5::double * w * w * w, 6) as p_value, 'paired_t' as test, 1 - 1.5::double * w + 0.5::double * w * w * w < 0.05 as significant from w""")
+def significance_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Five pairs have four degrees of freedom, for which the p value has a closed form in SQL."""
+    return results.significance(result_rows(spark, sf)).select("embedding", "classifier", "n", *six("statistic", "p_value"), "test", "significant")
 
 
 @query(f"with {R}, {MASTER} select round(regr_slope(delta_f1, cv_f1), 6) as slope, round(regr_intercept(delta_f1, cv_f1), 6) as intercept, round(corr(delta_f1, cv_f1), 6) as r, round(regr_r2(delta_f1, cv_f1), 6) as r2, regr_count(delta_f1, cv_f1)::bigint as n from mt")
 def linear_regression(spark: SparkSession, sf: str) -> DataFrame:
-    return results.regression(results.master_table(result_rows(spark)), "cv_f1", "delta_f1").select(*six("slope", "intercept", "r", "r2"), "n")
+    return results.regression(results.master_table(result_rows(spark, sf)), "cv_f1", "delta_f1").select(*six("slope", "intercept", "r", "r2"), "n")
 
 
-POOLS = """cl as (select case when experiment = 'standard_cv' then 'standard_cv' else 'direct_indirect' end as test_pool, embedding, classifier, f1 from r where fold = 0),
-  ll as (select * from (values ('standard_cv', 0.9123::double), ('direct_indirect', 0.8456::double)) t(test_pool, f1)),
-  bc as (select test_pool, embedding || '/' || classifier as system, f1 from cl qualify row_number() over (partition by test_pool order by f1 desc, embedding || '/' || classifier desc) = 1),
-  bj as (select bc.test_pool, bc.system, bc.f1 as own, ll.f1 as llm from bc join ll using (test_pool))"""
+#: The scored predictions stand for a language model's, on all rows and on every fifth.
+LLM = f"""la as (select 'standard_cv' as test_pool, {F1} as f1 from (select {CELLS} from s) union all select 'direct_indirect', {F1} from (select {CELLS} from s where sample_id % 5 = 0))"""
+POOLS = f"""{S[len(V) + 2:]}, {LLM}, cl as (select case when experiment = 'standard_cv' then 'standard_cv' else 'direct_indirect' end as test_pool, embedding, classifier, avg(f1) as f1 from r group by 1, 2, 3),
+  bc as (select test_pool, embedding || '/' || classifier as system, f1 from cl qualify row_number() over (partition by test_pool order by round(f1, 12) desc, embedding || '/' || classifier desc) = 1),
+  bj as (select bc.test_pool, bc.system, bc.f1 as own, la.f1 as llm from bc join la using (test_pool))"""
 
 
-def _pools(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    pool = F.when(F.col("experiment") == "standard_cv", "standard_cv").otherwise("direct_indirect")
-    llm = spark.sql("select * from values ('standard_cv', 0.9123D), ('direct_indirect', 0.8456D) as t(test_pool, f1)")
-    return result_rows(spark).where("fold = 0").select(pool.alias("test_pool"), "embedding", "classifier", "f1"), llm
+def _pools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    pool = F.when(F.col("experiment") == "standard_cv", "standard_cv").otherwise("direct_indirect").alias("test_pool")
+    own = result_rows(spark, sf).groupBy(pool, "embedding", "classifier").agg(F.avg("f1").alias("f1"))
+    s = scored(spark, sf)
+    llm = [metrics.evaluate(d).select(F.lit(n).alias("test_pool"), "f1") for n, d in (("standard_cv", s), ("direct_indirect", s.where("sample_id % 5 = 0")))]
+    return own, llm[0].unionByName(llm[1])
 
 
 @query(f"""with {R}, {POOLS} select test_pool, system, round(own, 6) as f1, 0.000001::double as cost_per_query, case when own > llm then 'classifier' else 'llm' end as winner, round(abs(own - llm), 6) as f1_gap from bj
-  union all select test_pool, 'llm', llm, 0.0008::double, case when own > llm then 'classifier' else 'llm' end, round(abs(own - llm), 6) from bj""")
+  union all select test_pool, 'llm', round(llm, 6), 0.0008::double, case when own > llm then 'classifier' else 'llm' end, round(abs(own - llm), 6) from bj""")
 def comparison_table(spark: SparkSession, sf: str) -> DataFrame:
-    return results.comparison(*_pools(spark)).select("test_pool", "system", *six("f1"), "cost_per_query", "winner", *six("f1_gap"))
+    return results.comparison(*_pools(spark, sf)).select("test_pool", "system", *six("f1"), "cost_per_query", "winner", *six("f1_gap"))
 
 
-@query(f"with {R}, {POOLS} select case when test_pool = 'standard_cv' then 'known' else 'novel' end as regime, case when test_pool = 'standard_cv' then 0 else 1 end as place, round(own, 6) as classifier_f1, llm as llm_f1 from bj union all select 'novel, calibrated', 2, 0.91::double, 0.8456::double")
+@query(f"""with {R}, {POOLS}, {CAL}, {_best('(select * from h where calibration)')}, c as (select count(*) filter (label = 1 and y) as tp, count(*) filter (label = 0 and y) as fp, count(*) filter (label = 1 and not y) as fn, count(*) filter (label = 0 and not y) as tn from (select label, prob::double >= (select threshold from best) as y from h where not calibration))
+select case when test_pool = 'standard_cv' then 'known' else 'novel' end as regime, case when test_pool = 'standard_cv' then 0 else 1 end as place, round(own, 6) as classifier_f1, round(llm, 6) as llm_f1 from bj
+  union all select 'novel, calibrated', 2, (select round({F1}, 6) from c), (select round(f1, 6) from la where test_pool = 'direct_indirect')""")
 def regime_data(spark: SparkSession, sf: str) -> DataFrame:
-    cal = spark.sql("select * from values (0.88D), (0.91D) as t(calibrated_f1)")
-    return results.regimes(*_pools(spark), cal).select("regime", "place", *six("classifier_f1", "llm_f1"))
+    cal = metrics.calibrated(scored(spark, sf)).select(F.col("f1").alias("calibrated_f1"))
+    return results.regimes(*_pools(spark, sf), cal).select("regime", "place", *six("classifier_f1", "llm_f1"))
+
+
+CURVE = f"{POOLS}, le as (select own, llm from bj where test_pool = 'direct_indirect'), cu as (select i / 49.0::double as rate, 0.000001::double + i / 49.0::double * 0.0008::double as cost, (1 - i / 49.0::double) * own + i / 49.0::double * llm as f1 from range(50) t(i), le)"
 
 
-CURVE = "cu as (select i / 49.0::double as rate, 0.000001::double + i / 49.0::double * 0.0008::double as cost, (1 - i / 49.0::double) * 0.523::double + i / 49.0::double * 0.711::double as f1 from range(50) t(i))"
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    return results.regimes(*_pools(spark, sf)).where("regime = 'novel'")
 
 
-@query(f"with {CURVE} select round(rate, 6) as rate, round(cost, 9) as cost, round(f1, 6) as f1 from cu")
+@query(f"with {R}, {CURVE} select round(rate, 6) as rate, round(cost, 9) as cost, round(f1, 6) as f1 from cu")
 def defense_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return results.defense_curve(spark, 0.523, 0.711).select(*six("rate"), F.round("cost", 9).alias("cost"), *six("f1"))
+    return results.defense_curve(_levels(spark, sf)).select(*six("rate"), F.round("cost", 9).alias("cost"), *six("f1"))
 
 
-@query(f"with {CURVE} select target::double as target, round(max(rate), 6) as rate, round(arg_max(cost, rate), 9) as cost, round(arg_max(f1, rate), 6) as f1 from cu, (values (0.1), (0.25), (0.5), (1.0)) t(target) where abs(rate - target) < 0.02 group by 1")
+@query(f"with {R}, {CURVE} select target::double as target, round(max(rate), 6) as rate, round(arg_max(cost, rate), 9) as cost, round(arg_max(f1, rate), 6) as f1 from cu, (values (0.1), (0.25), (0.5), (1.0)) t(target) where abs(rate - target) < 0.02 group by 1")
 def escalation_points(spark: SparkSession, sf: str) -> DataFrame:
-    return results.escalation_points(results.defense_curve(spark, 0.523, 0.711)).select("target", *six("rate"), F.round("cost", 9).alias("cost"), *six("f1"))
+    return results.escalation_points(results.defense_curve(_levels(spark, sf))).select("target", *six("rate"), F.round("cost", 9).alias("cost"), *six("f1"))
 
 
 @query(f"with {S}, c as (select {CELLS} from s) select round_even(1 - tp / (tp + fp)::double, 4) as false_discovery, round_even(1 - tp / (tp + fn)::double, 4) as miss_rate from c")
@@ -319,7 +349,7 @@ def usage_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {R} select embedding, classifier, fold, round(f1 + case when fold = 2 then 0.002 else 0.0001 end::double, 6) as now, round(f1, 6) as was, fold = 2 as differs from r where experiment = 'leave_out'")
 def replay_check(spark: SparkSession, sf: str) -> DataFrame:
-    r = result_rows(spark).where("experiment = 'leave_out'")
+    r = result_rows(spark, sf).where("experiment = 'leave_out'")
     again = r.withColumn("f1", F.col("f1") + F.when(F.col("fold") == 2, 0.002).otherwise(0.0001))
     return results.replay_check(again, r).select("embedding", "classifier", "fold", *six("now", "was"), "differs")
 

@@ -118,6 +118,30 @@ def contamination_report(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("split_id", "n_test", "n_train", "lexical_flagged", "semantic_flagged", "total_flagged", *six("flagged_rate_pct", "homogeneity"), "passed")
 
 
+SPLIT_SETS = rf"""ts as (select doc_id as sample_id, array_to_string(list_sort(list_distinct(string_split(lower({NORM}), ' '))), ' ') as key from documents where {NORM} <> ''),
+  ks as (select distinct key, string_split(key, ' ') as t from ts),
+  ki as (select key, unnest(t) as g, len(t) as n from ks), kd as (select g, count(*) as df from ki group by 1),
+  kh as (select key, g from ki join kd using (g) qualify row_number() over (partition by key order by df, g) <= n - ceil(0.8 * n - 1e-9) + 1),
+  kp as (select distinct x.key, y.key as other from kh x join kh y on x.g = y.g and x.key < y.key),
+  kj as (select p.key, p.other, len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))::double as j from kp p join ks x on x.key = p.key join ks y on y.key = p.other),
+  kl as (select key, other from kj where j >= 0.8 union all select other, key from kj where j >= 0.8 union all select key, key from ks)"""
+
+
+@query(f"""with {SPLIT_SETS}, fo as (select f from range(5) t(f)),
+  lx as (select distinct f, x.sample_id from fo, ts x join kl on kl.key = x.key join ts y on y.key = kl.other where x.sample_id % 5 = f and y.sample_id % 5 <> f),
+  ve as (select vec_id, embedding::double[] as x from embeddings), vp as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.x, b.x) as sim from ve a, ve b),
+  vn as (select f, a as sample_id, max(sim) as sim from fo, vp where a % 5 = f and b % 5 <> f and a in (select doc_id from documents) and b in (select doc_id from documents) group by 1, 2),
+  nf as (select f, count(*) filter (doc_id % 5 = f) as n_test, count(*) filter (doc_id % 5 <> f) as n_train from fo, documents group by 1)
+select 'standard_cv_' || f as split_id, n_test, n_train, (select count(*) from lx where lx.f = nf.f) as lexical_flagged, (select count(*) from vn where vn.f = nf.f and sim >= 0.4) as semantic_flagged,
+  (select count(*) from (select sample_id from lx where lx.f = nf.f union select sample_id from vn where vn.f = nf.f and sim >= 0.4)) as total_flagged, round((select avg(sim) from vn where vn.f = nf.f), 6) as homogeneity from nf""")
+def contamination_all_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports of five folds from one plan."""
+    d = documents(spark, sf).join(vectors(spark, sf).select("sample_id", "embedding"), "sample_id", "left")
+    fold = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold")
+    split = d.select("sample_id", fold).select(F.lit("standard_cv").alias("experiment"), "fold", "sample_id", F.when(F.pmod("sample_id", F.lit(5)) == F.col("fold"), "test").otherwise("train").alias("role"))
+    return contamination.check_all(d, split, cosine_at=0.4).select("split_id", "n_test", "n_train", "lexical_flagged", "semantic_flagged", "total_flagged", *six("homogeneity"))
+
+
 @query(f"with {U} select min(length(text))::bigint as chars_min, max(length(text))::bigint as chars_max, round(avg(length(text)), 6) as chars_mean, median(length(text))::double as chars_median, round(stddev_pop(length(text)), 6) as chars_std,"
        r" min(n)::bigint as words_min, max(n)::bigint as words_max, round(avg(n), 6) as words_mean, median(n)::double as words_median, round(stddev_pop(n), 6) as words_std, count(*) filter (length(text) < 10) as short, count(*) filter (length(text) > 5000) as long, count(*) filter (trim(text) = '') as blank"
        r" from (select text, len(regexp_extract_all(text, '\S+')) as n from u)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.operators import centroids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,19 +76,29 @@ S = (
 )
 
 
-def results(spark: SparkSession) -> DataFrame:
-    """220 fold results of 20 combinations: 5 folds of CV, 6 of leave-one-out."""
-    e = "element_at(array('minilm', 'bge_large', 'instructor', 'openai_small', 'e5_mistral'), cast(id div 44 + 1 as int))"
-    c = "element_at(array('logreg', 'svm', 'xgboost', 'mlp'), cast(id div 11 % 4 + 1 as int))"
-    return spark.range(220).selectExpr(
-        "case when id % 11 < 5 then 'standard_cv' else 'leave_out' end as experiment", f"{e} as embedding", f"{c} as classifier", "cast(case when id % 11 < 5 then id % 11 else id % 11 - 5 end as int) as fold",
-        "case when id % 11 >= 5 then concat('cat_', id % 11 - 5) end as held_out", "case when id % 11 < 5 then 0.90D + (id * 7 % 23) / 400.0D else 0.75D + (id * 13 % 37) / 200.0D end as f1",
-    )
+#: Parts of the vectors that stand for five embeddings.
+PARTS = {n: (12 * i + 1, 12 * i + 12) for i, n in enumerate(("minilm", "bge_large", "instructor", "openai_small", "e5_mistral"))}
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold results of 20 combinations over the vectors: 5 folds, and one category left out at a time."""
+    return centroids.experiment(vectors(spark, sf_dir), PARTS)
 
 
-R = """r as (select case when id % 11 < 5 then 'standard_cv' else 'leave_out' end as experiment, ['minilm', 'bge_large', 'instructor', 'openai_small', 'e5_mistral'][id // 44 + 1] as embedding,
-  ['logreg', 'svm', 'xgboost', 'mlp'][(id // 11) % 4 + 1] as classifier, (case when id % 11 < 5 then id % 11 else id % 11 - 5 end)::int as fold, case when id % 11 >= 5 then 'cat_' || (id % 11 - 5) end as held_out,
-  case when id % 11 < 5 then 0.90::double + (id * 7 % 23) / 400.0::double else 0.75::double + (id * 13 % 37) / 200.0::double end as f1 from range(220) t(id))"""
+_SUMS = ", ".join(f"sum((x - c{c}) * (x - c{c})) as e{c}, sum(abs(x - c{c})) as l{c}, sum(x * c{c}) as d{c}, sum(c{c} * c{c}) as n{c}" for c in (0, 1))
+_MEANS = ", ".join(f"sum(s) filter (label = {c}) / sum(n) filter (label = {c}) as c{c}" for c in (0, 1))
+R = (
+    V
+    + f""", vd as (select sample_id, label, attack_category, sample_id % 5 as m, unnest(generate_series(1, 64)) as k, unnest(embedding)::double as x from v),
+  ef as (select 'standard_cv' as experiment, f::int as fold, null::varchar as held_out from range(5) t(f) union all select 'leave_out', (row_number() over (order by c) - 1)::int, c from (select distinct attack_category as c from v where label = 1 and attack_category is not null)),
+  te as (select experiment, fold, held_out, sample_id, label from v, ef where case when experiment = 'standard_cv' then sample_id % 5 = fold else attack_category = held_out or (label = 0 and sample_id % 5 = fold) end),
+  gs as (select label, attack_category, m, k, sum(x) as s, count(*) as n from vd group by 1, 2, 3, 4),
+  ce as (select experiment, fold, k, {_MEANS} from gs, ef where case when experiment = 'standard_cv' then m <> fold when label = 0 then m <> fold else attack_category is distinct from held_out end group by 1, 2, 3),
+  sc as (select experiment, [{', '.join(repr(n) for n in PARTS)}][((k - 1) // 12 + 1)::int] as embedding, fold, held_out, te.sample_id, te.label, {_SUMS} from te join vd using (sample_id) join ce using (experiment, fold, k) where k <= 60 group by 1, 2, 3, 4, 5, 6),
+  pd as (select experiment, embedding, fold, held_out, label, unnest([{', '.join(repr(n) for n in centroids.RULES)}]) as classifier, unnest([{', '.join(centroids.RULES.values())}]) as yes from sc),
+  pc as (select experiment, embedding, classifier, fold, held_out, count(*) filter (label = 1 and yes) as tp, count(*) filter (label = 0 and yes) as fp, count(*) filter (label = 1 and not yes) as fn, count(*) filter (label = 0 and not yes) as tn from pd group by 1, 2, 3, 4, 5),
+  r as (select experiment, embedding, classifier, fold, held_out, (coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0::double * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 as f1 from pc)"""
+)
 
 #: Normalized text in SQL; the bundled texts are in normal form already.
 NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"

@@ -9,22 +9,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.dedup import keep_first
+from sievework.operators.quality import check_table
+from sievework.sources.lines import read_csv_lines, read_json_lines
 
-SCHEMA = "text string, label int, source string, attack_category string, original_category string, language string, is_indirect boolean"
+SCHEMA = "text string, label int, source string, attack_category string, original_category string, language string, is_indirect boolean, metadata map<string,string>"
 
 
-def unified(df: DataFrame, source: str, text: Column, label: Column | int, order: str, original: Column | None = None, indirect: bool = False) -> DataFrame:
+def with_splits(frames: dict[str, DataFrame], order: str = "row") -> DataFrame:
+    """The splits of a corpus as one table, in the order given, with the split's name; ``order`` is then the place over all splits."""
+    out = None
+    for i, (name, df) in enumerate(frames.items()):
+        d = df.withColumn(order, F.struct(F.lit(i).alias("split"), F.col(order).alias("row"))).withColumn("split", F.lit(name))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
+def drop_metadata(df: DataFrame) -> DataFrame:
+    """Later steps have no use for what only a loader knows."""
+    return df.drop("metadata")
+
+
+def unified(df: DataFrame, source: str, text: Column, label: Column | int, order: str, original: Column | None = None, indirect: bool = False, **metadata: Column) -> DataFrame:
+    """The unified columns; ``metadata`` (the split among it, if there is one) goes into a map of texts, without nulls."""
     none = F.lit(None).cast("string")
-    return df.select(F.col(order).alias("_order"), text.alias("text"), (label if isinstance(label, Column) else F.lit(label)).cast("int").alias("label"), F.lit(source).alias("source"), none.alias("attack_category"), (none if original is None else original).alias("original_category"), F.lit("en").alias("language"), F.lit(indirect).alias("is_indirect"))
+    if "split" in df.columns:
+        metadata["split"] = F.col("split")
+    pairs = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in sorted(metadata.items())]
+    known = F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
+    return df.select(F.col(order).alias("_order"), known.alias("metadata"), text.alias("text"), (label if isinstance(label, Column) else F.lit(label)).cast("int").alias("label"), F.lit(source).alias("source"), none.alias("attack_category"), (none if original is None else original).alias("original_category"), F.lit("en").alias("language"), F.lit(indirect).alias("is_indirect"))
 
 
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
 def _first(df: DataFrame, n: int | None) -> DataFrame:
     out = df.orderBy("_order").limit(n) if n else df
-    return out.drop("_order")
+    return out.select(*COLUMNS)
 
 
 def _distinct(df: DataFrame, n: int | None) -> DataFrame:
@@ -33,7 +57,7 @@ def _distinct(df: DataFrame, n: int | None) -> DataFrame:
 
 def deepset(df: DataFrame, order: str = "row") -> DataFrame:
     """All rows; nothing is deduplicated."""
-    return unified(df, "deepset", F.col("text"), F.col("label"), order).drop("_order")
+    return unified(df, "deepset", F.col("text"), F.col("label"), order).select(*COLUMNS)
 
 
 def hackaprompt(df: DataFrame, max_samples: int | None = 5000, order: str = "row") -> DataFrame:
@@ -45,11 +69,13 @@ def hackaprompt(df: DataFrame, max_samples: int | None = 5000, order: str = "row
 def gentel(df: DataFrame, max_samples: int | None = None, order: str = "row") -> DataFrame:
     """The cap comes first; only injections keep their subdomain."""
     d = df.orderBy(order).limit(max_samples) if max_samples else df
-    return unified(d, "gentel", F.col("text"), F.col("label"), order, F.when(F.col("label") == 1, F.col("subdomain"))).drop("_order")
+    return unified(d, "gentel", F.col("text"), F.col("label"), order, F.when(F.col("label") == 1, F.col("subdomain"))).select(*COLUMNS)
 
 
 def pint(df: DataFrame, order: str = "row") -> DataFrame:
-    return unified(df, "pint", F.col("text"), 1, order).drop("_order")
+    """All rows are injections; the similarity, where there is one, and the split are metadata."""
+    more = {"similarity": F.col("similarity").cast("double")} if "similarity" in df.columns else {}
+    return unified(df, "pint", F.col("text"), 1, order, **more).select(*COLUMNS)
 
 
 def open_prompt(df: DataFrame, max_samples: int | None = None, order: str = "row") -> DataFrame:
@@ -57,12 +83,13 @@ def open_prompt(df: DataFrame, max_samples: int | None = None, order: str = "row
     d = df.orderBy(order).limit(max_samples) if max_samples else df
     attack = unified(d, "open_prompt", F.col("attack_input"), 1, order, F.col("attack_type"), True)
     benign = keep_first(unified(d, "open_prompt", F.col("normal_input"), 0, order), F.col("text"), "_order")
-    return attack.drop("_order").unionByName(benign.drop("_order"))
+    return attack.select(*COLUMNS).unionByName(benign.select(*COLUMNS))
 
 
 def dolly(df: DataFrame, max_samples: int | None = 15_000, order: str = "row") -> DataFrame:
     d = df.withColumn("_text", _strip(F.col("instruction"))).where("_text <> ''")
-    return _distinct(unified(d, "dolly", F.col("_text"), 0, order, F.col("category")), max_samples)
+    context = F.coalesce(_strip(F.col("context")) != "", F.lit(False)) if "context" in df.columns else F.lit(False)
+    return _distinct(unified(d, "dolly", F.col("_text"), 0, order, F.col("category"), category=F.col("category"), has_context=context), max_samples)
 
 
 def alpaca(df: DataFrame, max_samples: int | None = 8000, order: str = "row") -> DataFrame:
@@ -118,19 +145,79 @@ def unpivot(turns: DataFrame) -> DataFrame:
 
 # ---- files ----
 
+#: Columns that a unified table must have, and their types where these matter.
+REQUIRED = {"text": ("string",), "label": ("tinyint", "smallint", "int", "bigint"), "source": (), "attack_category": (), "original_category": (), "language": (), "is_indirect": ()}
+
+
+def read_safely(spark: SparkSession, path: str, root: str, max_mb: int = 500, max_rows: int = 1_000_000, required: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """A Parquet table below ``root``, checked before and after it is read.
+
+    ValueError for a path that leads out of ``root`` (by whole names of folders, after ``..`` is resolved), more than
+    ``max_mb`` of files, an unreadable table, too many rows, missing columns or wrong types; FileNotFoundError if there is none.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def resolved(p: str):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        whole = fs.makeQualified(at)
+        return fs, jvm.org.apache.hadoop.fs.Path(whole.toUri().normalize())
+
+    (fs, at), (_, top) = resolved(path), resolved(root)
+    here, inside = at, False
+    while here is not None and not inside:
+        inside = here.equals(top)
+        here = here.getParent()
+    if not inside:
+        raise ValueError(f"{path} is not below {root}")
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    size = fs.getContentSummary(at).getLength()
+    if size > max_mb * 1024 * 1024:
+        raise ValueError(f"{size / 1024 / 1024:.1f} MB, more than {max_mb}")
+    try:
+        df = spark.read.parquet(at.toString())
+    except Exception as e:
+        raise ValueError(f"cannot be read: {path}") from e
+    return check_table(df, REQUIRED if required is None else required, max_rows)
+
+
+#: Where the unified table lies if nothing else is said.
+UNIFIED = "data/processed/unified_dataset.parquet"
+
+
+def read_unified(spark: SparkSession, path: str | None = None, root: str = "data") -> DataFrame:
+    """The unified table, by default the one below the data folder."""
+    return read_safely(spark, path or UNIFIED, root)
+
+
+def read_config(path: str) -> dict:
+    """A settings file, JSON or (where PyYAML is installed) YAML; an empty one has no settings."""
+    import json
+    from pathlib import Path
+
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML settings need PyYAML") from e
+        return yaml.safe_load(text) or {}
+    return json.loads(text) if text.strip() else {}
+
+
 
 def read_jsonl_log(spark: SparkSession, path: str) -> DataFrame:
     """A log of answers (sample_hash, category_slug, confidence); corrupt lines and lines without a hash are left out."""
-    d = spark.read.schema("sample_hash string, category_slug string, confidence double").option("mode", "PERMISSIVE").json(path)
-    return d.where("sample_hash is not null").withColumn("line_no", F.monotonically_increasing_id())
+    return read_json_lines(spark, path, "sample_hash string, category_slug string, confidence double").where("sample_hash is not null")
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of (sample_hash, correct_category); ValueError without these columns."""
-    d = spark.read.option("header", True).csv(path)
+    d = read_csv_lines(spark, path)
     if missing := {"sample_hash", "correct_category"} - set(d.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    return d.where(F.coalesce(_strip(F.col("correct_category")) != "", F.lit(False))).withColumn("line_no", F.monotonically_increasing_id())
+    return d.where(F.coalesce(_strip(F.col("correct_category")) != "", F.lit(False)))
 
 
 RESULT = "experiment string, embedding string, classifier string, mean_f1 double, std_f1 double, folds array<struct<fold_id:int,held_out_category:string,train_size:bigint,test_size:bigint,metrics:map<string,struct<value:double,ci_lower:double,ci_upper:double>>>>"
@@ -184,5 +271,5 @@ def discover_split_pairs(spark: SparkSession, folder: str) -> list[str]:
             if status.isDirectory() and not status.getPath().getName().endswith(".parquet"):
                 todo.append(status.getPath())
         if {"train.parquet", "test.parquet"} <= set(names):
-            found.append(here.toUri().getPath())
+            found.append(here.toString())  # with scheme and host
     return sorted(found)

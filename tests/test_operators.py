@@ -161,7 +161,7 @@ def test_loaders(spark):
     assert sorted(r.text for r in loaders.alpaca(a).collect()) == ["do", "do\nit"]
     o = spark.createDataFrame([(0, "i", "n", "a", "t"), (1, "i", "n", "b", "t")], "row int, instruction string, normal_input string, attack_input string, attack_type string")
     assert loaders.open_prompt(o).count() == 3
-    assert loaders.union([], spark).columns == ["text", "label", "source", "attack_category", "original_category", "language", "is_indirect"]
+    assert loaders.union([], spark).columns == [*loaders.REQUIRED, "metadata"]
 
 
 def test_files(spark, tmp_path, u):
