@@ -5,10 +5,9 @@ Three linked levels. Each word has a restaurant for what follows it, which seats
 words without context: a table of a context sends one customer there. The base of its tables is a spelling model: a
 hierarchy of restaurants whose contexts are the last two, one and no bytes of a word, each context restaurant sharing
 the parent that drops its oldest byte. A table of the word restaurant sends one customer per byte of its word to the
-spelling restaurants. Seating is sampled by Gibbs: tables of each bigram and of each word given its customers and its
-probability in the parent (a block of a dish's customers at once, with generalized Stirling numbers), and single
-customers of the spelling restaurants, whose new and emptied tables add and remove customers of the parent.
-Probabilities are averaged over samples.
+spelling restaurants. Seating is sampled by Gibbs, a dish's customers at once: the tables of each bigram, of each word and
+of each spelling dish are drawn given its customers and its probability in the parent, by generalized Stirling numbers,
+and each table is a customer of the parent. Probabilities are averaged over samples.
 
 Nothing is joined token by token. Texts become chunks: the distinct words of some MB of text, and its tokens as places
 among them. Only distinct words and distinct bigrams are sent to the part that owns them, which answers every chunk in
@@ -24,7 +23,8 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import lru_cache, reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import arrays
-from sievework.llm.shared import Scratch, delete, discard, partitions, release, shared_dir, written
+from sievework.llm.shared import Scratch, delete, discard, release, shared_dir, written
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 12 << 20
@@ -43,7 +43,10 @@ SYMBOLS = 257
 END = 256
 #: The hash of the token at the end of a text.
 END_TOKEN = np.uint64(0x9B1C5D3E7F2A4861)
-STIRLING_COUNT, STIRLING_TABLES = 64, 16
+#: Customers of a dish up to which its tables are drawn by exact Stirling numbers; beyond, by their limit for large counts.
+STIRLING = 512
+#: Bytes of text for each part of the vocabulary and of the bigrams, and the most parts.
+PART_BYTES, PARTS = 16 << 20, 100_000
 #: Rounds in which the chunks meet all their replies, so that the shuffle of only one round lies on disk.
 ROUNDS = 4
 
@@ -58,7 +61,7 @@ class Settings:
     spell_strength: float = 1.0
     sweeps: int = 3  # passes over bigrams and vocabulary; the first starts with one table for each dish
     samples: int = 3  # of the spelling restaurants, after each pass
-    moves: int = 6  # customers of a dish that are seated anew between samples, at most
+    burn_in: int = 4  # passes over the spelling restaurants before their first sample
     seed: int = 5
 
 
@@ -73,16 +76,16 @@ def unpack(b: bytes, dtype) -> np.ndarray:
 # ---- seating ----
 
 
-def log_stirling(d: float) -> np.ndarray:
-    """log of the generalized Stirling numbers S(c, t) for c < STIRLING_COUNT + 1, t < STIRLING_TABLES + 1."""
-    s = np.full((STIRLING_COUNT + 1, STIRLING_TABLES + 1), -np.inf)
+@lru_cache(maxsize=8)
+def log_stirling(d: float, most: int = STIRLING) -> np.ndarray:
+    """log of the generalized Stirling numbers S(c, t) for 0 <= t <= c <= most."""
+    s = np.full((most + 1, most + 1), -np.inf)
     s[0, 0] = 0
-    for c in range(1, STIRLING_COUNT + 1):
-        t = np.arange(STIRLING_TABLES + 1)
+    t = np.arange(most + 1)
+    for c in range(1, most + 1):
         with np.errstate(divide="ignore", invalid="ignore"):
             stay = s[c - 1] + np.log(np.maximum(c - 1 - d * t, 0))
-        new = np.concatenate([[-np.inf], s[c - 1, :-1]])
-        s[c] = np.logaddexp(np.where(np.isfinite(s[c - 1]), stay, -np.inf), new)
+        s[c] = np.logaddexp(np.where(np.isfinite(s[c - 1]), stay, -np.inf), np.concatenate([[-np.inf], s[c - 1, :-1]]))
     return s
 
 
@@ -94,151 +97,93 @@ def seat(hashes: np.ndarray, count: np.ndarray, log_a: np.ndarray, discount: flo
     """Samples the number of tables of each dish from its conditional; ``log_a`` is the logarithm of the weight of a new table. Random numbers come from the dish's hash, so any task draws the same."""
     u = (arrays.mix(hashes + np.uint64(1 + sweep + 1000 * s.seed)) >> np.uint64(11)) * 2.0**-53
     out = np.minimum(count, 1).astype(np.int64)
-    few = np.flatnonzero((count > 1) & (count <= STIRLING_COUNT))
-    stirling, t = log_stirling(discount), np.arange(STIRLING_TABLES + 1)
-    for i in range(0, len(few), 100_000):
-        k = few[i : i + 100_000]
-        w = stirling[count[k]] + t * log_a[k][:, None]
-        w = np.exp(w - w.max(1, keepdims=True))
-        edge = np.cumsum(w, 1)
-        out[k] = np.maximum(1, (edge < u[k, None] * edge[:, -1:]).sum(1))
-    many = np.flatnonzero(count > STIRLING_COUNT)
-    # for large counts S(c, t + 1) / S(c, t) is 1 / (t d): one table and a Poisson number of others
-    mean = np.minimum(np.exp(log_a[many]) / discount, count[many] / 4)
-    extra = np.maximum(0, np.round(mean + np.sqrt(mean) * np.sqrt(2) * _probit(u[many]))).astype(np.int64)
-    out[many] = np.minimum(count[many], 1 + np.where(mean < 10, _poisson(mean, u[many]), extra))
+    stirling = log_stirling(discount)
+    for low, high in ((1, 8), (8, 32), (32, 128), (128, STIRLING)):
+        few, t = np.flatnonzero((count > low) & (count <= high)), np.arange(high + 1)
+        step = max(1, (1 << 21) // high)
+        for i in range(0, len(few), step):
+            k = few[i : i + step]
+            w = stirling[count[k], : high + 1] + t * log_a[k][:, None]
+            edge = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
+            out[k] = np.maximum(1, (edge < u[k, None] * edge[:, -1:]).sum(1))
+    many = np.flatnonzero(count > STIRLING)
+    # for large counts S(c, t + 1) / S(c, t) is 1 / (t d): one table and a Poisson number of others, fewer than customers
+    mean = np.exp(np.minimum(log_a[many], 40)) / discount
+    out[many] = np.minimum(count[many], 1 + poisson(mean, u[many]))
     return out
 
 
-def _probit(u: np.ndarray) -> np.ndarray:
-    """A normal quantile over sqrt(2), by the logistic approximation."""
-    u = np.clip(u, 1e-12, 1 - 1e-12)
-    return np.log(u / (1 - u)) / 1.702 / math.sqrt(2)
-
-
-def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    p = np.exp(-np.minimum(mean, 10))
-    total, k = p.copy(), np.zeros(len(mean), np.int64)
-    for i in range(1, 60):
-        more = u > total
-        if not more.any():
-            break
-        k += more
-        p = p * mean / i
-        total += p
+def poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Quantiles of Poisson numbers: by their sum up to a mean of 64, above by the normal quantile and its first correction."""
+    k = np.zeros(len(mean), np.int64)
+    few = np.flatnonzero(mean <= 64)
+    if len(few):
+        p = np.exp(-mean[few])
+        total, i = p.copy(), 0
+        while (more := u[few] > total).any() and i < 300:
+            i += 1
+            k[few] += more
+            p = p * mean[few] / i
+            total += p
+    many = np.flatnonzero(mean > 64)
+    normal = NormalDist()
+    z = np.array([normal.inv_cdf(min(max(x, 1e-15), 1 - 1e-15)) for x in u[many].tolist()])
+    k[many] = np.maximum(0, np.floor(mean[many] + z * np.sqrt(mean[many]) + (z * z - 1) / 6 + 0.5)).astype(np.int64)
     return k
 
 
 class Restaurants:
-    """Seating of the spelling model: dishes of contexts of 2, 1 and 0 bytes, with the sizes of their tables."""
+    """Seating of the spelling model: customers and tables of the dishes of contexts of 2, 1 and 0 bytes.
+
+    Dishes of two bytes of context are those that occur; the others are all that can be (their number has a bound).
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, s: Settings):
-        self.s, self.rng = s, np.random.default_rng(s.seed)
-        self.dishes: list[dict[int, list[int]]] = [{}, {}, {}]  # by level: key -> table sizes
-        self.totals: list[dict[int, list[int]]] = [{}, {}, {}]  # context -> customers, tables
+        self.s, self.passes = s, 0
         order = np.argsort(keys)
-        for key, count in zip(keys[order].tolist(), counts[order].tolist(), strict=True):
-            self._fill(2, key, count)
-        for level in (2, 1):
-            sent: dict[int, int] = {}
-            for key, sizes in self.dishes[level].items():
-                parent = self.parent(level, key)
-                sent[parent] = sent.get(parent, 0) + len(sizes)
-            for key, count in sent.items():
-                self._fill(level - 1, key, count)
-
-    @staticmethod
-    def parent(level: int, key: int) -> int:
-        """The dish without the oldest byte of its context."""
-        return key % SYMBOLS**level
+        self.keys, two = keys[order].astype(np.int64), counts[order].astype(np.int64)
+        self.customers = [np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS**2, np.int64), two]
+        self.tables = [c.copy() for c in self.customers]
+        self._seat(lambda level: np.minimum(self.customers[level], 1))
 
-    @staticmethod
-    def context(key: int) -> int:
-        return key // SYMBOLS
-
-    def _fill(self, level: int, key: int, count: int) -> None:
-        tables = max(1, min(count, round(count**self.s.spell_discount)))
-        self.dishes[level][key] = [count - tables + 1] + [1] * (tables - 1)
-        total = self.totals[level].setdefault(self.context(key), [0, 0])
-        total[0] += count
-        total[1] += tables
-
-    def probability(self, level: int, key: int) -> float:
-        if level < 0:
-            return 1 / SYMBOLS
-        up = self.probability(level - 1, self.parent(level, key))
-        total = self.totals[level].get(self.context(key))
-        if not total or not total[0]:
-            return up
-        sizes = self.dishes[level].get(key, ())
-        d, a = self.s.spell_discount, self.s.spell_strength
-        return (sum(sizes) - d * len(sizes) + (a + d * total[1]) * up) / (total[0] + a)
-
-    def leave(self, level: int, key: int, u: float) -> None:
-        sizes, total = self.dishes[level][key], self.totals[level][self.context(key)]
-        u *= sum(sizes)
-        k = 0
-        while u >= sizes[k] and k + 1 < len(sizes):
-            u -= sizes[k]
-            k += 1
-        sizes[k] -= 1
-        total[0] -= 1
-        if not sizes[k]:
-            sizes[k] = sizes[-1]
-            sizes.pop()
-            total[1] -= 1
-            if level:
-                self.leave(level - 1, self.parent(level, key), self.rng.random())
-
-    def sit(self, level: int, key: int, u: float) -> None:
-        sizes, total = self.dishes[level].setdefault(key, []), self.totals[level].setdefault(self.context(key), [0, 0])
-        d = self.s.spell_discount
-        new = (self.s.spell_strength + d * total[1]) * self.probability(level - 1, self.parent(level, key))
-        u *= sum(sizes) - d * len(sizes) + new
-        total[0] += 1
-        if u < new or not sizes:
-            sizes.append(1)
-            total[1] += 1
+    def _seat(self, draw) -> None:
+        """Draws the tables of each level from the longest contexts on; they are the customers of the level above."""
+        for level in (2, 1, 0):
+            self.tables[level] = draw(level)
             if level:
-                self.sit(level - 1, self.parent(level, key), self.rng.random())
-            return
-        u -= new
-        k = 0
-        while u >= sizes[k] - d and k + 1 < len(sizes):
-            u -= sizes[k] - d
-            k += 1
-        sizes[k] += 1
+                parent = self.keys % SYMBOLS**2 if level == 2 else np.arange(SYMBOLS**2) % SYMBOLS
+                self.customers[level - 1] = np.bincount(parent, self.tables[level], SYMBOLS**level).astype(np.int64)
 
-    def sweep(self) -> None:
-        for level in (2, 1, 0):
-            for key in sorted(self.dishes[level]):
-                many = min(self.s.moves, sum(self.dishes[level][key]))
-                for u, v in self.rng.random((many, 2)).tolist() if many else ():
-                    if self.dishes[level][key]:
-                        self.leave(level, key, u)
-                        self.sit(level, key, v)
+    def _back(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the dishes of a level: own weight by the context's customers, and by context the weight of the parent and that of a new table there."""
+        d, a = self.s.spell_discount, self.s.spell_strength
+        context = self.keys // SYMBOLS if level == 2 else np.arange(SYMBOLS ** (level + 1)) // SYMBOLS
+        c, t = (np.bincount(context, x[level], SYMBOLS**level) for x in (self.customers, self.tables))
+        own = (self.customers[level] - d * self.tables[level]) / (c[context] + a)
+        return own, np.where(c > 0, (a + d * t) / (c + a), 1.0), a + d * t
 
     def table(self) -> Spelling:
         """Predictive probabilities of the present seating."""
-        d, a = self.s.spell_discount, self.s.spell_strength
-        base = np.array([self.probability(0, b) for b in range(SYMBOLS)])
-        one, two = {}, {}
-        for context, (customers, tables) in self.totals[1].items():
-            one[context] = (a + d * tables) / (customers + a)
-        for context, (customers, tables) in self.totals[2].items():
-            two[context] = (a + d * tables) / (customers + a)
-        first = np.repeat(base[None], SYMBOLS, 0)
-        for context, back in one.items():
-            first[context] *= back
-        for key, sizes in self.dishes[1].items():
-            if sizes:
-                first[key // SYMBOLS, key % SYMBOLS] += (sum(sizes) - d * len(sizes)) / (self.totals[1][key // SYMBOLS][0] + a)
-        back = np.ones(SYMBOLS * SYMBOLS)
-        for context, x in two.items():
-            back[context] = x
-        keys = np.array(sorted(k for k, sizes in self.dishes[2].items() if sizes), np.int64)
-        own = np.array([(sum(self.dishes[2][k]) - d * len(self.dishes[2][k])) / (self.totals[2][k // SYMBOLS][0] + a) for k in keys.tolist()])
-        return Spelling(keys, own, back, first)
+        own, back, _ = self._back(0)
+        base = own + back / SYMBOLS
+        own, back, _ = self._back(1)
+        first = own.reshape(SYMBOLS, SYMBOLS) + back[:, None] * base
+        own, back, _ = self._back(2)
+        return Spelling(self.keys, own, back, first)
+
+    def sweep(self) -> None:
+        """Draws the tables of all dishes anew, given the probabilities of the seating before."""
+        self.passes += 1
+        p = self.table()
+        parents = [np.full(SYMBOLS, 1 / SYMBOLS), np.tile((self._back(0)[0] + self._back(0)[1] / SYMBOLS), SYMBOLS), p.first[self.keys // SYMBOLS % SYMBOLS, self.keys % SYMBOLS]]
+        new = [self._back(level)[2] for level in range(3)]
+
+        def draw(level: int) -> np.ndarray:
+            at = self.keys if level == 2 else np.arange(SYMBOLS ** (level + 1))
+            weight = np.log(new[level][at // SYMBOLS]) + np.log(parents[level])
+            return seat(arrays.mix(at.astype(np.uint64) + np.uint64(level + 1)), self.customers[level], weight, self.s.spell_discount, self.passes, self.s)
+
+        self._seat(draw)
 
 
 @dataclass
@@ -337,7 +282,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held: F.Column, buckets:
             yield chunk(number, kind, parts)
 
     schema = f"chunk bigint, ids array<{key}>, held binary, n_tokens binary, tokens binary, asks array<struct<bucket int, hashes binary, counts binary, bytes binary, lengths binary>>"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string"), held.alias("_held")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), held.alias("_held")).mapInArrow(run, schema)
 
 
 @dataclass
@@ -588,8 +533,9 @@ def _rounds(docs: DataFrame, id_col: str, text_col: str, held_out_mod: int, held
     """Scores of a part of the chunks each. A part must be written before the next is taken."""
     spark = docs.sparkSession
     key = docs.schema[id_col].dataType.simpleString()
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % held_out_mod == held_out, F.lit(False))
-    buckets = partitions(spark)
+    held = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % held_out_mod == held_out, F.lit(False))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.lit(0))).first()[0]
+    buckets = min(PARTS, 1 + int(size) // PART_BYTES)
     whole = chunks(docs, id_col, text_col, held, buckets)
     path = shared_dir(spark, "lm-chunks")
     whole.write.option("compression", "zstd").parquet(path)
@@ -617,6 +563,8 @@ def _rounds(docs: DataFrame, id_col: str, text_col: str, held_out_mod: int, held
         keys, customers, tables = seated(here, last, sweep, settings)
         rest = Restaurants(keys, customers, settings)
         samples = []
+        for _ in range(settings.burn_in):
+            rest.sweep()
         for _ in range(settings.samples):
             rest.sweep()
             samples.append(Sample(rest.table(), tables, sweep))
@@ -650,7 +598,7 @@ def _rounds(docs: DataFrame, id_col: str, text_col: str, held_out_mod: int, held
         base = np.log10((known + 1.0) / (n_train + 1.0 * (v_train + 1)))
         ids = left["ids"].combine_chunks().flatten()
         scored = total(chance[p.of_token])
-        return pa.table([ids, pa.array(held), pa.array(n_tokens.astype(np.int64)), pa.array(total(known > 0).astype(np.int64)), pa.array(np.full(len(held), n_train, np.int64)), pa.array(total(base)), pa.array(scored), pa.array(10.0 ** np.minimum(300, -scored / n_tokens))], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+        return pa.table([ids, pa.array(held), pa.array(n_tokens.astype(np.int64)), pa.array(total(known > 0).astype(np.int64)), pa.array(np.full(len(held), n_train, np.int64)), pa.array(total(base)), pa.array(scored), pa.array(np.exp(np.minimum(709.0, -scored / n_tokens * math.log(10))))], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     out = f"`{id_col}` {key}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
     heard = counted.select("chunk", "bucket", "found")

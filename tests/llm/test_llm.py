@@ -251,11 +251,12 @@ def test_spelling_is_a_distribution():
     r = Restaurants(found, counts, Settings())
     for _ in range(3):
         r.sweep()
+        assert (r.tables[2] >= 1).all() and (r.tables[2] <= r.customers[2]).all()
         for level in (1, 2):  # a table is a customer of the parent
             sent = Counter()
-            for k, sizes in r.dishes[level].items():
-                sent[r.parent(level, k)] += len(sizes)
-            assert {k: s for k, s in sent.items() if s} == {k: sum(x) for k, x in r.dishes[level - 1].items() if x}
+            for k, t in zip(r.keys if level == 2 else range(SYMBOLS**2), r.tables[level], strict=True):
+                sent[int(k) % SYMBOLS**level] += int(t)
+            assert {k: s for k, s in sent.items() if s} == {k: int(x) for k, x in enumerate(r.customers[level - 1]) if x}
     t = r.table()
     for context in {int(k) // SYMBOLS for k in found}:
         keys = context * SYMBOLS + np.arange(SYMBOLS)
@@ -263,6 +264,57 @@ def test_spelling_is_a_distribution():
         assert math.isclose(p.sum(), 1, rel_tol=1e-9)
 
 
+def partitions_of(n):
+    """All ways of seating n customers, as lists of table sizes (one list for each set partition)."""
+    if not n:
+        yield []
+        return
+    for rest in partitions_of(n - 1):
+        yield [*rest, 1]
+        for i in range(len(rest)):
+            yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+
+
+@pytest.mark.parametrize("c, d, a", [(5, 0.5, 0.7), (7, 0.2, 3.0), (9, 0.8, 0.05), (8, 0.4, 40.0)])
+def test_seating_against_all_seatings(c, d, a):
+    """Numbers of tables, and the predictive probability that they give, against the sum over all seatings of a dish."""
+    from sievework.llm.pitman_yor import Settings, log_stirling, seat
+
+    weight = Counter()
+    for sizes in partitions_of(c):
+        w = a ** len(sizes)
+        for n in sizes:
+            w *= math.prod(k - d for k in range(1, n))
+        weight[len(sizes)] += w
+    total = sum(weight.values())
+    stirling = log_stirling(d)
+    assert all(math.isclose(math.exp(stirling[c, t]) * a**t, w, rel_tol=1e-9) for t, w in weight.items())
+    n = 60_000
+    t = seat(np.arange(n, dtype=np.uint64), np.full(n, c), np.full(n, math.log(a)), d, 1, Settings())
+    for k in range(1, c + 1):
+        assert abs((t == k).mean() - weight[k] / total) < 0.01
+    chance = lambda k: (c - d * k + (1 + d * k) * 0.1) / (c + 1)
+    assert abs(chance(t).mean() - sum(w * chance(k) for k, w in weight.items()) / total) < 0.003
+
+
+def test_seating_of_large_dishes():
+    """No cap on tables: up to the bound of the exact numbers by enumeration of their table, beyond it by Poisson numbers."""
+    from sievework.llm.pitman_yor import STIRLING, Settings, log_stirling, poisson, seat
+
+    r = np.random.default_rng(1)
+    d, n = 0.5, 4000
+    for c, a in ((60, 100.0), (STIRLING, 20.0)):
+        w = log_stirling(d)[c, : c + 1] + np.arange(c + 1) * math.log(a)
+        p = np.exp(w - w.max())
+        t = seat(r.integers(0, 2**63, n).astype(np.uint64), np.full(n, c), np.full(n, math.log(a)), d, 1, Settings())
+        assert abs(t.mean() - (p * np.arange(c + 1)).sum() / p.sum()) < 0.5 and t.max() > 16
+    for mean in (0.3, 5.0, 63.0, 65.0, 1e4):
+        k = poisson(np.full(n, mean), r.random(n))
+        assert abs(k.mean() - mean) < 4 * math.sqrt(mean / n) + 0.02 and abs(k.var() / mean - 1) < 0.15
+    t = seat(np.arange(n, dtype=np.uint64), np.full(n, 10**6), np.full(n, math.log(100.0)), d, 1, Settings())
+    assert abs(t.mean() - 201) < 2
+
+
 # 6
 
 
