@@ -319,10 +319,7 @@ def parse_baseline_json(spark: SparkSession, sf: str) -> DataFrame:
   s as (select attack_category, count(*) as reviewed, count(*) filter (attack_category <> correct_category) as errors from e group by 1 union all select null, count(*), count(*) filter (attack_category <> correct_category) from e where true)
 select attack_category, reviewed, errors, round_even(errors / reviewed::double, 4) as error_rate, round_even(errors / reviewed::double, 4) > 0.2 as flagged from s""")
 def error_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return taxonomy.error_rates(reviewed(spark, sf).where("attack_category is not null"))
-
-
-SQL["error_rates"] = SQL["error_rates"].replace("where correct_category is not null and", "where attack_category is not null and correct_category is not null and")
+    return taxonomy.error_rates(reviewed(spark, sf))
 
 
 @query(f"with {W}, n as (select attack_category, count(*) as n from w where label_source not in ('tier1_2', 'uncertain') and attack_category is not null group by 1) select attack_category, n, round(n / (sum(n) over ())::double, 6) as share, n / (sum(n) over ())::double > 0.3 as dominant from n")
