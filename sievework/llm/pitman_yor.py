@@ -37,7 +37,7 @@ from sievework.llm import arrays
 from sievework.llm.shared import Scratch, delete, discard, release, shared_dir, written
 
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Symbols of a spelling: bytes, then the end of a word; as context, 256 also stands for the start.
 SYMBOLS = 257
 END = 256
@@ -65,6 +65,18 @@ class Settings:
     seed: int = 5
 
 
+def thrifty(run):
+    """A function of groups that leaves little memory behind: a worker sees one group after another, and idle ones wait."""
+
+    def kept(out: pa.Table) -> pa.Table:
+        arrays.trim()
+        return out
+
+    if run.__code__.co_argcount == 1:
+        return lambda table: kept(run(table))
+    return lambda left, right: kept(run(left, right))
+
+
 def pack(a: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
 
@@ -345,7 +357,7 @@ def pair_counts(cut: DataFrame, buckets: int) -> DataFrame:
         return pa.table([table["chunk"], table["bucket"], pa.array([pack(found[bounds[k] : bounds[k + 1]]) for k in range(n)], pa.binary()), pa.array(once, pa.int64()), pa.array(twice, pa.int64())], names=["chunk", "bucket", "found", "once", "twice"])
 
     asked = cut.select(*CHUNK).mapInArrow(ask, "bucket int, chunk bigint, hashes binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(own, "chunk bigint, bucket int, found binary, once bigint, twice bigint")
+    return asked.groupBy("bucket").applyInArrow(thrifty(own), "chunk bigint, bucket int, found binary, once bigint, twice bigint")
 
 
 def to_seat(cut: DataFrame, counted: DataFrame, buckets: int) -> DataFrame:
@@ -362,7 +374,7 @@ def to_seat(cut: DataFrame, counted: DataFrame, buckets: int) -> DataFrame:
         return pa.table([left["chunk"], pa.array([parts], pa.list_(pa.int32())), pa.array([[len(h) // 8 for h in hashes]], pa.list_(pa.int32())), *packed, pa.array([p.hash[k].tobytes()], pa.binary())], names=["chunk", "buckets", "sizes", "second_once", "first_once", "first", "second", "count", "hashes"])
 
     schema = "chunk bigint, buckets array<int>, sizes array<int>, second_once binary, first_once binary, first binary, second binary, count binary, hashes binary"
-    return cut.select(*CHUNK).groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, schema)
+    return cut.select(*CHUNK).groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(thrifty(run), schema)
 
 
 def in_order(table: pa.Table, column: str) -> list:
@@ -398,7 +410,7 @@ def sent(seats: DataFrame, replies: DataFrame | None, sweep: int, s: Settings) -
 
     if replies is None:
         return seats.mapInArrow(lambda batches: (x for b in batches for r in range(b.num_rows) for x in sums(b.slice(r, 1).to_pylist()[0], None).to_batches()), schema)
-    return seats.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda left, right: sums(left.to_pylist()[0], right), schema)
+    return seats.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(thrifty(lambda left, right: sums(left.to_pylist()[0], right)), schema)
 
 
 def received(words: DataFrame, sums: DataFrame) -> DataFrame:
@@ -414,7 +426,7 @@ def received(words: DataFrame, sums: DataFrame) -> DataFrame:
         return pa.table([left["bucket"], pa.array([pack(customers)], pa.binary()), pa.array([pack(tables)], pa.binary()), pa.array([int(customers.sum())]), pa.array([int((customers == 1).sum())]), pa.array([int((customers == 2).sum())])], names=["bucket", "customers", "tables", "n", "once", "twice"])
 
     asks = words.select("bucket", F.octet_length("hashes").alias("size"), "asks")
-    return asks.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(run, "bucket int, customers binary, tables binary, n bigint, once bigint, twice bigint")
+    return asks.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(thrifty(run), "bucket int, customers binary, tables binary, n bigint, once bigint, twice bigint")
 
 
 def vocabulary(asked: DataFrame) -> DataFrame:
@@ -452,7 +464,7 @@ def vocabulary(asked: DataFrame) -> DataFrame:
         asks = [{"chunk": c.as_py(), "places": pack(place[bounds[k] : bounds[k + 1]].astype(np.uint32))} for k, c in enumerate(table["chunk"])]
         return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([distinct.tobytes()]), pa.array([pack(counts)]), pa.array([pack(data)]), pa.array([pack(lengths)]), pa.array([int(counts.sum())], pa.int64()), pa.array([int((counts > 0).sum())], pa.int64()), pa.array([asks], pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())])))], names=["bucket", "hashes", "counts", "bytes", "lengths", "n", "v", "asks"])
 
-    return asked.groupBy("bucket").applyInArrow(own, "bucket int, hashes binary, counts binary, bytes binary, lengths binary, n bigint, v bigint, asks array<struct<chunk bigint, places binary>>")
+    return asked.groupBy("bucket").applyInArrow(thrifty(own), "bucket int, hashes binary, counts binary, bytes binary, lengths binary, n bigint, v bigint, asks array<struct<chunk bigint, places binary>>")
 
 
 @dataclass
@@ -606,4 +618,4 @@ def _rounds(docs: DataFrame, id_col: str, text_col: str, held_out_mod: int, held
         heard = heard.unionByName(r.withColumn("sweep", F.lit(sweep)), allowMissingColumns=True)
     for k in range(ROUNDS):
         mine = F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == k
-        yield cut.drop("buckets").where(mine).groupBy("chunk").cogroup(heard.where(mine).groupBy("chunk")).applyInArrow(finish, out)
+        yield cut.drop("buckets").where(mine).groupBy("chunk").cogroup(heard.where(mine).groupBy("chunk")).applyInArrow(thrifty(finish), out)
