@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes the table under ``spark.checkpoint.dir`` and reads it: the lineage ends there. Where that is unset, a temporary folder is set if the master is local; on a cluster it is an error."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Writes the table under ``spark.checkpoint.dir`` and reads it: the lineage ends there. Where that is unset, a temporary folder is set if the master is local; on a cluster it is an error."""
+    spark = df.sparkSession
+    path = new_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import model_plans, run_plans, text_plans
+from sievework.plans import model_plans, run_plans, source_plans, text_plans
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return text_plans.QUERIES | model_plans.QUERIES | run_plans.QUERIES
+    return text_plans.QUERIES | model_plans.QUERIES | run_plans.QUERIES | source_plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_plans.SQL | model_plans.SQL | run_plans.SQL
+    return text_plans.SQL | model_plans.SQL | run_plans.SQL | source_plans.SQL

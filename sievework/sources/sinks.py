@@ -49,6 +49,32 @@ def write_run(folds: DataFrame, folder: str) -> None:
     folds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "embedding", "classifier").parquet(folder)
 
 
+def write_results(folds: DataFrame, folder: str) -> None:
+    """A JSON file for each run (experiment, embedding, classifier), as result readers have them, with means over its folds.
+
+    Runs are few; their documents are made on the executors and written one by one.
+    """
+    names = [c for c in ("f1", "accuracy", "precision", "recall", "auc_roc", "auc_pr") if c in folds.columns]
+    values = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.struct(F.col(c).alias("value")) for c in names)))
+    one = F.struct(F.col("fold").alias("fold_id"), F.col("held_out").alias("held_out_category"), values.alias("metrics"))
+    runs = folds.groupBy("experiment", "embedding", "classifier").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"), F.array_sort(F.collect_list(one), lambda a, b: a["fold_id"] - b["fold_id"]).alias("folds"))
+    spark = folds.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in runs.select("experiment", "embedding", "classifier", F.to_json(F.struct("*")).alias("value")).toLocalIterator():
+        out = fs.create(path(f"{folder.rstrip('/')}/{r.experiment}_{r.embedding}_{r.classifier}.json"), True)
+        out.write(bytearray(r.value.encode()))
+        out.close()
+
+
+def write_pairs(df: DataFrame, split: DataFrame, folder: str) -> None:
+    """A train and a test table for each fold of a split, in a folder of its own."""
+    rows = df.join(split, "sample_id")
+    for f in split.select("fold").distinct().orderBy("fold").collect():
+        for role in ("train", "test"):
+            rows.where((F.col("fold") == f.fold) & (F.col("role") == role)).drop("fold", "role").write.parquet(f"{folder.rstrip('/')}/fold_{f.fold}/{role}.parquet")
+
+
 def _cell(v, none: str) -> str:
     return none if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
 
