@@ -64,9 +64,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sievework.llm.secret_scan import labelled_findings, scan, train
+    from sievework.llm.secret_scan import scan, trained
 
-    found = scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)), path_col="source")
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, trained(docs), path_col="source")
     return found.select("doc_id", "n_candidates", "n_secrets", "findings")
 
 
