@@ -55,7 +55,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a placeholder; every document stays, null and empty texts as they are (n_chars 0). n_chars is counted anew."""
-    found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark)), path_col="source")
+    found = secret_scan.scan(docs, secret_scan.trained(docs), path_col="source")
     return found.select("doc_id", F.col("redacted_text").alias("text"), "lang", "source", F.coalesce(F.length("redacted_text"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
