@@ -8,12 +8,12 @@ import pytest
 from sievework.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-#: Too slow for a unit test; and one whose SQL has experiments that the smallest tables cannot support.
-SLOW, BIG = {"contamination_report", "near_dedup_keep_first"}, {"all_splits"}
+#: Their SQL has experiments that the smallest tables cannot support.
+BIG = {"all_splits", "locked_split_counts"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW - BIG))
+@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - BIG))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
