@@ -51,7 +51,7 @@ class MergeEncoder:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
-        self.decoder = spec["decoder"]
+        self.decoder: dict | None = spec.get("decoder")
         #: rank of a pair by left id * width + right id, and the id that each rank makes; a pair and its rank fix each other
         self.width = 1 << 20
         self.ranks: dict[int, int] = {}
@@ -110,6 +110,8 @@ class WordTokenizer:
         import regex
 
         self.bpe = MergeEncoder(path)
+        if self.bpe.decoder is not None:
+            raise ValueError("the vocabulary names a decoder; only those without one, whose strings are joined by spaces, are decoded")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.bpe.special)) + ")")
         self.other_white = regex.compile(f"[{OTHER_WHITE}]")
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -254,4 +256,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     ids, decoded = list(map(sha, ids)), list(map(sha, decoded))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[2] for x in found], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", *(("ids", "decoded") if with_texts else ("ids_sha256", "decoded_sha256"))])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)

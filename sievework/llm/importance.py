@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import arrays
-from sievework.llm.shared import Scratch, crc32_sql, numbered, written
+from sievework.llm.shared import Scratch, crc32_sql, distinct_names, numbered, written
 
 BUCKETS = 10_000
 #: Words of the longest runs.
@@ -125,8 +125,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     an empty target gains from its added counts alone. Texts of any length are read whole, in chunks of words; other
     columns are not read. An id column of the name of another column of the result is an error. Words of a chunk are told apart by 64-bit hashes.
     """
-    if id_col in ("n_words", "n_features", "weight", "score", "rank"):
-        raise ValueError(f"the id column has the name of a column of the result: {id_col}")
+    distinct_names(id_col, "n_words", "n_features", "weight", "score", "rank")
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         gain = gains(bucket_counts(docs, text_col), bucket_counts(target, target_col))

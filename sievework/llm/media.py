@@ -123,7 +123,7 @@ def store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
             out.write(bytes(1024))
             out.close()
 
-    index = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {key}, digest string, shard string, offset bigint, length bigint")
+    index = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, f"`{id_col}` {key}, digest string, shard string, offset bigint, length bigint")
     return written(index.withColumn("shard", F.concat(F.lit(folder + "/"), "shard")), "media-index")
 
 

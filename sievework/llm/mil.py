@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import arrays
+from sievework.llm.shared import distinct_names
 
 PASSAGE_WORDS = 64
 #: Classes of bytes: lower case, upper case, digits, symbols, sentence marks, other marks, beyond ASCII, line ends, other white space.
@@ -146,7 +147,7 @@ def _bags(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), bags, batch.column(2).slice(block.first, len(block))], names=["id", "bag", "label"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"), F.col(label_col).cast("int")).mapInArrow(run, f"id {kind}, bag binary, label int").toArrow()
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), F.col(f"`{label_col}`").cast("int")).mapInArrow(run, f"id {kind}, bag binary, label int").toArrow()
     found = sorted(zip(rows["id"].to_pylist(), rows["bag"].to_pylist(), rows["label"].to_pylist(), strict=True))
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b, _ in found]
     bounds = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
@@ -161,12 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     spare = F.crc32(F.col("_id").cast("string")) % held_out_mod != held_out
     chosen = (
-        labels.select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).cast("int").alias("_label"))
+        labels.select(F.col(f"`{id_col}`").alias("_id"), (F.col(f"`{label_col}`") == 1).cast("int").alias("_label"))
         .where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & spare)
         .groupBy("_id").agg(F.min("_label").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(max_bags)
     )
-    bags = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    bags = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id")
     return fit(*_bags(bags, "_id", "_text", "_label"))
 
 
@@ -177,6 +178,8 @@ def classify(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col
     rows get the same score; an empty table gives no rows.
     """
     added = ("held_out", "score", "predicted")
+    if not keep:
+        distinct_names(id_col, *added)
     keep = [c for c in keep or [id_col] if c not in added]
     kept = [F.col(f"`{c}`") for c in keep]
     schema = docs.select(*kept).schema

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bpe import ByteTokenizer
+from sievework.llm.shared import distinct_names
 
 #: A piece stays whole if at most this part of its share stays free.
 SLACK = 64
@@ -93,6 +94,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     key = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    distinct_names(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
     schema = f"`{id_col}` {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,4 +125,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         if rows:
             yield table(rows)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import arrays
-from sievework.llm.shared import Scratch, partitions, written
+from sievework.llm.shared import Scratch, distinct_names, partitions, written
 from sievework.llm.similar import components, popcount, verified
 
 #: First sizes of the bands. A set of three elements or fewer is similar to equal sets only.
@@ -366,7 +366,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
 
     wanted = written(wanted, "wanted")
     ids = wanted.select("id").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids) if wanted.count() <= SENT else ids, "id", "left_semi")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(ids) if wanted.count() <= SENT else ids, "id", "left_semi")
     return written(rows.select("text").mapInArrow(run, "set bigint, items array<bigint>").join(wanted.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]), "sets")
 
 
@@ -378,6 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sequence is its one shingle. A null id takes part but names no component unless all ids of it are null. Repeated
     rows are documents with equal sets. An empty table gives no rows. Shingles and sets are compared by 64-bit hashes.
     """
+    distinct_names(id_col, "n_shingles", "component_id")
     with Scratch(docs.sparkSession) as scratch:
         return scratch.keep(_near_duplicates(docs, id_col, text_col, n), "near-duplicates")
 

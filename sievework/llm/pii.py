@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import arrays
+from sievework.llm.shared import distinct_names
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind (its place in KINDS), end
@@ -463,8 +464,7 @@ def find(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col:
     are not read. An id column of the name of another column of the result is an error.
     """
     counts = [f"n_{k}" for k in KINDS]
-    if id_col in (*counts, "base_sha256", "spans"):
-        raise ValueError(f"the id column has the name of a column of the result: {id_col}")
+    distinct_names(id_col, *counts, "base_sha256", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     empty = hashlib.sha256(b"").hexdigest()
 

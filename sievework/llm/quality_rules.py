@@ -44,7 +44,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as empty: zero counts, base_failed. Repeated rows are judged each; other columns are not read. Rows are
     independent, so nothing is shuffled; repeated 5-word windows are found by sorting 64-bit hashes within the row.
     """
-    t = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    t = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     t = t.select("_id", "_text", F.expr(f"filter(split(_text, {_sql(SPACES)}), w -> w <> '')").alias("_words"), F.expr(f"filter(split(_text, '\\n'), l -> regexp_like(l, {_sql(r'[^\x20\x09-\x0D]')}))").alias("_lines"))
     t = t.withColumn("_n", F.size("_words").cast("bigint"))
     t = t.withColumn("_windows", F.expr("case when _n >= 5 then transform(sequence(0, cast(_n as int) - 5), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2], _words[i + 3], _words[i + 4])) else array() end"))

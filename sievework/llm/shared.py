@@ -146,6 +146,12 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::ubigint, {each}), lambda c, x: {twice}), 4294967295::ubigint)"
 
 
+def distinct_names(id_col: str, *added: str) -> None:
+    """ValueError if the id column has the name of a column that an operator adds."""
+    if id_col in added:
+        raise ValueError(f"the id column has the name of a column of the result: {id_col}")
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, for executors; a path without scheme is a mounted folder."""
     from pyarrow import fs

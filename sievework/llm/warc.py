@@ -294,7 +294,7 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     """
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("_digest", F.unhex(F.sha1("payload")))
     owners = rows.groupBy("_digest").agg(F.max("_id").alias("_owner"))
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
