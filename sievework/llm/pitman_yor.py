@@ -20,7 +20,6 @@ so every other chunk draws the same tables again when it scores.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache, reduce
@@ -78,11 +77,14 @@ def thrifty(run):
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+    """An array's bytes, compressed, behind their number."""
+    data = np.ascontiguousarray(a).tobytes()
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), dtype)
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], n, codec="zstd", asbytes=True) if n else b"", dtype)
 
 
 # ---- seating ----
