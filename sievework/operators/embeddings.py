@@ -8,7 +8,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +45,19 @@ def model(name: str) -> Callable[[], Model]:
 
 
 def embed(texts: DataFrame, name: str) -> DataFrame:
-    """(text, embedding) of a table of texts."""
-    make = model(name)
+    """(text, embedding) of a table of texts; a model's vectors are all of one width."""
+    made = model(name)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = make()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = made()
         for b in batches:
-            yield pd.DataFrame({"text": b["text"], "embedding": [list(map(float, v)) for v in encode(b["text"].tolist())]})
+            if not len(b):
+                continue
+            v = np.asarray(encode(b.column(0).to_pylist()), np.float32)
+            offsets = pa.array(np.arange(len(b) + 1, dtype=np.int32) * v.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], names=["text", "embedding"])
 
-    return texts.select("text").mapInPandas(run, "text string, embedding array<float>")
+    return texts.select("text").mapInArrow(run, "text string, embedding array<float>")
 
 
 def by_text(df: DataFrame, lookup: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -352,15 +352,3 @@ def replay_check(spark: SparkSession, sf: str) -> DataFrame:
     r = result_rows(spark, sf).where("experiment = 'leave_out'")
     again = r.withColumn("f1", F.col("f1") + F.when(F.col("fold") == 2, 0.002).otherwise(0.0001))
     return results.replay_check(again, r).select("embedding", "classifier", "fold", *six("now", "was"), "differs")
-
-
-# ---- models (no SQL form) ----
-
-
-@query()
-def run_experiment(spark: SparkSession, sf: str) -> DataFrame:
-    """Logistic regression over the leave-one-out folds of the vectors, with all metrics."""
-    from sievework.operators.models import logistic, run_experiment as run
-
-    v = vectors(spark, sf)
-    return run(v, splits.leave_one_out(v, 47), logistic())

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import profiles
-from sievework.operators import dedup, eda, quality, splits, taxonomy, trainers
-from sievework.plans.model_plans import BENIGN, KFOLD, LEAVE_OUT, STRATUM
+from sievework.operators import dedup, eda, quality, reports, splits, taxonomy, trainers
+from sievework.plans.model_plans import BENIGN, DELTA, KFOLD, LEAVE_OUT, MASTER, STRATUM
 from sievework.plans.text_plans import CONF, WORDS, six
-from sievework.plans.views import NORM, S, U, labelled, scored, table, vectors
+from sievework.plans.views import NORM, R, S, U, labelled, results, scored, table, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -104,7 +104,26 @@ def quality_issues(spark: SparkSession, sf: str) -> DataFrame:
     return per.select("source", F.concat(F.lit("["), F.array_join(rules, ", "), F.lit("]")).alias("rules"))
 
 
-# ---- fitted classifiers (no SQL form) ----
+# ---- studies and fitted classifiers (these without SQL) ----
+
+
+@query()
+def run_experiment(spark: SparkSession, sf: str) -> DataFrame:
+    """Logistic regression over the leave-one-out folds of the vectors, with all metrics."""
+    out = trainers.leave_out(vectors(spark, sf), [("logreg", {})], 47)
+    return out.select("fold", "held_out", *six("accuracy", "precision", "recall", "f1", "auc_roc", "auc_pr"))
+
+
+@query(f"""with {R}, {MASTER}, {DELTA}, x as (select embedding || '/' || classifier as name, * from mt),
+  p as (select embedding, classifier, a.f1 - b.f1 as d from (select * from r where experiment = 'standard_cv') a join (select * from r where experiment = 'leave_out') b using (embedding, classifier, fold)),
+  t as (select embedding, classifier, avg(d) / (stddev_samp(d) / sqrt(count(*))) as t from p group by 1, 2), w as (select abs(t) / sqrt(4 + t * t) as w from t)
+select count(*) as n_combinations, round(avg(cv_f1), 6) as mean_cv, round(avg(leave_out_f1), 6) as mean_leave_out, round(avg(delta_f1), 6) as mean_delta,
+  (select name from x order by round(delta_f1, 9) desc, name desc limit 1) as largest_drop, (select name from x order by round(delta_f1, 9), name limit 1) as smallest_drop, (select held_out from dl order by round(mean_f1, 9), 1 limit 1) as hardest,
+  (select count(*) from w where 1 - 1.5::double * w + 0.5::double * w * w * w < 0.05) as n_significant, (select count(*) from w) as n_tested from x""")
+def study_findings(spark: SparkSession, sf: str) -> DataFrame:
+    f = reports.findings(results(spark, sf))
+    return f.select("n_combinations", *six("mean_cv", "mean_leave_out", "mean_delta"), "largest_drop", "smallest_drop", "hardest", "n_significant", "n_tested")
+
 
 GRID = [("logreg", {}), ("logreg", {"c": 0.1}), ("svm", {}), ("xgboost", {}), ("mlp", {})]
 

@@ -183,12 +183,3 @@ def test_keep_first_keeps_every_key(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "A"), (1, "B"), (None, "Z"), (3, None)], key=str)
     assert dedup.exact_dedup(d).count() == 4
     assert dedup.keep_first(d.limit(0), F.col("text"), "sample_id").count() == 0
-
-
-def test_logistic_penalty_follows_rows(spark):
-    """The penalty is on the sum of losses, so repeating all rows weakens it."""
-    from sievework.operators import models
-
-    base = [([float(i % 5) + (2.0 if y else 0.0), float(i % 3)], y) for i in range(40) for y in (0, 1)]
-    fit = lambda rows: models.logistic(0.01).fit(models.vectorized(spark.createDataFrame(rows, "embedding array<double>, label int"))).stages[-1].coefficients.toArray()[0]
-    assert 0 < fit(base) < fit(base * 5)
