@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators import results
+from sievework.operators.storage import materialize
 from sievework.sources import sinks
 
 
 def findings(folds: DataFrame, level: float = 0.05, left: str = "standard_cv", right: str = "leave_out") -> DataFrame:
     """One row: combinations, overall means, best, largest and smallest drop, hardest and easiest category, and how many combinations drop significantly of how many that can be tested."""
+    folds = materialize(folds, "folds")
     m = results.master_table(folds, left, right)
     name = F.concat_ws("/", *results.KEY)
     ends = m.agg(F.count("*").alias("n_combinations"), F.max_by(name, F.struct("delta_f1", name)).alias("largest_drop"), F.min_by(name, F.struct("delta_f1", name)).alias("smallest_drop"))
@@ -35,6 +37,7 @@ def summary(folds: DataFrame, level: float = 0.05, left: str = "standard_cv", ri
 
 def tables(folds: DataFrame, left: str = "standard_cv", right: str = "leave_out") -> dict[str, DataFrame]:
     """Every table of the study by name: small tables, made from the fold rows."""
+    folds = materialize(folds, "folds")
     categories = sorted(r[0] for r in folds.where((F.col("experiment") == right) & F.col("held_out").isNotNull()).select("held_out").distinct().collect())
     classifiers = sorted(r[0] for r in folds.select("classifier").distinct().collect())
     master = results.master_table(folds, left, right)

@@ -82,12 +82,29 @@ def leave_one_out(df: DataFrame, min_samples: int = 200, benign_share: float = 0
     n_benign = df.where("label = 0").count()
     n_test = max(1, int(n_benign * benign_share))
     d = df.select("sample_id", "label", "attack_category", folds.alias("f")).select("sample_id", "label", "attack_category", "f.*")
-    benign = _numbered(d.where("label = 0"), ["fold"], seed, F.col("fold"))
-    role = F.when(F.col("_r") <= n_test, "test").otherwise("train")
+    benign = _first_of_each(d.where("label = 0").select("fold", "held_out", "sample_id"), "fold", n_test, seed)
     inj = d.where("label = 1").select("fold", "held_out", "sample_id", F.when(F.col("attack_category").eqNullSafe(F.col("held_out")), "test").otherwise("train").alias("role"))
-    return inj.unionByName(benign.select("fold", "held_out", "sample_id", role.alias("role")))
+    return inj.unionByName(benign.select("fold", "held_out", "sample_id", F.when(F.col("_first"), "test").otherwise("train").alias("role")))
 
 
+def _first_of_each(df: DataFrame, by: str, n: int, seed: int) -> DataFrame:
+    """Adds _first: whether a row is among the first n of its group by the hash of seed, group and id.
+
+    Counts by ranges of the hash tell in which range the n-th row of a group lies; only the rows of that range are
+    sorted, and the other rows stay where they are.
+    """
+    key = T.hash_rank_key(seed, F.col(by), F.col("sample_id"))
+    d = df.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, DIGITS))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    cut = counts.where(F.col("_before") < n).groupBy(by).agg(F.max_by(F.struct(F.col("_part").alias("_cut"), (F.lit(n) - F.col("_before")).alias("_left")), "_part").alias("_c")).select(by, "_c.*")
+    d = d.join(F.broadcast(cut), by)  # a row for each group
+    last = d.where(F.col("_part") == F.col("_cut")).withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy("_key", "sample_id")))
+    rest = d.where(F.col("_part") != F.col("_cut")).withColumn("_first", F.col("_part") < F.col("_cut"))
+    both = rest.unionByName(last.withColumn("_first", F.col("_i") <= F.col("_left")).drop("_i"))
+    return both.drop("_key", "_part", "_cut", "_left")
+
 
 def _benign(df: DataFrame, share: float, seed: int) -> DataFrame:
     """Roles of benign rows: the first by hash test, found by counts of ranges of the hash."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.operators import centroids
+from sievework.operators.storage import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +83,7 @@ PARTS = {n: (12 * i + 1, 12 * i + 12) for i, n in enumerate(("minilm", "bge_larg
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold results of 20 combinations over the vectors: 5 folds, and one category left out at a time."""
-    return centroids.experiment(vectors(spark, sf_dir), PARTS)
+    return materialize(centroids.experiment(vectors(spark, sf_dir), PARTS), "results")
 
 
 _SUMS = ", ".join(f"sum((x - c{c}) * (x - c{c})) as e{c}, sum(abs(x - c{c})) as l{c}, sum(x * c{c}) as d{c}, sum(c{c} * c{c}) as n{c}" for c in (0, 1))
