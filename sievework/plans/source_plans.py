@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
@@ -36,7 +36,10 @@ def query(sql: str | None = None):
 
 J = "j as (select doc_id, text, lang, source, toxic, quality from documents join labels using (doc_id))"
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-HASHED = F.sha2("text", 256).alias("h")
+
+
+def _hashed() -> Column:
+    return F.sha2("text", 256).alias("h")
 
 
 def _joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,26 +50,26 @@ def _joined(spark: SparkSession, sf: str) -> DataFrame:
 def load_deepset(spark: SparkSession, sf: str) -> DataFrame:
     j = _joined(spark, sf).select("row", "text", F.col("toxic").alias("label"))
     d = loaders.deepset(loaders.with_splits({"train": j.where("row % 5 <> 0"), "test": j.where("row % 5 = 0")}))
-    return d.select(HASHED, "label", "source", F.col("metadata")["split"].alias("split"))
+    return d.select(_hashed(), "label", "source", F.col("metadata")["split"].alias("split"))
 
 
 @query(f"with {J} select sha256(text) as h, 1 as label from (select text, min(doc_id) as o from j where (toxic = 1 or quality = 0) and not coalesce(case when doc_id % 10 = 0 then null else doc_id % 9 = 0 end, false) group by 1 order by o limit 50)")
 def load_hackaprompt(spark: SparkSession, sf: str) -> DataFrame:
     error = F.when(F.col("row") % 10 != 0, F.col("row") % 9 == 0)
     j = _joined(spark, sf).select("row", F.col("text").alias("user_input"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("correct"), error.alias("error"))
-    return loaders.hackaprompt(j, 50).select(HASHED, "label")
+    return loaders.hackaprompt(j, 50).select(_hashed(), "label")
 
 
 @query(f"with {J} select sha256(text) as h, toxic::int as label, case when toxic = 1 then source end as original_category from (select * from j order by doc_id limit 60)")
 def load_gentel(spark: SparkSession, sf: str) -> DataFrame:
     j = _joined(spark, sf).select("row", "text", F.col("toxic").alias("label"), F.col("source").alias("subdomain"))
-    return loaders.gentel(j, 60).select(HASHED, "label", "original_category")
+    return loaders.gentel(j, 60).select(_hashed(), "label", "original_category")
 
 
 @query("select sha256(text) as h, 1 as label, item_id / 8.0::double as similarity from benchmark")
 def load_pint(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("row"), "text", (F.col("item_id") / 8.0).alias("similarity"))
-    return loaders.pint(b).select(HASHED, "label", F.col("metadata")["similarity"].cast("double").alias("similarity"))
+    return loaders.pint(b).select(_hashed(), "label", F.col("metadata")["similarity"].cast("double").alias("similarity"))
 
 
 PAIRS = "pr as (select conv_id * 1000 + turn as o, text as attack, next as normal from (select *, lead(role) over w as nr, lead(text) over w as next from conversations window w as (partition by conv_id order by turn)) where role = 'user' and nr = 'assistant')"
@@ -79,26 +82,26 @@ def load_open_prompt(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf, "conversations").select("*", F.lead("role").over(w).alias("nr"), F.lead("text").over(w).alias("normal_input")).where("role = 'user' and nr = 'assistant'")
     raw = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), F.col("text").alias("attack_input"), "normal_input", F.lit("x").alias("attack_type"))
-    return loaders.open_prompt(raw).select(HASHED, "label", "is_indirect")
+    return loaders.open_prompt(raw).select(_hashed(), "label", "is_indirect")
 
 
 @query(f"select sha256(t) as h, lang as category, has::varchar as has_context from (select {STRIP} as t, arg_min(lang, doc_id) as lang, arg_min(case when doc_id % 3 = 0 then false else true end, doc_id) as has, min(doc_id) as o from documents where {STRIP} <> '' group by 1 order by o limit 300)")
 def load_dolly(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "documents").select(F.col("doc_id").alias("row"), F.col("text").alias("instruction"), F.col("lang").alias("category"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("source")).alias("context"))
     m = F.col("metadata")
-    return loaders.dolly(raw, 300).select(HASHED, m["category"].alias("category"), m["has_context"].alias("has_context"))
+    return loaders.dolly(raw, 300).select(_hashed(), m["category"].alias("category"), m["has_context"].alias("has_context"))
 
 
 @query(rf"select sha256(t) as h, 0 as label from (select {STRIP} || case when doc_id % 2 = 0 then chr(10) || lang else '' end as t, min(doc_id) as o from documents where {STRIP} <> '' group by 1 order by o limit 300)")
 def load_alpaca(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "documents").where(loaders._strip(F.col("text")) != "").select(F.col("doc_id").alias("row"), F.col("text").alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.col("lang"))).alias("input"))
-    return loaders.alpaca(raw, 300).select(HASHED, "label")
+    return loaders.alpaca(raw, 300).select(_hashed(), "label")
 
 
 @query(f"select sha256(t) as h, 0 as label from (select {STRIP} as t, min(conv_id * 1000 + turn) as o from conversations where role = 'user' and conv_id % 2 = 0 and {STRIP} <> '' group by 1 order by o limit 100)")
 def load_oasst(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "text", F.when(F.col("role") == "user", "prompter").otherwise(F.col("role")).alias("role"), F.when(F.col("conv_id") % 2 == 0, "en").otherwise("de").alias("lang"))
-    return loaders.oasst(raw, 100).select(HASHED, "label")
+    return loaders.oasst(raw, 100).select(_hashed(), "label")
 
 
 @query(f"select sha256(t) as h, 0 as label from (select {STRIP} as t, min(conv_id) as o from (select conv_id, arg_min(text, turn) as text from conversations where role = 'user' and conv_id % 3 <> 0 group by 1) where {STRIP} <> '' group by 1 order by o limit 40)")
@@ -106,7 +109,7 @@ def load_wildchat(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     raw = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("row")).agg(F.array_sort(F.collect_list(turn)).alias("conversation"))
     raw = raw.withColumn("language", F.when(F.col("row") % 3 != 0, "English").otherwise("German"))
-    return loaders.wildchat(raw, 40).select(HASHED, "label")
+    return loaders.wildchat(raw, 40).select(_hashed(), "label")
 
 
 @query("select 'pint' as source, count(*) as n from benchmark union all select 'oasst', count(distinct text) from conversations where role = 'user' and conv_id % 2 = 0")

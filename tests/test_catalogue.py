@@ -35,3 +35,14 @@ def test_against_duckdb(spark, name):
 def test_every_query_is_callable():
     assert all(callable(f) for f in catalogue.queries().values())
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_entry_needs_no_session():
+    """The catalogue can be read before there is a session."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
