@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import profiles
 from sievework.operators import dedup, eda, quality, reports, splits, taxonomy, trainers
 from sievework.plans.model_plans import BENIGN, DELTA, KFOLD, LEAVE_OUT, MASTER, STRATUM
-from sievework.plans.text_plans import CONF, WORDS, six
+from sievework.plans.text_plans import CONF, GREEDY, SHINGLED, WORDS, six
 from sievework.plans.views import NORM, R, S, U, labelled, results, scored, table, vectors
 
 QUERIES, SQL = {}, {}
@@ -24,16 +24,25 @@ def query(sql: str | None = None):
     return add
 
 
-@query(rf"""with t as (select doc_id, lang, ' ' || lower({NORM}) || ' ' as s from documents where {NORM} <> ''),
+def _languages(rows: str, train: str) -> str:
+    """CTEs that end in b (doc_id, best, top: scores from the highest, n: known trigrams) for rows (doc_id, lang, text)."""
+    return rf"""t as (select doc_id, lang, ' ' || lower({NORM}) || ' ' as s from {rows} where {NORM} <> ''),
   g as (select doc_id, lang, substr(s, i, 3) as g from (select doc_id, lang, s, unnest(generate_series(1, length(s) - 2)) as i from t)),
-  c as (select lang, g, count(*) as n from g where doc_id % 4 <> 0 and lang is not null group by 1, 2),
+  c as (select lang, g, count(*) as n from g where {train} and lang is not null group by 1, 2),
   k as (select distinct g from (select g, row_number() over (partition by lang order by n desc, g) as r from c) where r <= 1000),
   m as (select lang, sum(n) + (select count(*) from k) as total from c join k using (g) group by 1),
   p as (select m.lang, k.g, ln((coalesce(c.n, 0) + 1) / total::double) as w from m cross join k left join c on c.lang = m.lang and c.g = k.g),
   d as (select doc_id, g, count(*) as n from g join k using (g) group by 1, 2),
   s as (select doc_id, lang, sum(n * w) as score, sum(n) as n from d join p using (g) group by 1, 2),
-  b as (select doc_id, arg_max(lang, score) as best, list_reverse_sort(list(score)) as top, any_value(n) as n from s group by 1)
-select doc_id as sample_id, case when top[1] - top[2] >= 0.02 * n then best else 'unknown' end as detected from documents left join b using (doc_id)""")
+  b as (select doc_id, arg_max(lang, score) as best, list_reverse_sort(list(score)) as top, any_value(n) as n from s group by 1)"""
+
+
+SQL["harmonize"] = f"""with recursive {SHINGLED}{GREEDY.replace('jaccard >= 0.5', 'jaccard >= 0.9')},
+  hk as (select sample_id as doc_id, lang, text from dd where not list_contains((select arg_max(dropped, k) from run), sample_id)), {_languages('hk', 'true')}
+select doc_id as sample_id, case when top[1] - top[2] >= 0.02 * n then best else lang end as language, substr(sha256({NORM}), 1, 12) as norm12 from hk left join b using (doc_id)"""
+
+
+@query(f"with {_languages('documents', 'doc_id % 4 <> 0')} select doc_id as sample_id, case when top[1] - top[2] >= 0.02 * n then best else 'unknown' end as detected from documents left join b using (doc_id)")
 def language_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles from three quarters of the documents, languages of all."""
     d = table(spark, sf, "documents")

@@ -175,6 +175,35 @@ def upserted_cache(spark: SparkSession, sf: str) -> DataFrame:
     return t.read()
 
 
+@query("select substr(sha256(text), 1, 16) as sample_hash, case when bool_or(doc_id % 3 = 0) then 'jailbreak_roleplay' else 'other' end as category_slug from documents group by 1")
+def cache_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A cache that is appended to: the last line of a hash counts, whatever the files are called."""
+    d, path = documents(spark, sf).select(T.hash16(F.col("text")).alias("sample_hash"), "sample_id"), new_folder(spark, "cache-log")
+    taxonomy.write_cache(d.withColumn("category_slug", F.lit("other")), path)
+    taxonomy.write_cache(d.where("sample_id % 3 = 0").withColumn("category_slug", F.lit("jailbreak_roleplay")), path)
+    return taxonomy.last_answers(taxonomy.read_cache(spark, path))
+
+
+@query(f"with {R} select experiment, embedding, classifier, fold, round(f1, 6) as f1 from r where experiment = 'leave_out' or classifier = 'svm'")
+def run_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs in folders of their names: a second write replaces its own runs only."""
+    r, folder = results(spark, sf), new_folder(spark, "runs")
+    sinks.write_run(r.where("experiment = 'leave_out'").withColumn("f1", F.lit(0.0)), folder)
+    sinks.write_run(r.where("classifier = 'svm'"), folder)
+    sinks.write_run(r.where("experiment = 'leave_out'"), folder)
+    return spark.read.parquet(folder).select("experiment", "embedding", "classifier", "fold", *six("f1"))
+
+
+@query(f"with {V}, {LEAVE_OUT_V} select fold, role, count(*) as n, sum(('0x' || substr(sha256(sample_id::varchar), 1, 12))::bigint)::varchar as hash_sum from lo group by 1, 2")
+def split_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.manifest(splits.leave_one_out(vectors(spark, sf), 47)).withColumn("hash_sum", F.col("hash_sum").cast("string"))
+
+
+@query(f"with {W} select sample_id, label_source <> 'uncertain' as applied from w where label_source in ('llm', 'gpt_4_1_mini', 'uncertain')")
+def processed_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.processed_labels(reviewed(spark, sf)).select("sample_id", "applied")
+
+
 # ---- answers and embeddings ----
 
 SLUGS = list(taxonomy.SLUG_OF.values())

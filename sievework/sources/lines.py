@@ -1,7 +1,7 @@
 """Lines of text files in their true order, read in parallel.
 
-Files are split as Spark splits them; a line's place is (file, start of its split, its place in the split), which needs no
-second pass and does not depend on how splits are dealt to tasks or in which order files are listed.
+Files are split as Spark splits them; a line's place is (time of the file, file, start of its split, its place in the split),
+which needs no second pass and does not depend on how splits are dealt to tasks or in which order files are listed.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ PLACE = "line_no"
 
 
 def place(name: str = PLACE) -> Column:
-    """The place of a row of a text source: struct(file, split, row), which compares in that order. Files come by path."""
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias(name)
+    """The place of a row of a text source: a struct that compares in order. Files come as they were last written, those of the same time by path."""
+    return F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias(name)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
