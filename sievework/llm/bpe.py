@@ -238,7 +238,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Returns the id column, n_tokens, ids (decimal, one space between) and decoded, or with ``with_texts=False`` the
     SHA-256 of both instead. A null or empty text has no ids and an empty decoded text. Repeated rows give repeated
-    rows; other columns of ``docs`` are not read. Each row is worked on alone, so nothing is shuffled.
+    rows; an empty table gives none; other columns of ``docs`` are not read. Texts of any length are encoded whole, chunk by
+    chunk. Each row is worked on alone, so nothing is shuffled. ValueError for a vocabulary that names a decoder.
     """
     key = docs.schema[id_col].dataType.simpleString()
     kind = "string" if with_texts else None

@@ -1,6 +1,6 @@
 """Media columns (operator 4): content-addressed payloads in tar shards.
 
-A payload is stored as an 8-bit grey PNG of 64 samples a row, under the SHA-256 of its samples, in a tar shard that its
+A payload is stored as an 8-bit grey PNG of 64 samples a row, under the SHA-256 of its samples and its length, in a tar shard that its
 task writes. A row carries digest, shard, offset and length; metadata come from a range read of the first bytes alone,
 and features from a range read of the stored bytes.
 """
@@ -84,7 +84,8 @@ def store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
 
     Each task writes shards of its own, of about 256 MB, and stores a payload once a shard set: equal texts of one task
     share offset and length. A task that runs again writes new files, to which alone the index refers. The index is
-    written to the shared folder as Parquet. Repeated rows have a row each; an empty table has an empty index.
+    written to the shared folder as Parquet. Repeated rows have a row each; an empty table has an empty index; other columns
+    are not read; a payload of any length is held whole while it is written.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "media")

@@ -175,7 +175,8 @@ def classify(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col
     """Scores every whole text: the id column (or the columns in ``keep``), held_out, score (0 to 1) and predicted (1 if score >= threshold).
 
     Columns named like those three in ``keep`` are replaced. Only the text is used for the score. A null or empty text is one passage of zeros. Rows are independent; repeated
-    rows get the same score; an empty table gives no rows.
+    rows get the same score; an empty table gives no rows; texts of any length are scored by all of their passages. An id
+    column named like one of the three is an error without ``keep``.
     """
     added = ("held_out", "score", "predicted")
     if not keep:

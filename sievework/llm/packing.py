@@ -88,7 +88,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     then ``end_id``; a null or empty text is ``end_id`` alone. Returns one row for each piece: the id column, start
     (ids of the document before it), length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers),
     doc_tokens, sequence_id, offset, and with ``with_ids`` the ids. A document's pieces hold each id once; a sequence's
-    pieces lie gapless from offset 0. Repeated rows are packed as often as they occur; other columns are not read. An
+    pieces lie gapless from offset 0. Repeated rows are packed as often as they occur; other columns are not read; an id
+    column named like a result is an error. Texts of any length are cut freely. An
     empty table gives no rows. Sequence ids hold the partition, so partitions need not talk to each other, and a
     partition that runs again gives the same ids.
     """

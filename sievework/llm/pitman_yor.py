@@ -534,7 +534,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     Returns the id column, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
     base_score (add-one unigram, log10), score (log10 probability by the model), perplexity (10 ** (-score / n_tokens)).
-    A null text is empty: its end alone. A null id counts as training. Repeated rows count each. An empty table gives
+    A null text is empty: its end alone. A null id counts as training. Other columns are not read, whatever their names;
+    a text of any length lies whole in one chunk. Repeated rows count each. An empty table gives
     no rows. Counts cover all training texts. The driver holds spelling counts only, whose number is bounded by the
     contexts of two bytes. ``n_tokens`` and all counts are exact but for collisions of 64-bit word hashes.
     """

@@ -41,7 +41,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines (lines with a word),
     n_failed_lines, left_chars (word characters in lines that stay) and, with ``with_text``, cleaned_text (the lines
     that stay). ``kept`` is false if base_failed or if 100 * left_chars < min_left_pct * word_chars. A null text counts
-    as empty: zero counts, base_failed. Repeated rows are judged each; other columns are not read. Rows are
+    as empty: zero counts, base_failed. Repeated rows are judged each; other columns are not read, whatever their names; an
+    empty table gives no rows; texts of any length are judged whole, in one expression. Rows are
     independent, so nothing is shuffled; repeated 5-word windows are found by sorting 64-bit hashes within the row.
     """
     t = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
