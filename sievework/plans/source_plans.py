@@ -85,31 +85,31 @@ def load_open_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return loaders.open_prompt(raw).select(_hashed(), "label", "is_indirect")
 
 
-@query(f"select sha256(t) as h, lang as category, has::varchar as has_context from (select {STRIP} as t, arg_min(lang, doc_id) as lang, arg_min(case when doc_id % 3 = 0 then false else true end, doc_id) as has, min(doc_id) as o from documents where {STRIP} <> '' group by 1 order by o limit 300)")
+@query(f"select sha256(t) as h, lang as category, has::varchar as has_context from (select {STRIP} as t, arg_min(lang, doc_id) as lang, arg_min(case when doc_id % 3 = 0 then false else true end, doc_id) as has, min(doc_id) as o from documents where {STRIP} <> '' group by 1 order by o limit 15000)")
 def load_dolly(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "documents").select(F.col("doc_id").alias("row"), F.col("text").alias("instruction"), F.col("lang").alias("category"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("source")).alias("context"))
     m = F.col("metadata")
-    return loaders.dolly(raw, 300).select(_hashed(), m["category"].alias("category"), m["has_context"].alias("has_context"))
+    return loaders.dolly(raw).select(_hashed(), m["category"].alias("category"), m["has_context"].alias("has_context"))
 
 
-@query(rf"select sha256(t) as h, 0 as label from (select {STRIP} || case when doc_id % 2 = 0 then chr(10) || lang else '' end as t, min(doc_id) as o from documents where {STRIP} <> '' group by 1 order by o limit 300)")
+@query(rf"select sha256(t) as h, 0 as label from (select {STRIP} || case when doc_id % 2 = 0 then chr(10) || lang else '' end as t, min(doc_id) as o from documents where {STRIP} <> '' group by 1 order by o limit 8000)")
 def load_alpaca(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "documents").where(loaders._strip(F.col("text")) != "").select(F.col("doc_id").alias("row"), F.col("text").alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.col("lang"))).alias("input"))
-    return loaders.alpaca(raw, 300).select(_hashed(), "label")
+    return loaders.alpaca(raw).select(_hashed(), "label")
 
 
-@query(f"select sha256(t) as h, 0 as label from (select {STRIP} as t, min(conv_id * 1000 + turn) as o from conversations where role = 'user' and conv_id % 2 = 0 and {STRIP} <> '' group by 1 order by o limit 100)")
+@query(f"select sha256(t) as h, 0 as label from (select {STRIP} as t, min(conv_id * 1000 + turn) as o from conversations where role = 'user' and conv_id % 2 = 0 and {STRIP} <> '' group by 1 order by o limit 8000)")
 def load_oasst(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "text", F.when(F.col("role") == "user", "prompter").otherwise(F.col("role")).alias("role"), F.when(F.col("conv_id") % 2 == 0, "en").otherwise("de").alias("lang"))
-    return loaders.oasst(raw, 100).select(_hashed(), "label")
+    return loaders.oasst(raw).select(_hashed(), "label")
 
 
-@query(f"select sha256(t) as h, 0 as label from (select {STRIP} as t, min(conv_id) as o from (select conv_id, arg_min(text, turn) as text from conversations where role = 'user' and conv_id % 3 <> 0 group by 1) where {STRIP} <> '' group by 1 order by o limit 40)")
+@query(f"select sha256(t) as h, 0 as label from (select {STRIP} as t, min(conv_id) as o from (select conv_id, arg_min(text, turn) as text from conversations where role = 'user' and conv_id % 3 <> 0 group by 1) where {STRIP} <> '' group by 1 order by o limit 8000)")
 def load_wildchat(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     raw = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("row")).agg(F.array_sort(F.collect_list(turn)).alias("conversation"))
     raw = raw.withColumn("language", F.when(F.col("row") % 3 != 0, "English").otherwise("German"))
-    return loaders.wildchat(raw, 40).select(_hashed(), "label")
+    return loaders.wildchat(raw).select(_hashed(), "label")
 
 
 @query("select 'pint' as source, count(*) as n from benchmark union all select 'oasst', count(distinct text) from conversations where role = 'user' and conv_id % 2 = 0")

@@ -118,6 +118,33 @@ def contamination_report(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("split_id", "n_test", "n_train", "lexical_flagged", "semantic_flagged", "total_flagged", *six("flagged_rate_pct", "homogeneity"), "passed")
 
 
+FLAGGED = """, ve as (select vec_id, embedding::double[] as x from embeddings where vec_id in (select doc_id from documents)),
+  vb as (select a.vec_id as test_id, b.vec_id as train_id, round(list_cosine_similarity(a.x, b.x), 12) as similarity from ve a join ve b on a.vec_id % 5 = 0 and b.vec_id % 5 <> 0 qualify row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.x, b.x), 12) desc, b.vec_id) = 1),
+  vf as (select * from vb where similarity >= 0.4)"""
+
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return _split(documents(spark, sf).join(vectors(spark, sf).select("sample_id", "embedding"), "sample_id", "left"))
+
+
+@query(f"""with {TOKENS}{FLAGGED}, h as (select doc_id, substr(sha256({NORM}), 1, 12) as h from documents),
+  f as (select test_id, train_id, 'lexical' as check_type, jaccard as score from tb union all select test_id, train_id, 'semantic', similarity from vf)
+select 'split' as split_id, test_id, x.h as sample_hash, check_type, round(score, 6) as score, train_id, y.h as neighbour_hash from f join h x on x.doc_id = test_id join h y on y.doc_id = train_id""")
+def contamination_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """A record for each flagged row and check, with the ids of both texts."""
+    return contamination.flags(*_sides(spark, sf), cosine_at=0.4).select("split_id", "test_id", "sample_hash", "check_type", *six("score"), "train_id", "neighbour_hash")
+
+
+@query(f"""with {TOKENS}{FLAGGED}, w as (select 'jaccard' as kind, test_id, train_id, jaccard as score, row_number() over (order by jaccard desc, test_id) as place from tb
+  union all select 'similarity', test_id, train_id, similarity, row_number() over (order by similarity desc, test_id) from vf)
+select kind, place::int as place, test_id, train_id, round(score, 6) as score from w where place <= 3""")
+def contamination_worst(spark: SparkSession, sf: str) -> DataFrame:
+    """The three worst rows of each check, as the report lists them."""
+    r = contamination.report(*_sides(spark, sf), cosine_at=0.4)
+    both = [r.select(F.lit(k).alias("kind"), F.posexplode(f"worst_{k}").alias("place", "w")) for k in ("jaccard", "similarity")]
+    return both[0].unionByName(both[1]).select("kind", (F.col("place") + 1).alias("place"), "w.test_id", "w.train_id", F.round("w.score", 6).alias("score"))
+
+
 SPLIT_SETS = rf"""ts as (select doc_id as sample_id, array_to_string(list_sort(list_distinct(string_split(lower({NORM}), ' '))), ' ') as key from documents where {NORM} <> ''),
   ks as (select distinct key, string_split(key, ' ') as t from ts),
   ki as (select key, unnest(t) as g, len(t) as n from ks), kd as (select g, count(*) as df from ki group by 1),
