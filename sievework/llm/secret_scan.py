@@ -65,7 +65,7 @@ def language_of(words: dict[str, int]) -> Language:
     return Language(sorted({w for w in words if len(w) > 2} | set(DICTIONARY)), _transitions(pairs))
 
 
-def learn_language(docs: DataFrame, text_col: str = "text", most: int = 5000) -> Language:
+def learn_language(docs: DataFrame, text_col: str = "text", most: int = 2000) -> Language:
     """The ``most`` frequent words of 3 letters or more in all texts, as a dictionary and for the transitions between letters."""
     words = F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`").cast("string")), F.lit(r"\p{L}{3,30}"), F.lit(0))).alias("w")
     counts = docs.select(words).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
@@ -181,7 +181,7 @@ def _with_features(findings: DataFrame, language: Language) -> DataFrame:
     return VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(x).select("label", "features")
 
 
-def train(findings: DataFrame, language: Language | None = None, trees: int = 30, depth: int = 9, seed: int = 11) -> Detector:
+def train(findings: DataFrame, language: Language | None = None, trees: int = 20, depth: int = 9, seed: int = 11) -> Detector:
     """A random forest on labelled findings (value, before, path, label; rows with a null value or label are left out) in a language (default: words of programs alone)."""
     language = language or language_of({w: 1 for w in DICTIONARY})
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(_with_features(findings, language))
