@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -50,21 +51,33 @@ def map_sources(df: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     return df.join(F.broadcast(m) if m.count() <= 10_000 else m, ["source", "original_category"], "left").withColumn("attack_category", F.coalesce("attack_category", "_mapped")).select(*df.columns)
 
 
-def match_category(text: Column, patterns: dict[str, list[str]]) -> Column:
-    """The first category one of whose patterns is found anywhere, in any case; null if none is."""
+#: A word boundary of ASCII letters, digits and ``_`` (Java's own takes other letters in even without its Unicode classes).
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def match_category(text: Column, patterns: dict[str, list[str]], ascii: bool = False) -> Column:
+    """The first category one of whose patterns is found anywhere, in any case; null if none is.
+
+    With ``ascii``, the classes and word boundaries of the patterns know ASCII only, as those of RE2 (SQL) do; case is
+    that of Unicode, without the Turkish i.
+    """
     out = F.lit(None).cast("string")
+    if ascii:
+        text = F.translate(text, "\u0130\u0131", "\ufffd\ufffd")
     for slug, found in reversed(patterns.items()):
         if found:
-            out = F.when(text.rlike("(?iU)(?:" + "|".join(f"(?:{p})" for p in found) + ")"), slug).otherwise(out)
+            p = "|".join(f"(?:{p})" for p in found)
+            p = "(?iu)(?:" + re.sub(r"\\(.)", lambda m: _EDGE if m[1] == "b" else m[0], p, flags=re.S) + ")" if ascii else f"(?iU)(?:{p})"
+            out = F.when(text.rlike(p), slug).otherwise(out)
     return out
 
 
-def match_patterns(df: DataFrame, patterns: dict[str, list[str]] | None = None) -> DataFrame:
+def match_patterns(df: DataFrame, patterns: dict[str, list[str]] | None = None, ascii: bool = False) -> DataFrame:
     """Tier 2. Only rows without a category that are injections (all rows, if there is no label) are matched."""
     due = F.col("attack_category").isNull()
     if "label" in df.columns:
         due &= F.coalesce(F.col("label") == 1, F.lit(False))
-    return df.withColumn("attack_category", F.when(due, match_category(F.col("text"), patterns or PATTERNS)).otherwise(F.col("attack_category")))
+    return df.withColumn("attack_category", F.when(due, match_category(F.col("text"), patterns or PATTERNS, ascii)).otherwise(F.col("attack_category")))
 
 
 def injections(df: DataFrame) -> DataFrame:
