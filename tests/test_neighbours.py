@@ -85,3 +85,21 @@ def test_all_splits_in_one_job_equal_single_reports(spark):
         assert len(one.worst_similarity) == min(3, one.semantic_flagged) and one.passed == (one.total_flagged <= 0.01 * one.n_test)
     with pytest.raises(ValueError):
         contamination.check_all(df, split.where("experiment = 'empty'"))
+
+
+def test_rows_meet_pivots_in_pieces(spark, monkeypatch):
+    """A batch of many rows is never compared with all pivots at once; nothing is lost between the pieces."""
+    import pyarrow as pa
+
+    from sievework.operators import neighbours
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300))], names=["id"])
+    parts = list(neighbours._slices(iter([batch, batch.slice(0, 0)])))
+    assert [len(p) for p in parts] == [512, 512, 276] and sum((p.column(0).to_pylist() for p in parts), []) == list(range(1300))
+    monkeypatch.setattr(neighbours, "_SENT", 3)
+    d = spark.createDataFrame([(i, [float(i % 37), 1.0, float(i % 11)]) for i in range(700)], "sample_id bigint, embedding array<double>").coalesce(1)
+    got = neighbours.nearest(d, d, block=20).collect()
+    first = {}
+    for i in range(700):
+        first.setdefault((i % 37, i % 11), i)
+    assert {r.test_id: r.train_id for r in got} == {i: first[i % 37, i % 11] for i in range(700)}
