@@ -11,9 +11,10 @@ set that has such subsets in at most m partitions has none in one of the m + 1 w
 pair. The spare partitions, m = a quarter of k // 2 + 1 (none below 4), make this the rule; a set with more signs its
 k + 1 smallest elements as well, and of two similar sets that both do so some of these are shared.
 
-Equal sets are one. Of the sets that share a signature, each is first compared with the one that looks nearest, twice;
-components of the links found so far leave only pairs between components open, and all of those that can still be
-similar are compared then. Parity sketches discard pairs: each differing element flips one bit, so more differing bits
+Equal sets are one. Of the sets that share a signature, each is first compared with the one that looks nearest, at first in
+a few of the buckets only: near copies share many signatures, so most of them meet there, and each pair would otherwise be
+found in every bucket again. Then signatures whose sets are all in one component of the links found so far are left out,
+and the sets of the others meet in all buckets; all pairs between components that can still be similar are compared at last. Parity sketches discard pairs: each differing element flips one bit, so more differing bits
 than k are too many. Signatures are dealt into buckets whose number follows from the counted shingles, so that a task
 holds a bucket of bounded size.
 """
@@ -60,6 +61,8 @@ SHORT = 8
 SENT = 1_000_000
 #: Signatures of a bucket, about; and signatures a shingle, about.
 BUCKET, SHARE = 3_000_000, 0.75
+#: Buckets, about, in which the first links are looked for; their number does not grow with the input.
+FIRST = 8
 #: Bytes of text whose signatures are sent together.
 CHUNK_BYTES = 16 << 20
 
@@ -271,11 +274,8 @@ NEAR = 4096
 AT_ONCE = 1 << 16
 
 
-def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of sets that share a signature, can be similar by size and short sketch, and are not in one component.
-
-    All of them, or with ``nearest`` for each set of a signature the one whose sketch differs least.
-    """
+def _members(met: DataFrame) -> DataFrame:
+    """(bucket, set): the sets of each bucket."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,9 +283,40 @@ def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest:
                 ids = np.frombuffer(raw, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b, np.int32)), pa.array(ids)], names=["bucket", "set"])
 
+    return met.select("bucket", "sets").mapInArrow(sets_of, "bucket int, set bigint")
+
+
+def _unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The collisions without the signatures whose sets are all in one component. Sent are the labels of sets, not their sketches."""
+    known = _members(met).join(labels.select(F.col("vertex").alias("set"), "label"), "set")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            sig, owner, sets, head = _read(row)
+            if not len(sig):
+                continue
+            label = sets.copy()
+            label[np.searchsorted(sets, right["set"].to_numpy())] = right["label"].to_numpy()
+            low, high = np.minimum.reduceat(label[owner], head), np.maximum.reduceat(label[owner], head)
+            some = np.repeat(low != high, np.diff(np.append(head, len(sig))))
+            if some.any():
+                used, local = np.unique(owner[some], return_inverse=True)
+                out.append((row["bucket"], sig[some].tobytes(), local.astype(np.uint32).tobytes(), sets[used].tobytes()))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "signatures", "owners", "sets"])
+
+    return met.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "bucket int, signatures binary, owners binary, sets binary")
+
+
+def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of sets that share a signature, can be similar by size and short sketch, and are not in one component; once for each bucket.
+
+    All of them, or with ``nearest`` for each set of a signature the one whose sketch differs least.
+    """
     about = facts.select("set", "n", "short")
     about = about.join(labels.select(F.col("vertex").alias("set"), "label"), "set", "left") if labels is not None else about.withColumn("label", F.lit(None).cast("bigint"))
-    known = met.select("bucket", "sets").mapInArrow(sets_of, "bucket int, set bigint").join(about, "set")
+    known = _members(met).join(about, "set")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out_i, out_j, sets = [], [], np.zeros(0, np.int64)
@@ -341,7 +372,7 @@ def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest:
         i, j = both // (len(sets) + 1), both % (len(sets) + 1)
         return pa.table([pa.array(sets[i]), pa.array(sets[j])], names=["x", "y"])
 
-    return met.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "x bigint, y bigint").distinct()
+    return met.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "x bigint, y bigint")
 
 
 def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -392,13 +423,15 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int) -> Dat
     reps = written(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("long").alias("long"), F.first("short").alias("short")), "sets-first")
 
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = written(_possible(pairs, reps), "pairs")
+        pairs = written(_possible(pairs.distinct(), reps), "pairs")
         ids = pairs.select(F.col("x").alias("set")).union(pairs.select(F.col("y").alias("set"))).distinct()
         return written(verified(pairs, _sets(docs, reps.join(ids, "set", "left_semi").select("id", "set"), id_col, text_col, n)), "links")
 
-    links = check(_pairs(met, None, reps, True))
+    links = check(_pairs(met.where(F.col("bucket") % max(1, buckets // FIRST) == 0), None, reps, True))
     for nearest in (True, False):
-        more = written(_pairs(met, components(links), reps, nearest), "open")
+        labels = components(links)
+        met = written(_unsettled(met, labels), "collisions")
+        more = written(_pairs(met, labels, reps, nearest).distinct(), "open")
         if not more.isEmpty():
             links = written(links.union(check(more)), "links")
     labels = components(links)

@@ -108,6 +108,29 @@ def test_ngram_join(spark, docs, plain):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pairs_do_not_grow_with_the_buckets(spark, monkeypatch):
+    """Near copies share signatures in nearly all buckets; the rows of the joins of pairs follow the copies, not the buckets."""
+    from sievework.llm import partenum
+
+    r, data = random.Random(8), []
+    for n in range(30):
+        w = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        data += [(2 * n, " ".join(w)), (2 * n + 1, " ".join([*w[:150], "other", *w[151:]]))]
+    docs = spark.createDataFrame([*data, (60, "too few"), (61, "too few"), (62, "some other words here at last")], "doc_id bigint, text string")
+    made, pairs = [], partenum._pairs
+
+    def counted(*given):
+        out = pairs(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(partenum, "_pairs", counted)
+    monkeypatch.setattr(partenum, "partitions", lambda spark: 64)
+    got = {r.doc_id: r.component_id for r in partenum.near_duplicates(docs).collect()}
+    assert got == {i: 60 if i == 61 else i if i > 60 else i - i % 2 for i in range(63)}
+    assert 30 <= sum(made) <= 30 * 10
+
+
 def test_partenum_signatures_meet():
     """Random pairs of sets at every allowed distance share a signature."""
     from sievework.llm.partenum import all_signatures
