@@ -44,6 +44,8 @@ END = 256
 END_TOKEN = np.uint64(0x9B1C5D3E7F2A4861)
 #: Customers of a dish up to which its tables are drawn by exact Stirling numbers; beyond, by their limit for large counts.
 STIRLING = 512
+#: Numbers that are drawn from at once, for the tables of some dishes.
+SEAT_CELLS = 1 << 17
 #: Bytes of text for each part of the vocabulary and of the bigrams, and the most parts.
 PART_BYTES, PARTS = 16 << 20, 100_000
 #: Rounds in which the chunks meet all their replies, so that the shuffle of only one round lies on disk.
@@ -87,6 +89,25 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], n, codec="zstd", asbytes=True) if n else b"", dtype)
 
 
+def by_owner(owner: np.ndarray, buckets: int) -> np.ndarray:
+    """The order by part, else as they stand."""
+    return np.argsort(owner.astype(np.uint16) if buckets <= 1 << 16 else owner, kind="stable")
+
+
+def distinct_places(key: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of 0 to ``end`` - 1, ascending, and where each stands among them. Where number and place fit 63 bits, they are sorted as one."""
+    bits = len(key).bit_length()
+    if end << bits >= 1 << 63:
+        return np.unique(key, return_inverse=True)
+    both = np.sort((key << bits) | np.arange(len(key)))
+    key, place = both >> bits, both & ((1 << bits) - 1)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    out = np.empty(len(key), np.int64)
+    out[place] = np.cumsum(new) - 1
+    return key[new], out
+
+
 # ---- seating ----
 
 
@@ -112,14 +133,18 @@ def seat(hashes: np.ndarray, count: np.ndarray, log_a: np.ndarray, discount: flo
     u = (arrays.mix(hashes + np.uint64(1 + sweep + 1000 * s.seed)) >> np.uint64(11)) * 2.0**-53
     out = np.minimum(count, 1).astype(np.int64)
     stirling = log_stirling(discount)
-    for low, high in ((1, 8), (8, 32), (32, 128), (128, STIRLING)):
+    for low in (2**i for i in range(STIRLING.bit_length() - 1)):
+        high = 2 * low
         few, t = np.flatnonzero((count > low) & (count <= high)), np.arange(high + 1)
-        step = max(1, (1 << 21) // high)
+        # numbers of tables by rows, dishes by columns: sums over few numbers run along many dishes
+        by_count = np.ascontiguousarray(stirling[: high + 1, : high + 1].T)
+        step = max(1, SEAT_CELLS // high)
         for i in range(0, len(few), step):
             k = few[i : i + step]
-            w = stirling[count[k], : high + 1] + t * log_a[k][:, None]
-            edge = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
-            out[k] = np.maximum(1, (edge < u[k, None] * edge[:, -1:]).sum(1))
+            w = by_count[:, count[k]] + t[:, None] * log_a[k]
+            w -= w.max(0)
+            edge = np.cumsum(np.exp(w, out=w), 0, out=w)
+            out[k] = np.maximum(1, (edge < u[k] * edge[-1]).sum(0))
     many = np.flatnonzero(count > STIRLING)
     # for large counts S(c, t + 1) / S(c, t) is 1 / (t d): one table and a Poisson number of others, fewer than customers
     mean = np.exp(np.minimum(log_a[many], 40)) / discount
@@ -258,7 +283,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held: F.Column, buckets:
         start, length = np.concatenate([start, np.zeros(n, np.int64)]), np.concatenate([length, np.zeros(n, np.int64)])
         distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
         owner = (distinct >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(owner, kind="stable")
+        order = by_owner(owner, buckets)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         distinct, first, owner, place = distinct[order], first[order], owner[order], rank[place]
@@ -315,11 +340,11 @@ class Pairs:
     def of(hashes: list[bytes], tokens: bytes, n_tokens: bytes, held: bytes, buckets: int) -> Pairs:
         h, x = np.frombuffer(b"".join(hashes), np.uint64), unpack(tokens, np.uint32).astype(np.int64)
         # before a text stands the end of another, which is one token for all
-        key, of_token = np.unique(np.roll(x, 1) * len(h) + x, return_inverse=True)
+        key, of_token = distinct_places(np.roll(x, 1) * len(h) + x, len(h) ** 2)
         first, second = key // len(h), key % len(h)
         both = arrays.mix(arrays.mix(h[first]) + h[second])
         owner = (both >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(owner, kind="stable")
+        order = by_owner(owner, buckets)
         train = np.bincount(of_token, np.repeat(~unpack(held, bool), unpack(n_tokens, np.uint32)), len(key)).astype(np.uint32)
         return Pairs(first, second, both, train, order, np.searchsorted(owner[order], np.arange(buckets + 1)), of_token)
 

@@ -320,6 +320,34 @@ def test_seating_against_all_seatings(c, d, a):
     assert abs(chance(t).mean() - sum(w * chance(k) for k, w in weight.items()) / total) < 0.003
 
 
+def test_tables_are_drawn_as_by_plain_sums():
+    """Each dish by itself: the first number of tables whose share of the sum reaches the random number."""
+    from sievework.llm import arrays, pitman_yor
+
+    r, s = np.random.default_rng(5), pitman_yor.Settings()
+    count = np.concatenate([np.arange(pitman_yor.STIRLING + 1), r.integers(1, 40, 3000)])
+    h, log_a = r.integers(0, 2**63, len(count), dtype=np.uint64), r.normal(size=len(count)) * 3
+    got, u = pitman_yor.seat(h, count, log_a, 0.6, 1, s), (arrays.mix(h + np.uint64(2 + 1000 * s.seed)) >> np.uint64(11)) * 2.0**-53
+    for c, a, x, n in zip(count.tolist(), log_a, u, got.tolist(), strict=True):
+        w = pitman_yor.log_stirling(0.6)[c, : c + 1] + np.arange(c + 1) * a
+        edge = np.cumsum(np.exp(w - w.max()))
+        assert n == (max(1, int((edge < x * edge[-1]).sum())) if c > 1 else c)
+
+
+def test_places_among_distinct_numbers():
+    from sievework.llm.pitman_yor import by_owner, distinct_places
+
+    r = np.random.default_rng(6)
+    for n, end in ((0, 9), (1, 1), (5000, 90), (5000, 1 << 40), (5000, 1 << 60)):
+        key = r.integers(0, end, n)
+        key[: n // 2] = key[n - n // 2 :]
+        for got, want in zip(distinct_places(key, end), np.unique(key, return_inverse=True), strict=True):
+            assert np.array_equal(got, want)
+    for parts in (3, 1 << 16, (1 << 16) + 5):
+        owner = r.integers(0, parts, 5000).astype(np.uint64)
+        assert np.array_equal(by_owner(owner, parts), np.argsort(owner, kind="stable"))
+
+
 def test_seating_of_large_dishes():
     """No cap on tables: up to the bound of the exact numbers by enumeration of their table, beyond it by Poisson numbers."""
     from sievework.llm.pitman_yor import STIRLING, Settings, log_stirling, poisson, seat
