@@ -14,7 +14,8 @@ k + 1 smallest elements as well, and of two similar sets that both do so some of
 Equal sets are one. Of the sets that share a signature, each is first compared with the one that looks nearest, at first in
 a few of the buckets only: near copies share many signatures, so most of them meet there, and each pair would otherwise be
 found in every bucket again. Then signatures whose sets are all in one component of the links found so far are left out,
-and the sets of the others meet in all buckets; all pairs between components that can still be similar are compared at last. Parity sketches discard pairs: each differing element flips one bit, so more differing bits
+and what is left of several buckets is brought together, so that a pair that shares many signatures is found in a few
+parts only; all pairs between components that can still be similar are compared at last, but for those compared before. Parity sketches discard pairs: each differing element flips one bit, so more differing bits
 than k are too many. Signatures are dealt into buckets whose number follows from the counted shingles, so that a task
 holds a bucket of bounded size.
 """
@@ -63,6 +64,8 @@ SENT = 1_000_000
 BUCKET, SHARE = 3_000_000, 0.75
 #: Buckets, about, in which the first links are looked for; their number does not grow with the input.
 FIRST = 8
+#: Signatures with several sets that later passes compare in one part, about.
+TOGETHER = 1_000_000
 #: Bytes of text whose signatures are sent together.
 CHUNK_BYTES = 16 << 20
 
@@ -275,29 +278,41 @@ AT_ONCE = 1 << 16
 
 
 def _members(met: DataFrame) -> DataFrame:
-    """(bucket, set): the sets of each bucket."""
+    """(bucket, set): the sets of each bucket; one of several rows may come more than once."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kept: dict[int, list[np.ndarray]] = {}
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, np.int64)
+                kept.setdefault(b, []).append(np.frombuffer(raw, np.int64))
+            for b, parts in kept.items():
+                ids = np.unique(np.concatenate(parts))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b, np.int32)), pa.array(ids)], names=["bucket", "set"])
 
     return met.select("bucket", "sets").mapInArrow(sets_of, "bucket int, set bigint")
 
 
-def _unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """The collisions without the signatures whose sets are all in one component. Sent are the labels of sets, not their sketches."""
+def _parts(met: DataFrame, buckets: int) -> int:
+    """Into how many parts the buckets of the collisions are brought together after the first links."""
+    return min(buckets, max(FIRST, -(-met.agg(F.coalesce(F.sum(F.octet_length("signatures")), F.lit(0))).first()[0] // (4 * TOGETHER))))
+
+
+def _unsettled(met: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """The collisions without the signatures whose sets are all in one component, their buckets brought together in so many parts. Sent are the labels of sets, not their sketches."""
+    met = met.withColumn("bucket", (F.col("bucket") % parts).cast("int"))
     known = _members(met).join(labels.select(F.col("vertex").alias("set"), "label"), "set")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        known_sets, first = np.unique(right["set"].to_numpy(), return_index=True)
+        known_labels = right["label"].to_numpy()[first]
         for row in left.to_pylist():
             sig, owner, sets, head = _read(row)
             if not len(sig):
                 continue
             label = sets.copy()
-            label[np.searchsorted(sets, right["set"].to_numpy())] = right["label"].to_numpy()
+            own = arrays.among(sets, known_sets)
+            label[own] = known_labels[np.searchsorted(known_sets, sets[own])]
             low, high = np.minimum.reduceat(label[owner], head), np.maximum.reduceat(label[owner], head)
             some = np.repeat(low != high, np.diff(np.append(head, len(sig))))
             if some.any():
@@ -310,7 +325,7 @@ def _unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of sets that share a signature, can be similar by size and short sketch, and are not in one component; once for each bucket.
+    """Pairs of sets (x < y) that share a signature, can be similar by size and short sketch, and are not in one component; once for each bucket.
 
     All of them, or with ``nearest`` for each set of a signature the one whose sketch differs least.
     """
@@ -319,25 +334,29 @@ def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest:
     known = _members(met).join(about, "set")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_i, out_j, sets = [], [], np.zeros(0, np.int64)
+        sets, first = np.unique(right["set"].to_numpy(), return_index=True)
+        size, label = right["n"].to_numpy()[first], sets.copy()
+        bits = right["short"].combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(-1, SHORT)[first]
+        given = right["label"].to_pandas().iloc[first]
+        own = given.notna().to_numpy()
+        label[own] = given[own].astype("int64").to_numpy()
+        found = [np.zeros(0, np.int64)]
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            found.append(np.unique(np.minimum(i, j) * len(sets) + np.maximum(i, j)))
+
+        def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Differing bits, or -1 if the two need no comparison."""
+            a, b = size[i], size[j]
+            d = popcount(bits[i] ^ bits[j]).sum(-1)
+            return np.where((label[i] != label[j]) & (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (d * 9 <= a + b), d, -1)
+
         for row in left.to_pylist():
-            sig, owner, sets, head = _read(row)
+            sig, owner, here, head = _read(row)
             if not len(sig):
                 continue
-            at = np.searchsorted(sets, right["set"].to_numpy())
-            label, size, bits = sets.copy(), np.zeros(len(sets), np.int64), np.zeros((len(sets), SHORT), np.uint64)
-            given = right["label"].to_pandas()
-            own = given.notna().to_numpy()
-            label[at[own]] = given[own].astype("int64").to_numpy()
-            size[at] = right["n"].to_numpy()
-            bits[at] = right["short"].combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(-1, SHORT)
-
-            def differ(i: np.ndarray, j: np.ndarray, label=label, size=size, bits=bits) -> np.ndarray:
-                """Differing bits, or -1 if the two need no comparison."""
-                a, b = size[i], size[j]
-                d = popcount(bits[i] ^ bits[j]).sum(-1)
-                return np.where((label[i] != label[j]) & (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (d * 9 <= a + b), d, -1)
-
+            owner = np.searchsorted(sets, here)[owner]
+            out_i, out_j = [], []
             edge = np.append(head, len(sig))
             two = head[np.diff(edge) == 2]
             i, j = owner[two], owner[two + 1]
@@ -367,10 +386,9 @@ def _pairs(met: DataFrame, labels: DataFrame | None, facts: DataFrame, nearest:
                         i, j = np.nonzero(d >= 0)
                         out_i.append(part[i])
                         out_j.append(other[j])
-        i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_i, out_j))
-        both = np.unique(np.minimum(i, j) * (len(sets) + 1) + np.maximum(i, j))
-        i, j = both // (len(sets) + 1), both % (len(sets) + 1)
-        return pa.table([pa.array(sets[i]), pa.array(sets[j])], names=["x", "y"])
+            keep(np.concatenate(out_i), np.concatenate(out_j))
+        both = np.unique(np.concatenate(found))
+        return pa.table([pa.array(sets[both // max(1, len(sets))]), pa.array(sets[both % max(1, len(sets))])], names=["x", "y"])
 
     return met.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, "x bigint, y bigint")
 
@@ -422,19 +440,26 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int) -> Dat
     met = written(_collisions(_signed(docs, text_col, n, buckets)), "collisions")
     reps = written(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("long").alias("long"), F.first("short").alias("short")), "sets-first")
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        return written(_possible(pairs.distinct(), reps), "pairs")
+
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = written(_possible(pairs.distinct(), reps), "pairs")
         ids = pairs.select(F.col("x").alias("set")).union(pairs.select(F.col("y").alias("set"))).distinct()
         return written(verified(pairs, _sets(docs, reps.join(ids, "set", "left_semi").select("id", "set"), id_col, text_col, n)), "links")
 
-    links = check(_pairs(met.where(F.col("bucket") % max(1, buckets // FIRST) == 0), None, reps, True))
+    tried = possible(_pairs(met.where(F.col("bucket") % max(1, buckets // FIRST) == 0), None, reps, True))
+    links = check(tried)
+    labels, new, parts = components(links), True, _parts(met, buckets)
     for nearest in (True, False):
-        labels = components(links)
-        met = written(_unsettled(met, labels), "collisions")
-        more = written(_pairs(met, labels, reps, nearest).distinct(), "open")
-        if not more.isEmpty():
-            links = written(links.union(check(more)), "links")
-    labels = components(links)
+        if new:
+            met = written(_unsettled(met, labels, parts), "collisions")
+        more = possible(_pairs(met, labels, reps, nearest).distinct().join(tried, ["x", "y"], "left_anti"))
+        found = None if more.isEmpty() else check(more)
+        new = found is not None and not found.isEmpty()
+        if new:
+            links = written(links.union(found), "links")
+            labels = components(links)
+        tried = tried.union(more)
     owner = reps.join(labels.withColumnRenamed("vertex", "set"), "set", "left").select("set", "id", F.coalesce("label", "set").alias("label"))
     named = owner.groupBy("label").agg(F.min("id").alias("component_id"))
     by_set = owner.where("label <> set or id is null").select("set", "label").union(labels.where("vertex = label").select(F.col("vertex").alias("set"), "label")).distinct().join(named, "label").select("set", "component_id")
