@@ -2,14 +2,15 @@
 
 The tokens of a line are put in order of rarity; two lines of at least 80 % similarity share a token among the first
 s - ceil(0.8 s) + 1 of each. Lines that share such a token are compared by length, by the places of the token in both
-(what can still overlap behind it), and by a 64-bit parity sketch (each differing token flips one bit), before their
+(what can still overlap behind it), and by a 128-bit parity sketch (each differing token flips one bit), before their
 Jaccard similarity is verified on the tokens themselves. A line goes if an earlier one is similar. Lines of up to
 three tokens are similar to equal sets only, which are found by their hash.
 
 Whether any earlier similar line exists is all that is asked, so a line is first verified against its nearest candidate
 if that looks near. Where none looks so, or the nearest is not confirmed and there are others, the line is open: a second
 join compares open lines with all lines that have any candidate, by sketches of 320 bits. Again the nearest is verified
-where one looks near, and all candidates elsewhere; a third join of what is open still verifies all.
+where one looks near, and all candidates elsewhere; a third join of what is open still verifies all. Few lines are open
+then: of the others, it is sent only the entries of tokens that are in the prefix of an open line too.
 
 Entries (token, line) are dealt by token into buckets whose number follows from the counted tokens, so that a task holds
 a bucket of bounded size. A token of more than ``HOT`` occurrences is dealt by pairs of blocks of its lines. Among many
@@ -47,6 +48,8 @@ CHUNK_BYTES = 16 << 20
 MANY, LEADERS = 1024, 64
 #: Words of the sketch that open lines have besides that of 64 bits.
 WIDE = 4
+#: Cells of the table of tokens in the prefixes of lines that are still open; its size does not depend on the corpus.
+SEEN = 1 << 22
 #: Pairs that are compared at once.
 PAIRS_AT_ONCE = 1 << 20
 
@@ -76,11 +79,14 @@ class Lines:
         self.token, self.line = h[new], line[new]
         self.start = np.flatnonzero(np.diff(self.line, prepend=-1))
         self.size = np.diff(np.append(self.start, len(self.line)))
-        self.set = self.sketch = np.zeros(0, np.uint64)
+        self.set = self.sketch = self.half = np.zeros(0, np.uint64)
         if len(self.start):
             mixed = arrays.mix(self.token)
             self.set = arrays.mix(np.add.reduceat(mixed, self.start) + self.size.astype(np.uint64))
-            self.sketch = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), mixed & np.uint64(63)), self.start)
+            flip = np.left_shift(np.uint64(1), mixed & np.uint64(63))
+            self.sketch = np.bitwise_xor.reduceat(flip, self.start)
+            # of every second token: with the sketch of all it makes one of 128 bits
+            self.half = np.bitwise_xor.reduceat(flip * (mixed >> np.uint64(63)), self.start)
         self.mark = (self.set & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
     def wide(self) -> np.ndarray:
@@ -146,6 +152,8 @@ def _pack(f: dict[str, np.ndarray]) -> bytes:
     small = b"".join(f[c].astype(np.uint32).tobytes() for c in ("size", "place", "line")) + np.diff(f["id"], prepend=0).tobytes()
     if "wide" in f:
         small += f["open"].tobytes() + f["wide"].tobytes()
+    else:
+        small += f["half"].tobytes()
     return n.to_bytes(8, "little") + plain + zlib.compress(small, 1)
 
 
@@ -156,9 +164,9 @@ def _unpack(raw: bytes) -> dict[str, np.ndarray]:
     out = {"token": get(np.uint32, 8), "mark": get(np.uint32, 8 + 4 * n), "sketch": get(np.uint64, 8 + 8 * n)}
     out |= {c: get(np.uint32, 4 * n * k, small) for k, c in enumerate(("size", "place", "line"))}
     out["id"] = np.cumsum(get(np.int64, 12 * n, small))
-    if len(small) > 20 * n:
-        out |= {"open": get(bool, 20 * n, small), "wide": get(np.uint64, 21 * n, small, n * WIDE).reshape(n, WIDE)}
-    return out
+    if len(small) > 28 * n:
+        return out | {"open": get(bool, 20 * n, small), "wide": get(np.uint64, 21 * n, small, n * WIDE).reshape(n, WIDE)}
+    return out | {"half": get(np.uint64, 20 * n, small)}
 
 
 def _spread(token: np.ndarray, mark: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,6 +184,10 @@ def _spread(token: np.ndarray, mark: np.ndarray, blocks: np.ndarray) -> tuple[np
     return at, out
 
 
+def _cell(token: np.ndarray) -> np.ndarray:
+    return (token & np.uint64(SEEN - 1)).astype(np.int64)
+
+
 @dataclass
 class Dealer:
     """Gathers the prefix entries of lines and sends them to buckets."""
@@ -184,8 +196,8 @@ class Dealer:
     blocks: np.ndarray  # of lines, for the tokens of each cell
     buckets: int
 
-    def entries(self, x: Lines, ids: np.ndarray, lines: np.ndarray | None = None, **more: np.ndarray) -> dict[str, np.ndarray]:
-        """Of all lines, or of those at the given places with further fields."""
+    def entries(self, x: Lines, ids: np.ndarray, lines: np.ndarray | None = None, seen: np.ndarray | None = None, **more: np.ndarray) -> dict[str, np.ndarray]:
+        """Of all lines, or of those at the given places with further fields; all entries, or those whose token's cell was seen."""
         wanted, of = np.ones(len(x.size), bool), np.arange(len(x.size))
         if lines is not None:
             wanted[:] = False
@@ -193,8 +205,10 @@ class Dealer:
             of[lines] = np.arange(len(lines))
         place = np.arange(len(x.line)) - x.start[x.line]
         use = (place < (x.size - (4 * x.size + 4) // 5 + 1)[x.line]) & (wanted & (x.size > 3))[x.line]
+        if seen is not None:
+            use &= seen[_cell(x.token)]
         at = slice(None) if lines is None else lines
-        return {"of": of[x.line[use]], "token": x.token[use], "place": place[use], "set": x.set[at], "mark": x.mark[at], "sketch": x.sketch[at], "size": x.size[at], "line": x.number[at], "id": ids[at], **more}
+        return {"of": of[x.line[use]], "token": x.token[use], "place": place[use], "set": x.set[at], "mark": x.mark[at], "sketch": x.sketch[at], "half": x.half[at], "size": x.size[at], "line": x.number[at], "id": ids[at], **more}
 
     def send(self, kept: list[dict[str, np.ndarray]]) -> tuple[pa.Array, pa.Array]:
         """Buckets and their packed entries."""
@@ -258,19 +272,38 @@ def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, line bigint, set bigint, bucket int, entries binary")
 
 
-def _wide_entries(texts: DataFrame, counts: np.ndarray, lines: DataFrame) -> DataFrame:
-    """(bucket, entries) of the given lines (id, line, mark, open), with long sketches and whether the line is open."""
+def _seen(texts: DataFrame, counts: np.ndarray, lines: DataFrame) -> np.ndarray:
+    """Which cells have a token of the prefixes of the given lines (id, line, mark, open)."""
+    dealer = _dealer(texts, counts, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, out = dealer(), np.zeros(SEEN, bool)
+        for batch in batches:
+            for block, doc, line, mark, _ in _asked(batch):
+                x = Lines(block, to.rank)
+                out[_cell(to.entries(x, x.doc, x.find(doc, line, mark)[0])["token"])] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(out))], names=["cell"])
+
+    out = np.zeros(SEEN, bool)
+    out[_picked(texts, lines)[0].mapInArrow(run, "cell bigint").distinct().toArrow()["cell"].to_numpy()] = True
+    return out
+
+
+def _wide_entries(texts: DataFrame, counts: np.ndarray, lines: DataFrame, seen: np.ndarray | None = None) -> DataFrame:
+    """(bucket, entries) of the given lines (id, line, mark, open), with long sketches and whether the line is open; of all tokens, or those that were seen."""
     picked, n = _picked(texts, lines)
     dealer = _dealer(texts, counts, 16 * n)
+    cells = None if seen is None else texts.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, kept, held = dealer(), [], 0
+        some = None if cells is None else np.unpackbits(cells.value).astype(bool)
         for batch in batches:
             for block, doc, line, mark, given in _asked(batch):
                 x = Lines(block, to.rank)
                 at, use = x.find(doc, line, mark)
                 ids = batch.column(0).slice(block.first, len(block)).to_numpy()[x.doc]
-                kept.append(to.entries(x, ids, at, open=given[use], wide=x.wide()[at]))
+                kept.append(to.entries(x, ids, at, some, open=given[use], wide=x.wide()[at]))
                 held += len(block.data)
                 if held > CHUNK_BYTES:
                     yield pa.RecordBatch.from_arrays([*to.send(kept)], names=["bucket", "entries"])
@@ -323,7 +356,7 @@ class Bucket:
         order, self.key, self.size = order[again], key[again], self.size[again]
         self.left = self.size - f["place"][order]  # from the shared token on
         self.id, self.line, self.mark, self.sketch = (f[c][order] for c in ("id", "line", "mark", "sketch"))
-        self.open, self.wide = (f[c][order] if c in f else None for c in ("open", "wide"))
+        self.open, self.wide, self.half = (f[c][order] if c in f else None for c in ("open", "wide", "half"))
         token = self.key >> np.uint64(32)
         self.head = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
         first = token << np.uint64(32)
@@ -335,9 +368,15 @@ class Bucket:
         total = self.size[i] + self.size[j]
         use = np.minimum(self.left[i], self.left[j]) * 9 >= total * 4
         i, j, total = i[use], j[use], total[use]
-        bits = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).astype(np.int64)
+        other = self.sketch[i] ^ self.sketch[j]
+        bits = np.bitwise_count(other).astype(np.int64)
+        use = bits * 9 <= total
+        i, j, total, bits, other = i[use], j[use], total[use], bits[use], other[use]
         if self.wide is not None:
             bits = np.maximum(bits, np.bitwise_count(self.wide[i] ^ self.wide[j]).astype(np.int64).sum(1))
+        else:
+            half = self.half[i] ^ self.half[j]
+            bits = np.bitwise_count(half).astype(np.int64) + np.bitwise_count(half ^ other)
         use = (bits * 9 <= total) & ((self.id[i] != self.id[j]) | (self.line[i] != self.line[j]))
         i, j, bits = i[use], j[use], bits[use]
         later = (self.id[i] > self.id[j]) | ((self.id[i] == self.id[j]) & (self.line[i] > self.line[j]))
@@ -532,7 +571,8 @@ def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if rest.isEmpty():
             break
         lines = known.join(rest.select(*line(X), F.lit(True).alias("open")), ["id", "line", "mark"], "left").na.fill(False, ["open"])
-        pairs = written(_compared(_wide_entries(texts, counts, lines), every).groupBy(*X, *Y).agg(F.bool_or("more").alias("more")), "more-pairs")
+        seen = _seen(texts, counts, lines.where("open")) if every else None
+        pairs = written(_compared(_wide_entries(texts, counts, lines, seen), every).groupBy(*X, *Y).agg(F.bool_or("more").alias("more")), "more-pairs")
         found_now = written(_verified(texts, pairs.select(*X, *Y).join(done, [*X, *Y], "left_anti")), "similar-lines")
         similar = similar.union(found_now)
         rest = written(pairs.where("more").select(*X).distinct().join(found_now, X, "left_anti"), "open-lines")

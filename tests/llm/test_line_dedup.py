@@ -70,3 +70,52 @@ def test_fuzz_of_long_lines(spark, monkeypatch, seed):
         data.append((i, " ".join(words)))
     got = {q.doc_id: list(q.removed) for q in line_dedup.summarize(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).where("n_removed > 0").collect()}
     assert got == removed_lines(data)
+
+
+def test_first_sketch_has_128_bits():
+    """Two lines that differ in four tokens, two of which fall on each bit of 64: the sketch of 64 bits sees no difference, that of 128 sees four."""
+    from sievework.llm import arrays
+    from sievework.llm.line_dedup import Bucket, Dealer, Lines
+
+    def lines(*texts):
+        raw = [t.encode() for t in texts]
+        return Lines(arrays.Block(0, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(t) for t in raw]), np.zeros(len(raw), bool)), np.arange(1 << 18, dtype=np.uint64))
+
+    words = [f"w{i}" for i in range(4000)]
+    single = lines(*words)
+    by: dict[tuple[int, int], list[str]] = {}
+    for w, sketch, half in zip(words, single.sketch.tolist(), single.half.tolist(), strict=True):
+        by.setdefault((sketch, half), []).append(w)
+    bits = sorted({s for s, _ in by})[:2]
+    differ = [[by[s, h][0] for s in bits for h in (0, s)], []]  # each bit twice: once in the half, once not
+    common = [w for w in words if w not in differ[0]][:10]
+    a, b = " ".join(common + differ[0]), " ".join(common)
+    x = lines(a, b)
+    assert x.sketch[0] == x.sketch[1] and np.bitwise_count(x.half[0] ^ x.half[1]) == 2
+    to = Dealer(np.arange(1 << 18, dtype=np.uint64), np.ones(1 << 18, np.int64), 1)
+    bucket = Bucket(to.send([to.entries(x, np.array([1, 2]))])[1].to_pylist())
+    i, j = (k.ravel() for k in np.meshgrid(np.arange(len(bucket.key)), np.arange(len(bucket.key))))
+    assert not len(bucket.able(i, j)[0])
+
+
+def test_last_join_sends_entries_that_can_meet_an_open_line(spark):
+    """Of 200 lines one is open: of the others only entries with a token of its prefix go, and its candidates stay."""
+    from sievework.llm import line_dedup as ld
+    from sievework.llm.line_dedup import _unpack
+
+    same = " ".join(f"s{k}" for k in range(10))
+    texts = spark.createDataFrame([(i, same + f" x{i}" if i < 5 else " ".join(f"{i}a{k}" for k in range(10))) for i in range(200)], "id bigint, text string")
+    counts = ld._frequencies(texts)
+    blocks = [r.asDict() for r in texts.collect()]
+    rows = []
+    for r in blocks:
+        raw = r["text"].encode()
+        x = ld.Lines(ld.arrays.Block(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), np.zeros(1, bool)))
+        rows.append((r["id"], 0, int(x.mark[0]), r["id"] == 0))
+    lines = spark.createDataFrame(rows, "id bigint, line bigint, mark bigint, open boolean")
+    seen = ld._seen(texts, counts, lines.where("open"))
+    sent = lambda df: [i for r in df.collect() for i in _unpack(r["entries"])["id"].tolist()]
+    whole, part = ld._wide_entries(texts, counts, lines), ld._wide_entries(texts, counts, lines, seen)
+    assert len(set(sent(whole))) == 200 and set(sent(part)) <= {0, 1, 2, 3, 4} and 0 in sent(part)
+    found = lambda df: {tuple(r) for r in ld._compared(df, True).select("x_id", "y_id").distinct().collect()}
+    assert found(part) == found(whole)
