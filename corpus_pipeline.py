@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import line_dedup, mil, packing, partenum, secret_scan
 from sievework.llm.queries import table, tokenizer_path
-from sievework.llm.shared import Scratch, numbered, written
+from sievework.llm.shared import Scratch, numbered, sent, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document that line deduplication leaves with a smaller share of its word characters (in percent) is a copy and goes.
@@ -50,7 +50,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         key = "_row"
         docs = numbered(written(docs.select(*COLUMNS), "rows"), F.col("doc_id").asc_nulls_last(), name=key)
     copies = partenum.near_duplicates(docs, key).where(F.col(key) != F.col("component_id")).select(key)
-    return docs.join(copies, key, "left_anti").select(*COLUMNS)
+    return docs.join(sent(copies, copies.count()), key, "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

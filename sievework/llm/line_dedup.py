@@ -30,14 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm import arrays
-from sievework.llm.shared import Scratch, discard, partitions, written
+from sievework.llm.shared import SENT, Scratch, discard, partitions, sent, written
 
 #: Cells of the table of token frequencies that orders tokens; its size does not depend on the corpus.
 CELLS = 1 << 18
 WIDTH = 4096
 _CELL_SHIFT, _WITHIN = np.uint64(46), np.uint64((1 << 46) - 1)
-#: Ids up to which the documents of candidate pairs are picked by a broadcast, not by a shuffle of all texts.
-SENT = 1_000_000
 #: Occurrences of a token up to which its lines are in one bucket.
 HOT = 20_000
 #: Entries of a bucket, about.
@@ -581,12 +579,14 @@ def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return goes if ranks is None else goes.join(ranks, "id").select(F.col("given").alias("id"), "removed")
 
 
-def _with_removed(docs: DataFrame, id_col: str, text_col: str, columns: list[F.Column]) -> tuple[DataFrame, str]:
-    """The given columns of all rows of ``docs`` and, under a name that is not taken, the line numbers that go (null: none)."""
+def _with_removed(docs: DataFrame, id_col: str, text_col: str, columns: list[F.Column], texts: bool = False) -> tuple[DataFrame, str]:
+    """The given columns of all rows of ``docs`` and, under a name that is not taken, the line numbers that go (null: none). With ``texts`` among the columns, these are shuffled only for very many such lines."""
     name = "_removed"
     while name in docs.columns:
         name += "_"
     gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(f"{name}id"), F.col("removed").alias(name))
+    if texts:
+        gone = sent(gone, gone.agg(F.coalesce(F.sum(F.size(name)), F.lit(0))).first()[0])
     rows = docs.select(*columns, F.col(f"`{id_col}`").alias(f"{name}key"))
     return rows.join(gone, F.col(f"{name}key") == F.col(f"{name}id"), "left").drop(f"{name}id", f"{name}key"), name
 
@@ -603,6 +603,6 @@ def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds cleaned_text, the text without the lines that go, to every row of ``docs`` (a column of that name is replaced; a null text stays null)."""
     keep = [f"`{c}`" for c in docs.columns if c != "cleaned_text"]
-    rows, removed = _with_removed(docs, id_col, text_col, [F.col(c) for c in keep])
+    rows, removed = _with_removed(docs, id_col, text_col, [F.col(c) for c in keep], texts=True)
     left = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda _, i: ~F.array_contains(F.col(removed), i.cast("bigint"))), "\n")
     return rows.select(*keep, F.when(F.col(removed).isNull(), F.col(f"`{text_col}`")).otherwise(left).alias("cleaned_text"))

@@ -69,6 +69,15 @@ def discard(df: DataFrame) -> None:
     delete(df.sparkSession, df._written)
 
 
+#: Numbers, such as ids or lines, up to which a table is broadcast to the texts that it is joined with.
+SENT = 1_000_000
+
+
+def sent(df: DataFrame, numbers: int) -> DataFrame:
+    """A table that holds so many numbers, for a join with whole texts: as a broadcast up to ``SENT`` of them, whatever the session's threshold, so that no text is shuffled; beyond, as it is."""
+    return F.broadcast(df) if numbers <= SENT else df
+
+
 class Scratch:
     """A context whose ``written`` tables are deleted at its end, but for those of ``keep``, which go to the context around it, if any."""
 

@@ -129,3 +129,27 @@ def test_repeated_ids_are_judged_by_their_own_texts(spark):
     assert Counter(got) == Counter([(1, one), (2, own), (7, None), (7, None), (8, "")])
     clean = spark.createDataFrame([(i, text(), "en", "s", 0) for i in range(5)], DOC)
     assert P.near_copies(spark, clean, "").count() == 5 and P.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_texts_are_not_shuffled_for_the_joins_with_what_goes(spark):
+    """Whatever the session's threshold, the lines and copies that go are broadcast while they are few; beyond, the result is the same."""
+    import corpus_pipeline as P
+    from sievework.llm import shared
+
+    docs = spark.createDataFrame(documents(), DOC).where("doc_id is not null").dropDuplicates(["doc_id"]).repartition(3)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    limit = shared.SENT
+    try:
+        for stage in (P.lines, P.near_copies):
+            shared.SENT = limit
+            df = stage(spark, docs, "")
+            plan, few = df._jdf.queryExecution().executedPlan().toString(), Counter(map(tuple, df.collect()))
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            shared.SENT = 0
+            df = stage(spark, docs, "")
+            assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+            assert Counter(map(tuple, df.collect())) == few
+    finally:
+        shared.SENT = limit
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
