@@ -203,17 +203,36 @@ def trained(docs: DataFrame, text_col: str = "text") -> Detector:
 
 
 def forest_sql(model: RandomForestClassificationModel, f: str = "f") -> str:
-    """The forest as SQL over the array ``f``: the mean of its trees' shares of secrets among the findings in a leaf."""
+    """The forest as SQL over the array ``f``: the mean of its trees' shares of secrets among the findings in a leaf.
 
-    def node(n) -> str:
+    The nodes of all trees stand in arrays that are constants, and a row walks from each root; as nested conditions they
+    would be thousands of expressions in each copy of the plan that the driver makes. A leaf leads to itself.
+    """
+    feature, threshold, left, right, share, roots = [], [], [], [], [], []
+
+    def node(n, depth: int) -> tuple[int, int]:
+        """The number of the node, and how many steps lead to its farthest leaf."""
+        at = len(feature)
+        for x, start in ((feature, 0), (threshold, "Infinity"), (left, at), (right, at), (share, 0)):
+            x.append(start)
         if n.getClass().getSimpleName() == "LeafNode":
             stats = list(n.impurityStats().stats())
-            return f"{stats[1] / max(sum(stats), 1e-9):.6f}D"
+            share[at] = f"{stats[1] / max(sum(stats), 1e-9):.6f}"
+            return at, depth
         split = n.split()
-        return f"case when {f}[{split.featureIndex()}] <= {split.threshold()!r}D then {node(n.leftChild())} else {node(n.rightChild())} end"
-
-    trees = [node(t._call_java("rootNode")) for t in model.trees]
-    return "(" + " + ".join(trees) + f") / {len(trees)}"
+        feature[at], threshold[at] = split.featureIndex(), repr(split.threshold())
+        (left[at], a), (right[at], b) = node(n.leftChild(), depth + 1), node(n.rightChild(), depth + 1)
+        return at, max(a, b)
+
+    steps = 1
+    for t in model.trees:
+        root, depth = node(t._call_java("rootNode"), 0)
+        roots.append(root)
+        steps = max(steps, depth)
+    array = lambda x, kind: f"cast(split('{' '.join(map(str, x))}', ' ') as array<{kind}>)"
+    step = f"if({f}[{array(feature, 'int')}[k]] <= {array(threshold, 'double')}[k], {array(left, 'int')}[k], {array(right, 'int')}[k])"
+    leaf = f"aggregate(sequence(1, {steps}), r, (k, _) -> {step})"
+    return f"aggregate({array(roots, 'int')}, 0D, (s, r) -> s + {array(share, 'double')}[{leaf}]) / {len(roots)}"
 
 
 def scan(docs: DataFrame, detector: Detector, text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
