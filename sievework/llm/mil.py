@@ -192,6 +192,7 @@ def classify(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col
                 score = model.score(*passages(block))
                 rest = [batch.column(i).slice(block.first, len(block)) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(score, pa.float64())], names=[*keep, "held_out", "score"])
+            arrays.trim()
 
     mod = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % held_out_mod == held_out, F.lit(False))
     out = docs.select(*kept, mod.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("_scored_text")).mapInArrow(run, f"{fields}{', ' if keep else ''}held_out boolean, score double")

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm import arrays
 from sievework.llm.bpe import ByteTokenizer
 from sievework.llm.shared import distinct_names
 
@@ -125,5 +126,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         rows.extend(packer.close())
         if rows:
             yield table(rows)
+        tokenizer = rows = None  # a worker that waits holds neither the vocabulary nor its finished chunks
+        arrays.trim()
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
